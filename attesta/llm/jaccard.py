@@ -65,10 +65,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> li
         if b - a >= size:
             out.append(np.unique(key[a : b - size + 1]))
         elif b > a:
-            one = np.uint64(b - a)
-            for x in w[a:b]:
-                one = mixed(np.atleast_1d(one * np.uint64(5) + x))[0]
-            out.append(np.array([one], np.uint64))
+            one = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                one = mixed(one * np.uint64(5) + w[i : i + 1])
+            out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
