@@ -1,5 +1,5 @@
 """The queries of the library, by family; each module has ``queries()`` and ``oracle_sql()``."""
 
-from attesta.plans import corpus
+from attesta.plans import corpus, evidence, streams, work
 
-MODULES = [corpus]
+MODULES = [corpus, evidence, work, streams]

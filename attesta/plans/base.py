@@ -126,7 +126,7 @@ CTE: dict[str, tuple] = {
     "flagged": (
         "plain_chunks",
         r"""SELECT *, list_filter([
-          CASE WHEN regexp_matches(replace(text, 'not only', ''), '(?i)(^|[^\pL\pN_])(not|never|no longer|pending|planned)($|[^\pL\pN_])') THEN 'negation' END,
+          CASE WHEN regexp_matches(regexp_replace(text, '(?i)not only($|[^\pL\pN_])', '\1', 'g'), '(?i)(^|[^\pL\pN_])(not|never|no longer|pending|planned)($|[^\pL\pN_])') THEN 'negation' END,
           CASE WHEN contains(text, '[name]') THEN 'placeholder' END,
           CASE WHEN contains(text, 'ignore all previous instructions') OR contains(heading, 'ignore all previous instructions') THEN 'injection' END], lambda f: f IS NOT NULL) AS flags FROM plain_chunks""",
     ),
