@@ -350,7 +350,7 @@ def private_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median latency, and cost for every 60 items, of each questionnaire."""
     rows = table(spark, sf_dir, "orders").withColumn("cost", (F.col("o_totalprice") / 1000).cast("decimal(10,4)"))
-    return rows.groupBy(F.col("o_orderpriority").alias("pack")).agg(F.count(F.lit(1)).alias("items"), F.round(F.median("o_totalprice"), 4).alias("p50"), F.round((F.sum("cost") / F.count(F.lit(1)) * 60).cast("double"), 4).alias("cost_per_60"))
+    return rows.groupBy(F.col("o_orderpriority").alias("pack")).agg(F.count(F.lit(1)).alias("items"), F.round(F.median("o_totalprice"), 4).alias("p50"), F.round(F.sum("cost").cast("double") / F.count(F.lit(1)) * 60, 1).alias("cost_per_60"))
 
 
 def queries() -> dict:
@@ -450,5 +450,5 @@ def oracle_sql() -> dict[str, str]:
             a AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(ws) - 4)) AS i FROM s)), b AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(ws) - 4)) AS i FROM t))
             SELECT item_id AS trap_id, doc_id, count(*) AS n FROM a JOIN b USING (g) GROUP BY 1, 2""",
         "j15_private_leaks": "SELECT item_id AS private_id, (SELECT count(*) FROM documents d WHERE contains(d.text, substr(b.text, 1, 25))) AS n FROM benchmark b",
-        "a20_run_costs": "SELECT o_orderpriority AS pack, count(*) AS items, round(median(o_totalprice), 4) AS p50, round(sum((o_totalprice / 1000)::DECIMAL(10, 4))::DOUBLE / count(*) * 60, 4) AS cost_per_60 FROM orders GROUP BY 1",
+        "a20_run_costs": "SELECT o_orderpriority AS pack, count(*) AS items, round(median(o_totalprice), 4) AS p50, round(sum((o_totalprice / 1000)::DECIMAL(10, 4))::DOUBLE / count(*) * 60, 1) AS cost_per_60 FROM orders GROUP BY 1",
     }
