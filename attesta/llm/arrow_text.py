@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 RUN_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
@@ -109,3 +110,24 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
         out[at:to] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * BASE)
         at = to
     return out
+
+
+def packed_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., packed): the texts compressed for a shuffle, about a third of their size."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for part, data, offsets in runs(batches):
+            raw = data.tobytes()
+            packed = [squeeze.compress(raw[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(packed, pa.binary())], names=[*keys, "packed"])
+
+    return rows.select(*keys, "text").mapInArrow(work, ", ".join(f"{k} long" for k in keys) + ", packed binary")
+
+
+def unpack(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed)

@@ -139,7 +139,7 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
                                 r = int(np.searchsorted(offsets, begin[i], "right")) - 1
                                 text = data[offsets[r] : end[i]].tobytes()
                                 start = len(text[: begin[i] - offsets[r]].decode())
-                                piece = text[begin[i] - offsets[r] :].decode().removesuffix("\n")
+                                piece = text[begin[i] - offsets[r] :].decode().rstrip("\n")
                                 out.append((doc_ids[r], start, start + len(piece), name, round(dice, 6)))
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())

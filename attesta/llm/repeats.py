@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.llm.arrow_text import _POWERS, mixed, runs, utf8
+from attesta.llm.arrow_text import _POWERS, mixed, packed_texts, runs
 from attesta.llm.shared import written
 
 LENGTH, GRAM = 200, 64
@@ -283,25 +283,10 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
 
-def packed_texts(rows: DataFrame) -> DataFrame:
-    """(doc_id, tid, packed): the texts, compressed for the shuffle."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for part, data, offsets in runs(batches):
-            raw = data.tobytes()
-            packed = [squeeze.compress(raw[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tid"), pa.array(packed, pa.binary())], names=["doc_id", "tid", "packed"])
-
-    return rows.mapInArrow(work, "doc_id long, tid long, packed binary")
-
-
 def for_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(tid, packed, at): the text of the rows that ``wanted`` (tid, __first, at) names; equal rows give it again."""
     keyed = wanted.withColumnRenamed("tid", "__tid")
-    return packed_texts(rows).join(keyed, (F.col("tid") == F.col("__tid")) & F.col("doc_id").eqNullSafe(F.col("__first"))).select("tid", "packed", "at")
+    return packed_texts(rows, ["doc_id", "tid"]).join(keyed, (F.col("tid") == F.col("__tid")) & F.col("doc_id").eqNullSafe(F.col("__first"))).select("tid", "packed", "at")
 
 
 def spans_by_text(rows: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.shared import let
+from attesta.llm.shared import let, sample_rows
 
 # The shapes, with the least length of what must be long.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -84,7 +84,7 @@ def default_samples(docs: DataFrame, n_docs: int = 500) -> DataFrame:
     packed = F.translate(F.base64(F.unhex(digest)), "\r\n", "")
     shape = F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).otherwise(packed.substr(F.lit(1), (F.lit(20) + F.col("id") % 40).cast("int")))
     random = spark.range(MAX_SAMPLES).select(shape.alias("text"), F.lit(True).alias("random"))
-    some = docs.filter("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
+    some = sample_rows(docs.filter("text is not null").select("doc_id", "text"), n_docs, "doc_id", "text")
     word = some.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)))).alias("w")).distinct()
     word = word.orderBy(F.xxhash64("w")).limit(MAX_SAMPLES)
     named = F.array(F.col("w"), F.concat(F.lower("w"), F.lit("_"), F.lower(F.reverse("w"))), F.concat(F.lower("w"), F.initcap("w")), F.concat(F.lower("w"), F.lit("-"), F.lower("w"), F.lit("/"), F.lower("w")))

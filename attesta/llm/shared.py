@@ -60,3 +60,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("__id"),
         F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("__text"),
     ]
+
+
+def sample_rows(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """At most ``n`` of the rows, those with the smallest hash of ``key``; the same ones each time.
+
+    Rows with larger hashes are left out before the sort, so that only about twice as many reach its one task.
+    """
+    total = rows.count()
+    spread = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    some = rows.filter(spread < int((1 << 40) * 2 * n / total)) if total > 2 * n else rows
+    return some.orderBy(spread, *key).limit(n)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm.arrow_text import runs
-from attesta.llm.shared import shared_dir
+from attesta.llm.shared import sample_rows, shared_dir
 from attesta.llm.token_ids import encoder
 
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 1 << 16
@@ -57,7 +57,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: str) -
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(width).tobytes() for x in ids_of(data, offsets)], pa.binary())], names=["ids"])
 
     some = docs.filter((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text")
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text")
+    some = sample_rows(some, SAMPLE_DOCS, "doc_id", "text").select("text")
     samples = [bytes(x["ids"]) for x in some.mapInArrow(work, "ids binary").collect()]
     import zstandard
 
