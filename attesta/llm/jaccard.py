@@ -3,14 +3,16 @@
 1. Every text becomes the set of its distinct 5-word shingles, as 64-bit hashes. Texts with equal sets are one *class*,
    named by the sum of the set's hashes; from here on there is a row for each class, however many copies it has.
 2. Two sets of coefficient t or more share one of their first n - ceil(t n) + 1 shingles in any common order. The order
-   used puts shingles that are common in a bounded sample last. Classes that share such a shingle are a *group*.
+   used puts shingles that are common in a bounded sample last. All classes that share such a shingle are named after the
+   lowest of them, and all with one name form a *group*: near copies share many shingles, and still meet in few groups.
 3. The classes of a group are the leaves of a signature tree: a node holds the OR of its leaves' bitmaps and the range of
    their set sizes. A dual traversal drops pairs of nodes whose largest possible overlap cannot reach t.
-4. The pairs that are left are compared on their full sets, and the links joined into components.
+4. The pairs that are left are compared on their full sets; the links are joined into components.
 
-Steps 3 and 4 run twice over the groups: first each group's lowest class against the rest, which joins most copies with
-few comparisons; then all against all, where nodes whose leaves are known to be of one component are dropped as well. No
-link between different components can be missed, and a group of near copies is never spelled out in pairs.
+Steps 3 and 4 run three times over the groups: first each group's lowest class against the rest; then a few classes of
+other components, where there are any, and all pairs of small groups; then all against all, where nodes whose leaves are
+known to be of one component are dropped. The first two join most copies with few comparisons, so a group of near copies
+is not spelled out in pairs; the last misses no link between different components.
 
 Texts without words, and null texts, have an empty set, no links, and their own id as component. A null id takes part in
 links; a component's id is null only if all its ids are.
@@ -26,17 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.arrow_text import LOWER, lookup, mixed, runs, span_hashes, utf8, words
+from attesta.llm.arrow_text import LOWER, lookup, mixed, packed_texts, runs, span_hashes, unpack, words
 from attesta.llm.components import components
-from attesta.llm.shared import fresh, written
+from attesta.llm.shared import fresh, sample_rows, written
 
 WORDS = 5
 #: The coefficient from which two sets are linked, in hundredths.
 PERCENT = 80
 #: The sample that tells common shingles: so many documents, those with the smallest id hashes, and the least count there.
 SAMPLE_DOCS, SAMPLE_COUNT = 4000, 3
-BITS = 512
+#: Least and most bits of a class's bitmap; it has four to eight for each shingle.
+LEAST_BITS, MOST_BITS = 64, 1 << 15
 LEAVES = 16
+#: Classes of a group that each pass compares with the rest; at most LEAVES, or all of them.
+PIVOTS = (1, 8, None)
+#: Bytes of bitmaps that a step of the traversal compares at once.
+STEP_BYTES = 16 << 20
 IS_WORD = lookup(b"\x20\x09\x0a\x0b\x0c\x0d", rest=True)
 
 
@@ -74,10 +81,32 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> li
     return out
 
 
+def width(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (4 * n - 1).bit_length()))
+
+
 def bitmap(own: np.ndarray) -> bytes:
-    flags = np.zeros(BITS, bool)
-    flags[(own & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
+    bits = width(len(own))
+    flags = np.zeros(bits, bool)
+    flags[(own & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (the last axis has 64-bit words) at half their width."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] | bits[..., half:]
+
+
+def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """The largest overlap that two sets with these bitmaps and sizes can have."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) > len(y):
+        x = folded(x)
+    while len(y) > len(x):
+        y = folded(y)
+    count = lambda v: int(np.bitwise_count(v).sum())
+    return min(n_a - count(x & ~y), n_b - count(y & ~x))
 
 
 def class_of(own: np.ndarray) -> int:
@@ -111,43 +140,43 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
             sets = shingle_sets(data, offsets, rule.words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64), pa.int64())], names=["h"])
 
-    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).withColumnRenamed("doc_id", "picked")
-    some = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi").select("text")
+    some = sample_rows(docs.select("doc_id", "row_no", "text"), SAMPLE_DOCS, "doc_id", "row_no").select("text")
     many = some.mapInArrow(work, "h long").groupBy("h").count().filter(F.col("count") >= SAMPLE_COUNT)
     return np.sort(np.array([x["h"] for x in many.select("h").collect()], np.int64).view(np.uint64))
 
 
 def postings(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
-    """(token, class, n): the first shingles of each set, those of ``common`` last in the order."""
+    """(token, class): the first shingles of each set, those of ``common`` last in the order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in runs(batches):
-            seen: dict[int, tuple[int, np.ndarray]] = {}
+            seen: dict[int, np.ndarray] = {}
             for own in shingle_sets(data, offsets, rule.words):
                 if len(own) and (name := class_of(own)) not in seen:
                     if len(common):
                         known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
                         own = np.concatenate((own[~known], own[known]))
-                    seen[name] = len(own), own[: rule.prefix(len(own))]
-            took = [len(p) for _, p in seen.values()]
+                    seen[name] = own[: rule.prefix(len(own))]
+            took = [len(p) for p in seen.values()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.zeros(0, np.uint64), *(p for _, p in seen.values())]).view(np.int64), pa.int64()),
+                    pa.array(np.concatenate([np.zeros(0, np.uint64), *seen.values()]).view(np.int64), pa.int64()),
                     pa.array(np.repeat(np.array(list(seen), np.int64), took), pa.int64()),
-                    pa.array(np.repeat(np.array([n for n, _ in seen.values()], np.int64), took), pa.int64()),
                 ],
-                names=["token", "class", "n"],
+                names=["token", "class"],
             )
 
-    return docs.select("text").mapInArrow(work, "token long, class long, n long")
+    return docs.select("text").mapInArrow(work, "token long, class long")
 
 
-def shared_tokens(rows: DataFrame) -> DataFrame:
-    """The postings whose token is in the first shingles of two classes or more."""
+def shared_groups(rows: DataFrame) -> DataFrame:
+    """(lo, class): for each token that two classes or more have among their first shingles, those classes under the name
+    of the lowest."""
     from pyspark.sql import Window as W
 
     same = W.partitionBy("token")
-    return rows.withColumns({"lo": F.min("class").over(same), "hi": F.max("class").over(same)}).filter("lo <> hi").select("token", "class", "n").distinct()
+    ends = rows.withColumns({"lo": F.min("class").over(same), "hi": F.max("class").over(same)})
+    return ends.filter("lo <> hi").select("lo", "class").distinct()
 
 
 # Signature trees
@@ -186,120 +215,152 @@ class Tree:
         overlap += np.minimum(self.spare[level][x], self.spare[level][y])
         return sizes & apart & ((100 + percent) * overlap >= percent * (low[x] + low[y]))
 
-    def pairs(self, percent: int, lowest: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf pairs that the dual traversal is left with; ``lowest``: only those of leaf 0."""
+    def pairs(self, percent: int, pivots: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf pairs that the dual traversal is left with; ``pivots``: only those of the first so many leaves."""
         top = len(self.low) - 1
-        x = y = np.zeros(1, np.int64)
-        for level in range(top, 0, -1):
-            size = len(self.low[level - 1])
-            n = len(x)
-            cx = np.repeat(x * LEAVES, LEAVES * LEAVES) + np.tile(np.repeat(np.arange(LEAVES), LEAVES), n)
-            cy = np.repeat(y * LEAVES, LEAVES * LEAVES) + np.tile(np.arange(LEAVES), n * LEAVES)
-            ok = (cx <= cy) & (cy < size) if level > 1 else (cx < cy) & (cy < size)
-            if lowest:
-                ok &= cx == 0
+        zero, found = np.zeros(1, np.int64), []
+        todo = [(top, zero, zero)] if top else []
+        most = max(1, STEP_BYTES // self.bits[0].itemsize // self.bits[0].shape[1] // LEAVES**2)
+        while todo:
+            level, x, y = todo.pop()
+            if len(x) > most:
+                todo.append((level, x[most:], y[most:]))
+                x, y = x[:most], y[:most]
+            n, size = len(x), len(self.low[level - 1])
+            cx = np.repeat(x * LEAVES, LEAVES**2) + np.tile(np.repeat(np.arange(LEAVES), LEAVES), n)
+            cy = np.repeat(y * LEAVES, LEAVES**2) + np.tile(np.arange(LEAVES), n * LEAVES)
+            ok = (cy < size) & ((cx <= cy) if level > 1 else (cx < cy))
+            if pivots is not None:
+                ok &= cx < (pivots if level == 1 else 1)
             cx, cy = cx[ok], cy[ok]
             ok = self.may_link(level - 1, cx, cy, percent)
-            x, y = cx[ok], cy[ok]
-        return x, y
+            if level > 1:
+                todo.append((level - 1, cx[ok], cy[ok]))
+            else:
+                found.append((cx[ok], cy[ok]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(v) for v in zip(*found, strict=True)) if found else (none, none)
+
+
+def pivot_classes(name: np.ndarray, label: np.ndarray, pivots: int | None) -> np.ndarray:
+    """Which rows of a group are pivots: the lowest class, or the lowest ones of some other components than its own."""
+    if pivots is None:
+        return np.ones(len(name), bool)
+    low = np.argsort(name)
+    if pivots > 1:
+        low = low[label[low] != label[low[0]]]
+    _, one = np.unique(label[low], return_index=True)
+    out = np.zeros(len(name), bool)
+    out[low[np.sort(one)][:pivots]] = True
+    return out
 
 
-def candidate_pairs(groups: DataFrame, percent: int, lowest: bool) -> DataFrame:
-    """(a, b), a < b: pairs of classes that a group's signature tree leaves, from (token, class, n, bits, label).
+def tree_pairs(name: np.ndarray, n: np.ndarray, label: np.ndarray, raw: list[bytes], percent: int, pivots: int | None) -> list[tuple[int, int]]:
+    """The pairs of a group that its trees leave; ``pivots``: only those of the classes that :func:`pivot_classes` names.
 
-    Groups are streamed in order of token. A task holds one group at a time, about a hundred bytes for each class; a
-    shingle that a noticeable part of all documents has is last in the order and so makes no large group.
+    There is a tree for each width of bitmaps, with the next wider ones folded in as far as their sizes can be linked.
     """
+    wide, first = np.array([8 * len(x) for x in raw]), pivot_classes(name, label, pivots)
+    out: set[tuple[int, int]] = set()
+    for w in np.unique(wide).tolist():
+        top = n[wide == w].max()
+        rows = np.flatnonzero((wide == w) | ((wide == 2 * w) & (percent * n <= 100 * top)))
+        many = int(first[rows].sum())
+        if not many:
+            continue
+        bits = np.stack([folded(b) if len(b) > w // 64 else b for b in (np.frombuffer(raw[i], np.uint64) for i in rows)])
+        order = np.lexsort((bits[:, 0], n[rows], ~first[rows]))
+        x, y = Tree.of(bits[order], n[rows][order], label[rows][order]).pairs(percent, None if pivots is None else many)
+        a, b = name[rows][order][x], name[rows][order][y]
+        out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+    return sorted(out)
+
+
+def candidate_pairs(groups: DataFrame, rule: Rule, pivots: int | None) -> DataFrame:
+    """(a, b), a < b: pairs of classes that a group's signature trees leave, from (lo, class, n, bits, label).
+
+    Groups are streamed in order of name. A task holds one group at a time, some hundred bytes for each class; a shingle
+    that a noticeable part of all documents has is last in the order and so makes no large group.
+    """
+    percent = rule.percent
 
-    def tree_pairs(token_rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        name, n, label = (token_rows.column(c).to_numpy() for c in ("class", "n", "label"))
-        raw = b"".join(token_rows.column("bits").to_pylist())
-        bits = np.frombuffer(raw, np.uint64).reshape(-1, BITS // 64)
-        if lowest:  # the lowest class first, the others by size
-            order = np.lexsort((bits[:, 0], n, name != name.min()))
-        else:
-            order = np.lexsort((bits[:, 0], n))
-        x, y = Tree.of(bits[order], n[order], label[order]).pairs(percent, lowest)
-        a, b = name[order][x], name[order][y]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def small_pairs(t: np.ndarray, name: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def small_pairs(key: np.ndarray, name: np.ndarray, n: np.ndarray, label: np.ndarray, raw: list[bytes]) -> list[tuple[int, int]]:
         """The same for many groups of at most LEAVES classes, which are trees of one level, side by side."""
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        size = np.diff(np.append(first, len(t)))
-        after = np.repeat(first + size, size) - np.arange(len(t)) - 1  # rows of the group after each
-        x = np.repeat(np.arange(len(t)), after)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        after = np.repeat(first + size, size) - np.arange(len(key)) - 1  # rows of the group after each
+        x = np.repeat(np.arange(len(key)), after)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
-        if lowest:
-            base = np.repeat(np.minimum.reduceat(name, first), size) if len(t) else name
-            ok = (name[x] == base[x]) | (name[y] == base[y])
-            x, y = x[ok], y[ok]
-        spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        ok = Tree([bits], [n], [n], [spare], [label]).may_link(0, x, y, percent)
-        a, b = name[x[ok]], name[y[ok]]
-        return np.minimum(a, b), np.maximum(a, b)
+        ok = (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x]) & (label[x] != label[y])
+        if pivots == 1:
+            ok &= (name[x] == key[x]) | (name[y] == key[y])
+        out = []
+        for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+            if rule.linked(most_common(raw[i], int(n[i]), raw[j], int(n[j])), int(n[i]), int(n[j])):
+                out.append((min(int(name[i]), int(name[j])), max(int(name[i]), int(name[j]))))
+        return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         done: set[tuple[int, int]] = set()
 
         def flush(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = whole.column("token").to_numpy()
-            if not len(t):
+            key, name, n, label = (whole.column(c).to_numpy() for c in ("lo", "class", "n", "label"))
+            if not len(key):
                 return
-            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            size = np.diff(np.append(first, len(t)))
-            big = np.repeat(size > LEAVES, size)
-            rest = whole.filter(pa.array(~big))
-            got = []
-            if rest.num_rows:
-                bits = np.frombuffer(b"".join(rest.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-                got.append(small_pairs(t[~big], *(rest.column(c).to_numpy() for c in ("class", "n", "label")), bits))
-            for f, s in zip(first[size > LEAVES], size[size > LEAVES], strict=True):
-                got.append(tree_pairs(whole.slice(int(f), int(s))))
-            if len(done) > 1_000_000:
+            raw = whole.column("bits").to_pylist()
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            few = np.flatnonzero(np.repeat(size <= LEAVES, size))
+            got = small_pairs(key[few], name[few], n[few], label[few], [raw[i] for i in few]) if len(few) else []
+            for f, s in zip(first[size > LEAVES].tolist(), size[size > LEAVES].tolist(), strict=True):
+                at = slice(f, f + s)
+                got += tree_pairs(name[at], n[at], label[at], raw[at], percent, pivots)
+            if len(done) > 100_000:
                 done.clear()
-            new = [p for p in dict.fromkeys(zip(*(np.concatenate(c).tolist() for c in zip(*got, strict=True)), strict=True)) if p not in done]
+            new = [p for p in dict.fromkeys(got) if p not in done]
             done.update(new)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in new], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             held.append(batch)
-            t = batch.column("token").to_numpy()
-            if not len(t) or t[0] == t[-1] and sum(h.num_rows for h in held) < 200_000:
+            key = batch.column("lo").to_numpy()
+            if not len(key) or key[0] == key[-1] == held[0].column("lo")[0].as_py():
                 continue
             whole = pa.Table.from_batches(held)
-            tokens = whole.column("token").to_numpy()
-            cut = int(np.searchsorted(tokens, tokens[-1]))
-            if cut:
-                yield from flush(whole.slice(0, cut))
-                held = whole.slice(cut).to_batches()
+            keys = whole.column("lo").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield from flush(whole.slice(0, cut))
+            held = whole.slice(cut).to_batches()
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    ordered = groups.repartition("token").sortWithinPartitions("token").select("token", "class", "n", "bits", "label")
+    ordered = groups.repartition("lo").sortWithinPartitions("lo").select("lo", "class", "n", "bits", "label")
     return ordered.mapInArrow(work, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose sets reach the coefficient; ``texts`` has (class, text)."""
+    """The pairs whose sets reach the coefficient; ``texts`` has (class, packed)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in runs(batches, "text_b"):
-            b_sets = shingle_sets(data, offsets, rule.words)
-            names = rows.column("a").to_pylist()
-            a_text = rows.column("text_a")
-            a_sets: dict[int, np.ndarray] = {}
-            for i, name in enumerate(names):
-                if name not in a_sets:
-                    a_sets[name] = shingle_sets(*utf8(a_text.slice(i, 1)), rule.words)[0]
-            ok = [rule.linked(len(np.intersect1d(a_sets[a], b, assume_unique=True)), len(a_sets[a]), len(b)) for a, b in zip(names, b_sets, strict=True)]
+        for rows in batches:
+            sets: dict[int, np.ndarray] = {}
+            ok = []
+            cols = (rows.column(c).to_pylist() for c in ("a", "packed_a", "packed_b"))
+            for a, pa_, pb in zip(*cols, strict=True):
+                if a not in sets:
+                    sets = {a: unpacked_set(pa_, rule.words)}
+                b = unpacked_set(pb, rule.words)
+                ok.append(rule.linked(len(np.intersect1d(sets[a], b, assume_unique=True)), len(sets[a]), len(b)))
             yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    a = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(work, "a long, b long")
+    of = lambda k: texts.select(F.col("class").alias(k), F.col("packed").alias(f"packed_{k}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "packed_a", "packed_b").mapInArrow(work, "a long, b long")
+
+
+def unpacked_set(packed: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(unpack(packed), np.uint8)
+    return shingle_sets(raw, np.array([0, len(raw)]), size)[0]
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -312,19 +373,20 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sketch = written(sketches(rows, rule), "sketches")
     lowest_id = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_no").alias("no"))
     classes = written(sketch.filter("n > 0").groupBy("class").agg(F.min(lowest_id).alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
-    shared = written(shared_tokens(postings(rows, rule, common_shingles(rows, rule))), "shared")
-
-    with_bits = shared.join(classes.select("class", "bits"), "class")
-    first = written(candidate_pairs(with_bits.withColumn("label", F.col("class")), rule.percent, True), "pairs")
-    texts = class_texts(rows, classes, first)
-    links = written(verified(first, texts, rule), "links")
-    found = components(links)
-
-    labelled = with_bits.join(found.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
-    open_groups = mixed_groups(labelled)
-    second = written(candidate_pairs(open_groups, rule.percent, False).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(second, class_texts(rows, classes, second), rule)
-    found = components(written(links.unionByName(more), "links"))
+    shared = written(shared_groups(postings(rows, rule, common_shingles(rows, rule))), "shared")
+
+    bits = classes.select("class", "n", "bits")
+    links, tried, found = None, None, None
+    for pivots in PIVOTS:
+        groups = shared.withColumn("label", F.col("class")) if found is None else mixed_groups(shared, found)
+        pairs = candidate_pairs(groups.join(bits, "class"), rule, pivots)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if links is not None and pairs.isEmpty():
+            continue
+        new = verified(pairs, class_texts(rows, classes, pairs), rule)
+        links = written(new if links is None else links.unionByName(new), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = components(links)
 
     named = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("root", "class").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("first_of"))
@@ -341,19 +403,18 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
 
 
-def mixed_groups(rows: DataFrame) -> DataFrame:
-    """The rows of groups whose labels differ."""
-    from pyspark.sql import Window as W
-
-    same = W.partitionBy("token")
-    return rows.withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same)}).filter("lo <> hi").drop("lo", "hi")
+def mixed_groups(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of groups with more than one component, with the component as ``label``."""
+    labelled = shared.join(found.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
+    ends = labelled.groupBy("lo").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("lo")
+    return labelled.join(ends, "lo", "left_semi")
 
 
 def class_texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(class, text) for the classes that ``pairs`` names, from the class's first row."""
+    """(class, packed) for the classes that ``pairs`` names, from the class's first row."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     keys = classes.join(wanted, "class").select("class", F.col("low.id").alias("__low"), F.col("low.no").alias("__no"))
-    found = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("__low")) & (F.col("row_no") == F.col("__no"))).select("class", "text")
+    found = packed_texts(rows, ["doc_id", "row_no"]).join(keys, F.col("doc_id").eqNullSafe(F.col("__low")) & (F.col("row_no") == F.col("__no"))).select("class", "packed")
     return written(found.dropDuplicates(["class"]), "texts")
 
 

@@ -89,21 +89,23 @@ def test_empty(spark):
     assert jaccard.join(frame(spark, [])).count() == jaccard.keep_one(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("lowest", [False, True])
-def test_tree_drops_no_link(lowest):
+@pytest.mark.parametrize("pivots", [None, 1, 8])
+def test_trees_drop_no_link(pivots, monkeypatch):
+    monkeypatch.setattr(jaccard, "STEP_BYTES", 1 << 18)
     rng = np.random.default_rng(4)
     sets = []
     for _ in range(90):
-        base = np.unique(rng.integers(0, 2**63, 40).astype(np.uint64))
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(20, 90))).astype(np.uint64))
         sets += [np.unique(np.concatenate((base[k:], rng.integers(0, 2**63, k).astype(np.uint64)))) for k in (0, 1, 2, 6)]
-    bits = np.frombuffer(b"".join(map(jaccard.bitmap, sets)), np.uint64).reshape(-1, jaccard.BITS // 64)
-    tree = jaccard.Tree.of(bits, np.array([len(s) for s in sets]), np.arange(len(sets)))
-    got = set(zip(*(v.tolist() for v in tree.pairs(80, lowest)), strict=True))
-    for i in range(1 if lowest else len(sets)):
+    names = np.array([jaccard.class_of(s) for s in sets])
+    got = jaccard.tree_pairs(names, np.array([len(s) for s in sets]), np.arange(len(sets)), [jaccard.bitmap(s) for s in sets], 80, pivots)
+    first = set(names[jaccard.pivot_classes(names, np.arange(len(sets)), pivots)].tolist())
+    assert len(first) == (pivots or len(sets))
+    for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
-            if jaccard.Rule().linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
-                assert (i, j) in got
-    assert len(got) < (200 if lowest else 10_000)
+            if jaccard.Rule().linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])) and first & {int(names[i]), int(names[j])}:
+                assert (min(names[i], names[j]), max(names[i], names[j])) in got
+    assert len(got) < (60 * pivots if pivots else 600)
 
 
 def test_components(spark):
@@ -117,3 +119,15 @@ def test_components(spark):
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: r for x, r in root.items() if x in linked}
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_bitmaps_drop_no_link():
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 60, 900, 20_000):
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for k in (0, n // 12, n // 3):
+            other = np.unique(np.concatenate((base[k:], rng.integers(0, 2**63, k).astype(np.uint64))))
+            most = jaccard.most_common(jaccard.bitmap(base), len(base), jaccard.bitmap(other), len(other))
+            assert most >= len(np.intersect1d(base, other))
+    a, b = (np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(2))
+    assert not jaccard.Rule().linked(jaccard.most_common(jaccard.bitmap(a), 3000, jaccard.bitmap(b), 3000), 3000, 3000)
