@@ -9,10 +9,12 @@
    their set sizes. A dual traversal drops pairs of nodes whose largest possible overlap cannot reach t.
 4. The pairs that are left are compared on their full sets; the links are joined into components.
 
-Steps 3 and 4 run three times over the groups: first each group's lowest class against the rest; then a few classes of
-other components, where there are any, and all pairs of small groups; then all against all, where nodes whose leaves are
-known to be of one component are dropped. The first two join most copies with few comparisons, so a group of near copies
-is not spelled out in pairs; the last misses no link between different components.
+Steps 3 and 4 run three times over the groups: first each group's most central class against the rest; then
+the most central classes of other components, where there are any, and all pairs of small groups; then all against all,
+where nodes whose leaves are known to be of one component are dropped. Near copies of one text lie around it, so the class
+with the most of what the group has in common is linked to most of those that are linked at all: the first two passes join
+them with a few comparisons each, a group of near copies is not spelled out in pairs, and the last pass misses no link
+between different components.
 
 Texts without words, and null texts, have an empty set, no links, and their own id as component. A null id takes part in
 links; a component's id is null only if all its ids are.
@@ -40,7 +42,7 @@ SAMPLE_DOCS, SAMPLE_COUNT = 4000, 3
 #: Least and most bits of a class's bitmap; it has four to eight for each shingle.
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 LEAVES = 16
-#: Classes of a group that each pass compares with the rest; at most LEAVES, or all of them.
+#: Classes of a group, or of each tree of a large one, that a pass compares with the rest; at most LEAVES, or all of them.
 PIVOTS = (1, 8, None)
 #: Bytes of bitmaps that a step of the traversal compares at once.
 STEP_BYTES = 16 << 20
@@ -242,16 +244,29 @@ class Tree:
         return tuple(np.concatenate(v) for v in zip(*found, strict=True)) if found else (none, none)
 
 
-def pivot_classes(name: np.ndarray, label: np.ndarray, pivots: int | None) -> np.ndarray:
-    """Which rows of a group are pivots: the lowest class, or the lowest ones of some other components than its own."""
+def centrality(bits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """About the mean coefficient of each row's set with the others, from the part of the rows that has each of its bits."""
+    raw = bits.view(np.uint8)
+    step = max(1, STEP_BYTES // (8 * raw.shape[1]))
+    flags = lambda i: np.unpackbits(raw[i : i + step], axis=1, bitorder="little")
+    part = sum(flags(i).sum(0, dtype=np.int64) for i in range(0, len(raw), step)) / len(raw)
+    common = np.concatenate([flags(i) @ part for i in range(0, len(raw), step)])
+    return common / (n + n.mean() - common)
+
+
+def pivot_classes(name: np.ndarray, label: np.ndarray, central: np.ndarray, pivots: int | None) -> np.ndarray:
+    """Which rows are pivots: the most central one (``pivots`` is 1), or that of some components other than the largest."""
     if pivots is None:
         return np.ones(len(name), bool)
-    low = np.argsort(name)
-    if pivots > 1:
-        low = low[label[low] != label[low[0]]]
-    _, one = np.unique(label[low], return_index=True)
     out = np.zeros(len(name), bool)
-    out[low[np.sort(one)][:pivots]] = True
+    order = np.lexsort((name, -central))
+    if pivots == 1:
+        out[order[0]] = True
+        return out
+    kinds, of, many = np.unique(label, return_inverse=True, return_counts=True)
+    order = order[of[order] != np.argmax(many)]
+    _, one = np.unique(label[order], return_index=True)
+    out[order[np.sort(one)][:pivots]] = True
     return out
 
 
@@ -260,16 +275,18 @@ def tree_pairs(name: np.ndarray, n: np.ndarray, label: np.ndarray, raw: list[byt
 
     There is a tree for each width of bitmaps, with the next wider ones folded in as far as their sizes can be linked.
     """
-    wide, first = np.array([8 * len(x) for x in raw]), pivot_classes(name, label, pivots)
+    wide = np.array([8 * len(x) for x in raw])
+    label = np.unique(label, return_inverse=True)[1]  # not below 0: -1 stands for nodes of several components
     out: set[tuple[int, int]] = set()
     for w in np.unique(wide).tolist():
         top = n[wide == w].max()
         rows = np.flatnonzero((wide == w) | ((wide == 2 * w) & (percent * n <= 100 * top)))
-        many = int(first[rows].sum())
+        bits = np.stack([folded(b) if len(b) > w // 64 else b for b in (np.frombuffer(raw[i], np.uint64) for i in rows)])
+        first = pivot_classes(name[rows], label[rows], centrality(bits, n[rows]) if pivots else n[rows], pivots)
+        many = int(first.sum())
         if not many:
             continue
-        bits = np.stack([folded(b) if len(b) > w // 64 else b for b in (np.frombuffer(raw[i], np.uint64) for i in rows)])
-        order = np.lexsort((bits[:, 0], n[rows], ~first[rows]))
+        order = np.lexsort((bits[:, 0], n[rows], ~first))
         x, y = Tree.of(bits[order], n[rows][order], label[rows][order]).pairs(percent, None if pivots is None else many)
         a, b = name[rows][order][x], name[rows][order][y]
         out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))

@@ -89,7 +89,7 @@ def test_empty(spark):
     assert jaccard.join(frame(spark, [])).count() == jaccard.keep_one(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("pivots", [None, 1, 8])
+@pytest.mark.parametrize("pivots", [None, 2, 8])
 def test_trees_drop_no_link(pivots, monkeypatch):
     monkeypatch.setattr(jaccard, "STEP_BYTES", 1 << 18)
     rng = np.random.default_rng(4)
@@ -98,14 +98,43 @@ def test_trees_drop_no_link(pivots, monkeypatch):
         base = np.unique(rng.integers(0, 2**63, int(rng.integers(20, 90))).astype(np.uint64))
         sets += [np.unique(np.concatenate((base[k:], rng.integers(0, 2**63, k).astype(np.uint64)))) for k in (0, 1, 2, 6)]
     names = np.array([jaccard.class_of(s) for s in sets])
+    trees, choose = [], jaccard.pivot_classes
+
+    def chosen(name, *rest):
+        trees.append((set(name.tolist()), set(name[out := choose(name, *rest)].tolist())))
+        return out
+
+    monkeypatch.setattr(jaccard, "pivot_classes", chosen)
     got = jaccard.tree_pairs(names, np.array([len(s) for s in sets]), np.arange(len(sets)), [jaccard.bitmap(s) for s in sets], 80, pivots)
-    first = set(names[jaccard.pivot_classes(names, np.arange(len(sets)), pivots)].tolist())
-    assert len(first) == (pivots or len(sets))
+    assert len(trees) > 1 and all(1 <= len(first) <= (pivots or len(every)) for every, first in trees)
+    if pivots is None:
+        trees = [(set(names.tolist()), set(names.tolist()))]
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
-            if jaccard.Rule().linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])) and first & {int(names[i]), int(names[j])}:
-                assert (min(names[i], names[j]), max(names[i], names[j])) in got
-    assert len(got) < (60 * pivots if pivots else 600)
+            if jaccard.Rule().linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                pair = int(min(names[i], names[j])), int(max(names[i], names[j]))
+                assert pair in got or not any(first & set(pair) and every >= set(pair) for every, first in trees)
+    assert len(got) < (60 * sum(len(first) for _, first in trees) if pivots else 600)
+
+
+def test_central_pivots_join_a_family():
+    """Random edits of one text: two pivots link what links at all but a few, and so little is left to compare."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 150).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[k:], rng.integers(0, 2**63, k).astype(np.uint64)))) for base, k in ((rng.permutation(base), int(k)) for k in rng.integers(2, 17, 500))]
+    names, n = np.array([jaccard.class_of(s) for s in sets]), np.array([len(s) for s in sets])
+    bits, by = [jaccard.bitmap(s) for s in sets], {jaccard.class_of(s): s for s in sets}
+    label = names.copy()
+    for pivots in jaccard.PIVOTS[:2]:
+        got = jaccard.tree_pairs(names, n, label, bits, 80, pivots)
+        assert len(got) <= pivots * len(sets)
+        for a, b in got:
+            if jaccard.Rule().linked(len(np.intersect1d(by[a], by[b])), len(by[a]), len(by[b])):
+                x, y = label[names == a][0], label[names == b][0]
+                label[label == max(x, y)] = min(x, y)
+    left = jaccard.tree_pairs(names, n, label, bits, 80, None)
+    of = dict(zip(names.tolist(), label.tolist(), strict=True))
+    assert len(left) < len(sets) ** 2 // 16 and all(of[a] != of[b] for a, b in left)
 
 
 def test_components(spark):
