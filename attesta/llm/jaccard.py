@@ -9,8 +9,8 @@
    their set sizes. A dual traversal drops pairs of nodes whose largest possible overlap cannot reach t.
 4. The pairs that are left are compared on their full sets; the links are joined into components.
 
-Steps 3 and 4 run three times over the groups: first each group's most central class against the rest; then
-the most central classes of other components, where there are any, and all pairs of small groups; then all against all,
+Steps 3 and 4 run three times: first all pairs of small groups, and each large group's most central class against the
+rest; then, in large groups, the most central classes of other components, where there are any; then all against all,
 where nodes whose leaves are known to be of one component are dropped. Near copies of one text lie around it, so the class
 with the most of what the group has in common is linked to most of those that are linked at all: the first two passes join
 them with a few comparisons each, a group of near copies is not spelled out in pairs, and the last pass misses no link
@@ -309,8 +309,6 @@ def candidate_pairs(groups: DataFrame, rule: Rule, pivots: int | None) -> DataFr
         x = np.repeat(np.arange(len(key)), after)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
         ok = (100 * n[x] >= percent * n[y]) & (100 * n[y] >= percent * n[x]) & (label[x] != label[y])
-        if pivots == 1:
-            ok &= (name[x] == key[x]) | (name[y] == key[y])
         out = []
         for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
             if rule.linked(most_common(raw[i], int(n[i]), raw[j], int(n[j])), int(n[i]), int(n[j])):
@@ -421,9 +419,10 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def mixed_groups(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of groups with more than one component, with the component as ``label``."""
+    """The rows of large groups with more than one component, with the component as ``label``."""
     labelled = shared.join(found.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
-    ends = labelled.groupBy("lo").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first <> last").select("lo")
+    ends = labelled.groupBy("lo").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count(F.lit(1)).alias("many"))
+    ends = ends.filter((F.col("first") != F.col("last")) & (F.col("many") > LEAVES)).select("lo")
     return labelled.join(ends, "lo", "left_semi")
 
 
