@@ -9,12 +9,12 @@
    their set sizes. A dual traversal drops pairs of nodes whose largest possible overlap cannot reach t.
 4. The pairs that are left are compared on their full sets; the links are joined into components.
 
-Steps 3 and 4 run three times: first all pairs of small groups, and each large group's most central class against the
-rest; then, in large groups, the most central classes of other components, where there are any; then all against all,
-where nodes whose leaves are known to be of one component are dropped. Near copies of one text lie around it, so the class
-with the most of what the group has in common is linked to most of those that are linked at all: the first two passes join
-them with a few comparisons each, a group of near copies is not spelled out in pairs, and the last pass misses no link
-between different components.
+Steps 3 and 4 run twice: first all pairs of small groups, and in each large group the most central class against the
+rest, then the most central of those that it cannot be linked with, and so on, a few times; then in large groups all
+against all, where nodes whose leaves are known to be of one component are dropped. Near copies of one text lie around it,
+so the class with the most of what the group has in common is linked to most of those that are linked at all: the first
+pass joins them with a comparison each, a group of near copies is not spelled out in pairs, and the second pass misses no
+link between different components.
 
 Texts without words, and null texts, have an empty set, no links, and their own id as component. A null id takes part in
 links; a component's id is null only if all its ids are.
@@ -43,7 +43,7 @@ SAMPLE_DOCS, SAMPLE_COUNT = 4000, 3
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 LEAVES = 16
 #: Classes of a group, or of each tree of a large one, that a pass compares with the rest; at most LEAVES, or all of them.
-PIVOTS = (1, 8, None)
+PIVOTS = (8, None)
 #: Bytes of bitmaps that a step of the traversal compares at once.
 STEP_BYTES = 16 << 20
 IS_WORD = lookup(b"\x20\x09\x0a\x0b\x0c\x0d", rest=True)
@@ -254,19 +254,20 @@ def centrality(bits: np.ndarray, n: np.ndarray) -> np.ndarray:
     return common / (n + n.mean() - common)
 
 
-def pivot_classes(name: np.ndarray, label: np.ndarray, central: np.ndarray, pivots: int | None) -> np.ndarray:
-    """Which rows are pivots: the most central one (``pivots`` is 1), or that of some components other than the largest."""
+def pivot_classes(name: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int, pivots: int | None) -> np.ndarray:
+    """Which rows are pivots: the most central one, then the most central of those that no pivot so far may be linked to."""
     if pivots is None:
         return np.ones(len(name), bool)
-    out = np.zeros(len(name), bool)
-    order = np.lexsort((name, -central))
-    if pivots == 1:
-        out[order[0]] = True
-        return out
-    kinds, of, many = np.unique(label, return_inverse=True, return_counts=True)
-    order = order[of[order] != np.argmax(many)]
-    _, one = np.unique(label[order], return_index=True)
-    out[order[np.sort(one)][:pivots]] = True
+    out, open_ = np.zeros(len(name), bool), np.ones(len(name), bool)
+    order = np.lexsort((name, -centrality(bits, n)))
+    spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    for _ in range(pivots):
+        if not len(order := order[open_[order]]):
+            break
+        i = order[0]
+        overlap = np.bitwise_count(bits & bits[i]).sum(1, dtype=np.int64) + np.minimum(spare, spare[i])
+        open_ &= (100 + percent) * overlap < percent * (n + n[i])
+        out[i], open_[i] = True, False
     return out
 
 
@@ -282,12 +283,9 @@ def tree_pairs(name: np.ndarray, n: np.ndarray, label: np.ndarray, raw: list[byt
         top = n[wide == w].max()
         rows = np.flatnonzero((wide == w) | ((wide == 2 * w) & (percent * n <= 100 * top)))
         bits = np.stack([folded(b) if len(b) > w // 64 else b for b in (np.frombuffer(raw[i], np.uint64) for i in rows)])
-        first = pivot_classes(name[rows], label[rows], centrality(bits, n[rows]) if pivots else n[rows], pivots)
-        many = int(first.sum())
-        if not many:
-            continue
+        first = pivot_classes(name[rows], n[rows], bits, percent, pivots)
         order = np.lexsort((bits[:, 0], n[rows], ~first))
-        x, y = Tree.of(bits[order], n[rows][order], label[rows][order]).pairs(percent, None if pivots is None else many)
+        x, y = Tree.of(bits[order], n[rows][order], label[rows][order]).pairs(percent, None if pivots is None else int(first.sum()))
         a, b = name[rows][order][x], name[rows][order][y]
         out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
     return sorted(out)

@@ -118,14 +118,14 @@ def test_trees_drop_no_link(pivots, monkeypatch):
 
 
 def test_central_pivots_join_a_family():
-    """Random edits of one text: two pivots link what links at all but a few, and so little is left to compare."""
+    """Random edits of one text: the pivots link what links at all but a few, and so little is left to compare."""
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, 150).astype(np.uint64)
     sets = [np.unique(np.concatenate((base[k:], rng.integers(0, 2**63, k).astype(np.uint64)))) for base, k in ((rng.permutation(base), int(k)) for k in rng.integers(2, 17, 500))]
     names, n = np.array([jaccard.class_of(s) for s in sets]), np.array([len(s) for s in sets])
     bits, by = [jaccard.bitmap(s) for s in sets], {jaccard.class_of(s): s for s in sets}
     label = names.copy()
-    for pivots in jaccard.PIVOTS[:2]:
+    for pivots in jaccard.PIVOTS[:-1]:
         got = jaccard.tree_pairs(names, n, label, bits, 80, pivots)
         assert len(got) <= pivots * len(sets)
         for a, b in got:
