@@ -1,9 +1,9 @@
 """Quality rules: base counts of a text, and lines that a host repeats across its documents.
 
 Lines are normalised (lower case, digits to ``0``, white space to one space) and hashed. Per host, a line counts the
-distinct documents that hold it. Copies of a document are one document here: what is counted is the smallest hash among
-a document's other lines, which copies share. A line above the limits is boilerplate and is removed; a document that
-loses more than a given part of its words with them is depleted and rejected.
+distinct documents that hold it. Exact copies of a document are one document here, for the line and for the host: what
+is counted is the hash of the whole text, which nothing but copies share. A line above the limits is boilerplate and is
+removed; a document that loses more than a given part of its words with them is depleted and rejected.
 
 Null texts have no words and fail the base rule. A null host is a host of its own. Rows with equal id and text share a
 verdict; the same id with another text is another document.
@@ -74,25 +74,20 @@ def normal_line(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(__id, __text, host, line, other, n_words): a row for each distinct line of a document, with its words in all.
-
-    ``other`` is the smallest hash among the document's other lines, null if it has none.
-    """
+    """(__id, __text, host, copy, line, n_words): a row for each line of a document; copies share ``copy``."""
     hashed = F.transform(
         F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         lambda x: F.struct(F.md5(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n")),
     )
-    rows = docs.select(*row_key(), F.col("source").alias("host"), hashed.alias("x"))
-    rows = rows.withColumn("low", F.slice(F.array_sort(F.array_distinct(F.col("x.h"))), 1, 2))
-    rows = rows.select("__id", "__text", "host", "low", F.explode("x").alias("x"))
-    other = F.when(F.col("x.h") == F.get("low", F.lit(0)), F.get("low", F.lit(1))).otherwise(F.get("low", F.lit(0)))
-    return rows.select("__id", "__text", "host", F.col("x.h").alias("line"), other.alias("other"), F.col("x.n").cast("long").alias("n_words"))
+    rows = docs.select(*row_key(), F.col("source").alias("host"), F.xxhash64("text").alias("copy"), F.explode(hashed).alias("x"))
+    return rows.select("__id", "__text", "host", "copy", F.col("x.h").alias("line"), F.col("x.n").cast("long").alias("n_words"))
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, limits: LineLimits) -> DataFrame:
     """(host, line, n_docs) above the limits. Counts are gathered in two steps, so that a hot line meets no single task."""
-    counted = lines.groupBy("host", "line", "other").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
-    hosts = docs.groupBy(F.col("source").alias("__host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    counted = lines.groupBy("host", "line", "copy").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    texts = docs.groupBy(F.col("source").alias("__host"), F.xxhash64("text").alias("__copy")).agg(F.lit(1).alias("one"))
+    hosts = texts.groupBy("__host").agg(F.count(F.lit(1)).alias("host_docs"))
     above = counted.filter(F.col("n_docs") > limits.min_docs).join(hosts, F.col("host").eqNullSafe(F.col("__host")))
     return above.filter(F.col("n_docs") > F.lit(limits.share) * F.col("host_docs")).select("host", "line", "n_docs")
 

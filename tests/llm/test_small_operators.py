@@ -63,6 +63,15 @@ def test_boilerplate_depletes_but_copies_do_not(spark):
     assert {r.doc_id for r in quality.keep_good(frame(spark, rows, True)).collect()} == {i for i in kept if kept[i]}
 
 
+@pytest.mark.parametrize(("n_docs", "n_shared"), [(20, 8), (200, 60)])
+def test_blocks_of_shared_lines_deplete(spark, n_docs, n_shared):
+    block = "\n".join(prose(9000 + i, 12) for i in range(n_shared))
+    rows = [(i, block + "\n" + prose(i, 20), "en", "a", 0) for i in range(n_docs)] + [(500 + i, block, "en", "b", 0) for i in range(20)]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert all(got[i].n_removed_words == 12 * n_shared and not got[i].kept for i in range(n_docs))
+    assert all(got[500 + i].n_removed_words == 0 for i in range(20))  # copies are one document
+
+
 def test_keep_good_keeps_rows_and_columns(docs):
     out = quality.keep_good(docs)
     assert out.columns == docs.columns
