@@ -263,6 +263,38 @@ def test_license_over_several_lines(spark):
     assert parts in [rows[0][1][r.begin : r.end] for r in got if r.dice == 1]
 
 
+def test_licenses_in_any_place(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    cuts = [mit.index("The above copyright"), mit.index("THE SOFTWARE IS")]
+    parts = "\n\n".join(mit[a:b].strip() for a, b in zip([0, *cuts], [*cuts, None], strict=True))
+    inner = "Copyright (c) 2020 Jane Roe. Released under the MIT License."
+    header = re.sub("(.{50,60}) ", "\\1\n\n", licenses.TEMPLATES["GPL-3.0-header"])
+    texts = [f"Über {prose(1, 500)}\n\n{parts}\n\n{prose(2, 500)}", inner, f"{prose(3, 90)} {header} {prose(4, 90)}", (inner + " ") * 300]
+    texts += [f"{prose(5, 60)}\n\n{licenses.TEMPLATES[n]}\n\n{prose(6, 60)}".replace(".\n", ".\n\n") for n in ("Apache-2.0", "BSD-3-Clause", "LGPL-3.0")]
+    got = licenses.matches(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])).collect()
+    found = {(r.doc_id, r.license): texts[r.doc_id][r.begin : r.end] for r in got if r.dice == 1}
+    assert found[0, "MIT"] == parts.rstrip(".")
+    assert found[1, "MIT-notice"] == found[3, "MIT-notice"] == "Released under the MIT License"
+    assert found[2, "GPL-3.0-header"].startswith("This program is free") and found[2, "GPL-3.0-header"].endswith("licenses")
+    assert found[4, "Apache-2.0"] and found[5, "BSD-3-Clause"] and found[6, "LGPL-3.0"]
+    assert sum(r.doc_id == 3 and r.license == "MIT-notice" for r in got) == 300
+
+
+def test_windows_are_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        own = np.arange(6, dtype=np.uint64)
+        keys = rng.integers(0, 9, 40).astype(np.uint64)
+        dice = {(a, b): 2 * len(set(keys[a:b]) & set(own)) / (len(set(keys[a:b])) + 6) for a in range(40) for b in range(a + 1, 41)}
+        got = licenses.windows(keys, own, 0.8)
+        assert all(abs(dice[a, b] - d) < 1e-12 for d, a, b in got)
+        assert max([d for d, _, _ in got], default=0) == max([d for d in dice.values() if d >= 0.8], default=0)
+        taken = {p for _, a, b in got for p in range(a, b)}
+        assert all(taken & set(range(a, b)) for (a, b), d in dice.items() if d >= 0.8)
+
+
 # secrets
 
 
