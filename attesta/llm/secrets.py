@@ -2,8 +2,9 @@
 
 Three fixed shapes are searched first (an assignment to a secret's name, an access key id, a long hexadecimal run). Then
 two first-order Markov models over characters, one of random strings and one of ordinary identifiers, score each long
-token by its mean log-likelihood ratio per step; tokens above the threshold are spans of kind ``random``, unless they
-touch a span of a fixed shape. Both models are trained from labelled samples. All of it is column expressions.
+token by its mean log-likelihood ratio per step; tokens above the threshold are spans of kind ``random``. Of another token
+those runs of parts between ``= / _ -`` are, that are long enough and above it: names and paths before a value do not hide
+it. What spans of fixed shapes cover is cut out of tokens first. Both models are trained from labelled samples. All of it is column expressions.
 
 Null and empty texts have no spans. Spans are half open and count code points.
 """
@@ -27,10 +28,15 @@ KINDS = ("assign", "access", "hex", "random")
 QUICK = {"assign": r"(?i:passw|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"  # LEAST and more
 SPAN = "struct<start:int,end:int,kind:int>"
 #: Mean log-likelihood ratio per step above which a token counts as random.
 THRESHOLD = 0.8
+LEAST = 16
+#: Letters of ``ALPHABET`` from here on part a token; "+" does not.
+FIRST_JOINER = ALPHABET.index("/")
+#: A run of parts ends where its sum (less the threshold for each step) has fallen so far below its highest.
+DROP = 8.0
 #: At most so many labelled samples of a class train a model.
 MAX_SAMPLES = 4000
 
@@ -129,13 +135,60 @@ def ratio_literal(ratios: list[float]) -> Column:
     return F.from_json(F.lit(json.dumps(ratios)), "array<double>")
 
 
+def token_runs(token: Column, begin: Column, ratios: Column, threshold: float) -> Column:
+    """Random spans of one token that begins at ``begin``: all of it, or runs of its parts."""
+    none = F.array().cast(f"array<{SPAN}>")
+    span = lambda a, b: F.array(F.struct((begin + a).cast("int").alias("start"), (begin + b).cast("int").alias("end"), F.lit(KINDS.index("random")).alias("kind")))
+
+    def fold(x: Column) -> Column:
+        # total: what the steps since ``start`` exceed the threshold by; top: its highest at the end of a part, at ``stop``.
+        zero = F.lit(0.0)
+        first = F.struct(F.lit(0).alias("start"), zero.alias("total"), zero.alias("top"), F.lit(0).alias("stop"), none.alias("out"))
+
+        def step(acc: Column, i: Column) -> Column:
+            joint = F.coalesce(F.get(x, i) >= FIRST_JOINER, F.lit(True))  # or the token's end
+            higher = joint & (acc["total"] > acc["top"])
+            top, stop = F.when(higher, acc["total"]).otherwise(acc["top"]), F.when(higher, i).otherwise(acc["stop"])
+            over = joint & ((acc["total"] <= 0) | (acc["total"] < top - DROP) | (i == F.size(x)))
+            ruled = (F.get(x, i - 1) >= FIRST_JOINER) & (F.get(x, i) >= FIRST_JOINER)  # a step within a rule says nothing
+            value = F.when(ruled, zero).otherwise(F.get(ratios, F.get(x, i - 1) * len(ALPHABET) + F.get(x, i)))
+            ratio = F.when(i > acc["start"], F.coalesce(value - threshold, zero)).otherwise(zero)
+            tell = over & (top > 0) & (stop - acc["start"] >= LEAST)
+            return F.struct(
+                F.when(over, i + 1).otherwise(acc["start"]).alias("start"),
+                F.when(over, zero).otherwise(acc["total"] + ratio).alias("total"),
+                F.when(over, zero).otherwise(top).alias("top"),
+                F.when(over, i + 1).otherwise(stop).alias("stop"),
+                F.when(tell, F.concat(acc["out"], span(acc["start"], stop))).otherwise(acc["out"]).alias("out"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x)), first, step, lambda acc: acc["out"])
+
+    parts = let(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), fold)
+    return F.when(random_score(token, ratios) > threshold, span(F.lit(0), F.length(token))).when(token.rlike("[/_=-]"), parts).otherwise(none)
+
+
 def random_spans(text: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
-    """Tokens that the models take for random strings; base64 padding and joiners may stand at the ends."""
+    """Tokens, or runs of their parts, that the models take for random strings."""
     table = ratio_literal(ratios)
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    high = lambda t: random_score(t, table) > threshold
     none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.exists(tokens, high), spans_of(text, TOKEN, KINDS.index("random"), high)).otherwise(none)
+    inside = lambda s: let(F.substring(text, s["start"] + 1, s["end"] - s["start"]), lambda t: token_runs(t, s["start"], table, threshold))
+    found = F.flatten(F.transform(spans_of(text, TOKEN, KINDS.index("random"), lambda m: F.lit(True)), inside))
+    return F.when(text.rlike(TOKEN), found).otherwise(none)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of the spans, which are sorted by start."""
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], acc["at"])
+        end = F.greatest(s["end"], acc["at"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
@@ -147,11 +200,11 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, threshold: float = T
     text = F.coalesce(F.col("text"), F.lit(""))
     names = [c for c in (keep or docs.columns) if c.lower() != "spans"]
 
-    def joined(x: Column) -> Column:
-        apart = lambda r: ~F.exists(x["fixed"], lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-        return F.array_sort(F.concat(x["fixed"], F.filter(x["random"], apart)), _by_place)
+    def joined(fixed: Column) -> Column:
+        rest = let(blanked(text, fixed), lambda t: random_spans(t, ratios, threshold))
+        return F.array_sort(F.concat(fixed, rest), _by_place)
 
-    found = let(F.struct(fixed_spans(text).alias("fixed"), random_spans(text, ratios, threshold).alias("random")), joined)
+    found = let(fixed_spans(text), joined)
     return docs.select(*names, found.alias("spans"))
 
 
