@@ -18,25 +18,28 @@ def _folder(spark: SparkSession) -> str:
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, per_batch: int = 1000) -> DataFrame:
     like = table(spark, sf_dir, "events")
-    rows = jobs.folder_stream(spark, f"{sf_dir}/events*.parquet", like)
+    rows = jobs.folder_stream(spark, f"{sf_dir}/events*.parquet", like, per_batch)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls per kind and hour; each batch tells the counts that changed, the largest is the last."""
+def stream_counters(spark: SparkSession, sf_dir: str, per_batch: int = 1000) -> DataFrame:
+    """Calls per kind and hour; each batch tells the counts that changed, the largest is the last.
+
+    The table is bounded and its files are in no order of time, so no call is too late.
+    """
     out = _folder(spark)
-    jobs.run_to_folder(jobs.call_counters(_events(spark, sf_dir), "1 hour", ["event_type"], 4), f"{out}/rows", f"{out}/state", "update")
+    jobs.run_to_folder(jobs.call_counters(_events(spark, sf_dir, per_batch), "1 hour", ["event_type"], 4, late=None), f"{out}/rows", f"{out}/state", "update")
     rows = spark.read.parquet(f"{out}/rows").groupBy("event_type", "window_start").agg(F.max("n").alias("n"), F.max("over").alias("over"))
     return rows.select("event_type", F.col("window_start").cast("string").alias("window_start"), "n", "over")
 
 
-def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is delivered twice and counted once."""
+def stream_once(spark: SparkSession, sf_dir: str, per_batch: int = 1000) -> DataFrame:
+    """Every event is delivered twice and counted once, however its table is cut into files."""
     out = _folder(spark)
-    rows = _events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    jobs.run_to_folder(jobs.once(rows, ["event_id"]), f"{out}/rows", f"{out}/state")
+    rows = _events(spark, sf_dir, per_batch).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    jobs.run_to_folder(jobs.once(rows, ["event_id"], late=None), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

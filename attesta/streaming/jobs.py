@@ -19,9 +19,13 @@ from attesta.sources.lines import text_lines
 WATERMARK = "10 minutes"
 
 
-def call_counters(events: DataFrame, unit: str, keys: list[str], cap: Column | int, late: str = WATERMARK) -> DataFrame:
-    """(keys..., window_start, n, over): calls in each tumbling window; calls later than the watermark are dropped."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", unit).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+def call_counters(events: DataFrame, unit: str, keys: list[str], cap: Column | int, late: str | None = WATERMARK) -> DataFrame:
+    """(keys..., window_start, n, over): calls in each tumbling window; calls later than the watermark are dropped.
+
+    Without a watermark (``late`` is None) all calls count and all windows are remembered, as a bounded table needs it.
+    """
+    known = events.withWatermark("ts", late) if late else events
+    rows = known.groupBy(F.window("ts", unit).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return rows.select(*keys, F.col("w.start").alias("window_start"), "n", (F.col("n") > cap).alias("over"))
 
 
@@ -31,8 +35,10 @@ def idle_runs(events: DataFrame, key: str, gap: str = "10 minutes", late: str =
     return rows.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def once(events: DataFrame, keys: list[str], late: str = WATERMARK) -> DataFrame:
-    """Events without repeated deliveries; the watermark bounds what is remembered."""
+def once(events: DataFrame, keys: list[str], late: str | None = WATERMARK) -> DataFrame:
+    """Events without repeated deliveries; the watermark bounds what is remembered, and without one (None) all keys are."""
+    if late is None:
+        return events.dropDuplicates(keys)
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
