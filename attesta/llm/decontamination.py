@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.arrow_text import LOWER, lookup, mixed, runs, span_hashes, words
-from attesta.llm.shared import row_key
+from attesta.llm.shared import matching_rows, row_key
 
 WINDOW = 10
 #: Most bytes of benchmark text whose patterns go to every task; a larger benchmark is searched for in several passes.
@@ -164,10 +164,4 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with all its columns, less the rows in which a window occurs."""
-    from attesta.llm.shared import fresh
-
-    dirty = scan(docs, benchmark, window).filter("n_hit > 0").select(F.col("__id").alias("__dirty_id"), F.col("__text").alias("__dirty_text")).distinct()
-    a, b = fresh(docs.columns, "__id"), fresh(docs.columns, "__text")
-    key = row_key()
-    keyed = docs.withColumns({a: key[0], b: key[1]})
-    return keyed.join(dirty, (F.col(a) == F.col("__dirty_id")) & (F.col(b) == F.col("__dirty_text")), "left_anti").select(*docs.columns)
+    return matching_rows(docs, scan(docs, benchmark, window).filter("n_hit > 0"), "left_anti")

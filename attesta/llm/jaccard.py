@@ -1,7 +1,8 @@
 """Similarity join of word-shingle sets by their Jaccard coefficient, with signature trees.
 
 1. Every text becomes the set of its distinct 5-word shingles, as 64-bit hashes. Texts with equal sets are one *class*,
-   named by the sum of the set's hashes; from here on there is a row for each class, however many copies it has.
+   named by the sum of the set's hashes; from here on there is a row for each class, however many copies it has. A second
+   sum tells sets apart that share a name; such names, of which there are hardly any, are replaced.
 2. Two sets of coefficient t or more share one of their first n - ceil(t n) + 1 shingles in any common order. The order
    used puts shingles that are common in a bounded sample last. All classes that share such a shingle are named after the
    lowest of them, and all with one name form a *group*: near copies share many shingles, and still meet in few groups.
@@ -16,8 +17,14 @@ so the class with the most of what the group has in common is linked to most of
 pass joins them with a comparison each, a group of near copies is not spelled out in pairs, and the second pass misses no
 link between different components.
 
+A token or group that very many classes share meets no single task. Tokens are counted with partial aggregates, and those
+above a limit are joined in parts. A group above a limit is dealt to blocks: in the first pass each block is compared with
+pivots chosen in one of them, in the second the classes outside the group's largest component with all, block by block.
+
 Texts without words, and null texts, have an empty set, no links, and their own id as component. A null id takes part in
-links; a component's id is null only if all its ids are.
+links; a component's id is null only if all its ids are. Repeated rows and ties share a class; an empty table gives an empty
+result. Texts of any length are read whole. Columns of the input other than doc_id and text are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,12 +34,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.arrow_text import LOWER, lookup, mixed, packed_texts, runs, span_hashes, unpack, words
 from attesta.llm.components import components
-from attesta.llm.shared import fresh, sample_rows, written
+from attesta.llm.shared import fresh, hot_limit, sample_rows, written
 
 WORDS = 5
 #: The coefficient from which two sets are linked, in hundredths.
@@ -44,8 +51,12 @@ LEAST_BITS, MOST_BITS = 64, 1 << 15
 LEAVES = 16
 #: Classes of a group, or of each tree of a large one, that a pass compares with the rest; at most LEAVES, or all of them.
 PIVOTS = (8, None)
+#: A token of more postings, and a group of more classes, is dealt to several tasks.
+HOT_ROWS, BLOCK = 50_000, 1024
 #: Bytes of bitmaps that a step of the traversal compares at once.
 STEP_BYTES = 16 << 20
+#: Names that different sets share; more of them than chance allows would mean a broken hash.
+MOST_MIXED = 10_000
 IS_WORD = lookup(b"\x20\x09\x0a\x0b\x0c\x0d", rest=True)
 
 
@@ -100,6 +111,12 @@ def folded(bits: np.ndarray) -> np.ndarray:
     return bits[..., :half] | bits[..., half:]
 
 
+def narrowed(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        bits = folded(bits)
+    return bits
+
+
 def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     """The largest overlap that two sets with these bitmaps and sizes can have."""
     x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
@@ -111,27 +128,42 @@ def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     return min(n_a - count(x & ~y), n_b - count(y & ~x))
 
 
-def class_of(own: np.ndarray) -> int:
-    return int(mixed(own).sum(dtype=np.uint64).astype(np.int64))
+def class_sums(own: np.ndarray) -> tuple[int, int]:
+    return tuple(int(mixed(x).sum(dtype=np.uint64).astype(np.int64)) for x in (own, own ^ np.uint64(0x9E3779B97F4A7C15)))
+
+
+def class_of(own: np.ndarray, shared_names: frozenset[int] = frozenset()) -> int:
+    first, second = class_sums(own) if shared_names else (int(mixed(own).sum(dtype=np.uint64).astype(np.int64)), 0)
+    return second if first in shared_names else first
 
 
 def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, row_no, n, class, bits) for each row; ``row_no`` tells rows apart that share an id."""
+    """(doc_id, row_no, n, class, second, bits) for each row; ``row_no`` tells rows apart that share an id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in runs(batches):
             sets = shingle_sets(data, offsets, rule.words)
+            sums = [class_sums(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(rows.column(c) for c in ("doc_id", "row_no")),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([class_of(x) for x in sets], pa.int64()),
+                    *(pa.array([s[i] for s in sums], pa.int64()) for i in (0, 1)),
                     pa.array([bitmap(x) for x in sets], pa.binary()),
                 ],
-                names=["doc_id", "row_no", "n", "class", "bits"],
+                names=["doc_id", "row_no", "n", "class", "second", "bits"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, row_no long, n long, class long, bits binary")
+    return docs.mapInArrow(work, "doc_id long, row_no long, n long, class long, second long, bits binary")
+
+
+def named_classes(sketch: DataFrame) -> DataFrame:
+    """(class, low, n, bits, mixed) of the sets with words; ``mixed``: different sets share the name."""
+    lowest_id = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_no").alias("no"))
+    out = sketch.filter("n > 0").groupBy("class").agg(
+        F.min(lowest_id).alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits"), (F.min("second") != F.max("second")).alias("mixed")
+    )
+    return written(out, "classes")
 
 
 def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
@@ -147,14 +179,14 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
     return np.sort(np.array([x["h"] for x in many.select("h").collect()], np.int64).view(np.uint64))
 
 
-def postings(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, rule: Rule, common: np.ndarray, shared_names: frozenset[int] = frozenset()) -> DataFrame:
     """(token, class): the first shingles of each set, those of ``common`` last in the order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in runs(batches):
             seen: dict[int, np.ndarray] = {}
             for own in shingle_sets(data, offsets, rule.words):
-                if len(own) and (name := class_of(own)) not in seen:
+                if len(own) and (name := class_of(own, shared_names)) not in seen:
                     if len(common):
                         known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
                         own = np.concatenate((own[~known], own[known]))
@@ -173,12 +205,15 @@ def postings(docs: DataFrame, rule: Rule, common: np.ndarray) -> DataFrame:
 
 def shared_groups(rows: DataFrame) -> DataFrame:
     """(lo, class): for each token that two classes or more have among their first shingles, those classes under the name
-    of the lowest."""
-    from pyspark.sql import Window as W
-
-    same = W.partitionBy("token")
-    ends = rows.withColumns({"lo": F.min("class").over(same), "hi": F.max("class").over(same)})
-    return ends.filter("lo <> hi").select("lo", "class").distinct()
+    of the lowest. ``rows`` must be cheap to read again."""
+    ends = rows.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("many"))
+    limit = hot_limit(rows.count(), HOT_ROWS)
+    parts = F.ceil(F.col("many") / limit).cast("int")
+    shared = written(ends.filter("lo <> hi").select("token", "lo", parts.alias("parts")), "tokens")
+    hot = shared.filter("parts > 1").select("token", "parts")
+    dealt = rows.join(F.broadcast(hot), "token", "left").select("token", "class", F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    keys = shared.select("token", "lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(keys, ["token", "part"]).select("lo", "class").distinct()
 
 
 # Signature trees
@@ -271,19 +306,20 @@ def pivot_classes(name: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: in
     return out
 
 
-def tree_pairs(name: np.ndarray, n: np.ndarray, label: np.ndarray, raw: list[bytes], percent: int, pivots: int | None) -> list[tuple[int, int]]:
-    """The pairs of a group that its trees leave; ``pivots``: only those of the classes that :func:`pivot_classes` names.
+def tree_pairs(name: np.ndarray, n: np.ndarray, label: np.ndarray, raw: list[bytes], percent: int, pivots: int | None, given: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The pairs of a group that its trees leave; ``pivots``: only those of the classes that ``given`` marks, or that
+    :func:`pivot_classes` names.
 
-    There is a tree for each width of bitmaps, with the next wider ones folded in as far as their sizes can be linked.
+    There is a tree for each width of bitmaps, with all wider ones folded in whose sizes can be linked.
     """
     wide = np.array([8 * len(x) for x in raw])
     label = np.unique(label, return_inverse=True)[1]  # not below 0: -1 stands for nodes of several components
     out: set[tuple[int, int]] = set()
     for w in np.unique(wide).tolist():
         top = n[wide == w].max()
-        rows = np.flatnonzero((wide == w) | ((wide == 2 * w) & (percent * n <= 100 * top)))
-        bits = np.stack([folded(b) if len(b) > w // 64 else b for b in (np.frombuffer(raw[i], np.uint64) for i in rows)])
-        first = pivot_classes(name[rows], n[rows], bits, percent, pivots)
+        rows = np.flatnonzero((wide == w) | ((wide > w) & (percent * n <= 100 * top)))
+        bits = np.stack([narrowed(np.frombuffer(raw[i], np.uint64), w // 64) for i in rows])
+        first = given[rows] if pivots is not None and given is not None and given.any() else pivot_classes(name[rows], n[rows], bits, percent, pivots)
         order = np.lexsort((bits[:, 0], n[rows], ~first))
         x, y = Tree.of(bits[order], n[rows][order], label[rows][order]).pairs(percent, None if pivots is None else int(first.sum()))
         a, b = name[rows][order][x], name[rows][order][y]
@@ -291,11 +327,28 @@ def tree_pairs(name: np.ndarray, n: np.ndarray, label: np.ndarray, raw: list[byt
     return sorted(out)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in order of ``lo`` as tables that end where a group ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        key = batch.column("lo").to_numpy()
+        if not len(key) or key[0] == key[-1] == held[0].column("lo")[0].as_py():
+            continue
+        whole = pa.Table.from_batches(held)
+        keys = whole.column("lo").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        yield whole.slice(0, cut)
+        held = whole.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def candidate_pairs(groups: DataFrame, rule: Rule, pivots: int | None) -> DataFrame:
-    """(a, b), a < b: pairs of classes that a group's signature trees leave, from (lo, class, n, bits, label).
+    """(a, b), a < b: pairs of classes that a group's signature trees leave, from (lo, class, n, bits, label, pivot).
 
-    Groups are streamed in order of name. A task holds one group at a time, some hundred bytes for each class; a shingle
-    that a noticeable part of all documents has is last in the order and so makes no large group.
+    Groups are streamed in order of name. A task holds one group or block of a group at a time, some hundred bytes to some
+    kilobytes for each class.
     """
     percent = rule.percent
 
@@ -314,13 +367,13 @@ def candidate_pairs(groups: DataFrame, rule: Rule, pivots: int | None) -> DataFr
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         done: set[tuple[int, int]] = set()
 
         def flush(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             key, name, n, label = (whole.column(c).to_numpy() for c in ("lo", "class", "n", "label"))
             if not len(key):
                 return
+            given = whole.column("pivot").to_numpy()
             raw = whole.column("bits").to_pylist()
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(first, len(key)))
@@ -328,30 +381,59 @@ def candidate_pairs(groups: DataFrame, rule: Rule, pivots: int | None) -> DataFr
             got = small_pairs(key[few], name[few], n[few], label[few], [raw[i] for i in few]) if len(few) else []
             for f, s in zip(first[size > LEAVES].tolist(), size[size > LEAVES].tolist(), strict=True):
                 at = slice(f, f + s)
-                got += tree_pairs(name[at], n[at], label[at], raw[at], percent, pivots)
+                got += tree_pairs(name[at], n[at], label[at], raw[at], percent, pivots, given[at])
             if len(done) > 100_000:
                 done.clear()
             new = [p for p in dict.fromkeys(got) if p not in done]
             done.update(new)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in new], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            held.append(batch)
-            key = batch.column("lo").to_numpy()
-            if not len(key) or key[0] == key[-1] == held[0].column("lo")[0].as_py():
-                continue
-            whole = pa.Table.from_batches(held)
-            keys = whole.column("lo").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            yield from flush(whole.slice(0, cut))
-            held = whole.slice(cut).to_batches()
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    ordered = groups.repartition("lo").sortWithinPartitions("lo").select("lo", "class", "n", "bits", "label")
+        for whole in whole_groups(batches):
+            yield from flush(whole)
+
+    ordered = groups.repartition("lo").sortWithinPartitions("lo").select("lo", "class", "n", "bits", "label", "pivot")
     return ordered.mapInArrow(work, "a long, b long").distinct()
 
 
+def chosen_pivots(blocks: DataFrame, rule: Rule, pivots: int) -> DataFrame:
+    """(lo, class): the pivots of each width of bitmaps, from one block (lo, class, n, bits) of each group."""
+    percent = rule.percent
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches):
+            key, name, n = (whole.column(c).to_numpy() for c in ("lo", "class", "n"))
+            raw = whole.column("bits").to_pylist()
+            wide = np.array([len(x) for x in raw])
+            out: list[tuple[int, int]] = []
+            for lo in np.unique(key).tolist():
+                for w in np.unique(wide[key == lo]).tolist():
+                    at = np.flatnonzero((key == lo) & (wide == w))
+                    bits = np.stack([np.frombuffer(raw[i], np.uint64) for i in at])
+                    out += [(lo, c) for c in name[at][pivot_classes(name[at], n[at], bits, percent, pivots)].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["lo", "class"])
+
+    ordered = blocks.repartition("lo").sortWithinPartitions("lo").select("lo", "class", "n", "bits")
+    return ordered.mapInArrow(work, "lo long, class long")
+
+
+def blocks_of(n: str, salt: int = 0) -> Column:
+    """A class's block of as many as column ``n`` says; 0 where it is null."""
+    return F.pmod(F.xxhash64("class", F.lit(salt)), F.coalesce(n, F.lit(1))).cast("int")
+
+
+def first_groups(shared: DataFrame, hot: DataFrame, bits: DataFrame, rule: Rule, pivots: int) -> DataFrame:
+    """The rows of :func:`candidate_pairs` for the first pass. Blocks of ``hot`` groups (lo, parts) have pivots of one of them."""
+    rows = shared.join(F.broadcast(hot), "lo", "left").withColumn("part", blocks_of("parts"))
+    rows = rows.join(bits, "class")
+    key = F.when(F.col("part") == 0, F.col("lo")).otherwise(F.xxhash64("lo", "part"))
+    own = rows.select(key.alias("lo"), "class", "n", "bits", F.col("class").alias("label"), F.lit(False).alias("pivot"))
+    if hot.isEmpty():
+        return own
+    chosen = written(chosen_pivots(rows.filter("parts > 1 and part = 0"), rule, pivots), "pivots")
+    more = chosen.join(F.broadcast(hot), "lo").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).join(bits, "class")
+    return own.unionByName(more.select(key.alias("lo"), "class", "n", "bits", F.col("class").alias("label"), F.lit(True).alias("pivot")))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose sets reach the coefficient; ``texts`` has (class, packed)."""
 
@@ -384,15 +466,23 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_no"), "text")
     sketch = written(sketches(rows, rule), "sketches")
-    lowest_id = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_no").alias("no"))
-    classes = written(sketch.filter("n > 0").groupBy("class").agg(F.min(lowest_id).alias("low"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
-    shared = written(shared_groups(postings(rows, rule, common_shingles(rows, rule))), "shared")
+    classes = named_classes(sketch)
+    shared_names = frozenset(x["class"] for x in classes.filter("mixed").select("class").limit(MOST_MIXED + 1).collect())
+    if len(shared_names) > MOST_MIXED:
+        raise ValueError("too many different sets share a name")
+    if shared_names:
+        sketch = sketch.withColumn("class", F.when(F.col("class").isin(*shared_names), F.col("second")).otherwise(F.col("class")))
+        classes = named_classes(sketch)
+    posted = written(postings(rows, rule, common_shingles(rows, rule), shared_names), "postings")
+    shared = written(shared_groups(posted), "shared")
+    limit = hot_limit(shared.count(), BLOCK)
+    hot = written(shared.groupBy("lo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("lo", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot")
 
     bits = classes.select("class", "n", "bits")
     links, tried, found = None, None, None
     for pivots in PIVOTS:
-        groups = shared.withColumn("label", F.col("class")) if found is None else mixed_groups(shared, found)
-        pairs = candidate_pairs(groups.join(bits, "class"), rule, pivots)
+        groups = first_groups(shared, hot, bits, rule, pivots) if found is None else mixed_groups(shared, hot, bits, found, limit)
+        pairs = candidate_pairs(groups, rule, pivots)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if links is not None and pairs.isEmpty():
             continue
@@ -416,12 +506,30 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
 
 
-def mixed_groups(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of large groups with more than one component, with the component as ``label``."""
-    labelled = shared.join(found.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
-    ends = labelled.groupBy("lo").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count(F.lit(1)).alias("many"))
+def mixed_groups(shared: DataFrame, hot: DataFrame, bits: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """The rows of :func:`candidate_pairs` for large groups with more than one component, which is their ``label``.
+
+    Of a ``hot`` group the classes outside its largest component meet all of the group, a block of the ones with a block
+    of the others in each task.
+    """
+    labelled = shared.join(found.select(F.col("node").alias("class"), "root"), "class", "left").select("lo", "class", F.coalesce("root", "class").alias("label"))
+    labelled = labelled.join(F.broadcast(hot), "lo", "left")
+    plain = labelled.filter("parts is null")
+    ends = plain.groupBy("lo").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count(F.lit(1)).alias("many"))
     ends = ends.filter((F.col("first") != F.col("last")) & (F.col("many") > LEAVES)).select("lo")
-    return labelled.join(ends, "lo", "left_semi")
+    out = plain.join(ends, "lo", "left_semi").select("lo", "class", "label")
+    if not hot.isEmpty():
+        sizes = labelled.filter("parts is not null").groupBy("lo", "label", "parts").agg(F.count(F.lit(1)).alias("n"))
+        rest = F.sum("n") - F.max("n")
+        plan = sizes.groupBy("lo", "parts").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil(rest / limit).cast("int").alias("others")).filter("others > 0")
+        plan = written(plan, "blocks").withColumnRenamed("parts", "all_parts")
+        rows = labelled.filter("parts is not null").drop("parts").join(F.broadcast(plan), "lo")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        as_all = rows.withColumn("i", each("others")).withColumn("j", blocks_of("all_parts"))
+        as_other = rows.filter("label <> main").withColumn("i", blocks_of("others", 1)).withColumn("j", each("all_parts"))
+        both = as_all.unionByName(as_other).select(F.xxhash64("lo", "i", "j").alias("lo"), "class", "label")
+        out = out.unionByName(both.distinct())
+    return out.join(bits, "class").withColumn("pivot", F.lit(False))
 
 
 def class_texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -434,11 +542,10 @@ def class_texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFr
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``docs`` with all its columns, and of each component only its first row."""
-    keep = join(docs, rule).filter("first").select(F.col("doc_id").alias("__kept_id"), F.col("row_no").alias("__kept_no"), "n_shingles").distinct()
-    a, b, c = (fresh(docs.columns, x) for x in ("__id", "__no", "__copy"))
-    from pyspark.sql import Window as W
-
+    a, b, c, d, e, n = (fresh(docs.columns, x) for x in ("__own_id", "__own_no", "__alone", "__first_id", "__first_no", "__shingles"))
+    keep = join(docs, rule).filter("first").select(F.col("doc_id").alias(d), F.col("row_no").alias(e), F.col("n_shingles").alias(n)).distinct()
     keyed = docs.withColumns({a: F.col("doc_id").cast("long"), b: F.xxhash64("text")})
-    kept = keyed.join(keep, F.col(a).eqNullSafe(F.col("__kept_id")) & (F.col(b) == F.col("__kept_no")))
-    alone = kept.withColumn(c, F.row_number().over(W.partitionBy(a, b).orderBy(F.lit(0))))
-    return alone.filter((F.col(c) == 1) | (F.col("n_shingles") == 0)).select(*docs.columns)
+    kept = keyed.join(keep, F.col(a).eqNullSafe(F.col(d)) & (F.col(b) == F.col(e)))
+    # Of rows with equal id and text one stays; those without words are no copies of each other.
+    alone = kept.withColumn(c, F.when(F.col(n) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return alone.dropDuplicates([a, b, c]).select(*docs.columns)

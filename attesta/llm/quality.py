@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.shared import fresh, let, row_key, written
+from attesta.llm.shared import let, matching_rows, row_key, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -115,8 +115,4 @@ def judge(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
 
 def keep_good(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """``docs`` with all its columns, less the rows that :func:`judge` rejects."""
-    verdict = judge(docs, limits).filter("kept").select(F.col("__id").alias("__kept_id"), F.col("__text").alias("__kept_text")).distinct()
-    a, b = fresh(docs.columns, "__id"), fresh(docs.columns, "__text")
-    key = row_key()
-    keyed = docs.withColumns({a: key[0], b: key[1]})
-    return keyed.join(verdict, (F.col(a) == F.col("__kept_id")) & (F.col(b) == F.col("__kept_text")), "left_semi").select(*docs.columns)
+    return matching_rows(docs, judge(docs, limits).filter("kept"), "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from attesta.llm import decontamination, jaccard, licenses, packing, pii, quality, repeats, secrets, sharding, token_files
-from attesta.llm.shared import table
+from attesta.llm.shared import shared_dir, table
 
 PII_KEY = "rotate-me"
 
@@ -26,7 +27,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents")).select(
+    map_path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), map_path=map_path).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "version"
     )
 
@@ -89,16 +91,14 @@ base AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (doc_id) LEFT JOIN r USING (doc_id)),
 ln AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, text,
     md5(trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS h,
     len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-low AS (SELECT doc_id, list_sort(list(DISTINCT h))[1:2] AS low FROM ln GROUP BY 1),
-o AS (SELECT ln.*, CASE WHEN h = low[1] THEN coalesce(low[2], '-') ELSE low[1] END AS other FROM ln JOIN low USING (doc_id)),
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 f AS (
-  SELECT source, h FROM (SELECT source, h, count(DISTINCT other) AS n FROM o GROUP BY 1, 2)
-  JOIN (SELECT source, count(*) AS nd FROM d GROUP BY 1) USING (source) WHERE n > 5 AND n > 0.01 * nd),
-rm AS (SELECT doc_id, sum(n)::BIGINT AS n_removed FROM ln JOIN f USING (source, h) GROUP BY 1)
+  SELECT c.source, h FROM (SELECT source, h, count(DISTINCT text) AS n FROM ln GROUP BY 1, 2) c
+  JOIN (SELECT source, count(*) AS nd FROM (SELECT DISTINCT source, text FROM documents) GROUP BY 1) t ON t.source IS NOT DISTINCT FROM c.source WHERE n > 5 AND n > 0.01 * nd),
+rm AS (SELECT doc_id, sum(n)::BIGINT AS n_removed FROM ln JOIN f ON f.h = ln.h AND f.source IS NOT DISTINCT FROM ln.source GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(n_removed, 0) > 0.5 * n_words AS kept,

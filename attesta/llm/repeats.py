@@ -12,8 +12,12 @@ places. Intervals of one suffix are dropped, and a window is a repeat as soon as
 
 Equal texts are one text here, with all bytes removed if it is long enough. Equal surroundings of an anchor go to the
 interval once per task; an anchor with very many different surroundings is split by longer strings that every window in
-question contains. Null and empty texts have no bytes. Rows are judged one by one, so repeated ids make no difference.
-Texts and grams are told apart by 64-bit hashes; the repeats themselves are compared byte by byte.
+question contains. Null and empty texts have no bytes. Rows are judged one by one, so repeated ids make no difference, an
+empty table gives an empty result, and other columns are not looked at. Anchors are counted with partial aggregates, and
+one with very many occurrences is joined in parts.
+
+What is compared how: equal texts are told by two 64-bit hashes, equal surroundings of one anchor by a 128-bit digest and
+the anchor's hash; all other repeats byte by byte.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.llm.arrow_text import _POWERS, mixed, packed_texts, runs
-from attesta.llm.shared import written
+from attesta.llm.shared import hot_limit, written
 
 LENGTH, GRAM = 200, 64
-#: An anchor with more occurrences is split by strings of LENGTH - STEP + 1 bytes.
+#: An anchor with more occurrences is split by strings of LENGTH - STEP + 1 bytes, and its rows are dealt to several tasks.
 MANY, STEP = 50_000, 16
 BLOCK = 1 << 20
+#: Hashes that different texts share; more of them than chance allows would mean a broken hash.
+MOST_MIXED = 10_000
 
 
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +107,18 @@ def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """(h, tid, pos, many) of the anchors that occur at two places or more."""
-    same = W.partitionBy("h")
-    ends = {f"{k}_{c}": f(c).over(same) for c in ("tid", "pos") for k, f in (("lo", F.min), ("hi", F.max))}
-    out = found.withColumns(ends | {"n": F.count(F.lit(1)).over(same)}).filter("lo_tid <> hi_tid or lo_pos <> hi_pos")
-    return out.select("h", "tid", "pos", (F.col("n") > MANY).alias("many")).distinct()
+    """(h, tid, pos, many) of the anchors that occur at two places or more. ``found`` must be cheap to read again."""
+    ends = found.groupBy("h").agg(*[f(c).alias(f"{k}_{c}") for c in ("tid", "pos") for k, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n"))
+    limit = hot_limit(found.count(), MANY)
+    ends = ends.filter("lo_tid <> hi_tid or lo_pos <> hi_pos").select("h", (F.col("n") > MANY).alias("many"), F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+    shared = written(ends, "shared")
+    hot = shared.filter("parts > 1").select("h", "parts")
+    dealt = found.join(F.broadcast(hot), "h", "left").select("h", "tid", "pos", F.pmod(F.xxhash64("tid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    keys = shared.select("h", "many", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(keys, ["h", "part"]).select("h", "tid", "pos", "many").distinct()
 
 
-SURROUNDINGS = "key long, fh long, tid long, pos long, reach int, kind int, bytes binary"
+SURROUNDINGS = "key long, fh binary, tid long, pos long, reach int, kind int, bytes binary"
 
 
 def surroundings(texts: DataFrame, length: int) -> DataFrame:
@@ -135,12 +144,12 @@ def surroundings(texts: DataFrame, length: int) -> DataFrame:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
-        seen: dict[tuple[int, int], bool] = {}
+        seen: dict[tuple[int, bytes], bool] = {}
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             names = [x.split()[0] for x in SURROUNDINGS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -155,10 +164,10 @@ def surroundings(texts: DataFrame, length: int) -> DataFrame:
                 sums, down = prefix_sums(np.frombuffer(raw, np.uint8))
                 again: list[tuple[int, int]] = []
                 for key, place, a, b in cuts(pos[own], h[own], many[own], len(raw), sums, down):
-                    fh = span_key(sums, down, a, b, place - a + 1)
-                    for k, f, p, x, y in zip(key.view(np.int64).tolist(), fh.view(np.int64).tolist(), place.tolist(), a.tolist(), b.tolist(), strict=True):
+                    for k, p, x, y in zip(key.view(np.int64).tolist(), place.tolist(), a.tolist(), b.tolist(), strict=True):
                         if y - x < length:
                             continue
+                        f = hashlib.blake2b(raw[x:y], digest_size=16, salt=(p - x).to_bytes(4, "little")).digest()
                         if (k, f) not in seen:
                             seen[k, f] = False
                             out.append((k, f, tid, p, p - x, 0, raw[x:y]))
@@ -168,7 +177,7 @@ def surroundings(texts: DataFrame, length: int) -> DataFrame:
                             out.append((k, f, tid, p, 0, 1, None))
                         again.append((x, y))
                 for x, y in union(again):
-                    out.append((tid, 0, tid, x, y - x, 2, None))
+                    out.append((tid, bytes(16), tid, x, y - x, 2, None))
                 if len(out) > 4096:
                     yield batch()
                     out.clear()
@@ -233,20 +242,22 @@ def repeat_spans(rows: DataFrame, length: int) -> DataFrame:
     """(tid, begin, end): repeats, from the rows of :func:`surroundings`; spans may overlap."""
 
     def judged(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, fh, tid, pos = (whole.column(c).to_numpy() for c in ("key", "fh", "tid", "pos"))
+        key, tid, pos = (whole.column(c).to_numpy() for c in ("key", "tid", "pos"))
+        named = whole.column("fh").to_pylist()
+        fh = np.frombuffer(b"".join(named), np.uint64).reshape(-1, 2)
         reach, kind = whole.column("reach").to_numpy().astype(np.int64), whole.column("kind").to_numpy()
         got = [(tid[kind == 2], pos[kind == 2], (pos + reach)[kind == 2])]
         own = np.flatnonzero(kind == 0)
         if len(own):
-            new = np.concatenate(([True], (key[own[1:]] != key[own[:-1]]) | (fh[own[1:]] != fh[own[:-1]])))
+            new = np.concatenate(([True], (key[own[1:]] != key[own[:-1]]) | (fh[own[1:]] != fh[own[:-1]]).any(1)))
             which = np.cumsum(new) - 1  # the distinct surrounding of each row
             one = own[new]
             raw = whole.column("bytes").take(pa.array(one)).to_pylist()
             size = np.array([len(x) for x in raw])
             times = np.bincount(which)
-            again = {(k, f) for k, f in zip(key[kind == 1].tolist(), fh[kind == 1].tolist(), strict=True)}
+            again = {(int(key[i]), named[i]) for i in np.flatnonzero(kind == 1)}
             if again:
-                times += np.array([(k, f) in again for k, f in zip(key[one].tolist(), fh[one].tolist(), strict=True)])
+                times += np.array([(int(key[i]), named[i]) in again for i in one])
             marks = expand(key[one], [x[:r] for x, r in zip(raw, reach[one].tolist(), strict=True)], [x[r:] for x, r in zip(raw, reach[one].tolist(), strict=True)], length)
             full = times[which] > 1
             begin = (pos - reach)[own]
@@ -278,9 +289,22 @@ def repeat_spans(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "fh", "tid", "pos").mapInArrow(work, "tid long, begin long, end long")
 
 
-def text_rows(docs: DataFrame) -> DataFrame:
+def text_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tid, text), a text's ``tid`` being its own; and (tid, first, copies) of the distinct texts.
+
+    A hash that different texts share, as a second one tells, is replaced by the second.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.xxhash64(F.lit("second"), text).alias("second"), text.alias("text"))
+    classes = lambda r: written(r.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), (F.min("second") != F.max("second")).alias("mixed")), "classes")
+    found = classes(rows)
+    shared = [x["tid"] for x in found.filter("mixed").select("tid").limit(MOST_MIXED + 1).collect()]
+    if len(shared) > MOST_MIXED:
+        raise ValueError("too many different texts share a hash")
+    if shared:
+        rows = rows.withColumn("tid", F.when(F.col("tid").isin(*shared), F.col("second")).otherwise(F.col("tid")))
+        found = classes(rows)
+    return rows.select("doc_id", "tid", "text"), found.select("tid", "first", "copies")
 
 
 def for_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -289,13 +313,12 @@ def for_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return packed_texts(rows, ["doc_id", "tid"]).join(keyed, (F.col("tid") == F.col("__tid")) & F.col("doc_id").eqNullSafe(F.col("__first"))).select("tid", "packed", "at")
 
 
-def spans_by_text(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(tid, first, copies, spans): for each distinct text the smallest id, how often it occurs, and its repeats.
+def spans_by_text(rows: DataFrame, classes: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(tid, first, copies, spans) from the two tables of :func:`text_rows`: for each distinct text the smallest id, how often it occurs, and its repeats.
 
     ``spans`` are the maximal runs of removed bytes as (begin, end), null if there are none but through copies.
     """
-    classes = rows.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    shared = written(repeated_anchors(anchor_rows(rows, length)), "anchors")
+    shared = written(repeated_anchors(written(anchor_rows(rows, length), "occurrences")), "anchors")
     at = shared.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "many"))).alias("at"))
     wanted = at.join(classes.select("tid", F.col("first").alias("__first")), "tid")
     found = written(repeat_spans(surroundings(for_texts(rows, wanted), length), length), "repeats")
@@ -338,8 +361,8 @@ def cut(texts: DataFrame) -> DataFrame:
 
 def removal(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256) for each row: the removed spans, and the hash of the bytes that stay."""
-    rows = text_rows(docs)
-    by_text = written(spans_by_text(rows, length).filter("copies > 1 or spans is not null"), "spans")
+    rows, classes = text_rows(docs)
+    by_text = written(spans_by_text(rows, classes, length).filter("copies > 1 or spans is not null"), "spans")
     partly = by_text.filter("copies = 1").select("tid", F.col("first").alias("__first"), F.col("spans").alias("at"))
     kept = cut(for_texts(rows, partly)).select("tid", F.sha2("kept", 256).alias("__sha"))
     known = by_text.select(F.col("tid").alias("__tid"), "copies", "spans").join(kept.withColumnRenamed("tid", "__t"), F.col("__tid") == F.col("__t"), "left").drop("__t")

@@ -5,7 +5,11 @@ belongs to. Bytes are added up per slot, and rebalancing edits the table: it mov
 shards to light ones, so only the rows of moved slots change place. Everything that reaches the driver has one row per
 slot, however large the input.
 
-Null keys and repeated keys share a slot; a null text has no bytes; an empty input gives an empty result.
+The map is a table with a row for each version and slot. A run loads the last version, edits it if the shards have become
+uneven or their number is another, and writes the edit as the next version; earlier ones stay for readers that use them.
+
+A record is its id and text, so many records without an id are spread as well; equal records share a slot. A null text has
+no bytes; an empty input gives an empty result. Other columns are not looked at. Texts are hashed whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOTS = 4096
+#: The map is edited when the heaviest and the lightest shard differ by more than this part of the mean.
+UNEVEN = 0.001
 
 
 @dataclass(frozen=True)
@@ -29,15 +35,34 @@ class SlotMap:
     shard_of: tuple[int, ...]
 
     def frame(self, spark: SparkSession, first_row: list[int] | None = None) -> DataFrame:
-        """The map as a table (version, vslot, shard, first_row), ready to be written or joined."""
+        """The map as a table (version, shards, vslot, shard, first_row)."""
         first_row = first_row or [0] * len(self.shard_of)
         rows = json.dumps([{"v": s, "s": n, "f": f} for s, (n, f) in enumerate(zip(self.shard_of, first_row, strict=True))])
         parsed = F.explode(F.from_json(F.lit(rows), "array<struct<v:int,s:int,f:long>>")).alias("x")
         return spark.range(1).select(parsed).select(
-            F.lit(self.version).alias("version"), F.col("x.v").alias("vslot"), F.col("x.s").alias("shard"), F.col("x.f").alias("first_row")
+            F.lit(self.version).alias("version"), F.lit(self.shards).alias("shards"), F.col("x.v").alias("vslot"), F.col("x.s").alias("shard"), F.col("x.f").alias("first_row")
         )
 
 
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Writes this version beside those that ``path`` has; a version is written once."""
+        self.frame(spark).drop("version", "first_row").coalesce(1).write.parquet(f"{path}/version={self.version}")
+
+
+def stored_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The last version of the map at ``path``; None if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    rows = table.join(F.broadcast(table.agg(F.max("version").alias("version"))), "version").orderBy("vslot").collect()  # a row for each slot
+    return SlotMap(rows[0]["version"], rows[0]["shards"], tuple(r["shard"] for r in rows))
+
+
 def initial_map(shards: int, slots: int = SLOTS) -> SlotMap:
     return SlotMap(1, shards, tuple(s % shards for s in range(slots)))
 
@@ -101,13 +126,21 @@ def placed(df: DataFrame, slot_map: SlotMap, rows: list[int], order: list[str])
     for s, n in enumerate(slot_map.shard_of):
         first.append(seen[n])
         seen[n] += rows[s]
-    where = slot_map.frame(df.sparkSession, first)
+    where = slot_map.frame(df.sparkSession, first).drop("shards")
     numbered = df.withColumn("__n", F.row_number().over(W.partitionBy("vslot").orderBy(*order)))
     return numbered.join(F.broadcast(where), "vslot").withColumn("slot", F.col("first_row") + F.col("__n") - 1).drop("__n", "first_row")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
-    """Deals ``docs`` (doc_id, text) to shards of nearly equal bytes.
+def even(weight: list[int], slot_map: SlotMap) -> bool:
+    """Whether no shard has more than ``UNEVEN`` of the mean above the lightest one."""
+    load = [0] * slot_map.shards
+    for s, n in enumerate(slot_map.shard_of):
+        load[n] += weight[s]
+    return (max(load) - min(load)) * slot_map.shards <= UNEVEN * sum(load)
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """Deals ``docs`` (doc_id, text) to shards of nearly equal bytes, by the map stored at ``map_path`` if one is given.
 
     Returns doc_id, size (UTF-8 bytes and one), text_crc32, vslot, version, shard, slot. Equal rows get neighbouring
     places; which of them gets which makes no difference.
@@ -117,7 +150,18 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> Da
         F.col("doc_id"),
         (F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1).alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        slot_of(F.col("doc_id"), slots=slots).alias("vslot"),
+        slot_of(F.col("doc_id"), F.col("text"), slots=slots).alias("vslot"),
     )
     size, rows = slot_weights(base, slots)
-    return placed(base, rebalanced(initial_map(shards, slots), size), rows, ["doc_id", "text_crc32", "size"])
+    spark = docs.sparkSession
+    known = stored_map(spark, map_path) if map_path else None
+    if known is not None and len(known.shard_of) != slots:
+        raise ValueError(f"the stored map has {len(known.shard_of)} slots")
+    slot_map = known or initial_map(shards, slots)
+    if known is None or slot_map.shards != shards or not even(size, slot_map):
+        edited = rebalanced(slot_map, size, shards)
+        if edited.shard_of != slot_map.shard_of or known is None:
+            slot_map = edited
+            if map_path:
+                slot_map.store(spark, map_path)
+    return placed(base, slot_map, rows, ["doc_id", "text_crc32", "size"])

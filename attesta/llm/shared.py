@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, in local mode alone, an own one where it is unset."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="attesta-")
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = path or tempfile.mkdtemp(prefix="attesta-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
@@ -62,6 +63,25 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
+def matching_rows(docs: DataFrame, keyed: DataFrame, how: str) -> DataFrame:
+    """``docs`` with all its columns, less those rows that a "left_semi" or "left_anti" join with the row keys of ``keyed``
+    (__id, __text) drops. Helper names give way to columns that ``docs`` has."""
+    own = [fresh(docs.columns, x) for x in ("__row_id", "__row_text")]
+    other = [fresh([*docs.columns, *own], x) for x in ("__key_id", "__key_text")]
+    keys = keyed.select(F.col("__id").alias(other[0]), F.col("__text").alias(other[1])).distinct()
+    rows = docs.withColumns(dict(zip(own, row_key(), strict=True)))
+    return rows.join(keys, (F.col(own[0]) == F.col(other[0])) & (F.col(own[1]) == F.col(other[1])), how).select(*docs.columns)
+
+
+#: At most so many keys of a table are split; their list is broadcast.
+MOST_HOT = 100_000
+
+
+def hot_limit(total: int, least: int) -> int:
+    """The count of rows above which a key is split. No more than ``MOST_HOT`` keys of ``total`` rows are above it."""
+    return max(least, -(-total // MOST_HOT))
+
+
 def sample_rows(rows: DataFrame, n: int, *key: str) -> DataFrame:
     """At most ``n`` of the rows, those with the smallest hash of ``key``; the same ones each time.
 

@@ -74,9 +74,18 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **known), zstandard.ZstdDecompressor(**known)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_bytes: int = 2) -> None:
-    """Writes the data set for ``docs`` (doc_id, text) to the new folder ``path``. ``id_bytes``: 2 or 4 for each id."""
-    spark, width = docs.sparkSession, f"<u{id_bytes}"
+def id_width(tokenizer: str, end_id: int) -> int:
+    """2 or 4 bytes, as the largest id of the vocabulary, its added tokens and the end id need."""
+    from tokenizers import Tokenizer
+
+    largest = max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(largest, end_id) < 1 << 16 else 4
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
+    """Writes the data set for ``docs`` (doc_id, text) to the new folder ``path``; an empty table makes an empty data set."""
+    spark, id_bytes = docs.sparkSession, id_width(tokenizer, end_id)
+    width = f"<u{id_bytes}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train_dictionary(docs, tokenizer, end_id, width)
     digest = hashlib.sha256(dictionary).hexdigest()

@@ -2,6 +2,7 @@
 
 A public tokenizer splits a text into pieces that are encoded one by one, so a text may be cut where no piece can span:
 before a single blank between two words, around a single line end, and between a Latin letter and a full stop or comma.
+No cut falls into the name of a special token, which has neither blanks nor full stops.
 The stretches are found and hashed for a whole run of rows at once; only those that the worker has not met go through the
 tokenizer. The hash has 64 bits, and at most ``MOST`` stretches are remembered.
 """
@@ -40,14 +41,13 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes runs of rows with the tokenizer file at ``path``, without special tokens."""
+    """Encodes runs of rows with the tokenizer file at ``path``; no special tokens are added, those named in a text are met as usual."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.forget()
 
     def forget(self) -> None:

@@ -32,7 +32,7 @@ def awkward() -> list[tuple]:
         (8, "x", "de", "a", 1),
         (9, "no space " * 40, "de", "a", 1),
         (9, "another text with the same id", "de", "a", 1),
-        (10, "tab\tcr\rnbsp\u00a0em\u2003 x \u0301y <|endoftext|> 'll it's  two\n\nthree \n four", "de", "a", 1),
+        (10, "tab\tcr\rnbsp\u00a0em\u2003 x \u0301y <|endoftext|> x<|startoftext|>\n<|endoftext|>. 'll it's  two\n\nthree \n four", "de", "a", 1),
     ]
 
 
@@ -41,6 +41,6 @@ def frame(spark, rows, extra: bool = False):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("kept", "spans", "n_words", "__id", "__text", "shard", "h", "piece", "component_id", "vslot"):
+        for name in ("kept", "spans", "n_words", "__id", "__text", "shard", "h", "piece", "component_id", "vslot", "n_shingles", "__kept_id", "__kept_no", "__kept_text", "__dirty_id", "__dirty_text", "__row_id", "__key_id", "__own_id", "__first_no", "__alone", "class", "second"):
             df = df.withColumn(name, F.lit("clash"))
     return df
