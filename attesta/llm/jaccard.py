@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.arrow_text import LOWER, lookup, mixed, packed_texts, runs, span_hashes, unpack, words
 from attesta.llm.components import components
-from attesta.llm.shared import fresh, hot_limit, sample_rows, written
+from attesta.llm.shared import discard, fresh, hot_limit, sample_rows, written
 
 WORDS = 5
 #: The coefficient from which two sets are linked, in hundredths.
@@ -213,7 +213,9 @@ def shared_groups(rows: DataFrame) -> DataFrame:
     hot = shared.filter("parts > 1").select("token", "parts")
     dealt = rows.join(F.broadcast(hot), "token", "left").select("token", "class", F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     keys = shared.select("token", "lo", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return dealt.join(keys, ["token", "part"]).select("lo", "class").distinct()
+    out = written(dealt.join(keys, ["token", "part"]).select("lo", "class").distinct(), "shared")
+    discard(shared)
+    return out
 
 
 # Signature trees
@@ -474,7 +476,8 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         sketch = sketch.withColumn("class", F.when(F.col("class").isin(*shared_names), F.col("second")).otherwise(F.col("class")))
         classes = named_classes(sketch)
     posted = written(postings(rows, rule, common_shingles(rows, rule), shared_names), "postings")
-    shared = written(shared_groups(posted), "shared")
+    shared = shared_groups(posted)
+    discard(posted)
     limit = hot_limit(shared.count(), BLOCK)
     hot = written(shared.groupBy("lo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("lo", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot")
 
@@ -486,11 +489,14 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if links is not None and pairs.isEmpty():
             continue
-        new = verified(pairs, class_texts(rows, classes, pairs), rule)
+        texts = class_texts(rows, classes, pairs)
+        new = verified(pairs, texts, rule)
         links = written(new if links is None else links.unionByName(new), "links")
+        discard(texts)
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = components(links)
 
+    discard(shared, hot)
     named = classes.join(found, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("root", "class").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("first_of"))
     ids = named.select("class", "root").join(low, "root").select(F.col("class").alias("__class"), "first_of")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.arrow_text import _POWERS, mixed, packed_texts, runs
-from attesta.llm.shared import hot_limit, written
+from attesta.llm.shared import discard, hot_limit, written
 
 LENGTH, GRAM = 200, 64
 #: An anchor with more occurrences is split by strings of LENGTH - STEP + 1 bytes, and its rows are dealt to several tasks.
@@ -115,7 +115,9 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
     hot = shared.filter("parts > 1").select("h", "parts")
     dealt = found.join(F.broadcast(hot), "h", "left").select("h", "tid", "pos", F.pmod(F.xxhash64("tid"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     keys = shared.select("h", "many", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return dealt.join(keys, ["h", "part"]).select("h", "tid", "pos", "many").distinct()
+    out = written(dealt.join(keys, ["h", "part"]).select("h", "tid", "pos", "many").distinct(), "anchors")
+    discard(shared)
+    return out
 
 
 SURROUNDINGS = "key long, fh binary, tid long, pos long, reach int, kind int, bytes binary"
@@ -318,10 +320,13 @@ def spans_by_text(rows: DataFrame, classes: DataFrame, length: int = LENGTH) ->
 
     ``spans`` are the maximal runs of removed bytes as (begin, end), null if there are none but through copies.
     """
-    shared = written(repeated_anchors(written(anchor_rows(rows, length), "occurrences")), "anchors")
+    occurrences = written(anchor_rows(rows, length), "occurrences")
+    shared = repeated_anchors(occurrences)
+    discard(occurrences)
     at = shared.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "many"))).alias("at"))
     wanted = at.join(classes.select("tid", F.col("first").alias("__first")), "tid")
     found = written(repeat_spans(surroundings(for_texts(rows, wanted), length), length), "repeats")
+    discard(shared)
     merged = found.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     return classes.join(merged.withColumn("spans", joined(F.col("spans"))), "tid", "left")
 
