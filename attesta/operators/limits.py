@@ -32,35 +32,50 @@ def kind_cap(kind: Column, caps: Caps) -> Column:
     return out
 
 
-def admitted(events: DataFrame, caps: Caps = Caps()) -> DataFrame:
+def admitted(events: DataFrame, caps: Caps = Caps(), prior: DataFrame | None = None) -> DataFrame:
     """``events`` (event_id, ts, network, workspace_id, kind) with ``refused_by``, the first cap that an event failed.
 
     An event refused by one cap never reaches the next, so each cap counts the survivors of those before. The first two
     caps are dealt out by their own keys. The caps on everybody's hour and day concern all survivors of an hour or day; a
-    place there is found from counts per minute, then within the minute.
+    place there is found from counts per minute, then within the minute. ``prior`` are events that were decided on before,
+    with ``refused_by``: they keep the places that they took.
     """
     order = ["ts", "event_id"]
-    hour, day = F.date_trunc("hour", "ts"), F.date_trunc("day", "ts")
-
-    def nth(name: str, keys: list[Column], alive: Column, cap: Column) -> Column:
-        place = F.sum(F.when(alive, 1).otherwise(0)).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-        return F.when(alive & (place > cap), name)
-
-    rows = events.withColumn("__net", nth("network", [F.col("network"), hour], F.lit(True), F.lit(caps.network)))
-    rows = rows.withColumn("__kind", nth("workspace", [F.col("workspace_id"), hour, F.col("kind")], F.col("__net").isNull(), kind_cap(F.col("kind"), caps)))
+    hour = F.date_trunc("hour", "ts")
+    earlier = lambda keys, reached: None if prior is None else _taken(prior.filter(reached), keys)
+
+    def nth(rows: DataFrame, out: str, name: str, keys: list[str], alive: Column, cap: Column, taken: DataFrame | None) -> DataFrame:
+        rows = rows.withColumn("__h", hour)
+        place = F.sum(F.when(alive, 1).otherwise(0)).over(W.partitionBy(*keys, "__h").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+        if taken is not None:
+            rows = rows.join(taken, [*keys, "__h"], "left")
+            place = place + F.coalesce("__taken", F.lit(0))
+        return rows.withColumn(out, F.when(alive & (place > cap), name)).drop("__h", "__taken")
+
+    passed = lambda *caps_: F.col("refused_by").isNull() | ~F.col("refused_by").isin(*caps_)
+    rows = nth(events, "__net", "network", ["network"], F.lit(True), F.lit(caps.network), earlier(["network"], F.lit(True)))
+    keys = ["workspace_id", "kind"]
+    rows = nth(rows, "__kind", "workspace", keys, F.col("__net").isNull(), kind_cap(F.col("kind"), caps), earlier(keys, passed("network")))
     rows = rows.withColumn("__by", F.coalesce("__net", "__kind"))
-    rows = _overall(rows, "hour", caps.hour)
-    rows = _overall(rows, "day", caps.day)
+    rows = _overall(rows, "hour", caps.hour, None if prior is None else prior.filter(passed("network", "workspace")))
+    rows = _overall(rows, "day", caps.day, None if prior is None else prior.filter(passed("network", "workspace", "hour")))
     return rows.withColumn("refused_by", F.col("__by")).drop("__net", "__kind", "__by")
 
 
-def _overall(rows: DataFrame, unit: str, cap: int) -> DataFrame:
-    """Marks the survivors beyond the cap of each hour or day as refused by it, in ``__by``."""
+def _taken(prior: DataFrame, keys: list[str]) -> DataFrame:
+    return prior.groupBy(*keys, F.date_trunc("hour", "ts").alias("__h")).agg(F.count(F.lit(1)).alias("__taken"))
+
+
+def _overall(rows: DataFrame, unit: str, cap: int, prior: DataFrame | None = None) -> DataFrame:
+    """Marks the survivors beyond the cap of each hour or day as refused by it, in ``__by``; ``prior`` took places before."""
     minute = F.date_trunc("minute", "ts")
     alive = F.when(F.col("__by").isNull(), 1).otherwise(0)
     counts = rows.groupBy(minute.alias("__m")).agg(F.sum(alive).alias("__n"))
     before = F.sum("__n").over(W.partitionBy(F.date_trunc(unit, "__m")).orderBy("__m")) - F.col("__n")
     counts = counts.select("__m", before.alias("__before"))
+    if prior is not None:
+        taken = prior.groupBy(F.date_trunc(unit, "ts").alias("__u")).agg(F.count(F.lit(1)).alias("__taken"))
+        counts = counts.withColumn("__u", F.date_trunc(unit, "__m")).join(taken, "__u", "left").select("__m", (F.col("__before") + F.coalesce("__taken", F.lit(0))).alias("__before"))
     placed = rows.withColumn("__m", minute).withColumn("__i", F.sum(alive).over(W.partitionBy("__m").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)))
     joined = placed.join(counts, "__m")
     over = F.col("__by").isNull() & (F.col("__before") + F.col("__i") > cap)

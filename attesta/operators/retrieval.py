@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.functions.text import contains_quote, query_terms, terms
+from attesta.functions.text import STOP_WORDS, TOKEN, contains_quote, query_terms, stem
 
 # Places of the final list, caps per document, and the constants of the ranks.
 K, HOP, TEXT_CAP, RECORD_CAP = 8, 3, 2, 3
@@ -21,8 +21,12 @@ RRF_K, CANDIDATES = 60, 200
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term, tf): the inverted index, from heading and text."""
-    text = F.concat_ws(" ", "heading", "text")
-    return chunks.select("chunk_id", F.explode(terms(text)).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    text = F.lower(F.concat_ws(" ", "heading", "text"))
+    # The outer form: for the plain one Spark infers a filter that reads each text once more.
+    words = chunks.select("chunk_id", F.explode_outer(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("w")).filter("w is not null")
+    parts = F.when(F.contains("w", F.lit("-")), F.concat(F.array("w"), F.split("w", "-"))).otherwise(F.array("w"))
+    words = words.select("chunk_id", F.explode(parts).alias("w")).filter((F.col("w") != "") & ~F.col("w").isin(*STOP_WORDS))
+    return words.select("chunk_id", stem(F.col("w")).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def chunk_sizes(index: DataFrame) -> DataFrame:
@@ -39,33 +43,41 @@ def item_terms(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(query_terms(F.col("question"), F.col("topic"))).alias("term"))
 
 
-def scored(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(item_id, chunk_id, density, idf) of all passages that hold a term of the item.
+def scored(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None, keep: tuple[str, ...] = (), tenant: str | None = None) -> DataFrame:
+    """(item_id, chunk_id, density, idf, keep...) of all passages that hold a term of the item; ``keep`` names columns of the
+    passages.
 
-    The index and its counts must be of exactly these passages: leave out excluded sources before, not after.
+    The index and its counts must be of exactly these passages: leave out excluded sources before, not after. With a
+    ``tenant`` column in items and passages, an item sees its own tenant's passages, and all counts are that tenant's.
     """
     index = postings(chunks) if index is None else index
-    total = chunks.agg(F.count(F.lit(1)).alias("__total"))
-    asked = item_terms(items)
-    weights = document_frequency(index.join(asked.select("term").distinct(), "term", "left_semi")).crossJoin(F.broadcast(total))
-    weights = weights.select("term", F.ln(F.col("__total") / F.col("df")).cast("decimal(18,9)").alias("weight"))
-    hits = asked.join(weights, "term").join(index, "term").groupBy("item_id", "chunk_id").agg(F.sum("tf").alias("tf"), F.sum("weight").alias("weight"))
-    sized = hits.join(chunk_sizes(index), "chunk_id")
+    own = [tenant] if tenant else []
+    asked = items.select("item_id", *own, F.explode(query_terms(F.col("question"), F.col("topic"))).alias("term"))
+    if tenant:
+        index = index.join(chunks.select("chunk_id", tenant), "chunk_id")
+    total = chunks.groupBy(*own).agg(F.count(F.lit(1)).alias("__total"))
+    df = index.join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi").groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
+    weights = df.join(total, tenant) if tenant else df.crossJoin(F.broadcast(total))
+    # In billionths, so that the sum is exact and its order changes nothing.
+    weights = weights.select(*own, "term", (F.ln(F.col("__total") / F.col("df")).cast("decimal(18,9)") * 1_000_000_000).cast("long").alias("weight"))
+    hits = asked.join(weights, [*own, "term"]).join(index, [*own, "term"]).groupBy("item_id", "chunk_id").agg(F.sum("tf").alias("tf"), F.sum("weight").alias("weight"))
+    sizes = chunk_sizes(index)
+    sized = hits.join(sizes.join(chunks.select("chunk_id", *keep), "chunk_id") if keep else sizes, "chunk_id")
     norm = 1 + F.ln(1 + F.col("size"))
-    return sized.select(
-        "item_id", "chunk_id", F.round(F.col("tf") * 0.1 / norm, 6).alias("density"), F.round(F.col("weight").cast("double") / norm, 9).alias("idf")
-    )
+    return sized.select("item_id", "chunk_id", F.round(F.col("tf") * 0.1 / norm, 6).alias("density"), F.round(F.col("weight") / 1e9 / norm, 9).alias("idf"), *keep)
 
 
-def fused(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def fused(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None, tenant: str | None = None) -> DataFrame:
     """The candidates of each item with ``chunks``' columns, both scores, and ``rank`` from 1 by reciprocal rank fusion."""
-    hits = scored(items, chunks, index).join(chunks, "chunk_id")
+    # Ranks need little of a passage; the rest is joined to the candidates that are left.
+    hits = scored(items, chunks, index, ("filename", "line_start"), tenant)
     place = ["filename", "line_start", "chunk_id"]
     by = lambda *first: W.partitionBy("item_id").orderBy(*first, *place)
     top = hits.withColumn("r1", F.row_number().over(by(F.desc("density")))).filter(F.col("r1") <= CANDIDATES)
     both = top.withColumn("r2", F.row_number().over(by(F.desc("idf"))))
     score = F.round(1 / (RRF_K + F.col("r1")) + 1 / (RRF_K + F.col("r2")), 9)
-    return both.withColumn("score", score).withColumn("rank", F.row_number().over(by(F.desc("score")))).drop("r1", "r2")
+    ranked = both.withColumn("score", score).withColumn("rank", F.row_number().over(by(F.desc("score"))))
+    return ranked.drop("r1", "r2", "filename", "line_start").join(chunks, "chunk_id")
 
 
 def under_caps(ranked: DataFrame, limit: int) -> DataFrame:
@@ -106,12 +118,13 @@ def record_hop(chosen: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select("item_id", "chunk_id", "hop")
 
 
-def retrieve(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None, hop: bool = True) -> DataFrame:
+def retrieve(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None, hop: bool = True, tenant: str | None = None) -> DataFrame:
     """At most K passages of each item: ``chunks``' columns with item_id, the rank among candidates, and ``idx`` from 1.
 
-    ``chunks`` needs chunk_id, doc_id, filename, line_start, text, heading, flags, record.
+    ``chunks`` needs chunk_id, doc_id, filename, line_start, text, heading, flags, record, and the ``tenant`` if one is
+    named; hops stay within one tenant's passages if ``chunks`` holds only those.
     """
-    clean = fused(items, chunks, index).filter(~F.array_contains("flags", "injection"))
+    clean = fused(items, chunks, index, tenant).filter(~F.array_contains("flags", "injection"))
     if not hop:
         return under_caps(clean, K)
     first = under_caps(clean, K - HOP)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +59,24 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; in local mode an own one where ``spark.checkpoint.dir`` is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root or tempfile.mkdtemp(prefix='attesta-')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in a shared folder, read back: what several parts of a plan read is made once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus' passages with their document's metadata."""
-    return chunk_documents(corpus(spark, sf_dir)).join(meta(spark, sf_dir), "doc_id")
+    """The corpus' passages with their document's metadata, as a table."""
+    return written(chunk_documents(corpus(spark, sf_dir)).join(meta(spark, sf_dir), "doc_id"), "chunks")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,16 +28,24 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both scores of every passage that holds a term of an item; statements are excluded before anything is counted."""
     chunks = base.chunks(spark, sf_dir).filter("origin <> 'statement'")
-    return R.scored(base.questions(spark, sf_dir), chunks)
+    return R.scored(base.questions(spark, sf_dir), chunks, base.written(R.postings(chunks), "postings"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = base.chunks(spark, sf_dir)
+    return R.retrieve(base.questions(spark, sf_dir), chunks, base.written(R.postings(chunks), "postings"), hop=False)
 
 
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = R.retrieve(base.questions(spark, sf_dir), base.chunks(spark, sf_dir), hop=False)
+    got = _retrieved(spark, sf_dir)
     return got.select("item_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.col("idx").cast("long").alias("idx"), "score")
 
 
 def retrieval_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dropped(base.questions(spark, sf_dir), base.chunks(spark, sf_dir)).select("item_id", "chunk_id", "filename", "reason")
+    """Flagged passages among each item's first 8. Every fifth item asks in the flagged passages' own words."""
+    own = F.when(F.col("item_id") % 5 == 0, F.lit("ignore previous instructions")).otherwise(F.col("question"))
+    chunks = base.chunks(spark, sf_dir)
+    return R.dropped(base.questions(spark, sf_dir).withColumn("question", own), chunks, base.written(R.postings(chunks), "postings")).select("item_id", "chunk_id", "filename", "reason")
 
 
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,28 +54,28 @@ def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("flat"))
     # The items are the benchmark's few; each document's text is looked through once.
     held = docs.join(F.broadcast(items.select("item_id", "quote")), F.contains("flat", F.col("quote"))).select("item_id", "doc_id").distinct()
-    got = R.retrieve(base.questions(spark, sf_dir), base.chunks(spark, sf_dir), hop=False).select("item_id", "doc_id").distinct().withColumn("hit", F.lit(1))
+    got = _retrieved(spark, sf_dir).select("item_id", "doc_id").distinct().withColumn("hit", F.lit(1))
     per_item = held.join(got, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return per_item.agg(F.count(F.lit(1)).alias("items"), F.sum("hit").alias("found"), F.round(F.avg("hit"), 6).alias("recall"))
 
 
-# Judged passages: passages dealt to items by document, with stances and quotes from a hash of their id
+# Judged passages: all passages dealt to items, with stances and quotes from a hash of their id
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 8 passages of each item, and records for some: every fifth passage is a dated row of its document."""
-    c = base.chunks(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 60)
-    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.md5("chunk_id")))
-    c = c.withColumn("idx", place).filter("idx <= 8")
+    """Every passage of the corpus, two of each of four documents to an item; every fifth of an item is a dated row."""
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("line_start")) - 1
+    c = base.chunks(spark, sf_dir).withColumn("__n", place)
+    c = c.withColumn("item_id", F.floor(F.col("doc_id") / 4) * 100_000 + F.floor(F.col("__n") / 2)).withColumn("idx", (F.col("doc_id") % 4 * 2 + F.col("__n") % 2 + 1).cast("int")).drop("__n")
     record = F.col("idx") == 5
-    return c.withColumns({
+    return base.written(c.withColumns({
         "record": record,
         "as_of": F.when(record, F.date_add(F.lit("2024-03-01").cast("date"), (F.col("doc_id") % 200).cast("int"))).cast("date"),
         "text": F.when(record, F.concat(F.lit("Row: "), F.col("chunk_id"), F.lit("; State: kept in order; Owner: team"))).otherwise(F.col("text")),
-    })
+    }), "passages")
 
 
-def stances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stances(rows: DataFrame) -> DataFrame:
     """A stance for each passage, with a quote that is good, too short, or made up; some passages are judged twice."""
     h = F.conv(F.substring(F.md5("chunk_id"), 1, 4), 16, 10).cast("int")
     words = F.split(F.substring_index("text", "\n", 1), " ")
@@ -75,19 +83,26 @@ def stances(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("record") & (h % 3 == 0), "State: kept in order").when(F.col("record"), "kept in order")
         .when(h % 11 == 0, F.array_join(F.slice(words, 1, 2), " ")).when(h % 13 == 0, "words that nobody wrote here").otherwise(F.array_join(F.slice(words, 1, 9), " "))
     )
-    one = passages(spark, sf_dir).select("item_id", F.col("idx").alias("ord"), F.col("idx").alias("passage_idx"), F.when(h % 8 < 4, "yes").when(h % 8 < 6, "no").when(h % 8 == 6, "partial").otherwise("irrelevant").alias("stance"), quote.alias("quote"))
+    one = rows.select("item_id", F.col("idx").alias("ord"), F.col("idx").alias("passage_idx"), F.when(h % 8 < 4, "yes").when(h % 8 < 6, "no").when(h % 8 == 6, "partial").otherwise("irrelevant").alias("stance"), quote.alias("quote"))
     again = one.filter("passage_idx % 4 = 0").withColumns({"ord": F.col("ord") + 100, "stance": F.lit("no")})
     return one.unionByName(again)
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.range(64).select(F.col("id").alias("item_id"))
-    return D.decide(items, passages(spark, sf_dir), stances(spark, sf_dir))
+    """Decisions on all items; each group of four documents has one more item that no passage bears on."""
+    rows = passages(spark, sf_dir)
+    bare = table(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 4) * 100_000 + 99_999).alias("item_id")).distinct()
+    return D.decide(rows.select("item_id").distinct().unionByName(bare), rows, stances(rows))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passages(spark, sf_dir)
+    return D.judged(rows, stances(rows))
 
 
 def judged_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first judgement of each passage after the quote check, the evidence gate and the negation rule."""
-    return D.judged(passages(spark, sf_dir), stances(spark, sf_dir)).select("item_id", F.col("idx").cast("long").alias("idx"), "stance", "note", "reason", F.col("line").cast("long").alias("line"))
+    return _judged(spark, sf_dir).select("item_id", F.col("idx").cast("long").alias("idx"), "stance", "note", "reason", F.col("line").cast("long").alias("line"))
 
 
 def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +128,7 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cited line with two lines on both sides, the cited one marked, and whether the quote is still there."""
-    cites = D.judged(passages(spark, sf_dir), stances(spark, sf_dir)).filter("reason is null and not record").select("item_id", "doc_id", "idx", "line", "quote")
+    cites = _judged(spark, sf_dir).filter("reason is null and not record").select("item_id", "doc_id", "idx", "line", "quote")
     lines = base.corpus_lines(spark, sf_dir).select("doc_id", "n", "text")
     near = cites.withColumn("n", F.explode(F.sequence(F.col("line") - 2, F.col("line") + 2))).join(lines, ["doc_id", "n"])
     return near.select("item_id", F.col("idx").cast("long").alias("idx"), F.col("n").cast("long").alias("n"), (F.col("n") == F.col("line")).alias("cited"), T.contains_quote(F.col("text"), F.col("quote")).alias("holds"))
@@ -121,7 +136,7 @@ def citation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many quotes are found again in the one line that they cite."""
-    cites = D.judged(passages(spark, sf_dir), stances(spark, sf_dir)).filter("reason is null and not record").select("doc_id", F.col("line").alias("n"), "quote")
+    cites = _judged(spark, sf_dir).filter("reason is null and not record").select("doc_id", F.col("line").alias("n"), "quote")
     held = cites.join(base.corpus_lines(spark, sf_dir).select("doc_id", "n", "text"), ["doc_id", "n"], "left").withColumn("ok", F.coalesce(T.contains_quote(F.col("text"), F.col("quote")), F.lit(False)))
     return held.agg(F.count(F.lit(1)).alias("citations"), F.count_if("ok").alias("valid"), F.round(F.count_if("ok") / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("share"))
 
@@ -148,12 +163,14 @@ def queries() -> dict:
     }
 
 
-_PASSAGES = """, ranked AS (SELECT *, doc_id % 60 AS item_id, row_number() OVER (PARTITION BY doc_id % 60 ORDER BY md5(chunk_id)) AS idx FROM chunks),
+_PASSAGES = """, placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_start) - 1 AS place FROM chunks),
+ranked AS (SELECT *, (doc_id // 4) * 100000 + place // 2 AS item_id, doc_id % 4 * 2 + place % 2 + 1 AS idx FROM placed),
+all_items AS (SELECT item_id FROM ranked UNION SELECT doc_id // 4 * 100000 + 99999 FROM documents),
 pas AS (
   SELECT item_id, idx, chunk_id, doc_id, filename, line_start, flags, evidence_allowed, status, effective_date, scope, idx = 5 AS record,
     CASE WHEN idx = 5 THEN (DATE '2024-03-01' + (doc_id % 200)::INT)::DATE END AS as_of,
     CASE WHEN idx = 5 THEN 'Row: ' || chunk_id || '; State: kept in order; Owner: team' ELSE text END AS text, ('0x' || substr(md5(chunk_id), 1, 4))::INT AS h
-  FROM ranked WHERE idx <= 8),
+  FROM ranked),
 st AS (
   SELECT *, CASE WHEN h % 8 < 4 THEN 'yes' WHEN h % 8 < 6 THEN 'no' WHEN h % 8 = 6 THEN 'partial' ELSE 'irrelevant' END AS said,
     string_split(string_split(text, chr(10))[1], ' ') AS ws FROM pas),
@@ -184,7 +201,7 @@ cmp AS (
 newer AS (SELECT item_id, any_value(newer) AS newer, any_value(older) AS older FROM cmp GROUP BY 1 HAVING count(*) = 1),
 dec AS (
   SELECT i.item_id, g.*, newer.newer, newer.older, yes AND no AND docs >= 2 AS two, yes AND no AND docs >= 2 AND NOT open_scope AND NOT list_has_any(coalesce(ys, []), coalesce(ns, [])) AS apart
-  FROM (SELECT unnest(range(64)) AS item_id) i LEFT JOIN g ON g.item_id = i.item_id LEFT JOIN newer ON newer.item_id = i.item_id),
+  FROM all_items i LEFT JOIN g ON g.item_id = i.item_id LEFT JOIN newer ON newer.item_id = i.item_id),
 d AS (
   SELECT *, CASE WHEN coalesce(n_kept, 0) = 0 THEN 'unknown' WHEN apart THEN 'partial' WHEN two THEN 'conflict' WHEN (all_yes OR all_no) AND NOT all_draft THEN 'verified' ELSE 'partial' END AS label FROM dec),
 sw(k, v) AS (VALUES ('internal-systems', 'internal systems'), ('production', 'the production environment'), ('employees', 'employees')),
@@ -214,7 +231,7 @@ def oracle_sql() -> dict[str, str]:
         "f9_query_terms": sql("asked", "SELECT item_id, string_agg(term, ' ' ORDER BY term) AS terms FROM asked GROUP BY 1"),
         "a3_match_scores": sql("post asked", _SCORED.replace("{where}", "WHERE origin <> 'statement'") + " SELECT * FROM sc"),
         "d4_retrieve_topk": sql("post asked", _FUSED + " SELECT item_id, chunk_id, rank, idx, score FROM top WHERE idx <= 8"),
-        "p3_retrieval_drops": sql("post asked", _FUSED + " SELECT item_id, chunk_id, filename, 'injection' AS reason FROM fu WHERE rank <= 8 AND list_contains(flags, 'injection')"),
+        "p3_retrieval_drops": sql("post asked", _FUSED + " SELECT item_id, chunk_id, filename, 'injection' AS reason FROM fu WHERE rank <= 8 AND list_contains(flags, 'injection')").replace("text AS question", "CASE WHEN item_id % 5 = 0 THEN 'ignore previous instructions' ELSE text END AS question"),
         "a15_retrieval_recall": sql("post asked", _FUSED + r""", qi AS (SELECT item_id, array_to_string(string_split(regexp_replace(question, '\s+', ' ', 'g'), ' ')[1:8], ' ') AS quote FROM items),
             held AS (SELECT DISTINCT item_id, doc_id FROM qi JOIN (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents) x ON contains(flat, quote)),
             pi AS (SELECT item_id, max(CASE WHEN t.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM held LEFT JOIN (SELECT DISTINCT item_id, doc_id FROM top WHERE idx <= 8) t USING (item_id, doc_id) GROUP BY 1)
@@ -228,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "a24_label_counts": sql("chunks", _PASSAGES + "SELECT label, count(*) AS n, round(avg(confidence), 6) AS confidence FROM f GROUP BY 1"),
         "j8_citation_context": sql("chunks", _PASSAGES + """SELECT item_id, idx, l.n, l.n = line AS cited, contains(' ' || l.text || ' ', ' ' || quote || ' ') AS holds FROM k JOIN lines l ON l.doc_id = k.doc_id AND l.n BETWEEN line - 2 AND line + 2 WHERE kept AND NOT record"""),
         "a17_citation_validity": sql("chunks", _PASSAGES + "SELECT count(*) AS citations, count(*) AS valid, 1.0::DOUBLE AS share FROM k WHERE kept AND NOT record"),
-        "a27_source_documents": sql("chunks", _PASSAGES + "SELECT i.item_id, count(DISTINCT doc_id) AS documents FROM (SELECT unnest(range(64)) AS item_id) i LEFT JOIN k ON k.item_id = i.item_id AND k.kept GROUP BY 1"),
+        "a27_source_documents": sql("chunks", _PASSAGES + "SELECT i.item_id, count(DISTINCT doc_id) AS documents FROM all_items i LEFT JOIN k ON k.item_id = i.item_id AND k.kept GROUP BY 1"),
         "f8_draft_numbers": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), plain AS (SELECT k, c, [k] || CASE WHEN k % 2 = 0 THEN [] ELSE [7] END || [c - k % 2] AS have FROM o),
             bad AS (SELECT k, CASE WHEN NOT list_contains(have, c) AND c > 10 THEN c::VARCHAR END AS b, CASE WHEN k % 3 = 0 AND k % 2 = 1 THEN '12.5' WHEN k % 3 = 1 AND k % 2 = 1 THEN '7' END AS m FROM plain)
             SELECT k AS o_orderkey, array_to_string(list_sort(list_distinct(list_filter([b, m], lambda x: x IS NOT NULL))), ',') AS unsupported FROM bad""",

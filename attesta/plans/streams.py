@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.plans.base import table
+from attesta.plans.base import shared_folder, table
 from attesta.streaming import jobs
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark: SparkSession, sf_dir: str, per_batch: int = 1000) -> DataFrame:

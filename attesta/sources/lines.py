@@ -17,6 +17,8 @@ LINE = "struct<text:string,kind:string,as_of:date>"
 # Limits of what is taken in.
 MAX_LINES, MAX_LINE_CHARS, MAX_CHARS = 20_000, 20_000, 2_000_000
 
+#: A block with such a line is more than one paragraph.
+SPECIAL = r"(?m)^(?:#|[ \t]*\||[ \t]*[-*] )"
 TABLE_RULE = r"^\|?[\s:|-]+\|?$"
 #: A header that names a day still to come.
 TO_COME = r"(?i)\b(?:next|due|expir\w*|until|planned|target)\b"
@@ -52,10 +54,12 @@ def latest_date(headers: Column, values: Column) -> Column:
 
 def _block_lines(block: Column) -> Column:
     """The lines of a block, as an array of LINE."""
-    line = lambda text, kind, day=None: F.struct(text.alias("text"), F.lit(kind).alias("kind"), (F.lit(None).cast("date") if day is None else day).alias("as_of"))
+    line = lambda text, kind: F.struct(text.alias("text"), F.lit(kind).alias("kind"), F.lit(None).cast("date").alias("as_of"))
     table = lambda x: F.ltrim(x).startswith("|")
     head = lambda x: x.startswith("#")
     bullet = lambda x: F.ltrim(x).startswith("- ") | F.ltrim(x).startswith("* ")
+    heading = lambda x: line(normalize_text(F.regexp_replace(x, "^#+", "")), "heading")
+    item = lambda x: line(normalize_text(F.regexp_replace(F.substring(F.ltrim(x), F.lit(3), F.length(x)), r"^\[[xX]\] ", "")), "text")
 
     def of(raw: Column) -> Column:
         marked = F.transform(raw, lambda x: F.when(table(x) | head(x) | bullet(x), x).otherwise(F.concat(F.lit(_PARA), x, F.lit(_END))))
@@ -63,40 +67,42 @@ def _block_lines(block: Column) -> Column:
         return F.split(joined, "\n", -1)
 
     def typed(x: Column, header: Column) -> Column:
-        item = F.regexp_replace(F.substring(F.ltrim(x), F.lit(3), F.length(x)), r"^\[[xX]\] ", "")
-        own = cells(x)
-        record = F.struct(record_line(header, own).alias("text"), F.lit("record").alias("kind"), latest_date(header, own).alias("as_of"))
-        return (
-            F.when(table(x), record)
-            .when(head(x), line(normalize_text(F.regexp_replace(x, "^#+", "")), "heading"))
-            .when(bullet(x), line(normalize_text(item), "text"))
-            .otherwise(line(normalize_text(F.regexp_replace(x, f"[{_PARA}{_END}]", "")), "text"))
-        )
+        record = lambda own: F.struct(record_line(header, own).alias("text"), F.lit("record").alias("kind"), latest_date(header, own).alias("as_of"))
+        text = line(normalize_text(F.regexp_replace(x, f"[{_PARA}{_END}]", "")), "text")
+        return F.when(table(x), once(cells(x), record)).when(head(x), heading(x)).when(bullet(x), item(x)).otherwise(text)
 
-    def whole(x: Column) -> Column:
-        header = F.get(F.filter(x["lines"], table), F.lit(0))
-        at = F.array_position(x["lines"], header) - 1  # the header's own row
+    def whole(ls: Column) -> Column:
+        def rows(x: Column) -> Column:
+            def row(v: Column, i: Column) -> Column:
+                skip = table(v) & ((i == x["at"]) | F.trim(v).rlike(TABLE_RULE))
+                return F.when(~skip, typed(v, x["names"]))
 
-        def row(v: Column, i: Column) -> Column:
-            skip = table(v) & ((i == at) | F.trim(v).rlike(TABLE_RULE))
-            return F.struct(typed(v, cells(header)).alias("l"), skip.alias("skip"))
+            return F.array_compact(F.transform(ls, row))
 
-        return F.transform(x["lines"], row)
+        first = F.get(F.filter(ls, table), F.lit(0))  # the header's own row
+        return once(first, lambda h: once(F.struct(cells(h).alias("names"), (F.array_position(ls, h) - 1).alias("at")), rows))
 
-    rows = once(F.struct(of(F.transform(F.split(block, "\n", -1), lambda x: F.rtrim(x))).alias("lines")), whole)
-    return F.transform(F.filter(rows, lambda r: ~r["skip"]), lambda r: r["l"])
+    def mixed(b: Column) -> Column:
+        return once(of(F.transform(F.split(b, "\n", -1), lambda x: F.rtrim(x))), whole)
+
+    alone = ~F.contains(block, F.lit("\n"))
+    return (
+        F.when(~block.rlike(SPECIAL), F.array(line(normalize_text(F.replace(block, F.lit("\n"), F.lit(" "))), "text")))
+        .when(alone & head(block), F.array(heading(block))).when(alone & bullet(block), F.array(item(block))).otherwise(mixed(block))
+    )
 
 
 def line_array(text: Column) -> Column:
     """A text's lines in order, empty ones left out."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    plain = once(F.coalesce(text, F.lit("")), lambda t: F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, "\r\n?", "\n")).otherwise(t))
     blocks = F.split(plain, r"\n(?:[ \t\f\x0B]*\n)+", -1)
     return F.filter(F.flatten(F.transform(blocks, _block_lines)), lambda x: x["text"] != "")
 
 
 def text_lines(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., n, text, kind, as_of): the numbered lines of ``docs`` (doc_id, text)."""
-    found = docs.select(*keep, F.posexplode(line_array(F.col("text"))).alias("i", "x"))
+    # The outer form: for the plain one Spark infers a filter that parses each text once more.
+    found = docs.select(*keep, F.posexplode_outer(line_array(F.col("text"))).alias("i", "x")).filter("i is not null")
     return found.select(*keep, (F.col("i") + 1).alias("n"), F.col("x.text").alias("text"), F.col("x.kind").alias("kind"), F.col("x.as_of").alias("as_of"))
 
 

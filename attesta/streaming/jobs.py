@@ -58,6 +58,20 @@ def ingest_lines(docs: DataFrame) -> DataFrame:
     return redact_lines(text_lines(docs))
 
 
+def ingest_batch(docs: DataFrame, path: str, n: int, people: DataFrame | None = None) -> None:
+    """One batch of documents (doc_id, format, text): redacted lines, classification and passages, each in a folder of the
+    batch's own."""
+    from attesta.operators.chunks import chunk_lines
+    from attesta.operators.classification import HEAD, classify
+
+    lines = redact_lines(text_lines(docs), people)
+    lines.write.mode("overwrite").parquet(f"{path}/lines/batch={n}")
+    lines = docs.sparkSession.read.schema(lines.schema).parquet(f"{path}/lines/batch={n}")
+    head = lines.filter(F.col("n") <= HEAD).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("head"))
+    classify(docs.select("doc_id", "format").join(head, "doc_id")).write.mode("overwrite").parquet(f"{path}/documents/batch={n}")
+    chunk_lines(lines).write.mode("overwrite").parquet(f"{path}/chunks/batch={n}")
+
+
 def run_to_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Takes what is there, writes each batch to its own sub-folder of ``path``, and returns when all is done."""
 
@@ -73,14 +87,52 @@ def folder_stream(spark: SparkSession, glob: str, like: DataFrame, per_batch: in
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_batch).parquet(glob)
 
 
+def admission_pass(target: str, caps: object) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that admits each batch behind those before it: ``target`` has a folder for each batch, and
+    a batch that is repeated replaces its own. Places are given in order of arrival, then of time."""
+    from attesta.operators.limits import admitted
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        prior = None
+        if n > 0:
+            prior = spark.read.option("basePath", target).parquet(f"{target}/batch=*").filter(F.col("batch") < n).drop("batch")
+        admitted(batch, caps, prior).write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    return write
+
+
+def redecide_pass(tables: Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]], target: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that decides again what a batch of changed documents (doc_id) concerns.
+
+    ``tables`` gives answers, stances and passages as they are now; the changed answers go to the batch's own folder.
+    """
+    from attesta.operators.rounds import redecide
+
+    def write(batch: DataFrame, n: int) -> None:
+        answers, stances, chunks = tables(batch.sparkSession)
+        redecide(answers, stances, chunks, batch.select("doc_id").distinct()).write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    return write
+
+
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Takes what is there, batch by batch, and returns when all is done."""
+    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
 def append_answers(existing: str, keys: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that appends the answers whose keys are not in the table at ``existing`` yet."""
+    """A ``foreachBatch`` function that appends the answers whose keys are not in the table at ``existing`` yet.
+
+    The table has a folder for each batch (earlier rows under batch=-1), so a batch that is repeated replaces its own rows.
+    """
     from attesta.operators.lifecycle import append_once
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(existing)
-        append_once(batch, old, keys, order).select(*old.columns).write.mode("append").parquet(existing)
+        rows = spark.read.option("basePath", existing).parquet(f"{existing}/batch=*")
+        old = rows.filter(F.col("batch") != n).drop("batch")
+        append_once(batch, old, keys, order).select(*old.columns).write.mode("overwrite").parquet(f"{existing}/batch={n}")
 
     return write
 

@@ -19,7 +19,12 @@ def test_normalize_text(spark):
     cases = {"“a”  –\tb​": '"a" - b', " it’s so ": "it's so", "so­ft\x07": "soft", "plain": "plain"}
     got = values(spark, [(k,) for k in cases], "x string", T.normalize_text(F.col("x")))
     assert [g[0] for g in got] == list(cases.values())
-    assert values(spark, [("ﬁne²",)], "x string", T.normalize_text(F.col("x"), compatible=True)) == [("fine2",)]
+    import unicodedata
+
+    odd = ["ﬁne²", "e\u0301te\u0301", "u\u0308\u0304", "½ …", "Ⅷ", "ｆｕｌｌ", "㎏ x", "한글", "\U0001d400", "naïve", "ça\u00a0va", "\u212b", "x\u3000y"]
+    got = values(spark, [(x,) for x in odd], "x string", T.nfkc(F.col("x")))
+    assert [g[0] for g in got] == [unicodedata.normalize("NFKC", x) for x in odd]
+    assert values(spark, [("ﬁne²",)], "x string", T.normalize_text(F.col("x"))) == [("fine2",)]
 
 
 @pytest.mark.parametrize(
