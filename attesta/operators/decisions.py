@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.functions.text import NEGATION, contains_quote, normalize_text, plain_name, word_count
+from attesta.functions.text import NEGATION, contains_quote, normalize_text, once, plain_name, word_count
 
 # Lengths of quotes, confidence of labels, names of scopes and reasons that weigh on confidence.
 MIN_WORDS, MAX_WORDS = 3, 30
@@ -69,29 +69,35 @@ def _side(stance: str) -> Column:
     return F.col("stance") == stance
 
 
-def conflict_dates(kept: DataFrame) -> DataFrame:
-    """(item_id, newer, newer_day, compared_day) where exactly one side has records newer than all the other has.
+def conflict_dates(sides: Column) -> Column:
+    """struct<newer, newer_day, compared_day>, null unless exactly one side has records newer than all the other has.
 
-    Rows of a record's own sheet snapshot (document and day) on the other side are not another document, nor are the
-    undated passages of that sheet.
+    ``sides``: an item's kept yes and no rows as (stance, doc_id, as_of, record, day). Rows of a record's own sheet snapshot
+    (document and day) on the other side are not another document, nor are the undated passages of that sheet.
     """
-    day = F.coalesce("as_of", "effective_date")
-    rows = kept.filter("stance in ('yes', 'no')").select("item_id", "stance", "doc_id", "as_of", "record", day.alias("day"))
-    snaps = rows.filter("record and as_of is not null").select("item_id", F.col("stance").alias("newer"), "doc_id", "as_of", F.col("as_of").alias("snap")).distinct()
-    sides = snaps.groupBy("item_id", "newer").agg(F.max("snap").alias("newer_day"))
-    others = sides.join(rows, "item_id").filter("stance <> newer and day is not null")
-    same = snaps.select("item_id", "newer", "doc_id", "as_of").withColumn("hit", F.lit(True))
-    sheets = snaps.select("item_id", "newer", "doc_id").distinct().withColumn("sheet", F.lit(True))
-    others = others.join(same, ["item_id", "newer", "doc_id", "as_of"], "left").join(sheets, ["item_id", "newer", "doc_id"], "left")
-    others = others.filter("hit is null and (as_of is not null or sheet is null)")
-    compared = others.groupBy("item_id", "newer", "newer_day").agg(F.max("day").alias("compared_day")).filter("newer_day > compared_day")
-    return compared.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("item_id"))).filter("n = 1").drop("n")
+
+    def one(stance: str) -> Column:
+        def compared(snaps: Column) -> Column:
+            def counts(x: Column) -> Column:
+                same = F.exists(snaps, lambda s: (s["doc_id"] == x["doc_id"]) & (s["as_of"] == x["as_of"]))
+                sheet = x["as_of"].isNull() & F.exists(snaps, lambda s: s["doc_id"] == x["doc_id"])
+                return (x["stance"] != stance) & x["day"].isNotNull() & ~F.coalesce(same, F.lit(False)) & ~F.coalesce(sheet, F.lit(False))
+
+            newest = F.array_max(F.transform(snaps, lambda s: s["as_of"]))
+            other = F.array_max(F.transform(F.filter(sides, counts), lambda x: x["day"]))
+            return F.when(newest > other, F.struct(F.lit(stance).alias("newer"), newest.alias("newer_day"), other.alias("compared_day")))
+
+        return once(F.filter(sides, lambda x: (x["stance"] == stance) & x["record"] & x["as_of"].isNotNull()), compared)
+
+    both = F.struct(one("yes").alias("yes"), one("no").alias("no"))
+    return once(both, lambda b: F.when(b["yes"].isNull(), b["no"]).when(b["no"].isNull(), b["yes"]))
 
 
 def decide(items: DataFrame, passages: DataFrame, stances: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
     """One decision for each of ``items`` (item_id): item_id, label, value, citations, dropped, conflict, scope_note, confidence.
 
-    ``dropped`` (item_id, chunk_id, doc_id, filename, reason) are carried first. Items without evidence are unknown.
+    ``dropped`` (item_id, chunk_id, doc_id, filename, reason) are carried first. Items without evidence are unknown. An item
+    has as many passages as retrieval gives it, so its rows fit in one array; everything is one aggregation by item.
     """
     rows = judged(passages, stances)
     cite = F.struct("idx", "chunk_id", "doc_id", "filename", F.col("line").alias("line_start"), F.col("line").alias("line_end"), "quote", "stance", "note")
@@ -103,6 +109,7 @@ def decide(items: DataFrame, passages: DataFrame, stances: DataFrame, dropped: D
     agg = rows.groupBy("item_id").agg(
         F.array_sort(F.collect_list(F.when(kept, F.struct("ord", cite.alias("c"))))).alias("__cites"),
         F.array_sort(F.collect_list(F.when(~kept, drop))).alias("__drops"),
+        F.collect_list(F.when(yes | no, F.struct("stance", "doc_id", "as_of", "record", F.coalesce("as_of", "effective_date").alias("day")))).alias("__sides"),
         F.count_if(kept).alias("kept"), F.coalesce(F.bool_or(yes), F.lit(False)).alias("yes"), F.coalesce(F.bool_or(no), F.lit(False)).alias("no"),
         F.bool_and(F.when(kept, _side("yes"))).alias("all_yes"), F.bool_and(F.when(kept, _side("no"))).alias("all_no"),
         F.bool_and(F.when(kept, F.col("status") == "draft")).alias("all_draft"), F.count_distinct(F.when(yes | no, F.col("doc_id"))).alias("docs"),
@@ -111,7 +118,9 @@ def decide(items: DataFrame, passages: DataFrame, stances: DataFrame, dropped: D
         F.coalesce(F.bool_or(F.col("reason").isin(*QUOTE_FAILURES)), F.lit(False)).alias("failed"),
         F.max(F.when(yes, F.coalesce("as_of", "effective_date"))).alias("yes_day"), F.max(F.when(no, F.coalesce("as_of", "effective_date"))).alias("no_day"),
     )
-    all_ = items.select("item_id").join(agg, "item_id", "left").join(conflict_dates(rows.filter(kept)), "item_id", "left")
+    dated = conflict_dates(F.coalesce("__sides", F.array().cast(agg.schema["__sides"].dataType)))
+    all_ = items.select("item_id").join(agg, "item_id", "left").withColumn("__dated", dated)
+    all_ = all_.withColumns({c: F.col(f"__dated.{c}") for c in ("newer", "compared_day")})
     if dropped is not None:
         early = dropped.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "doc_id", "filename", "reason"))).alias("__early"))
         all_ = all_.join(early, "item_id", "left")

@@ -135,6 +135,19 @@ def in_scope(outcomes: DataFrame, scope: str) -> DataFrame:
     return rows if scope == "core" else rows.filter(F.lower("function") == scope)
 
 
+def gap_check(decisions: DataFrame, parts: DataFrame) -> DataFrame:
+    """(outcome_id, label, status, explanation, citations): from the decisions on an outcome's parts to its row of a report.
+
+    ``decisions`` as :func:`attesta.operators.decisions.decide` gives them; ``parts``: item_id, outcome_id, part_n, question.
+    """
+    from attesta.operators.decisions import answers
+
+    told = answers(decisions).join(parts, "item_id").withColumn("part_label", part_label(F.col("label"), F.col("value")))
+    said = explanations(told.select("outcome_id", "part_n", "part_label", F.lit(False).alias("filled"), "question", F.col("text").alias("answer")))
+    cites = told.select("outcome_id", "part_n", F.posexplode("citations").alias("ord", "c")).select("outcome_id", "part_n", "ord", "c.doc_id", "c.line_start", "c.line_end", "c.quote", "c.stance")
+    return said.join(merge_evidence(cites), "outcome_id", "left").select("outcome_id", "label", gap_word(F.lit("checked"), F.col("label")).alias("status"), "explanation", F.coalesce(F.size("citations"), F.lit(0)).alias("citations"))
+
+
 def gap_report(outcomes: DataFrame, results: DataFrame, citations: DataFrame) -> DataFrame:
     """Every outcome with the words of its label, its explanation and quotes; also those that were not checked."""
     quotes = F.transform("citations", lambda c: F.concat(F.lit('"'), c["quote"], F.lit('"')))

@@ -114,10 +114,21 @@ def exposure(passages: DataFrame, traps: DataFrame, size: int = 5) -> DataFrame:
 
 
 def leaks(texts: DataFrame, private: DataFrame) -> DataFrame:
-    """(private_id, n): in how many texts a private string stands, found through its first word, then as a whole."""
+    """(private_id, n): in how many texts a private string stands.
+
+    A string is found through its longest inner word, which no text can hold but as a word, then as a whole. One without
+    an inner word is found through the words of the vocabulary that hold its first.
+    """
     word = r"[\p{L}\p{N}]+"
-    key = private.select("private_id", "private", F.lower(F.regexp_extract("private", word, 0)).alias("w")).filter("w <> ''")
-    said = texts.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(word), F.lit(0)), F.lower))).alias("w"))
+    lower = lambda c: F.transform(F.regexp_extract_all(c, F.lit(word), F.lit(0)), F.lower)
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    own = private.select("private_id", "private", lower("private").alias("__ws"))
+    inner = F.when(F.size("__ws") >= 3, longest(F.slice("__ws", 2, F.greatest(F.size("__ws") - 2, F.lit(1)))))
+    own = own.select("private_id", "private", F.get("__ws", F.lit(0)).alias("first"), inner.alias("w"))
+    said = texts.select("doc_id", "text", F.explode_outer(F.array_distinct(lower("text"))).alias("w")).filter("w is not null")
+    short = own.filter("w is null and first is not null").drop("w")
+    words = said.select("w").distinct().join(F.broadcast(short), F.contains("w", F.col("first"))).select("private_id", "private", "w")
+    key = own.filter("w is not null").select("private_id", "private", "w").unionByName(words)
     hits = said.join(key, "w").filter(F.contains("text", "private")).select("private_id", "doc_id").distinct()
     return private.select("private_id").join(hits, "private_id", "left").groupBy("private_id").agg(F.count("doc_id").alias("n"))
 

@@ -23,7 +23,7 @@ def markup(text: Column) -> Column:
     Some common words become cues of the passage flags.
     """
     cued = F.replace(F.replace(F.replace(text, F.lit("|"), F.lit("/")), F.lit(" with "), F.lit(" not ")), F.lit(" that "), F.lit(" [name] "))
-    cued = F.replace(cued, F.lit(" this is "), F.lit(" ignore all previous instructions "))
+    cued = F.replace(cued, F.lit(" for the "), F.lit(" ignore all previous instructions "))
     lines = F.filter(F.split(cued, "\n", -1), lambda x: F.trim(x) != "")
 
     def line(x: Column, i: Column) -> Column:
@@ -117,7 +117,7 @@ CTE: dict[str, tuple] = {
         "",
         r"""SELECT doc_id, i, CASE WHEN substr(x, 1, 1) IN ('#', '*', '-', ' ') THEN '~' || x ELSE x END AS x
         FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i FROM (
-          SELECT doc_id, list_filter(string_split(replace(replace(replace(replace(text, '|', '/'), ' with ', ' not '), ' that ', ' [name] '), ' this is ', ' ignore all previous instructions '), chr(10)), lambda y: trim(y) <> '') AS ls FROM documents))""",
+          SELECT doc_id, list_filter(string_split(replace(replace(replace(replace(text, '|', '/'), ' with ', ' not '), ' that ', ' [name] '), ' for the ', ' ignore all previous instructions '), chr(10)), lambda y: trim(y) <> '') AS ls FROM documents))""",
     ),
     "lines": (
         "mlines",

@@ -32,8 +32,13 @@ def document_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     own = base.corpus(spark, sf_dir).select("doc_id", F.concat(F.lit("w"), (F.col("doc_id") % 3).cast("string")).alias("workspace_id"), F.size(L.line_array(F.col("text"))).cast("long").alias("n_lines"))
-    used = F.sum("n_lines").over(W.partitionBy("workspace_id").orderBy("doc_id"))
-    return own.withColumn("used", used).withColumn("taken", F.col("used") <= 1500)
+    # Lines before each run of documents first, so that no task sums up a whole workspace.
+    own = base.written(own.withColumn("run", F.floor(F.col("doc_id") / 1000)), "quota")
+    runs = own.groupBy("workspace_id", "run").agg(F.sum("n_lines").alias("n"))
+    before = runs.withColumn("before", F.sum("n").over(W.partitionBy("workspace_id").orderBy("run")) - F.col("n")).drop("n")
+    used = F.sum("n_lines").over(W.partitionBy("workspace_id", "run").orderBy("doc_id"))
+    out = own.withColumn("within", used).join(before, ["workspace_id", "run"])
+    return out.select("doc_id", "workspace_id", "n_lines", (F.col("before") + F.col("within")).alias("used")).withColumn("taken", F.col("used") <= 1500)
 
 
 def ingest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +78,13 @@ def section_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with opening lines made from their ids."""
+    """Documents with opening lines made from their ids, in front of their own first lines."""
     i = F.col("doc_id")
     day = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (i % 700).cast("int")), "yyyy-MM-dd")
     title = F.when(i % 6 == 0, "Penetration test report").when(i % 6 == 1, "Continuity plan").when(i % 6 == 2, "Access standard").when(i % 6 == 3, "Order form").when(i % 6 == 4, "Vendor questionnaire").otherwise("Minutes of a meeting")
     second = F.when(i % 5 == 0, F.concat(F.lit("DRAFT effective date: "), day)).when(i % 5 == 1, F.concat(F.lit("Review period 2022-01-01 to "), day)).when(i % 5 == 2, F.concat(F.lit("Figures as of "), day)).when(i % 5 == 3, "[Company name] template").otherwise("No date here")
     third = F.when(i % 4 == 0, "Scope: internal systems and staff").when(i % 4 == 1, "This policy applies to all employees").when(i % 4 == 2, "Scope: nothing known").otherwise("It covers production")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 11 == 0, "csv").otherwise("md").alias("format"), F.array(title, second, third).alias("head"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(i % 11 == 0, "csv").otherwise("md").alias("format"), F.concat(F.array(title, second, third), F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 3)).alias("head"))
     return classification.classify(docs).withColumn("effective_date", F.col("effective_date").cast("string"))
 
 

@@ -49,11 +49,14 @@ def retrieval_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the items whose first 8 words stand in some document, how many have such a document among their passages."""
-    items = base.questions(spark, sf_dir).withColumn("quote", F.array_join(F.slice(F.split(F.regexp_replace("question", r"\s+", " "), " "), 1, 8), " "))
+    """Of the items whose text stands in some document, how many have such a document among their passages."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    longest = F.array_max(F.transform(words("quote"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    items = base.questions(spark, sf_dir).select("item_id", F.regexp_replace("question", r"\s+", " ").alias("quote")).withColumn("w", longest)
+    # A document is met through the item's longest word, then looked through for the whole of it.
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("flat"))
-    # The items are the benchmark's few; each document's text is looked through once.
-    held = docs.join(F.broadcast(items.select("item_id", "quote")), F.contains("flat", F.col("quote"))).select("item_id", "doc_id").distinct()
+    said = docs.select("doc_id", "flat", F.explode_outer(F.array_distinct(words("flat"))).alias("w")).filter("w is not null")
+    held = said.join(items, "w").filter(F.contains("flat", F.col("quote"))).select("item_id", "doc_id").distinct()
     got = _retrieved(spark, sf_dir).select("item_id", "doc_id").distinct().withColumn("hit", F.lit(1))
     per_item = held.join(got, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return per_item.agg(F.count(F.lit(1)).alias("items"), F.sum("hit").alias("found"), F.round(F.avg("hit"), 6).alias("recall"))
@@ -232,7 +235,7 @@ def oracle_sql() -> dict[str, str]:
         "a3_match_scores": sql("post asked", _SCORED.replace("{where}", "WHERE origin <> 'statement'") + " SELECT * FROM sc"),
         "d4_retrieve_topk": sql("post asked", _FUSED + " SELECT item_id, chunk_id, rank, idx, score FROM top WHERE idx <= 8"),
         "p3_retrieval_drops": sql("post asked", _FUSED + " SELECT item_id, chunk_id, filename, 'injection' AS reason FROM fu WHERE rank <= 8 AND list_contains(flags, 'injection')").replace("text AS question", "CASE WHEN item_id % 5 = 0 THEN 'ignore previous instructions' ELSE text END AS question"),
-        "a15_retrieval_recall": sql("post asked", _FUSED + r""", qi AS (SELECT item_id, array_to_string(string_split(regexp_replace(question, '\s+', ' ', 'g'), ' ')[1:8], ' ') AS quote FROM items),
+        "a15_retrieval_recall": sql("post asked", _FUSED + r""", qi AS (SELECT item_id, regexp_replace(question, '\s+', ' ', 'g') AS quote FROM items),
             held AS (SELECT DISTINCT item_id, doc_id FROM qi JOIN (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents) x ON contains(flat, quote)),
             pi AS (SELECT item_id, max(CASE WHEN t.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM held LEFT JOIN (SELECT DISTINCT item_id, doc_id FROM top WHERE idx <= 8) t USING (item_id, doc_id) GROUP BY 1)
             SELECT count(*) AS items, sum(hit)::BIGINT AS found, round(avg(hit), 6) AS recall FROM pi"""),

@@ -56,6 +56,16 @@ def side_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.side_citations(evidence._decisions(spark, sf_dir)).select("item_id", F.col("side").cast("long").alias("side"), F.col("place").cast("long").alias("place"), F.col("citation").cast("long").alias("citation"))
 
 
+def gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four documents are an outcome, each run of their passages a part."""
+    from attesta.operators.outcomes import gap_check as whole
+
+    got = evidence._decisions(spark, sf_dir)
+    n = (F.col("item_id") % 100_000 + 1).cast("int")
+    parts = got.select("item_id", F.floor(F.col("item_id") / 100_000).alias("outcome_id"), n.alias("part_n"), F.concat(F.lit("Part "), n.cast("string"), F.lit("?")).alias("question"))
+    return whole(got, parts).select("outcome_id", "label", "status", "citations", F.regexp_count("explanation", F.lit(r"Part \d+\?")).cast("long").alias("told"))
+
+
 # Outcomes that must be judged again
 
 
@@ -249,7 +259,7 @@ def redacted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "d10_redecided": redecided, "t6_stream_redecided": stream_redecided, "j19_side_citations": side_citations, "d11_reopened": reopened, "d11_parts_after": parts_after_reopening, "p9_part_currency": part_currency, "p8_machine_judged": machine_judged,
+        "d8_gap_check": gap_check, "d10_redecided": redecided, "t6_stream_redecided": stream_redecided, "j19_side_citations": side_citations, "d11_reopened": reopened, "d11_parts_after": parts_after_reopening, "p9_part_currency": part_currency, "p8_machine_judged": machine_judged,
         "j18_worded_suggestions": worded_suggestions, "d4_retrieve_hops": retrieve_hops, "p1_tenant_scores": tenant_scores, "j9_document_uses": document_uses, "p11_searched_answers": searched_answers, "s7_compacted_recordings": compacted_recordings,
         "s18_verifier_bundle": verifier_bundle, "s10_ingested_tables": ingested_tables, "d15_statement_lines": statement_lines, "d14_decided_fills": decided_fills, "f3_cell_texts": cell_texts, "f25_scrubbed_texts": scrubbed_texts, "f28_column_letters": column_letters,
         "f12_redacted_names": redacted_names,
@@ -310,6 +320,11 @@ def _hops_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     redecided_ = _redecided_sql()
     return {
+        "d8_gap_check": sql("chunks", evidence._PASSAGES + """, pl AS (SELECT item_id // 100000 AS outcome_id, item_id, CASE label WHEN 'verified' THEN CASE value WHEN 'Yes' THEN 'covered' ELSE 'not_met' END WHEN 'partial' THEN 'partly_covered' WHEN 'conflict' THEN 'documents_disagree' ELSE 'gap' END AS p FROM f),
+            o AS (SELECT outcome_id, CASE WHEN bool_or(p = 'documents_disagree') THEN 'documents_disagree' WHEN bool_or(p = 'not_met') THEN 'not_met' WHEN bool_and(p = 'covered') THEN 'covered' WHEN bool_and(p = 'gap') THEN 'gap' ELSE 'partly_covered' END AS label FROM pl GROUP BY 1),
+            cn AS (SELECT item_id // 100000 AS outcome_id, count(DISTINCT (doc_id, line, quote, stance)) AS n FROM k WHERE kept GROUP BY 1)
+            SELECT o.outcome_id, label, CASE label WHEN 'documents_disagree' THEN 'Documents disagree' WHEN 'not_met' THEN 'Not met' WHEN 'covered' THEN 'Covered' WHEN 'gap' THEN 'Gap' ELSE 'Partly covered' END AS status, coalesce(n, 0) AS citations,
+              (SELECT count(*) FROM pl WHERE pl.outcome_id = o.outcome_id AND (p = label OR (label = 'partly_covered' AND p = 'covered'))) * (label <> 'gap')::INT AS told FROM o LEFT JOIN cn USING (outcome_id)"""),
         "d10_redecided": redecided_, "t6_stream_redecided": redecided_,
         "j19_side_citations": sql("chunks", evidence._PASSAGES + """, ks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY idx) - 1 AS citation FROM k WHERE kept),
             s AS (SELECT item_id, unnest(CASE WHEN newer = 'no' THEN ['no', 'yes'] ELSE ['yes', 'no'] END) AS stance, unnest([0, 1]) AS side FROM f WHERE label = 'conflict')

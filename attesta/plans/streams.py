@@ -58,14 +58,51 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("line_end").alias("last_line"))
 
 
+def stream_admission(spark: SparkSession, sf_dir: str, per_batch: int = 1000) -> DataFrame:
+    """Calls admitted batch by batch, each behind those before it."""
+    from attesta.plans.work import CAPS, calls_of
+
+    out = shared_folder(spark, "stream")
+    jobs.run_batches(calls_of(_events(spark, sf_dir, per_batch)), jobs.admission_pass(f"{out}/rows", CAPS), f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").select("event_id", F.coalesce("refused_by", F.lit("admitted")).alias("verdict"))
+
+
+def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to redacted lines, classes and passages as a stream; what each document then has."""
+    from attesta.plans.base import markup
+
+    out = shared_folder(spark, "stream")
+    docs = jobs.folder_stream(spark, f"{sf_dir}/documents*.parquet", table(spark, sf_dir, "documents")).select("doc_id", F.lit("md").alias("format"), markup(F.col("text")).alias("text"))
+    jobs.run_batches(docs, lambda batch, n: jobs.ingest_batch(batch, f"{out}/rows", n), f"{out}/state")
+    lines = spark.read.parquet(f"{out}/rows/lines").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    chunks = spark.read.parquet(f"{out}/rows/chunks").groupBy("doc_id").agg(F.max("line_end").cast("long").alias("last_line"))
+    return spark.read.parquet(f"{out}/rows/documents").select("doc_id", "status").join(lines, "doc_id").join(chunks, "doc_id", "left").select("doc_id", "status", "lines", "last_line")
+
+
+def stream_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pauses of an hour between a user's calls, told once the watermark has passed them: of all users but the last calls."""
+    out = shared_folder(spark, "stream")
+    rows = jobs.idle_runs(_events(spark, sf_dir).select("ts", F.col("user_id").alias("network")), "network", "60 minutes", "0 minutes")
+    jobs.run_to_folder(rows, f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").select("network", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "n")
+
+
 def queries() -> dict:
-    return {"t1_stream_counters": stream_counters, "t7_stream_once": stream_once, "t9_stream_progress": stream_progress, "t5_stream_ingest": stream_ingest}
+    return {"t2_stream_admission": stream_admission, "t3_stream_idle": stream_idle, "t5_stream_documents": stream_documents, "t1_stream_counters": stream_counters, "t7_stream_once": stream_once, "t9_stream_progress": stream_progress, "t5_stream_ingest": stream_ingest}
 
 
 def oracle_sql() -> dict[str, str]:
     from attesta.plans.base import sql
 
+    from attesta.plans import work
+
+    idle = work.oracle_sql()["t3_idle_runs"]
+    assert idle.count("FROM s GROUP BY network, k") == 1
     return {
+        "t2_stream_admission": work.oracle_sql()["w12_admission"],
+        "t3_stream_idle": idle.replace("FROM s GROUP BY network, k", "FROM s GROUP BY network, k HAVING max(ts) + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events)"),
+        "t5_stream_documents": sql("flagged", """, l AS (SELECT doc_id, count(*) AS lines FROM lines GROUP BY 1), c AS (SELECT doc_id, max(line_end)::BIGINT AS last_line FROM flagged GROUP BY 1)
+            SELECT doc_id, 'final' AS status, lines, last_line FROM l LEFT JOIN c USING (doc_id)"""),
         "t1_stream_counters": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) > 4 AS over FROM events GROUP BY 1, 2",
         "t7_stream_once": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
         "t9_stream_progress": "SELECT user_id % 20 AS run_id, count(*) FILTER (user_id % 20 < 3 OR value > 5) AS done, count(*) AS total, count(*) FILTER (user_id % 20 < 3 OR value > 5) = count(*) AS finished FROM events GROUP BY 1",

@@ -133,7 +133,7 @@ def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the reply of each turn of a conversation still owes; some words stand for the cues."""
     c = table(spark, sf_dir, "conversations")
     ask = c.filter("role = 'user'").select("conv_id", "turn", F.concat(F.when(F.col("conv_id") % 3 == 0, "How often? ").when(F.col("conv_id") % 3 == 1, "How many? ").otherwise("Who? "), F.col("text")).alias("q"))
-    say = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.concat(F.when(F.col("turn") % 4 == 1, "Monthly, 3 times. ").otherwise(""), F.lit("So: "), F.substring(F.lower("text"), 1, 40)).alias("a"))
+    say = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.concat(F.when(F.col("turn") % 4 == 1, "Monthly, 3 times. ").otherwise(""), F.lit("So: "), F.lower("text")).alias("a"))
     return ask.join(say, ["conv_id", "turn"]).select("conv_id", "turn", T.follow_up(F.lower("q"), F.lower("a")).alias("owes"))
 
 
@@ -141,7 +141,10 @@ def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(e: DataFrame) -> DataFrame:
     return e.select("event_id", "ts", F.col("user_id").alias("network"), (F.col("user_id") % 4).alias("workspace_id"), F.col("event_type").alias("kind"))
 
 
@@ -288,9 +291,15 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = G.label_metrics(_keyed(spark, sf_dir), ["pack"]).withColumn("ask_recall", F.lit(None).cast("double"))
-    rules = spark.createDataFrame([("accuracy", ">=", 0.83, True), ("conflict_recall", ">=", 0.9, False), ("ask_recall", ">=", 0.5, True)], "metric string, op string, target double, gating boolean")
-    return G.gates(G.unpivoted(metrics, ["pack"], ["accuracy", "conflict_recall", "ask_recall"]), rules).select("pack", "metric", "value", "passed", "reason")
+    """Gates of each pack; asked is what was left open, and one pack has no answer to measure faithfulness by."""
+    rows = _keyed(spark, sf_dir)
+    due = F.col("expected").isin("conflict", "unknown")
+    asked = rows.groupBy("pack").agg(G.ratio(F.count_if(due & F.col("label").isin("conflict", "unknown", "partial")), F.count_if(due)).alias("ask_recall"))
+    written = F.col("label") != "unknown"
+    faithful = rows.filter("pack <> '5-LOW'").groupBy("pack").agg(G.ratio(F.count_if(written & (F.col("expected") != "unknown")), F.count_if(written)).alias("faithfulness"))
+    metrics = G.label_metrics(rows, ["pack"]).join(asked, "pack").join(faithful, "pack", "left")
+    rules = spark.createDataFrame([("accuracy", ">=", 0.83, True), ("conflict_recall", ">=", 0.9, False), ("ask_recall", ">=", 0.8, True), ("faithfulness", ">=", 0.5, True)], "metric string, op string, target double, gating boolean")
+    return G.gates(G.unpivoted(metrics, ["pack"], ["accuracy", "conflict_recall", "ask_recall", "faithfulness"]), rules).select("pack", "metric", "value", "passed", "reason")
 
 
 def verifier_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,7 +352,9 @@ def trap_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def private_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    private = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("private_id"), F.substring("text", 1, 25).alias("private"))
+    """In how many documents each sentence of a benchmark item stands."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ", -1)).alias("n", "private"))
+    private = b.select(F.concat_ws("/", F.col("item_id").cast("string"), F.col("n").cast("string")).alias("private_id"), "private")
     return G.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), private)
 
 
@@ -410,8 +421,8 @@ def oracle_sql() -> dict[str, str]:
             WHERE s.item_id % 17 = 0 AND t.label <> 'verified' AND NOT t.approved AND NOT t.edited) WHERE n <= 8""",
         "d14_accepted_fills": f"""WITH f AS (SELECT DISTINCT l_orderkey % 7 AS run_id, l_orderkey AS item_id, {sid} AS s, l_linenumber = 5 AS gone, l_partkey % 50 = 0 AS taken FROM lineitem),
             g AS (SELECT *, bool_or(taken) OVER (PARTITION BY item_id) AS hit FROM f) SELECT run_id, CASE WHEN taken THEN 'accepted' WHEN gone OR hit THEN 'dismissed' ELSE 'open' END AS status, count(*) AS n FROM g GROUP BY ALL""",
-        "d13_follow_ups": """SELECT q.conv_id, q.turn, CASE q.conv_id % 3 WHEN 0 THEN CASE WHEN (q.turn + 1) % 4 = 1 THEN NULL ELSE 'how often' END WHEN 1 THEN CASE WHEN (q.turn + 1) % 4 = 1 OR regexp_matches(substr(lower(a.text), 1, 40), '[0-9]') THEN NULL ELSE 'the number' END
-            ELSE CASE WHEN regexp_matches(q.text, '[0-9%]') AND NOT ((q.turn + 1) % 4 = 1 OR regexp_matches(substr(lower(a.text), 1, 40), '[0-9]')) THEN 'the number and the name of the person or team' ELSE 'the name of the person or team' END END AS owes
+        "d13_follow_ups": """SELECT q.conv_id, q.turn, CASE q.conv_id % 3 WHEN 0 THEN CASE WHEN (q.turn + 1) % 4 = 1 THEN NULL ELSE 'how often' END WHEN 1 THEN CASE WHEN (q.turn + 1) % 4 = 1 OR regexp_matches(a.text, '[0-9]') THEN NULL ELSE 'the number' END
+            ELSE CASE WHEN regexp_matches(q.text, '[0-9%]') AND NOT ((q.turn + 1) % 4 = 1 OR regexp_matches(a.text, '[0-9]')) THEN 'the number and the name of the person or team' ELSE 'the name of the person or team' END END AS owes
             FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
         "a25_call_counters": "SELECT user_id % 4 AS workspace_id, event_type AS kind, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) > CASE event_type WHEN 'click' THEN 2 WHEN 'error' THEN 1 ELSE 9 END AS over FROM events GROUP BY 1, 2, 3",
         "w12_admission": _ADMIT,
@@ -437,7 +448,8 @@ def oracle_sql() -> dict[str, str]:
         "d16_withdrawn_statements": """WITH g AS (SELECT DISTINCT o_custkey AS s FROM orders WHERE o_orderkey % 35 = 0) SELECT (c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT s FROM g))::VARCHAR AS state, count(*) AS n FROM customer GROUP BY 1
             UNION ALL SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'accepted' WHEN o_custkey IN (SELECT s FROM g) THEN 'dismissed' ELSE 'open' END, count(*) FROM orders GROUP BY 1""",
         "a16_label_metrics": _KEYED + "SELECT * FROM m",
-        "a21_run_gates": _KEYED + "SELECT pack, 'accuracy' AS metric, accuracy AS value, accuracy >= 0.83 AS passed, CASE WHEN accuracy >= 0.83 THEN NULL ELSE 'target missed' END AS reason FROM m UNION ALL SELECT pack, 'conflict_recall', conflict_recall, true, CASE WHEN conflict_recall >= 0.9 THEN NULL ELSE 'target missed' END FROM m UNION ALL SELECT pack, 'ask_recall', NULL, false, 'nothing to measure' FROM m",
+        "a21_run_gates": _KEYED + "SELECT pack, 'accuracy' AS metric, accuracy AS value, accuracy >= 0.83 AS passed, CASE WHEN accuracy >= 0.83 THEN NULL ELSE 'target missed' END AS reason FROM m UNION ALL SELECT pack, 'conflict_recall', conflict_recall, true, CASE WHEN conflict_recall >= 0.9 THEN NULL ELSE 'target missed' END FROM m UNION ALL SELECT pack, 'ask_recall', v, v >= 0.8, CASE WHEN v >= 0.8 THEN NULL ELSE 'target missed' END FROM (SELECT pack, round(count(*) FILTER (label <> 'verified') / count(*), 6) AS v FROM k WHERE expected IN ('conflict', 'unknown') GROUP BY 1)"
+            " UNION ALL SELECT pack, 'faithfulness', v, coalesce(v >= 0.5, false), CASE WHEN v IS NULL THEN 'nothing to measure' WHEN v < 0.5 THEN 'target missed' END FROM (SELECT pack, CASE WHEN pack <> '5-LOW' THEN round(count(*) FILTER (expected <> 'unknown') / count(*), 6) END AS v FROM k WHERE label <> 'unknown' GROUP BY 1)",
         "j13_verifier_diff": _KEYED + "SELECT * FROM (SELECT CASE WHEN code % 10 = 2 THEN 'missing' WHEN code % 10 = 1 THEN 'not asked' WHEN code % 100 = 7 THEN 'repeated' WHEN expected <> label THEN 'differs' END AS problem, count(*) AS n FROM k GROUP BY 1) WHERE problem IS NOT NULL",
         "u2_id_drift": "SELECT 'missing' AS side, count(*) AS n FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) HAVING count(*) > 0 UNION ALL SELECT 'extra', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0) HAVING count(*) > 0",
         "a13_row_violations": """SELECT 'status' AS rule, count(*) AS n FROM lineitem WHERE NOT coalesce(l_linestatus IN ('O', 'F'), false) HAVING count(*) > 0 UNION ALL SELECT 'discount', count(*) FROM lineitem WHERE NOT coalesce(l_discount < 0.1, false) HAVING count(*) > 0
@@ -449,6 +461,7 @@ def oracle_sql() -> dict[str, str]:
         "j16_trap_exposure": r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda y: y <> '') AS ws FROM documents), t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda y: y <> '') AS ws FROM benchmark),
             a AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(ws) - 4)) AS i FROM s)), b AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(ws) - 4)) AS i FROM t))
             SELECT item_id AS trap_id, doc_id, count(*) AS n FROM a JOIN b USING (g) GROUP BY 1, 2""",
-        "j15_private_leaks": "SELECT item_id AS private_id, (SELECT count(*) FROM documents d WHERE contains(d.text, substr(b.text, 1, 25))) AS n FROM benchmark b",
+        "j15_private_leaks": """WITH b AS (SELECT item_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark)
+            SELECT item_id || '/' || i AS private_id, (SELECT count(*) FROM documents d WHERE contains(d.text, b.s) AND regexp_matches(b.s, '[\pL\pN]')) AS n FROM b""",
         "a20_run_costs": "SELECT o_orderpriority AS pack, count(*) AS items, round(median(o_totalprice), 4) AS p50, round(sum((o_totalprice / 1000)::DECIMAL(10, 4))::DOUBLE / count(*) * 60, 1) AS cost_per_60 FROM orders GROUP BY 1",
     }
