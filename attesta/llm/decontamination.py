@@ -6,7 +6,8 @@ block selects the patterns to compare, and the words themselves are compared. Po
 stretches of the documents at once.
 
 Null texts have no words and no hits. Items without an id are not searched for; several rows with one id are one item.
-Documents are judged row by row, so repeated ids and rows make no difference.
+Documents are judged row by row, so repeated ids and rows make no difference. An empty table of documents gives an empty
+result, an empty benchmark no hits. Texts are read whole; helper columns give way to names that the input has.
 """
 
 from __future__ import annotations

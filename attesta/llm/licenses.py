@@ -6,7 +6,10 @@ coefficient t, the smaller set has at least t / (2 - t) of the larger. What is l
 Of windows that overlap, the one with the largest coefficient is told, unless it lies in a line that is told with the same
 template, or overlaps a line, paragraph or text that is told with it and whose coefficient is as large.
 
-Null and empty texts, and passages of fewer than two words, match nothing. Each row is scanned for itself.
+Null and empty texts, and passages of fewer than two words, match nothing. Each row is scanned for itself, so repeated rows
+and ids give their matches again, and an empty table gives none. Templates with equal coefficients are all told. A blank
+line may end in CR LF: it then parts no paragraph, and windows still find what stands around it. Texts are read whole; other
+columns of the input are not looked at.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ tightest sequences that still hold it, a whole group of equal sequences at a tim
 on the input. Pieces then take their planned places by rank: a piece's rank among those of its length is its number
 within a (length, bucket) group plus the sizes of the buckets before, so the most common length has many groups.
 
-Null and empty texts are one piece with the end id alone. Rows with equal id and text are packed each for itself.
+Null and empty texts are one piece with the end id alone. Rows with equal id and text are packed each for itself. An empty
+table gives no pieces. Texts are read whole, and other columns are not looked at. The plan's ties go to the sequence opened
+last.
 """
 
 from __future__ import annotations

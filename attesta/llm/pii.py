@@ -5,7 +5,10 @@ calendar, telephone numbers and mail names by shape) are replaced by a keyed per
 over the symbols of the value. Separators, length, check digit and date format stay, so a pseudonym is valid wherever
 its value was; equal values get equal pseudonyms in every document, and the key holder can go back.
 
-All of it is column expressions. Null texts stay null; texts without such values stay as they are.
+All of it is column expressions. Null texts stay null; texts without such values stay as they are. Rows are treated one by
+one, so repeated rows stay alike and an empty table stays empty; texts are read whole, and other columns are not looked at.
+Dates before 1800 or after 2199 stay in clear, as do kinds of numbers that are not named here. The key stands in the
+query's plan: whoever sees plans or event logs sees it, so rotate it as they are kept.
 """
 
 from __future__ import annotations

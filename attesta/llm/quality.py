@@ -6,7 +6,8 @@ is counted is the hash of the whole text, which nothing but copies share. A line
 removed; a document that loses more than a given part of its words with them is depleted and rejected.
 
 Null texts have no words and fail the base rule. A null host is a host of its own. Rows with equal id and text share a
-verdict; the same id with another text is another document.
+verdict; the same id with another text is another document. An empty table gives an empty result. Texts are read whole,
+whatever their length; helper columns give way to names that the input has.
 """
 
 from __future__ import annotations
@@ -105,7 +106,8 @@ def removed_words(docs: DataFrame, limits: LineLimits) -> DataFrame:
 def judge(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, source): the base counts, n_removed_words and ``kept``."""
     rows = docs.select("doc_id", "text", "source")
-    stats = base_stats(rows, [F.col("doc_id"), *row_key()])
+    # Written, or the counts would be made once more for each condition on them that Spark pushes down.
+    stats = written(base_stats(rows, [F.col("doc_id"), *row_key()]), "stats")
     copies = rows.groupBy(*row_key()).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
     removed = removed_words(rows, limits).join(copies, ["__id", "__text"], "left").select("__id", "__text", (F.col("n_removed") / F.coalesce("n_rows", F.lit(1))).cast("long").alias("n_removed_words"))
     out = stats.join(removed, ["__id", "__text"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))

@@ -6,7 +6,9 @@ token by its mean log-likelihood ratio per step; tokens above the threshold are
 those runs of parts between ``= / _ -`` are, that are long enough and above it: names and paths before a value do not hide
 it. What spans of fixed shapes cover is cut out of tokens first. Both models are trained from labelled samples. All of it is column expressions.
 
-Null and empty texts have no spans. Spans are half open and count code points.
+Null and empty texts have no spans. Spans are half open and count code points. Rows are scanned one by one, so repeated
+rows have the same spans; an empty table gives an empty result and an untrained model. Texts are read whole. The sample's
+ties are ordered by id and text.
 """
 
 from __future__ import annotations

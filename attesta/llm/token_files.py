@@ -7,7 +7,8 @@ its own bytes alone. A text's place among all ids is its place in its partition
 
 The dictionary is trained on the ids of at most ``SAMPLE_DOCS`` documents, those with the smallest id hashes among the
 texts of at most ``SAMPLE_BYTES`` bytes; too few samples give an empty dictionary. Null texts are empty and have the end
-id alone; null ids come first; equal ids are ordered by a hash of their text.
+id alone; null ids come first; equal ids are ordered by a hash of their text. An empty table makes an empty data set. Texts
+are read whole, and other columns are not looked at. Ids take two bytes, or four where the vocabulary needs them.
 """
 
 from __future__ import annotations
