@@ -1,12 +1,22 @@
 """The library's functions for SQL users.
 
-Expressions become temporary SQL functions, which Spark inlines into the query; the two table functions read a text with
-the same rules as :mod:`attesta.sources.lines`, for use in SQL only.
+Expressions become temporary SQL functions, which Spark inlines into the query. What SQL text cannot say becomes Arrow
+functions with the same rules as the column functions, for use in SQL only: normal forms, quotes and redaction; and the table
+function ``doc_lines``, which reads a text as :mod:`attesta.sources.lines` does.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+from datetime import date
+
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import pandas_udf, udtf
+
+from attesta.functions.text import INVISIBLE, SAME_FROM, SAME_TO
 
 _SPACE = r"(?U)\\s+"
 
@@ -14,39 +24,109 @@ _SPACE = r"(?U)\\s+"
 SQL_FUNCTIONS = {
     "plain_spaces": ("x STRING", "STRING", f"trim(regexp_replace(x, '{_SPACE}', ' '))"),
     "word_total": ("x STRING", "INT", f"size(filter(split(x, '{_SPACE}'), w -> w <> ''))"),
-    "holds_quote": (
-        "haystack STRING, quote STRING",
-        "BOOLEAN",
-        r"trim(quote) <> '' AND contains(haystack, quote) AND rlike(haystack, concat('(?U)', CASE WHEN quote RLIKE '(?U)^\\w' THEN '(?<!\\w)' ELSE '' END, "
-        r"'\\Q', replace(quote, '\\E', '\\E\\\\E\\Q'), '\\E', CASE WHEN quote RLIKE '\\p{L}$' THEN '(?![\\p{L}_])' WHEN quote RLIKE '(?U)\\w$' THEN '(?!\\w)' ELSE '' END))",
-    ),
     "inert_cell": ("x STRING", "STRING", r"CASE WHEN x RLIKE '^[=+\\-@\\t\\r]' THEN concat('''', x) ELSE x END"),
 }
+_UNSEEN = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\U{int(m[1], 16):08x}", INVISIBLE))
+_SAME = str.maketrans(SAME_FROM, SAME_TO)
+
+
+def normal(text: str) -> str:
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", _UNSEEN.sub("", text)).translate(_SAME)).strip()
+
+
+def holds(haystack: str, quote: str) -> bool:
+    text, needle = normal(haystack), normal(quote)
+    if not needle:
+        return False
+    head = r"(?<!\w)" if re.match(r"\w", needle) else ""
+    tail = r"(?![^\W\d])" if needle[-1].isalpha() else r"(?!\w)" if re.match(r"\w", needle[-1]) else ""
+    return re.search(head + re.escape(needle) + tail, text) is not None
+
+
+def redacted(text: str) -> str:
+    """Leftmost spans first, the longest of one start; no names, for which there is a table of people."""
+    from attesta.operators import redaction as R
+
+    patterns = [("SECRET", R.PRIVATE_KEY), ("SECRET", R.KEY_BODY), ("SECRET", R.URL_CREDENTIALS), ("SECRET", R.WEB_TOKEN), ("SECRET", R.PROVIDER_KEY), ("SECRET", R.MIXED_VALUE), ("SECRET", R.CONFIGURED_VALUE), ("EMAIL", R.MAIL), ("PHONE", R.TELEPHONE), ("ADDRESS", R.STREET)]
+    found = [(m.start(), -m.end(), n, label) for n, (label, p) in enumerate(patterns) for m in re.finditer(p, text, re.ASCII)]
+    out, at = [], 0
+    for begin, end, _, label in sorted(found):
+        if begin >= at:
+            out += [text[at:begin], f"<{label}>"]
+            at = -end
+    return "".join(out) + text[at:]
+
+
+def lines_of(text: str) -> Iterator[tuple[int, str, str, date | None]]:
+    """(n, text, kind, as_of) of a text."""
+    cells = lambda x: [c.strip(" ") for c in x.strip(" ").strip("|").split("|")]
+    found: list[tuple[str, str, date | None]] = []
+    for block in re.split(r"\n(?:[ \t\f\v]*\n)+", re.sub("\r\n?", "\n", text)):
+        para: list[str] = []
+        header: list[str] | None = None
+        for raw in [*block.split("\n"), None]:
+            x = None if raw is None else raw.rstrip(" ")
+            bare = "" if x is None else x.lstrip(" ")
+            alone = x is None or bare.startswith(("|", "- ", "* ")) or x.startswith("#")
+            if alone and para:
+                found.append((normal(" ".join(para)), "text", None))
+                para = []
+            if x is None:
+                break
+            if bare.startswith("|"):
+                if header is None:
+                    header = cells(x)
+                elif not re.match(r"^\|?[\s:|-]+\|?$", x.strip(" ")):
+                    named = [normal(h) or f"Column {i + 1}" for i, h in enumerate(header)]
+                    own = cells(x)
+                    pairs = [f"{named[i] if i < len(named) else f'Column {i + 1}'}: {normal(v)}" for i, v in enumerate(own) if normal(v)]
+                    found.append(("; ".join(pairs), "record", _latest(header, own)))
+            elif x.startswith("#"):
+                found.append((normal(x.lstrip("#")), "heading", None))
+            elif bare.startswith(("- ", "* ")):
+                found.append((normal(re.sub(r"^\[[xX]\] ", "", bare[2:])), "text", None))
+            else:
+                para.append(x)
+    yield from ((n, *x) for n, x in enumerate((x for x in found if x[0]), 1))
+
+
+def _latest(header: list[str], values: list[str]) -> date | None:
+    from attesta.sources.lines import TO_COME
+
+    days = []
+    for i, v in enumerate(values):
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", v) and not (i < len(header) and re.search(TO_COME, header[i])):
+            try:
+                days.append(date.fromisoformat(v))
+            except ValueError:
+                continue
+    return max(days, default=None)
 
 
 def register_functions(spark: SparkSession) -> list[str]:
     """Makes the functions callable from SQL; returns their names."""
     for name, (params, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
-    from pyspark.sql.functions import udtf
 
-    @udtf(returnType="n: int, text: string, kind: string")
+    @pandas_udf("string")
+    def normalize_text(x: pd.Series) -> pd.Series:
+        return x.map(normal, na_action="ignore")
+
+    @pandas_udf("string")
+    def redact_text(x: pd.Series) -> pd.Series:
+        return x.map(redacted, na_action="ignore")
+
+    @pandas_udf("boolean")
+    def holds_quote(haystack: pd.Series, quote: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None or q is None else holds(h, q) for h, q in zip(haystack, quote, strict=True)], dtype="object")
+
+    for name, f in (("normalize_text", normalize_text), ("redact_text", redact_text), ("holds_quote", holds_quote)):
+        spark.udf.register(name, f)
+
+    @udtf(returnType="n: int, text: string, kind: string, as_of: date")
     class DocLines:
         def eval(self, text: str):
-            n, para = 0, []
-            for raw in [*(text or "").splitlines(), ""]:
-                line = raw.rstrip()
-                alone = line.startswith("#") or line.lstrip().startswith(("- ", "* "))
-                if para and (alone or not line.strip()):
-                    n += 1
-                    yield n, " ".join(" ".join(para).split()), "text"
-                    para = []
-                if alone:
-                    n += 1
-                    head = line.startswith("#")
-                    yield n, " ".join((line.lstrip("#") if head else line.lstrip()[2:]).split()), "heading" if head else "text"
-                elif line.strip():
-                    para.append(line)
+            yield from lines_of(text or "")
 
     spark.udtf.register("doc_lines", DocLines)
-    return [*SQL_FUNCTIONS, "doc_lines"]
+    return [*SQL_FUNCTIONS, "normalize_text", "redact_text", "holds_quote", "doc_lines"]

@@ -26,6 +26,7 @@ TITLES = {
     "policy": r"(?i)\b(?:polic(?:y|ies)|standard|procedures?|handbook|program)\b",
     "other": r"(?i)\b(?:faq|wiki|notes?|readme|guide|glossary|export)\b",
 }
+QUESTION_CELL, ANSWER_CELL, QUESTION_FIELD = r"(?i)^questions?$", r"(?i)^(?:answers?|responses?)$", r"(?i)(?:^|; )question:"
 SCOPE_LINE = r"(?i)^(?:scope:|this (?:policy|standard|procedure|report|plan|document) (?:applies to|covers)\b)"
 SCOPES = {
     "internal-systems": r"(?i)\b(?:internal|corporate) systems?\b",
@@ -63,9 +64,9 @@ def scope(head: Column) -> Column:
 def is_questionnaire(fmt: Column, opening: Column, head: Column) -> Column:
     def header(t: Column) -> Column:
         cells = F.split(F.trim(t), r"\s*[|\t,;]\s*")
-        return F.exists(cells, lambda c: c.rlike(r"(?i)^questions?$")) & F.exists(cells, lambda c: c.rlike(r"(?i)^(?:answers?|responses?)$"))
+        return F.exists(cells, lambda c: c.rlike(QUESTION_CELL)) & F.exists(cells, lambda c: c.rlike(ANSWER_CELL))
 
-    return _any(opening, QUESTIONNAIRE) | F.exists(head, header) | (fmt.isin("xlsx", "csv") & _any(head, r"(?i)(?:^|; )question:"))
+    return _any(opening, QUESTIONNAIRE) | F.exists(head, header) | (fmt.isin("xlsx", "csv") & _any(head, QUESTION_FIELD))
 
 
 def classify(docs: DataFrame) -> DataFrame:

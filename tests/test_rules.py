@@ -56,6 +56,7 @@ def test_stems_and_terms(spark):
 def test_numbers(spark):
     cases = [
         ("costs $4,000.50 and 5%", ["$4000.5", "5 percent"], []), ("4.000,00", ["4000"], ["4.000,00"]), ("7 lines", [], []), ("17 lines", [], ["17"]), ("17%", ["17"], ["17"]), ("two million", [], ["million"]), ("007", ["7"], ["7"]), ("٣", [], ["٣"]),
+        ("US$ 5.10 or 5.1 dollars", ["USD 5.1"], []), ("$5 million", ["$5 million"], ["5", "million"]), ("1,00,000 and 1.2.3", ["100000"], ["1,00,000", "1.2.3"]), ("twelve percent, five whole dollars", [], ["five", "twelve"]), ("0.50", ["0.5"], ["0.5"]), ("10 or 11", [], ["11"]), ("5%", ["5"], ["5"]), ("1,200", ["1200.0"], []),
     ]
     got = values(spark, [(a, b) for a, b, _ in cases], "t string, s array<string>", T.unsupported_numbers(F.col("t"), F.col("s")))
     assert [g[0] for g in got] == [c for _, _, c in cases]
