@@ -461,7 +461,7 @@ def oracle_sql() -> dict[str, str]:
         "j16_trap_exposure": r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda y: y <> '') AS ws FROM documents), t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda y: y <> '') AS ws FROM benchmark),
             a AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(ws) - 4)) AS i FROM s)), b AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(generate_series(1, len(ws) - 4)) AS i FROM t))
             SELECT item_id AS trap_id, doc_id, count(*) AS n FROM a JOIN b USING (g) GROUP BY 1, 2""",
-        "j15_private_leaks": """WITH b AS (SELECT item_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark)
+        "j15_private_leaks": r"""WITH b AS (SELECT item_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM benchmark)
             SELECT item_id || '/' || i AS private_id, (SELECT count(*) FROM documents d WHERE contains(d.text, b.s) AND regexp_matches(b.s, '[\pL\pN]')) AS n FROM b""",
         "a20_run_costs": "SELECT o_orderpriority AS pack, count(*) AS items, round(median(o_totalprice), 4) AS p50, round(sum((o_totalprice / 1000)::DECIMAL(10, 4))::DOUBLE / count(*) * 60, 1) AS cost_per_60 FROM orders GROUP BY 1",
     }
