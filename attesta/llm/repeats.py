@@ -12,12 +12,13 @@ places. Intervals of one suffix are dropped, and a window is a repeat as soon as
 
 Equal texts are one text here, with all bytes removed if it is long enough. Equal surroundings of an anchor go to the
 interval once per task; an anchor with very many different surroundings is split by longer strings that every window in
-question contains. Null and empty texts have no bytes. Rows are judged one by one, so repeated ids make no difference, an
+question contains. Such a string with very many different surroundings of its own, as at the edge of a passage that very
+many texts share, is expanded to the windows themselves, each by its own key. Null and empty texts have no bytes. Rows are judged one by one, so repeated ids make no difference, an
 empty table gives an empty result, and other columns are not looked at. Anchors are counted with partial aggregates, and
 one with very many occurrences is joined in parts.
 
-What is compared how: equal texts are told by two 64-bit hashes, equal surroundings of one anchor by a 128-bit digest and
-the anchor's hash; all other repeats byte by byte.
+What is compared how: equal texts are told by two 64-bit hashes, equal surroundings of one anchor, and windows with keys of
+their own, by a 128-bit digest and the key; all other repeats byte by byte.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ from attesta.llm.shared import discard, hot_limit, written
 
 LENGTH, GRAM = 200, 64
 #: An anchor with more occurrences is split by strings of LENGTH - STEP + 1 bytes, and its rows are dealt to several tasks.
+#: One of these strings with more surroundings is split into the windows that contain it.
 MANY, STEP = 50_000, 16
+#: What the keys of windows are salted with; those of strings take smaller numbers.
+OWN_KEY = 1 << 20
 BLOCK = 1 << 20
 #: Hashes that different texts share; more of them than chance allows would mean a broken hash.
 MOST_MIXED = 10_000
@@ -123,24 +127,33 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
 SURROUNDINGS = "key long, fh binary, tid long, pos long, reach int, kind int, bytes binary"
 
 
-def surroundings(texts: DataFrame, length: int) -> DataFrame:
+def surroundings(texts: DataFrame, length: int, crowded: tuple[int, ...] = ()) -> DataFrame:
     """What stands around each anchor, from (tid, packed, at), as rows of ``SURROUNDINGS``.
 
-    kind 0: the bytes from ``reach`` before ``pos`` on. kind 1: the same ``fh`` was met again by the task. kind 2: a
-    further place of an ``fh`` that the task has met; the ``reach`` bytes from ``pos`` on are repeats.
+    kind 0: the bytes from ``reach`` before ``pos`` on; null bytes are a window of its own, which only an equal one matches.
+    kind 1: the same ``fh`` was met again by the task. kind 2: a further place of an ``fh`` that the task has met; the
+    ``reach`` bytes from ``pos`` on are repeats. Strings with a key in ``crowded`` give way to the windows around them.
     """
+    hot = np.sort(np.array(crowded, np.int64).view(np.uint64))
 
     def cuts(p: np.ndarray, h: np.ndarray, many: np.ndarray, size: int, sums: np.ndarray, down: np.ndarray):
         """(key, place, begin, end): the windows around an anchor, or those of STEP neighbouring starts."""
         few = p[~many]
         yield h[~many], few, np.maximum(few - (length - GRAM), 0), np.minimum(few + length, size)
+        starts = [np.zeros(0, np.int64)]
         for j in range(0, length - GRAM + 1, STEP):
             q = p[many] - j
             ok = (q >= 0) & (q + length - STEP + 1 <= size)
             q = q[ok]
             key = span_key(sums, down, q, q + length - STEP + 1, j + 1)
             left = np.minimum(q, min(STEP, length - GRAM + 1 - j) - 1)
-            yield key, q, q - left, np.minimum(q + length, size)
+            full = np.isin(key, hot)
+            yield key[~full], q[~full], (q - left)[~full], np.minimum(q[~full] + length, size)
+            first, n = (q - left)[full], left[full] + 1
+            starts.append(np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        start = np.unique(np.concatenate(starts))  # a window may hold several crowded strings
+        start = start[start + length <= size]
+        yield span_key(sums, down, start, start + length, OWN_KEY), start, start, start + length
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -166,13 +179,14 @@ def surroundings(texts: DataFrame, length: int) -> DataFrame:
                 sums, down = prefix_sums(np.frombuffer(raw, np.uint8))
                 again: list[tuple[int, int]] = []
                 for key, place, a, b in cuts(pos[own], h[own], many[own], len(raw), sums, down):
+                    whole = len(hot) > 0 and place is a
                     for k, p, x, y in zip(key.view(np.int64).tolist(), place.tolist(), a.tolist(), b.tolist(), strict=True):
                         if y - x < length:
                             continue
                         f = hashlib.blake2b(raw[x:y], digest_size=16, salt=(p - x).to_bytes(4, "little")).digest()
                         if (k, f) not in seen:
                             seen[k, f] = False
-                            out.append((k, f, tid, p, p - x, 0, raw[x:y]))
+                            out.append((k, f, tid, p, p - x, 0, None if whole else raw[x:y]))
                             continue
                         if not seen[k, f]:
                             seen[k, f] = True
@@ -188,6 +202,14 @@ def surroundings(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(work, SURROUNDINGS)
 
 
+def crowded_keys(found: DataFrame, n_anchors: int, length: int) -> tuple[int, ...]:
+    """The keys of ``found`` (surroundings of ``n_anchors`` anchors with many of them) with too many for one task; at most
+    as many keys as :func:`hot_limit` allows."""
+    limit = hot_limit(n_anchors * -(-(length - GRAM + 1) // STEP), MANY)
+    full = found.filter("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    return tuple(r["key"] for r in full.select("key").collect())
+
+
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans with those joined that overlap or touch."""
     out: list[list[int]] = []
@@ -255,7 +277,8 @@ def repeat_spans(rows: DataFrame, length: int) -> DataFrame:
             which = np.cumsum(new) - 1  # the distinct surrounding of each row
             one = own[new]
             raw = whole.column("bytes").take(pa.array(one)).to_pylist()
-            size = np.array([len(x) for x in raw])
+            size = np.array([length if x is None else len(x) for x in raw])
+            raw = [x or b"" for x in raw]
             times = np.bincount(which)
             again = {(int(key[i]), named[i]) for i in np.flatnonzero(kind == 1)}
             if again:
@@ -323,9 +346,16 @@ def spans_by_text(rows: DataFrame, classes: DataFrame, length: int = LENGTH) ->
     occurrences = written(anchor_rows(rows, length), "occurrences")
     shared = repeated_anchors(occurrences)
     discard(occurrences)
-    at = shared.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "many"))).alias("at"))
-    wanted = at.join(classes.select("tid", F.col("first").alias("__first")), "tid")
-    found = written(repeat_spans(surroundings(for_texts(rows, wanted), length), length), "repeats")
+
+    def around(anchors_: DataFrame, crowded: tuple[int, ...] = ()) -> DataFrame:
+        at = anchors_.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "many"))).alias("at"))
+        wanted = at.join(classes.select("tid", F.col("first").alias("__first")), "tid")
+        return surroundings(for_texts(rows, wanted), length, crowded)
+
+    hot = shared.filter("many")
+    n_hot = hot.count()
+    crowded = crowded_keys(around(hot), n_hot, length) if n_hot else ()
+    found = written(repeat_spans(around(shared, crowded), length), "repeats")
     discard(shared)
     merged = found.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     return classes.join(merged.withColumn("spans", joined(F.col("spans"))), "tid", "left")

@@ -75,3 +75,22 @@ def test_long_texts_have_the_anchors_of_all_windows(monkeypatch):
     for a, b in zip(off, off[1:], strict=False):
         for s in range(a, b - 200 + 1):
             assert ((at >= s) & (at <= s + 200 - repeats.GRAM)).any()
+
+
+def test_edges_of_a_common_passage_are_no_single_group(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MANY", 10)
+    p = prose(5, 70)
+    texts = [f"{prose(2000 + i, 20)} {p} {prose(3000 + i, 20)}" for i in range(80)] + [p[:210] + "é" * 90, "é" * 90 + p[-210:]]
+    texts += [f"{prose(2000, 20)} {p}", f"{p} {prose(3000, 20)}"]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    seen, sizes, judge = [], [], repeats.repeat_spans
+    find = repeats.crowded_keys
+    monkeypatch.setattr(repeats, "crowded_keys", lambda *a: seen.append(find(*a)) or seen[-1])
+
+    def judged(found, length):
+        sizes.append(max(r["n"] for r in found.filter("kind = 0").groupBy("key").agg(F.count_distinct("fh").alias("n")).collect()))
+        return judge(found, length)
+
+    monkeypatch.setattr(repeats, "repeat_spans", judged)
+    assert result(repeats.removal(frame(spark, rows))) == brute([(r[0], r[1]) for r in rows])
+    assert seen[0] and sizes[0] <= 10 * 4
