@@ -38,6 +38,8 @@ LENGTH, GRAM = 200, 64
 #: An anchor with more occurrences is split by strings of LENGTH - STEP + 1 bytes, and its rows are dealt to several tasks.
 #: One of these strings with more surroundings is split into the windows that contain it.
 MANY, STEP = 50_000, 16
+#: Crowded strings are told from one in so many texts, by hash; that deals the work and changes no result.
+SHARE = 16
 #: What the keys of windows are salted with; those of strings take smaller numbers.
 OWN_KEY = 1 << 20
 BLOCK = 1 << 20
@@ -203,9 +205,9 @@ def surroundings(texts: DataFrame, length: int, crowded: tuple[int, ...] = ()) -
 
 
 def crowded_keys(found: DataFrame, n_anchors: int, length: int) -> tuple[int, ...]:
-    """The keys of ``found`` (surroundings of ``n_anchors`` anchors with many of them) with too many for one task; at most
-    as many keys as :func:`hot_limit` allows."""
-    limit = hot_limit(n_anchors * -(-(length - GRAM + 1) // STEP), MANY)
+    """The keys with too many surroundings for one task, from ``found``: those of one in ``SHARE`` texts with the
+    ``n_anchors`` anchors that have many. At most as many keys as :func:`hot_limit` allows."""
+    limit = hot_limit(n_anchors * -(-(length - GRAM + 1) // STEP), MANY) / SHARE
     full = found.filter("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
     return tuple(r["key"] for r in full.select("key").collect())
 
@@ -347,15 +349,16 @@ def spans_by_text(rows: DataFrame, classes: DataFrame, length: int = LENGTH) ->
     shared = repeated_anchors(occurrences)
     discard(occurrences)
 
-    def around(anchors_: DataFrame, crowded: tuple[int, ...] = ()) -> DataFrame:
+    def around(texts: DataFrame, anchors_: DataFrame, crowded: tuple[int, ...] = ()) -> DataFrame:
         at = anchors_.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "many"))).alias("at"))
         wanted = at.join(classes.select("tid", F.col("first").alias("__first")), "tid")
-        return surroundings(for_texts(rows, wanted), length, crowded)
+        return surroundings(for_texts(texts, wanted), length, crowded)
 
+    some = F.pmod("tid", F.lit(SHARE)) == 0
     hot = shared.filter("many")
     n_hot = hot.count()
-    crowded = crowded_keys(around(hot), n_hot, length) if n_hot else ()
-    found = written(repeat_spans(around(shared, crowded), length), "repeats")
+    crowded = crowded_keys(around(rows.filter(some), hot.filter(some)), n_hot, length) if n_hot else ()
+    found = written(repeat_spans(around(rows, shared, crowded), length), "repeats")
     discard(shared)
     merged = found.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     return classes.join(merged.withColumn("spans", joined(F.col("spans"))), "tid", "left")

@@ -79,6 +79,7 @@ def test_long_texts_have_the_anchors_of_all_windows(monkeypatch):
 
 def test_edges_of_a_common_passage_are_no_single_group(spark, monkeypatch):
     monkeypatch.setattr(repeats, "MANY", 10)
+    monkeypatch.setattr(repeats, "SHARE", 1)
     p = prose(5, 70)
     texts = [f"{prose(2000 + i, 20)} {p} {prose(3000 + i, 20)}" for i in range(80)] + [p[:210] + "é" * 90, "é" * 90 + p[-210:]]
     texts += [f"{prose(2000, 20)} {p}", f"{p} {prose(3000, 20)}"]
