@@ -83,12 +83,12 @@ def digest(rows: DataFrame, keys: list[str], order: list[str], columns: list[str
 
 
 def merged_sheet(grid: DataFrame, answers: DataFrame) -> DataFrame:
-    """The original rows (row, question) with answer, status and sources; rows without an answer keep empty cells."""
+    """The original rows (row, any cells) with what ``answers`` (row, answer, status, sources, notes...) adds to each, as
+    inert text; rows without an answer keep empty cells. Columns of one name may not stand on both sides."""
     from attesta.functions.text import inert
 
-    joined = grid.join(answers, "row", "left")
-    blank = lambda c: inert(F.coalesce(F.col(c), F.lit("")))
-    return joined.select("row", inert(F.col("question")).alias("question"), blank("answer").alias("answer"), blank("status").alias("status"), blank("sources").alias("sources"))
+    cells = [c for c in [*grid.columns, *answers.columns] if c != "row"]
+    return grid.join(answers, "row", "left").select("row", *[inert(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in cells])
 
 
 def withdrawn(documents: DataFrame, answers: DataFrame, suggestions: DataFrame, edited: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -149,8 +149,10 @@ def gap_check(decisions: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def gap_report(outcomes: DataFrame, results: DataFrame, citations: DataFrame) -> DataFrame:
-    """Every outcome with the words of its label, its explanation and quotes; also those that were not checked."""
+    """Every outcome with the words of its label, its explanation, quotes and links to their lines; also those that were
+    not checked."""
     quotes = F.transform("citations", lambda c: F.concat(F.lit('"'), c["quote"], F.lit('"')))
+    links = F.transform("citations", lambda c: F.concat(c["doc_id"].cast("string"), F.lit("#L"), c["line_start"].cast("string")))
     rows = outcomes.join(results, "outcome_id", "left").join(merge_evidence(citations), "outcome_id", "left")
     word = F.when(F.col("tier") == "not_checked", NOT_CHECKED).otherwise(F.coalesce(gap_word(F.col("tier"), F.col("label")), F.lit("")))
-    return rows.select("outcome_id", "function", "tier", word.alias("status"), F.coalesce("explanation", F.lit("")).alias("explanation"), F.coalesce(F.array_join(quotes, "; "), F.lit("")).alias("quotes"))
+    return rows.select("outcome_id", "function", "tier", word.alias("status"), F.coalesce("explanation", F.lit("")).alias("explanation"), F.coalesce(F.array_join(quotes, "; "), F.lit("")).alias("quotes"), F.coalesce(F.array_join(links, "; "), F.lit("")).alias("links"))

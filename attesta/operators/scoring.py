@@ -90,6 +90,13 @@ def bench(rows: DataFrame) -> DataFrame:
     )
 
 
+def key_results(keys: DataFrame, results: DataFrame, on: list[str]) -> DataFrame:
+    """``keys`` with their ``results``; the job fails on a key that has none."""
+    joined = keys.join(results.withColumn("__got", F.lit(True)), on, "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no result for"), *[F.col(c).cast("string") for c in on]))
+    return joined.filter(F.when(F.col("__got").isNull(), missing).otherwise(F.lit(True))).drop("__got")
+
+
 def replayed(requests: DataFrame, recordings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests with the last recording of their key, and the keys that have none."""
     from attesta.operators.lifecycle import latest

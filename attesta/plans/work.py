@@ -226,7 +226,7 @@ def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.digest(table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "n_name"])
+    return S.digest(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
 
 
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +256,7 @@ def snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     grid = c.select(F.col("c_custkey").alias("row"), F.concat(F.when(F.col("c_custkey") % 4 == 0, "=").otherwise(""), F.col("c_name")).alias("question"))
-    answers = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("row"), F.concat(F.lit("+"), F.col("c_mktsegment")).alias("answer"), F.lit("verified").alias("status"), F.lit("a.md, line 3").alias("sources"))
+    answers = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("row"), F.concat(F.lit("+"), F.col("c_mktsegment")).alias("answer"), F.lit("verified").alias("status"), F.lit("a.md, line 3").alias("sources"), F.when(F.col("c_custkey") % 2 == 0, "-see above").alias("notes"))
     return S.merged_sheet(grid, answers)
 
 
@@ -407,9 +407,9 @@ def oracle_sql() -> dict[str, str]:
         "d9_confirmed_outcomes": _PARTS + """, f AS (SELECT outcome_id, arg_min('s' || p_partkey, part_n) AS s FROM p WHERE filled GROUP BY 1)
             SELECT outcome_id, label, CASE WHEN label = 'covered' THEN s END AS statement_id, CASE WHEN label = 'covered' AND s IS NOT NULL THEN 'user_confirmed' ELSE 'machine' END AS status FROM c LEFT JOIN f USING (outcome_id)""",
         "s14_gap_report": _PARTS + explain + f""", e AS (SELECT outcome_id, min(p_type) AS function, {tier} AS t FROM p GROUP BY 1),
-            q1 AS (SELECT outcome_id, p_size % 3 AS z, min(part_n) AS n FROM p WHERE part_label = 'covered' GROUP BY 1, 2), q AS (SELECT outcome_id, string_agg('"size ' || z || '"', '; ' ORDER BY n) AS quotes FROM q1 GROUP BY 1)
+            q1 AS (SELECT outcome_id, p_size % 3 AS z, min(part_n) AS n FROM p WHERE part_label = 'covered' GROUP BY 1, 2), q AS (SELECT outcome_id, string_agg('"size ' || z || '"', '; ' ORDER BY n) AS quotes, string_agg('d#L' || z, '; ' ORDER BY n) AS links FROM q1 GROUP BY 1)
             SELECT outcome_id, function, CASE t WHEN 0 THEN 'not_checked' WHEN 1 THEN 'ask' ELSE 'checked' END AS tier, CASE t WHEN 0 THEN 'not checked in this version' WHEN 1 THEN 'Answered by you' ELSE
-              CASE label WHEN 'covered' THEN 'Covered' WHEN 'partly_covered' THEN 'Partly covered' WHEN 'not_met' THEN 'Not met' WHEN 'documents_disagree' THEN 'Documents disagree' ELSE 'Gap' END END AS status, explanation, coalesce(quotes, '') AS quotes
+              CASE label WHEN 'covered' THEN 'Covered' WHEN 'partly_covered' THEN 'Partly covered' WHEN 'not_met' THEN 'Not met' WHEN 'documents_disagree' THEN 'Documents disagree' ELSE 'Gap' END END AS status, explanation, coalesce(quotes, '') AS quotes, coalesce(links, '') AS links
             FROM e JOIN x USING (outcome_id) LEFT JOIN q USING (outcome_id)""",
         "p6_scope_outcomes": _PARTS + f"SELECT outcome_id, CASE {tier} WHEN 1 THEN 'ask' ELSE 'checked' END AS tier, 'Is ' || outcome_id || ' done?' AS question FROM p GROUP BY 1 HAVING min(p_type) = 'ECONOMY' AND {tier} > 0",
         "w8_interview_queue": _ITEMS + """, q AS (SELECT run_id, item_id, item_id % 50 AS rank FROM i WHERE item_id % 13 = 0), l AS (SELECT run_id, max(rank) AS last FROM q GROUP BY 1)
@@ -438,13 +438,13 @@ def oracle_sql() -> dict[str, str]:
         "s11_idempotent_answers": "SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2 HAVING NOT bool_or(l_suppkey % 4 = 0)",
         "j10_affected_answers": "SELECT l_orderkey AS answer_id, count(DISTINCT l_partkey) AS chunks FROM lineitem GROUP BY 1 HAVING bool_or(l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7))",
         "u5_evidence_sets": "WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey % 2) FILTER (l_returnflag = 'A')) AS a, list_sort(list(DISTINCT l_partkey % 2) FILTER (l_returnflag <> 'A')) AS b FROM lineitem GROUP BY 1) SELECT l_orderkey, coalesce(a = b, false) AS same FROM s",
-        "a29_row_digests": "SELECT n_regionkey, sha256(string_agg(n_nationkey || '|' || n_name, chr(10) ORDER BY n_nationkey)) AS digest FROM nation GROUP BY 1",
+        "a29_row_digests": "SELECT o_custkey, sha256(string_agg(o_orderkey || '|' || o_orderstatus, chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1",
         "p10_approvals": _ITEMS + "SELECT item_id FROM i WHERE label = 'verified' AND NOT approved AND NOT edited AND item_id % 6 <> 0",
         "d27_answer_changes": _ITEMS + """SELECT item_id, CASE WHEN item_id % 9 = 0 THEN 'na' ELSE label END AS label, CASE WHEN item_id % 9 = 0 THEN NULL WHEN item_id % 9 = 3 THEN 'Mine' WHEN label = 'verified' THEN 'Yes' END AS value,
             CASE WHEN item_id % 9 = 6 AND label IN ('verified', 'partial') THEN true WHEN item_id % 9 IN (0, 3) THEN false ELSE approved END AS approved, edited OR item_id % 9 = 3 AS edited FROM i""",
         "d27_refused_changes": _ITEMS + ", c AS (SELECT item_id + 300 AS item_id FROM i WHERE item_id % 3 = 0) SELECT c.item_id, 'approve' AS action, CASE WHEN i.label IS NULL THEN 'no such item' ELSE 'not approvable' END AS reason FROM c LEFT JOIN i USING (item_id) WHERE i.label IS NULL OR i.label NOT IN ('verified', 'partial')",
         "s16_snapshot_ids": "SELECT o_orderkey AS answer_id, coalesce(a.c_nationkey::VARCHAR, '?') || ',' || coalesce(b.c_nationkey::VARCHAR, '?') AS ids, a.c_custkey IS NOT NULL AND b.c_custkey IS NOT NULL AS complete FROM orders LEFT JOIN customer a ON a.c_custkey = o_custkey LEFT JOIN customer b ON b.c_custkey = o_custkey + 40",
-        "s13_exported_sheet": "SELECT c_custkey AS row, CASE WHEN c_custkey % 4 = 0 THEN '''=' ELSE '' END || c_name AS question, CASE WHEN c_custkey % 3 = 0 THEN '''+' || c_mktsegment ELSE '' END AS answer, CASE WHEN c_custkey % 3 = 0 THEN 'verified' ELSE '' END AS status, CASE WHEN c_custkey % 3 = 0 THEN 'a.md, line 3' ELSE '' END AS sources FROM customer",
+        "s13_exported_sheet": "SELECT c_custkey AS row, CASE WHEN c_custkey % 4 = 0 THEN '''=' ELSE '' END || c_name AS question, CASE WHEN c_custkey % 3 = 0 THEN '''+' || c_mktsegment ELSE '' END AS answer, CASE WHEN c_custkey % 3 = 0 THEN 'verified' ELSE '' END AS status, CASE WHEN c_custkey % 3 = 0 THEN 'a.md, line 3' ELSE '' END AS sources, CASE WHEN c_custkey % 6 = 0 THEN '''-see above' ELSE '' END AS notes FROM customer",
         "d16_withdrawn_statements": """WITH g AS (SELECT DISTINCT o_custkey AS s FROM orders WHERE o_orderkey % 35 = 0) SELECT (c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT s FROM g))::VARCHAR AS state, count(*) AS n FROM customer GROUP BY 1
             UNION ALL SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'accepted' WHEN o_custkey IN (SELECT s FROM g) THEN 'dismissed' ELSE 'open' END, count(*) FROM orders GROUP BY 1""",
         "a16_label_metrics": _KEYED + "SELECT * FROM m",

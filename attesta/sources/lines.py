@@ -133,6 +133,16 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), decoded(F.col("content")).alias("text"))
 
 
+def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """(key, reply, line) of JSON lines with a key and a reply; ``line`` orders them by file and place, so the last wins.
+
+    Lines that are not such records are left out.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.text(path).select(F.from_json("value", "key string, reply string").alias("x"), place.alias("line"))
+    return rows.select("x.key", "x.reply", "line").filter("key is not null")
+
+
 def ingest_gate(docs: DataFrame, max_lines: int = MAX_LINES, max_line: int = MAX_LINE_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
     """``docs`` with ``reason``: why a text is not taken in, null if it is."""
     lines = line_array(F.col("text"))

@@ -84,3 +84,19 @@ def test_repeated_answers_are_appended_once(spark, tmp_path):
         write(row((1, 1, "new"), (1, 2, "b"), (1, 2, "a")), 0)
     write(row((1, 2, "c"), (2, 1, "d")), 1)
     assert sorted((r.run_id, r.item_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, 1, "old"), (1, 2, "a"), (2, 1, "d")]
+
+
+def test_recordings_and_results_of_keys(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from attesta.operators import scoring as G
+    from attesta.sources.lines import read_recordings
+
+    (tmp_path / "a.jsonl").write_text('{"key": "k1", "reply": "old"}\nnot json\n{"key": "k2", "reply": "two"}\n{"key": "k1", "reply": "new"}\n')
+    asked = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "key string")
+    hit, miss = G.replayed(asked, read_recordings(spark, str(tmp_path)))
+    assert sorted((r["key"], r["reply"]) for r in hit.collect()) == [("k1", "new"), ("k2", "two")]
+    assert [r["key"] for r in miss.collect()] == ["k3"]
+    assert G.key_results(asked.filter("key <> 'k3'"), hit.select("key", "reply"), ["key"]).count() == 2
+    with pytest.raises(PySparkException, match="no result for k3"):
+        G.key_results(asked, hit.select("key", "reply"), ["key"]).collect()
