@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from attesta.llm import decontamination, jaccard, licenses, packing, pii, quality, repeats, secrets, sharding, token_files
+from attesta.llm import decontamination, exact, jaccard, licenses, manifest, packing, pii, quality, repeats, secrets, sharding, token_files, tries
 from attesta.llm.shared import shared_dir, table
 
 PII_KEY = "rotate-me"
@@ -72,6 +72,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifest.manifest(table(spark, sf_dir, "documents"), {"tampered": manifest.tampered_leaf()})
+    root = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    folded = rows.select("doc_id", "leaf", "subroot", "root", manifest.proof_hash(F.col("proof")).alias("proof_sha256"), root.alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.assign(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -146,5 +161,71 @@ FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+#: CRC-32, folded byte by byte from its polynomial, of the decimal form of the ids ``{ids}``.
+_CRC = """bits(b, k, v) AS (
+  SELECT b, 0, b FROM range(256) t(b) UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+crc(id, s, i, v) AS (
+  SELECT DISTINCT {id}, {id}::VARCHAR, 0, 4294967295::BIGINT FROM {name}
+  UNION ALL SELECT id, s, i + 1, xor(t[(xor(v, ascii(s[i + 1])) % 256) + 1], v // 256)::BIGINT FROM crc, tab WHERE i < length(s)),
+crcs AS (SELECT id, xor(v, 4294967295) AS crc FROM crc WHERE i = length(s))"""
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC.format(id="conv_id", name="conversations")},
+t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations GROUP BY 1),
+b AS (
+  SELECT t.conv_id, list_concat(coalesce(base.ts, [])[1:(crc % 9)], t.ts[(crc % 9) + 1:]) AS ts
+  FROM t JOIN crcs ON crcs.id = t.conv_id LEFT JOIN t base ON base.conv_id = t.conv_id - t.conv_id % 5),
+p AS (SELECT conv_id, d, len(ts) AS n, sha256(ts[1:d]::VARCHAR) AS k, sha256(ts[1:d - 1]::VARCHAR) AS up, octet_length(encode(ts[d].t)) AS bytes FROM (SELECT *, unnest(range(len(ts) + 1)) AS d FROM b)),
+v AS (
+  SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(bytes), 0) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+c AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM v WHERE d > 0 GROUP BY 1, 2),
+w AS (SELECT v.*, coalesce(c.n, 0) AS n_children FROM v LEFT JOIN c USING (d, k)),
+s AS (SELECT p.d, p.k, sum(w.saved) AS saved, count(*) FILTER (w.n_children = 0) AS leaves FROM w JOIN p ON p.conv_id = w.conv_id AND p.d <= w.d GROUP BY 1, 2)
+SELECT w.conv_id, w.d AS depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (d, k) LEFT JOIN v o ON o.d = w.d - 1 AND o.k = w.up
+"""
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+
+OP12_SQL = rf"""
+WITH RECURSIVE {_CRC.format(id="doc_id", name="documents")},
+leaf AS (
+  SELECT doc_id, lang, {_LEAF.format(n_chars="n_chars")} AS leaf, {_LEAF.format(n_chars="(n_chars + 1)")} AS grown, crc % 7 = 0 AND n_chars IS NOT NULL AS hit
+  FROM documents LEFT JOIN crcs ON id = doc_id),
+ground AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf),
+lv(lang, k, pos, node, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM ground
+  UNION ALL SELECT lang, k + 1, pos // 2, h, (n + 1) // 2 FROM (
+    SELECT lang, k, pos, n, sha256(node || coalesce(lead(node) OVER (PARTITION BY lang ORDER BY pos), '')) AS h FROM lv WHERE n > 1) WHERE pos % 2 = 0),
+sub AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, k AS height FROM lv WHERE n = 1),
+up(k, pos, node, n) AS (
+  SELECT 0, pos, subroot, count(*) OVER () FROM sub
+  UNION ALL SELECT k + 1, pos // 2, h, (n + 1) // 2 FROM (SELECT k, pos, n, sha256(node || coalesce(lead(node) OVER (ORDER BY pos), '')) AS h FROM up WHERE n > 1) WHERE pos % 2 = 0),
+walk(doc_id, lang, leaf, hit, pos, k, node, proof) AS (
+  SELECT doc_id, lang, leaf, hit, pos, 0, CASE WHEN hit THEN grown ELSE leaf END, '' FROM ground
+  UNION ALL SELECT w.doc_id, w.lang, w.leaf, w.hit, w.pos // 2, w.k + 1,
+    CASE WHEN w.pos % 2 = 1 THEN sha256(s.node || w.node) ELSE sha256(w.node || coalesce(s.node, '')) END, w.proof || coalesce(s.node, '')
+  FROM walk w JOIN lv ON lv.lang IS NOT DISTINCT FROM w.lang AND lv.k = w.k AND lv.pos = w.pos AND lv.n > 1
+    LEFT JOIN lv s ON s.lang IS NOT DISTINCT FROM w.lang AND s.k = w.k AND s.pos = w.pos + 1 - 2 * (w.pos % 2)),
+mid AS (SELECT w.doc_id, w.leaf, w.node, w.proof, sub.subroot, sub.pos FROM walk w JOIN sub ON sub.lang IS NOT DISTINCT FROM w.lang AND sub.height = w.k),
+climb(doc_id, leaf, subroot, pos, k, node, proof) AS (
+  SELECT doc_id, leaf, subroot, pos, 0, node, proof FROM mid
+  UNION ALL SELECT c.doc_id, c.leaf, c.subroot, c.pos // 2, c.k + 1, CASE WHEN c.pos % 2 = 1 THEN sha256(s.node || c.node) ELSE sha256(c.node || coalesce(s.node, '')) END, c.proof || coalesce(s.node, '')
+  FROM climb c JOIN up ON up.k = c.k AND up.pos = c.pos AND up.n > 1 LEFT JOIN up s ON s.k = c.k AND s.pos = c.pos + 1 - 2 * (c.pos % 2)),
+top AS (SELECT node AS root, k FROM up WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM climb JOIN top USING (k)
+"""
+
+OP13_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op11_conversation_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_exact_dedup": OP13_SQL, "op2_quality_rules": OP2_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_decontamination": OP9_SQL}

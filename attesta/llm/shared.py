@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -101,3 +102,29 @@ def sample_rows(rows: DataFrame, n: int, *key: str) -> DataFrame:
     spread = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
     some = rows.filter(spread < int((1 << 40) * 2 * n / total)) if total > 2 * n else rows
     return some.orderBy(spread, *key).limit(n)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, the place from 0 within its group in the given order (nulls first), and ``size``, the group's rows.
+
+    Rows are dealt to ranges of group and order, so that a large group meets many tasks, and numbered within their range; what
+    a group has in earlier ranges is added. Only groups that reach over a border of two ranges need that, so the list that is
+    broadcast has at most two rows for each range. ``order`` should tell all rows apart: equal ones share a range. ``rows``
+    is read twice.
+    """
+    spark = rows.sparkSession
+    ranged = written(rows.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()), "ranged")
+    held = ranged.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__held"))
+    of_group = W.partitionBy(*group)
+    spans = held.select(
+        *[F.col(g).alias(f"__of_{g}") for g in group], F.col("__range").alias("__in"), "__held",
+        (F.sum("__held").over(of_group.orderBy("__range")) - F.col("__held")).alias("__before"), F.sum("__held").over(of_group).alias("__all"),
+    ).filter(F.col("__held") < F.col("__all")).drop("__held")
+    here = W.partitionBy("__range", *group)
+    dealt = ranged.repartitionById(int(spark.conf.get("spark.sql.shuffle.partitions")), "__range")
+    placed = dealt.withColumns({"__n": F.row_number().over(here.orderBy(*order)) - 1, "__held": F.count(F.lit(1)).over(here)})
+    same = F.col("__range") == F.col("__in")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    out = placed.join(F.broadcast(spans), same, "left")
+    return out.select(*rows.columns, (F.col("__n") + F.coalesce("__before", F.lit(0))).cast("long").alias("pos"), F.coalesce("__all", "__held").alias("size"))
