@@ -35,7 +35,7 @@ def _cells(batch: pa.RecordBatch, cells: int) -> list[np.ndarray]:
 
 
 def _merged(seen: list[bytes], again: list[bytes]) -> tuple[bytes, bytes]:
-    one = two = np.zeros(BLOCK // 8, np.uint8)
+    one = two = np.zeros(len(seen[0]), np.uint8)
     for s, t in zip(seen, again, strict=True):
         s, t = np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8)
         one, two = one | s, two | t | (one & s)
@@ -45,13 +45,15 @@ def _merged(seen: list[bytes], again: list[bytes]) -> tuple[bytes, bytes]:
 def sketch(pairs: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed bits "seen" and "seen again" of all ``ROWS * cells`` cells, over the two long columns of ``pairs``."""
 
+    size = min(BLOCK, cells)
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ROWS * cells, np.uint8)
         for batch in batches:
             for j, at in enumerate(_cells(batch, cells)):
                 where, n = np.unique(at + j * cells, return_counts=True)
                 counts[where] = np.minimum(counts[where] + np.minimum(n, 2), 2)
-        blocks = counts.reshape(-1, BLOCK)
+        blocks = counts.reshape(-1, size)
         part = TaskContext.get().partitionId() % PARTS
         for k in np.flatnonzero(blocks.any(axis=1)):
             seen, again = (np.packbits(blocks[k] >= m).tobytes() for m in (1, 2))
@@ -67,7 +69,7 @@ def sketch(pairs: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
     merged = filled.groupBy("block", "part").applyInArrow(merge, kinds).groupBy("block").applyInArrow(merge, kinds)
     out = np.zeros((2, ROWS * cells // 8), np.uint8)
     for r in merged.select("block", "seen", "again").toLocalIterator():
-        at = slice(r["block"] * BLOCK // 8, (r["block"] + 1) * BLOCK // 8)
+        at = slice(r["block"] * size // 8, (r["block"] + 1) * size // 8)
         out[0, at], out[1, at] = np.frombuffer(r["seen"], np.uint8), np.frombuffer(r["again"], np.uint8)
     return out[0], out[1]
 
