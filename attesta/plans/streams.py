@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.plans.base import shared_folder, table
-from attesta.streaming import jobs
+from attesta.streaming import jobs, state
 
 
 def _folder(spark: SparkSession) -> str:
@@ -58,15 +58,30 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("line_end").alias("last_line"))
 
 
-def stream_admission(spark: SparkSession, sf_dir: str, per_batch: int = 1000) -> DataFrame:
-    """Calls admitted batch by batch, each behind those before it."""
+#: A bounded table is in no order of time, so none of its windows is ever closed.
+WHOLE = "36500 days"
+
+
+def stream_admission(spark: SparkSession, sf_dir: str, per_batch: int = 1000, late: str = WHOLE) -> DataFrame:
+    """Calls admitted as they come, each behind those before it."""
     from attesta.plans.work import CAPS, calls_of
 
+    state.use_state_store(spark)
     out = shared_folder(spark, "stream")
-    jobs.run_batches(calls_of(_events(spark, sf_dir, per_batch)), jobs.admission_pass(f"{out}/rows", CAPS), f"{out}/state")
+    jobs.run_to_folder(state.stream_admitted(calls_of(_events(spark, sf_dir, per_batch)), CAPS, late), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows").select("event_id", F.coalesce("refused_by", F.lit("admitted")).alias("verdict"))
 
 
+def stream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' calls as claims, of which every third is the end of one; what the others become after four hours each."""
+    state.use_state_store(spark)
+    out = shared_folder(spark, "stream")
+    event = F.when(F.col("event_id") % 3 == 0, "done").otherwise("claimed")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("item_id"), "ts", "event_id", event.alias("event"))
+    jobs.run_to_folder(state.stream_claims(rows, minutes=240), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").select("item_id", F.col("at").cast("string").alias("at"), "state", F.col("attempts").cast("long").alias("attempts"))
+
+
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to redacted lines, classes and passages as a stream; what each document then has."""
     from attesta.plans.base import markup
@@ -87,8 +102,22 @@ def stream_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("network", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "n")
 
 
+_CLAIMS = """WITH RECURSIVE e AS (
+  SELECT user_id AS item_id, epoch_us(ts) // 1000 AS t, event_id % 3 <> 0 AS claim, row_number() OVER w AS i, coalesce(epoch_us(lead(ts) OVER w), (SELECT max(epoch_us(ts)) FROM events)) // 1000 AS until
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+run AS (
+  SELECT item_id, i, t, until, CASE WHEN claim THEN 1 ELSE 0 END AS attempts FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.item_id, e.i, e.t, e.until, CASE WHEN NOT e.claim THEN 0 ELSE 1 + CASE WHEN r.attempts > 0 AND r.attempts + (r.until - r.t) // 14400000 > 3 AND r.until - r.t >= 14400000 THEN 0
+      WHEN r.attempts > 0 THEN r.attempts + (r.until - r.t) // 14400000 ELSE 0 END END
+  FROM run r JOIN e ON e.item_id = r.item_id AND e.i = r.i + 1),
+told AS (SELECT *, unnest(range(1, least((until - t) // 14400000, greatest(4 - attempts, 1)) + 1)) AS j FROM run WHERE attempts > 0)
+SELECT item_id, strftime(make_timestamp_ms(t + j * 14400000), '%Y-%m-%d %H:%M:%S') || CASE WHEN (t + j * 14400000) % 1000 > 0 THEN '.' || rtrim(lpad(((t + j * 14400000) % 1000)::VARCHAR, 3, '0'), '0') ELSE '' END AS at,
+  CASE WHEN attempts + j - 1 >= 3 THEN 'failed' ELSE 'pending' END AS state, attempts + j - 1 AS attempts FROM told"""
+
+
 def queries() -> dict:
-    return {"t2_stream_admission": stream_admission, "t3_stream_idle": stream_idle, "t5_stream_documents": stream_documents, "t1_stream_counters": stream_counters, "t7_stream_once": stream_once, "t9_stream_progress": stream_progress, "t5_stream_ingest": stream_ingest}
+    return {"t2_stream_admission": stream_admission, "t4_stream_claims": stream_claims, "t3_stream_idle": stream_idle, "t5_stream_documents": stream_documents, "t1_stream_counters": stream_counters, "t7_stream_once": stream_once, "t9_stream_progress": stream_progress, "t5_stream_ingest": stream_ingest}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -99,6 +128,7 @@ def oracle_sql() -> dict[str, str]:
     idle = work.oracle_sql()["t3_idle_runs"]
     assert idle.count("FROM s GROUP BY network, k") == 1
     return {
+        "t4_stream_claims": _CLAIMS,
         "t2_stream_admission": work.oracle_sql()["w12_admission"],
         "t3_stream_idle": idle.replace("FROM s GROUP BY network, k", "FROM s GROUP BY network, k HAVING max(ts) + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events)"),
         "t5_stream_documents": sql("flagged", """, l AS (SELECT doc_id, count(*) AS lines FROM lines GROUP BY 1), c AS (SELECT doc_id, max(line_end)::BIGINT AS last_line FROM flagged GROUP BY 1)

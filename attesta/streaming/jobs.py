@@ -87,21 +87,6 @@ def folder_stream(spark: SparkSession, glob: str, like: DataFrame, per_batch: in
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_batch).parquet(glob)
 
 
-def admission_pass(target: str, caps: object) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that admits each batch behind those before it: ``target`` has a folder for each batch, and
-    a batch that is repeated replaces its own. Places are given in order of arrival, then of time."""
-    from attesta.operators.limits import admitted
-
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        prior = None
-        if n > 0:
-            prior = spark.read.option("basePath", target).parquet(f"{target}/batch=*").filter(F.col("batch") < n).drop("batch")
-        admitted(batch, caps, prior).write.mode("overwrite").parquet(f"{target}/batch={n}")
-
-    return write
-
-
 def redecide_pass(tables: Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]], target: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that decides again what a batch of changed documents (doc_id) concerns.
 
