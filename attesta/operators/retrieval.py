@@ -7,11 +7,11 @@ final list. All questions are answered in one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.functions.text import STOP_WORDS, TOKEN, contains_quote, query_terms, stem
+from attesta.functions.text import STOP_WORDS, contains_quote, placed_words, positions, query_phrases, query_terms, query_words, stem
 
 # Places of the final list, caps per document, and the constants of the ranks.
 K, HOP, TEXT_CAP, RECORD_CAP = 8, 3, 2, 3
@@ -20,22 +20,19 @@ RRF_K, CANDIDATES = 60, 200
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf): the inverted index, from heading and text."""
-    text = F.lower(F.concat_ws(" ", "heading", "text"))
-    # The outer form: for the plain one Spark infers a filter that reads each text once more.
-    words = chunks.select("chunk_id", F.explode_outer(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("w")).filter("w is not null")
-    parts = F.when(F.contains("w", F.lit("-")), F.concat(F.array("w"), F.split("w", "-"))).otherwise(F.array("w"))
-    words = words.select("chunk_id", F.explode(parts).alias("w")).filter((F.col("w") != "") & ~F.col("w").isin(*STOP_WORDS))
-    return words.select("chunk_id", stem(F.col("w")).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(chunk_id, term, pos, first, size): a row for each place of a term in heading and text; see :func:`placed_words`.
 
-
-def chunk_sizes(index: DataFrame) -> DataFrame:
-    """(chunk_id, size): distinct terms of each passage."""
-    return index.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("size"))
+    ``first`` marks one row of each term of a passage, ``size`` is the passage's number of terms.
+    """
+    words = chunks.select("chunk_id", F.posexplode(placed_words(F.concat_ws(" ", "heading", "text"))).alias("pos", "w")).filter(~F.col("w").isin(*STOP_WORDS))
+    rows = words.select("chunk_id", stem(F.col("w")).alias("term"), "pos")
+    own = W.partitionBy("chunk_id").orderBy("term", "pos")
+    rows = rows.withColumn("first", F.coalesce(F.lag("term").over(own) != F.col("term"), F.lit(True)))
+    return rows.withColumn("size", F.count_if("first").over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.filter("first").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -43,28 +40,80 @@ def item_terms(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(query_terms(F.col("question"), F.col("topic"))).alias("term"))
 
 
+def item_phrases(items: DataFrame, own: list[str] | None = None) -> DataFrame:
+    """(item_id, own..., phrase, off, term, n, span): the words of each item's phrases with their places from the first one.
+
+    Phrases come from synonyms of the question's words, and from an array column ``phrases`` if the items have one. Stop
+    words keep their place and match anything; a phrase of stop words alone has no rows.
+    """
+    said = query_phrases(F.col("question"), F.col("topic"))
+    if "phrases" in items.columns:
+        said = F.array_distinct(F.concat(said, F.coalesce("phrases", F.array().cast("array<string>"))))
+    rows = items.select("item_id", *(own or []), F.explode(said).alias("phrase")).withColumn("words", positions(F.col("phrase")))
+    rows = rows.withColumns({"low": F.array_min("words.pos"), "high": F.array_max("words.pos"), "n": F.size("words")})
+    rows = rows.select("item_id", *(own or []), "phrase", "low", "n", (F.col("high") - F.col("low")).alias("span"), F.explode("words").alias("w"))
+    return rows.select("item_id", *(own or []), "phrase", (F.col("w.pos") - F.col("low")).alias("off"), "w.term", "n", "span")
+
+
+def phrase_matches(items: DataFrame, index: DataFrame, own: list[str] | None = None) -> DataFrame:
+    """(item_id, chunk_id, start, end, noise): the places where a phrase of the item stands, all words in their places.
+
+    Each word proposes the start that it would give; where all words agree, the phrase is there. ``noise`` counts the words in
+    between that are no terms.
+    """
+    said = item_phrases(items, own).join(index, [*(own or []), "term"])
+    starts = said.groupBy("item_id", "phrase", "chunk_id", (F.col("pos") - F.col("off")).alias("start"), "n", "span").agg(F.count(F.lit(1)).alias("agreed"))
+    return starts.filter("agreed = n").select("item_id", "chunk_id", "start", (F.col("start") + F.col("span")).alias("end"), (F.col("span") - F.col("n") + 1).alias("noise")).distinct()
+
+
+def cover_sum(extents: Column) -> Column:
+    """The covers of an array of extents (start, end, noise), each weighted by 1 / (1 + noise): extents that hold no other.
+
+    In order of their ends, an extent is a cover if it starts behind the last cover's start.
+    """
+    in_order = F.array_sort(F.transform(extents, lambda x: F.struct(x["end"].alias("end"), (-x["start"]).alias("back"), x["noise"].alias("noise"))))
+    kind = "struct<last:int,sum:double>"
+    none = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")).cast(kind)
+    step = lambda a, x: F.when(-x["back"] > a["last"], F.struct((-x["back"]).alias("last"), (a["sum"] + 1 / (1 + x["noise"])).alias("sum")).cast(kind)).otherwise(a)
+    return F.aggregate(in_order, none, step, lambda a: a["sum"])
+
+
 def scored(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None, keep: tuple[str, ...] = (), tenant: str | None = None) -> DataFrame:
-    """(item_id, chunk_id, density, idf, keep...) of all passages that hold a term of the item; ``keep`` names columns of the
-    passages.
+    """(item_id, chunk_id, density, idf, keep...) of all passages that hold a term or phrase of the item; ``keep`` names
+    columns of the passages.
 
-    The index and its counts must be of exactly these passages: leave out excluded sources before, not after. With a
-    ``tenant`` column in items and passages, an item sees its own tenant's passages, and all counts are that tenant's.
+    The density adds up the minimal covers of the query in the passage: each place of a word is one, and so is a phrase
+    without such a place in it. The index and its counts must be of exactly these passages: leave out excluded sources before,
+    not after. With a ``tenant`` column in items and passages, an item sees its own tenant's passages, and all counts are that
+    tenant's.
     """
     index = postings(chunks) if index is None else index
     own = [tenant] if tenant else []
-    asked = items.select("item_id", *own, F.explode(query_terms(F.col("question"), F.col("topic"))).alias("term"))
+    text = (F.col("question"), F.col("topic"))
+    parts = query_terms(*text)
+    if "phrases" in items.columns:
+        extra = F.flatten(F.transform(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: F.transform(positions(p), lambda x: x["term"])))
+        parts = F.array_distinct(F.concat(parts, extra))
+    asked = items.select("item_id", *own, query_words(*text).alias("words"), F.explode(parts).alias("term"))
+    asked = asked.select("item_id", *own, "term", F.array_contains("words", F.col("term")).alias("single"))
     if tenant:
         index = index.join(chunks.select("chunk_id", tenant), "chunk_id")
     total = chunks.groupBy(*own).agg(F.count(F.lit(1)).alias("__total"))
-    df = index.join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi").groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.filter("first").join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi").groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(total, tenant) if tenant else df.crossJoin(F.broadcast(total))
     # In billionths, so that the sum is exact and its order changes nothing.
     weights = weights.select(*own, "term", (F.ln(F.col("__total") / F.col("df")).cast("decimal(18,9)") * 1_000_000_000).cast("long").alias("weight"))
-    hits = asked.join(weights, [*own, "term"]).join(index, [*own, "term"]).groupBy("item_id", "chunk_id").agg(F.sum("tf").alias("tf"), F.sum("weight").alias("weight"))
-    sizes = chunk_sizes(index)
-    sized = hits.join(sizes.join(chunks.select("chunk_id", *keep), "chunk_id") if keep else sizes, "chunk_id")
+    places = asked.join(weights, [*own, "term"]).join(index, [*own, "term"])
+    hits = places.groupBy("item_id", "chunk_id").agg(F.count_if("single").alias("n"), F.sum(F.when(F.col("first"), F.col("weight"))).alias("weight"), F.max("size").alias("size"))
+    # Passages with a phrase are few; only there do places and phrases have to be told apart.
+    phrases = phrase_matches(items, index, own)
+    alone = asked.filter("single").join(index, [*own, "term"]).join(phrases.select("item_id", "chunk_id").distinct(), ["item_id", "chunk_id"], "left_semi")
+    extents = phrases.unionByName(alone.select("item_id", "chunk_id", F.col("pos").alias("start"), F.col("pos").alias("end"), F.lit(0).alias("noise")))
+    covers = extents.groupBy("item_id", "chunk_id").agg(F.collect_list(F.struct("start", "end", "noise")).alias("x")).select("item_id", "chunk_id", cover_sum(F.col("x")).alias("covers"))
+    found = hits.join(covers, ["item_id", "chunk_id"], "left").withColumn("n", F.coalesce("covers", F.col("n").cast("double"))).filter("n > 0")
+    found = found.join(chunks.select("chunk_id", *keep), "chunk_id") if keep else found
     norm = 1 + F.ln(1 + F.col("size"))
-    return sized.select("item_id", "chunk_id", F.round(F.col("tf") * 0.1 / norm, 6).alias("density"), F.round(F.col("weight") / 1e9 / norm, 9).alias("idf"), *keep)
+    return found.select("item_id", "chunk_id", F.round(F.col("n") * 0.1 / norm, 6).alias("density"), F.round(F.col("weight") / 1e9 / norm, 9).alias("idf"), *keep)
 
 
 def fused(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None, tenant: str | None = None) -> DataFrame:
@@ -107,8 +156,10 @@ def record_hop(chosen: DataFrame, chunks: DataFrame) -> DataFrame:
     named = named.select("item_id", "chunk_id", "doc_id", "filename", "line_start", "identifier").distinct()
     named = named.join(chosen.select("item_id", "chunk_id"), ["item_id", "chunk_id"], "left_anti")
     asked = named.select("identifier").distinct().withColumn("token", token("identifier"))
-    holds = chunks.select("text", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower))).alias("token"))
-    common = holds.join(asked, "token").filter(F.contains(F.lower("text"), F.lower("identifier"))).groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOP_MAX_CHUNKS)
+    # The tokens travel without their texts; only of passages that hold a named one is the text looked at.
+    holds = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("token"))
+    near = holds.join(asked, "token").select("chunk_id", "identifier").join(chunks.select("chunk_id", "text"), "chunk_id")
+    common = near.filter(F.contains(F.lower("text"), F.lower("identifier"))).groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOP_MAX_CHUNKS)
     mine = chosen.select("item_id", "doc_id").distinct().withColumn("own", F.lit(0))
     named = named.join(mine, ["item_id", "doc_id"], "left").withColumn("own", F.coalesce("own", F.lit(1)))
     order = W.partitionBy("item_id").orderBy("own", "filename", "line_start", "chunk_id")

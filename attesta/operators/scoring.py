@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def ratio(hits: Column, total: Column) -> Column:
-    """Null, and so a failed gate, where there is nothing to measure."""
-    return F.round(hits / F.nullif(total, F.lit(0)), 6)
+    """Null, and so a failed gate, where there is nothing to measure. Not rounded: gates compare what was measured."""
+    return hits / F.nullif(total, F.lit(0))
+
+
+def rounded(metrics: DataFrame, digits: int = 6) -> DataFrame:
+    """``metrics`` with every double rounded, for showing them."""
+    return metrics.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in metrics.dtypes])
 
 
 def label_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -180,12 +185,14 @@ def run_scores(keys: DataFrame, traps: DataFrame, results: DataFrame, citations:
     placeholder, valid. ``queue``: run_id, code. ``offered``: run_id, code, fill.
     """
     key = keys.select("code", "expected_label", "expected_value", "must_ask", "honest_negative", "conflict_trap", "traps", "fills")
-    rows = results.join(key, "code")
     right = (F.col("label") == F.col("expected_label")) & F.col("value").eqNullSafe(F.col("expected_value"))
     want, got = F.col("expected_label") == "conflict", F.col("label") == "conflict"
-    scope_traps = traps.filter("kind = 'scope'").agg(F.coalesce(F.collect_set(F.col("trap_id").cast("string")), F.array().cast("array<string>")).alias("__scope"))
-    rows = rows.crossJoin(F.broadcast(scope_traps))  # the planted traps of one kind, a handful
-    scoped = F.arrays_overlap("traps", "__scope")
+    # Which keys a scope trap exercises is found once for each key, by its traps, before the runs' results meet it.
+    scope_traps = traps.filter("kind = 'scope'").select(F.col("trap_id").cast("string").alias("__trap")).distinct()
+    in_scope = key.select("code", F.explode("traps").alias("__trap")).join(scope_traps, "__trap", "left_semi").select("code").distinct().withColumn("__scoped", F.lit(True))
+    key = key.join(in_scope, "code", "left").withColumn("__scoped", F.coalesce("__scoped", F.lit(False)))
+    rows = results.join(key, "code")
+    scoped = F.col("__scoped")
     dated = (F.col("rule") == "date") & F.col("newer_record")
     base = rows.groupBy("run_id").agg(
         ratio(F.count_if(right), F.count(F.lit(1))).alias("label_accuracy"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,9 +76,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: (session, name, version of its inputs) of tables that are there already, and where they are.
+_STORED: dict[tuple, str] = {}
+
+
+def version(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """A digest of the names, sizes and times of the files of some tables: another file, another version."""
+    said = []
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        said += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once for each version of its inputs and session, and read by all that need it."""
+    key = (spark.sparkContext.applicationId, name, version(spark, sf_dir, *inputs))
+    if key not in _STORED:
+        path = shared_folder(spark, name)
+        make().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus' passages with their document's metadata, as a table."""
-    return written(chunk_documents(corpus(spark, sf_dir)).join(meta(spark, sf_dir), "doc_id"), "chunks")
+    """The corpus' passages with their document's metadata: the table that ingesting the corpus makes."""
+    make = lambda: chunk_documents(corpus(spark, sf_dir)).join(meta(spark, sf_dir), "doc_id")
+    return stored(spark, sf_dir, "chunks", ("documents", "labels"), make)
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positional index of all passages, made with them."""
+    from attesta.operators.retrieval import postings
+
+    return stored(spark, sf_dir, "postings", ("documents", "labels"), lambda: postings(chunks(spark, sf_dir)))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,13 +198,14 @@ CTE: dict[str, tuple] = {
     ),
     "tokens": (
         "chunks",
-        r"""SELECT chunk_id, unnest(regexp_extract_all(lower(heading || ' ' || text), '[\pL\pN]+(?:[.''-][\pL\pN]+)*')) AS w FROM chunks""",
+        r"""SELECT chunk_id, flatten(list_transform(regexp_extract_all(lower(heading || ' ' || text), '[\pL\pN]+(?:[.''-][\pL\pN]+)*'), lambda w: CASE WHEN contains(w, '-') THEN [w] || string_split(w, '-') ELSE [w] END)) AS ws FROM chunks""",
     ),
     "words": (
         "tokens",
-        "SELECT chunk_id, w FROM tokens UNION ALL SELECT chunk_id, unnest(string_split(w, '-')) FROM tokens WHERE contains(w, '-')",
+        "SELECT chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM tokens",
     ),
-    "post": ("words", f"SELECT chunk_id, {sql_stem('w')} AS term, count(*) AS tf FROM words WHERE w <> '' AND w NOT IN ({_STOP}) GROUP BY ALL"),
+    "occ": ("words", f"SELECT chunk_id, {sql_stem('w')} AS term, pos FROM words WHERE w <> '' AND w NOT IN ({_STOP})"),
+    "post": ("occ", "SELECT chunk_id, term, count(*) AS tf FROM occ GROUP BY ALL"),
     "asked": (
         "items",
         rf"""SELECT DISTINCT item_id, {sql_stem("w")} AS term FROM (

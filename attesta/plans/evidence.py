@@ -17,7 +17,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of every term, and its share of all passages."""
     chunks = base.chunks(spark, sf_dir)
     total = chunks.agg(F.count(F.lit(1)).alias("n"))
-    df = R.document_frequency(R.postings(chunks)).crossJoin(F.broadcast(total))
+    df = R.document_frequency(base.index(spark, sf_dir)).crossJoin(F.broadcast(total))
     return df.select("term", "df", F.round(F.ln(F.col("n") / F.col("df")), 6).alias("idf"))
 
 
@@ -31,9 +31,28 @@ def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scored(base.questions(spark, sf_dir), chunks, base.written(R.postings(chunks), "postings"))
 
 
+def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that ask for words in the middle of a benchmark text and for two phrases before them."""
+    words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " ", -1), lambda w: w.rlike("^[A-Za-z]{2,}$"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    said = lambda i, n: F.array_join(F.slice("w", i, n), " ")
+    return rows.select("item_id", said(4, 3).alias("question"), F.lit(None).cast("string").alias("topic"), F.filter(F.array(said(1, 2), said(3, 3)), lambda p: p != "").alias("phrases"))
+
+
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the phrases of each item stand, word by word."""
+    found = R.phrase_matches(_worded(spark, sf_dir), base.index(spark, sf_dir))
+    return found.select("item_id", "chunk_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("noise").cast("long").alias("noise"))
+
+
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scores of the passages that hold a word or phrase of the item."""
+    return R.scored(_worded(spark, sf_dir), base.chunks(spark, sf_dir), base.index(spark, sf_dir))
+
+
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = base.chunks(spark, sf_dir)
-    return R.retrieve(base.questions(spark, sf_dir), chunks, base.written(R.postings(chunks), "postings"), hop=False)
+    return R.retrieve(base.questions(spark, sf_dir), chunks, base.index(spark, sf_dir), hop=False)
 
 
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +64,7 @@ def retrieval_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged passages among each item's first 8. Every fifth item asks in the flagged passages' own words."""
     own = F.when(F.col("item_id") % 5 == 0, F.lit("ignore previous instructions")).otherwise(F.col("question"))
     chunks = base.chunks(spark, sf_dir)
-    return R.dropped(base.questions(spark, sf_dir).withColumn("question", own), chunks, base.written(R.postings(chunks), "postings")).select("item_id", "chunk_id", "filename", "reason")
+    return R.dropped(base.questions(spark, sf_dir).withColumn("question", own), chunks, base.index(spark, sf_dir)).select("item_id", "chunk_id", "filename", "reason")
 
 
 def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +179,7 @@ def draft_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "a2_term_frequencies": term_frequencies, "f9_query_terms": query_terms, "a3_match_scores": match_scores, "d4_retrieve_topk": retrieve_topk, "p3_retrieval_drops": retrieval_drops, "a15_retrieval_recall": retrieval_recall,
+        "a2_term_frequencies": term_frequencies, "f9_query_terms": query_terms, "a3_match_scores": match_scores, "a3_cover_density": cover_density, "j2_phrase_matches": phrase_matches, "d4_retrieve_topk": retrieve_topk, "p3_retrieval_drops": retrieval_drops, "a15_retrieval_recall": retrieval_recall,
         "j5_judged_passages": judged_passages, "d5_decide": decide, "a7_conflict_sides": conflict_sides, "p5_drop_reasons": drop_reasons, "d7_template_answers": template_answers, "a24_label_counts": label_counts,
         "j8_citation_context": citation_context, "a17_citation_validity": citation_validity, "a27_source_documents": source_documents, "f8_draft_numbers": draft_numbers,
     }
@@ -219,6 +238,22 @@ _SCORED = """, own AS (SELECT * FROM chunks {where}), p AS (SELECT post.* FROM p
 hit AS (SELECT item_id, chunk_id, sum(tf) AS tf, sum(ln(n / df)::DECIMAL(18, 9)) AS weight FROM asked JOIN df USING (term) JOIN p USING (term), nn GROUP BY 1, 2),
 sc AS (SELECT item_id, chunk_id, round(tf * 0.1 / (1 + ln(1 + size)), 6) AS density, round(weight::DOUBLE / (1 + ln(1 + size)), 9) AS idf FROM hit JOIN sz USING (chunk_id))"""
 
+_WORDED = rf""", bw AS (SELECT item_id, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda w: regexp_matches(w, '^[A-Za-z]{{2,}}$')) AS w FROM benchmark),
+pw AS (SELECT item_id, [w[1:2], w[3:5]] AS ps FROM bw),
+ph AS (SELECT item_id, k, lower(unnest(ps[k])) AS w, generate_subscripts(ps[k], 1) - 1 AS off FROM (SELECT item_id, ps, unnest([1, 2]) AS k FROM pw)),
+pt AS (SELECT item_id, k, {base.sql_stem("w")} AS term, off FROM ph WHERE w NOT IN ({base._STOP})),
+po AS (SELECT item_id, k, term, off - min(off) OVER (PARTITION BY item_id, k) AS off, count(*) OVER (PARTITION BY item_id, k) AS n, max(off) OVER (PARTITION BY item_id, k) - min(off) OVER (PARTITION BY item_id, k) AS span FROM pt),
+ext AS (SELECT DISTINCT item_id, chunk_id, pos - off AS start, pos - off + span AS "end", span - n + 1 AS noise FROM po JOIN occ USING (term) GROUP BY item_id, k, chunk_id, pos - off, n, span HAVING count(*) = n)"""
+
+#: Covers by windows: an extent counts if no extent that ends before it, or with it, starts as late.
+_COVERS = _WORDED + rf""", sw AS (SELECT DISTINCT item_id, {base.sql_stem("w")} AS term FROM (SELECT item_id, lower(unnest(w[4:6])) AS w FROM bw) WHERE w NOT IN ({base._STOP})),
+ask AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, term FROM sw UNION ALL SELECT item_id, term FROM pt)),
+both_ AS (SELECT item_id, chunk_id, start, "end", noise FROM ext UNION SELECT item_id, chunk_id, pos, pos, 0 FROM sw JOIN occ USING (term)),
+cov AS (SELECT *, max(start) OVER (PARTITION BY item_id, chunk_id ORDER BY "end", start DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM both_),
+nn AS (SELECT count(*) AS n FROM chunks), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1), sz AS (SELECT chunk_id, count(*) AS size FROM post GROUP BY 1),
+dens AS (SELECT item_id, chunk_id, sum(1 / (1 + noise)) AS s FROM cov WHERE before IS NULL OR start > before GROUP BY 1, 2),
+wt AS (SELECT item_id, chunk_id, sum(ln(n / df)::DECIMAL(18, 9)) AS weight FROM ask JOIN dfs USING (term) JOIN post USING (term), nn GROUP BY 1, 2)"""
+
 _FUSED = _SCORED.replace("{where}", "") + """,
 r1 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY density DESC, filename, line_start, chunk_id) AS a FROM sc JOIN chunks USING (chunk_id)),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY idf DESC, filename, line_start, chunk_id) AS b FROM r1 WHERE a <= 200),
@@ -233,6 +268,8 @@ def oracle_sql() -> dict[str, str]:
         "a2_term_frequencies": sql("post", ", df AS (SELECT term, count(*) AS df FROM post GROUP BY 1) SELECT term, df, round(ln((SELECT count(*) FROM chunks) / df), 6) AS idf FROM df"),
         "f9_query_terms": sql("asked", "SELECT item_id, string_agg(term, ' ' ORDER BY term) AS terms FROM asked GROUP BY 1"),
         "a3_match_scores": sql("post asked", _SCORED.replace("{where}", "WHERE origin <> 'statement'") + " SELECT * FROM sc"),
+        "j2_phrase_matches": sql("occ", _WORDED + ' SELECT item_id, chunk_id, start, "end", noise FROM ext'),
+        "a3_cover_density": sql("post", _COVERS + " SELECT item_id, chunk_id, round(s * 0.1 / (1 + ln(1 + size)), 6) AS density, round(weight::DOUBLE / (1 + ln(1 + size)), 9) AS idf FROM dens JOIN wt USING (item_id, chunk_id) JOIN sz USING (chunk_id)"),
         "d4_retrieve_topk": sql("post asked", _FUSED + " SELECT item_id, chunk_id, rank, idx, score FROM top WHERE idx <= 8"),
         "p3_retrieval_drops": sql("post asked", _FUSED + " SELECT item_id, chunk_id, filename, 'injection' AS reason FROM fu WHERE rank <= 8 AND list_contains(flags, 'injection')").replace("text AS question", "CASE WHEN item_id % 5 = 0 THEN 'ignore previous instructions' ELSE text END AS question"),
         "a15_retrieval_recall": sql("post asked", _FUSED + r""", qi AS (SELECT item_id, regexp_replace(question, '\s+', ' ', 'g') AS quote FROM items),

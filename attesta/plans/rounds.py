@@ -138,9 +138,9 @@ def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages and record rows for each item, with up to three rows that the chosen passages name."""
-    rows = base.chunks(spark, sf_dir).unionByName(_inventory(spark, sf_dir), allowMissingColumns=True)
-    rows = written(rows, "chunks")
-    got = R.retrieve(base.questions(spark, sf_dir), rows, written(R.postings(rows), "postings"))
+    sheet = written(_inventory(spark, sf_dir), "sheet")
+    rows = base.chunks(spark, sf_dir).unionByName(sheet, allowMissingColumns=True)
+    got = R.retrieve(base.questions(spark, sf_dir), rows, base.index(spark, sf_dir).unionByName(R.postings(sheet)))
     return got.select("item_id", "chunk_id", F.col("idx").cast("long").alias("idx"))
 
 
@@ -148,7 +148,7 @@ def tenant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores within each workspace: its own passages, counts and totals alone."""
     rows = base.chunks(spark, sf_dir)
     items = base.questions(spark, sf_dir).withColumn("workspace_id", F.concat(F.lit("w"), (F.col("item_id") % 3).cast("string")))
-    return R.scored(items, rows, written(R.postings(rows), "postings"), tenant="workspace_id")
+    return R.scored(items, rows, base.index(spark, sf_dir), tenant="workspace_id")
 
 
 # Uses, exports, statements

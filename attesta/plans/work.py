@@ -287,7 +287,7 @@ m AS (SELECT pack, count(*) AS items, round(count(*) FILTER (expected = label) /
 
 
 def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.label_metrics(_keyed(spark, sf_dir), ["pack"])
+    return G.rounded(G.label_metrics(_keyed(spark, sf_dir), ["pack"]))
 
 
 def run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +299,7 @@ def run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     faithful = rows.filter("pack <> '5-LOW'").groupBy("pack").agg(G.ratio(F.count_if(written & (F.col("expected") != "unknown")), F.count_if(written)).alias("faithfulness"))
     metrics = G.label_metrics(rows, ["pack"]).join(asked, "pack").join(faithful, "pack", "left")
     rules = spark.createDataFrame([("accuracy", ">=", 0.83, True), ("conflict_recall", ">=", 0.9, False), ("ask_recall", ">=", 0.8, True), ("faithfulness", ">=", 0.5, True)], "metric string, op string, target double, gating boolean")
-    return G.gates(G.unpivoted(metrics, ["pack"], ["accuracy", "conflict_recall", "ask_recall", "faithfulness"]), rules).select("pack", "metric", "value", "passed", "reason")
+    return G.gates(G.unpivoted(metrics, ["pack"], ["accuracy", "conflict_recall", "ask_recall", "faithfulness"]), rules).select("pack", "metric", F.round("value", 6).alias("value"), "passed", "reason")
 
 
 def verifier_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +333,7 @@ def model_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("model/"), (F.col("l_suppkey") % 5).cast("string")).alias("model"), F.lit("yes").alias("expected"), F.when(h < 180, "yes").otherwise("no").alias("label"),
         ((F.col("l_suppkey") % 5 == 4) | (h % 50 == 0)).alias("failed"), (F.col("l_quantity") / 10000).cast("decimal(10,4)").alias("cost_usd"), F.col("l_quantity").alias("latency_ms"),
     )
-    return G.bench(rows)
+    return G.rounded(G.bench(rows))
 
 
 def replay_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
