@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.shared import let, matching_rows, row_key, written
+from attesta.llm.shared import fresh, let, row_key, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -75,13 +75,15 @@ def normal_line(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """(__id, __text, host, copy, line, n_words): a row for each line of a document; copies share ``copy``."""
+    """(__id, __text, host, copy, line, place, n_words): a row for each line of a document with a word, with its place among all
+    lines from 0; copies share ``copy``."""
+    placed = F.transform(F.split(F.col("text"), "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     hashed = F.transform(
-        F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        lambda x: F.struct(F.md5(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n")),
+        F.filter(placed, lambda p: p["x"].rlike(r"[^\x20\x09-\x0D]")),
+        lambda p: F.struct(F.md5(normal_line(p["x"])).alias("h"), F.size(words_of(p["x"])).alias("n"), p["i"].alias("i")),
     )
     rows = docs.select(*row_key(), F.col("source").alias("host"), F.xxhash64("text").alias("copy"), F.explode(hashed).alias("x"))
-    return rows.select("__id", "__text", "host", "copy", F.col("x.h").alias("line"), F.col("x.n").cast("long").alias("n_words"))
+    return rows.select("__id", "__text", "host", "copy", F.col("x.h").alias("line"), F.col("x.i").alias("place"), F.col("x.n").cast("long").alias("n_words"))
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, limits: LineLimits) -> DataFrame:
@@ -93,28 +95,50 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, limits: LineLimits) -> Dat
     return above.filter(F.col("n_docs") > F.lit(limits.share) * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def removed_words(docs: DataFrame, limits: LineLimits) -> DataFrame:
-    """(__id, __text, n_removed): words of each document that stand in lines above the limits; others have no row."""
+def removed_lines(docs: DataFrame, limits: LineLimits) -> DataFrame:
+    """(__id, __text, removed): the lines (place, n_words) of each document that are above the limits, in order; documents
+    without such a line have no row."""
     lines = written(document_lines(docs), "lines")  # read twice, so made once
     frequent = frequent_lines(lines, docs, limits).select(F.col("host").alias("__host"), F.col("line").alias("__line"))
     hit = lines.join(frequent, (F.col("line") == F.col("__line")) & F.col("host").eqNullSafe(F.col("__host")), "left_semi")
-    # A repeated row counts its lines again; as many rows share the sum.
-    per_row = hit.groupBy("__id", "__text").agg(F.sum("n_words").alias("n_removed"))
-    return per_row
+    # Repeated rows have their lines in the same places.
+    return hit.groupBy("__id", "__text").agg(F.array_sort(F.collect_set(F.struct("place", "n_words"))).alias("removed"))
 
 
 def judge(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text, source): the base counts, n_removed_words and ``kept``."""
+    """A row for each row of ``docs`` (doc_id, text, source): the base counts, n_removed_words, the places of the lines that are
+    removed (``removed_lines``) and ``kept``, beside the row's key (__id, __text)."""
     rows = docs.select("doc_id", "text", "source")
     # Written, or the counts would be made once more for each condition on them that Spark pushes down.
     stats = written(base_stats(rows, [F.col("doc_id"), *row_key()]), "stats")
-    copies = rows.groupBy(*row_key()).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
-    removed = removed_words(rows, limits).join(copies, ["__id", "__text"], "left").select("__id", "__text", (F.col("n_removed") / F.coalesce("n_rows", F.lit(1))).cast("long").alias("n_removed_words"))
-    out = stats.join(removed, ["__id", "__text"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
+    removed = removed_lines(rows, limits).select(
+        "__id", "__text", F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["n_words"]).alias("n_removed_words"), F.transform("removed", lambda x: x["place"]).alias("removed_lines")
+    )
+    out = stats.join(removed, ["__id", "__text"], "left").withColumns({"n_removed_words": F.coalesce("n_removed_words", F.lit(0).cast("long")), "removed_lines": F.coalesce("removed_lines", F.array().cast("array<int>"))})
     depleted = F.col("n_removed_words") > F.lit(limits.depleted) * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """``text`` less the lines at some places; the others stay as they are."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(places, i)), "\n")
+
+
 def keep_good(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """``docs`` with all its columns, less the rows that :func:`judge` rejects."""
-    return matching_rows(docs, judge(docs, limits).filter("kept"), "left_semi")
+    """``docs`` with all its columns, less the rows that :func:`judge` rejects and the lines above the limits.
+
+    A row that loses lines has its text without them, and its n_chars counts what is left.
+    """
+    names = {x: fresh([*docs.columns, "__id", "__text"], x) for x in ("__row_id", "__row_text", "__places")}
+    verdicts = judge(docs, limits).filter("kept").groupBy("__id", "__text").agg(F.first("removed_lines").alias(names["__places"]))
+    verdicts = verdicts.select(F.col("__id").alias(names["__row_id"]), F.col("__text").alias(names["__row_text"]), names["__places"])
+    keys = {x: fresh([*docs.columns, *names.values()], x) for x in ("__key_id", "__key_text")}
+    rows = docs.withColumns(dict(zip(keys.values(), row_key(), strict=True)))
+    kept = rows.join(verdicts, (F.col(keys["__key_id"]) == F.col(names["__row_id"])) & (F.col(keys["__key_text"]) == F.col(names["__row_text"])))
+    loses = F.size(names["__places"]) > 0
+    text = F.when(loses, without_lines(F.col("text"), F.col(names["__places"]))).otherwise(F.col("text"))
+    shorter = kept.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], loses.alias(names["__places"]))
+    if "n_chars" not in docs.columns:
+        return shorter.select(*docs.columns)
+    n_chars = F.when(F.col(names["__places"]), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return shorter.select(*[n_chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", F.array_join("removed_lines", ",").alias("removed_lines")
     )
 
 
@@ -106,18 +106,18 @@ base AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (doc_id) LEFT JOIN r USING (doc_id)),
 ln AS (
-  SELECT doc_id, source, text,
+  SELECT doc_id, source, text, i,
     md5(trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS h,
     len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
-  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 f AS (
   SELECT c.source, h FROM (SELECT source, h, count(DISTINCT text) AS n FROM ln GROUP BY 1, 2) c
   JOIN (SELECT source, count(*) AS nd FROM (SELECT DISTINCT source, text FROM documents) GROUP BY 1) t ON t.source IS NOT DISTINCT FROM c.source WHERE n > 5 AND n > 0.01 * nd),
-rm AS (SELECT doc_id, sum(n)::BIGINT AS n_removed FROM ln JOIN f ON f.h = ln.h AND f.source IS NOT DISTINCT FROM ln.source GROUP BY 1)
+rm AS (SELECT doc_id, sum(n)::BIGINT AS n_removed, string_agg(i::VARCHAR, ',' ORDER BY i) AS places FROM ln JOIN f ON f.h = ln.h AND f.source IS NOT DISTINCT FROM ln.source GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(n_removed, 0) > 0.5 * n_words AS kept,
-  coalesce(n_removed, 0) AS n_removed_words
+  coalesce(n_removed, 0) AS n_removed_words, coalesce(places, '') AS removed_lines
 FROM base LEFT JOIN rm USING (doc_id)
 """
 

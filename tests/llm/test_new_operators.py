@@ -9,9 +9,10 @@ from collections import defaultdict
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from texts import awkward, frame
+from test_small_operators import base_of
+from texts import awkward, frame, prose
 
-from attesta.llm import exact, manifest, queries as Q, screening, tries
+from attesta.llm import exact, manifest, quality, queries as Q, screening, tries
 from attesta.llm.shared import numbered
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -202,6 +203,41 @@ def test_keep_first(spark):
     assert exact.keep_first(frame(spark, [])).count() == 0 and exact.assign(frame(spark, [])).count() == 0
 
 
+def brute_kept(rows):
+    """What is left of (doc_id, text, source, n_chars): boilerplate lines of a host go, and so do depleted and bad texts."""
+    space = "\x20\x09\x0a\x0b\x0c\x0d"
+    normal = lambda x: re.sub(f"[{space}]+", " ", re.sub("[0-9]+", "0", x.lower())).strip(" ")
+    words = lambda x: [w for w in re.split(f"[{space}]+", x) if w]
+    hosts, holders = defaultdict(set), defaultdict(set)
+    for _, text, host, _ in rows:
+        hosts[host].add(text)
+        for x in (text or "").split("\n"):
+            if words(x):
+                holders[host, normal(x)].add(text)
+    often = {k for k, v in holders.items() if len(v) > 5 and len(v) > 0.01 * len(hosts[k[0]])}
+    out = []
+    for doc, text, host, n in rows:
+        lines = (text or "").split("\n")
+        gone = [bool(words(x)) and (host, normal(x)) in often for x in lines]
+        _, _, _, _, repeated = base_of(text)
+        total, lost = len(words(text or "")), sum(len(words(x)) for x, g in zip(lines, gone) if g)
+        if total >= 50 and 100 * repeated <= 50 * total and lost <= 0.5 * total:
+            left = "\n".join(x for x, g in zip(lines, gone) if not g) if any(gone) else text
+            out.append((doc, left, host, len(left) if any(gone) else n))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_boilerplate_lines_leave_the_texts(spark, extra):
+    own = lambda i, n: "\n".join(f"{prose(1000 * i + k, 7)} of {i}" for k in range(n))
+    rows = [(i, f"Home |  About {i}\n{own(i, 12)}\n\nAll rights reserved 20{i % 90 + 10}\nhome | about 7", "en", "site", 5) for i in range(40)]
+    rows += [(200 + i, "\n".join(["Home | About", "All rights reserved 1999"] * 12) + f"\n{own(300 + i, 2)}", "en", "site", 1) for i in range(8)]
+    rows += [(400 + i, f"Home | About 1\n{own(500 + i, 12)}", "en", None, None) for i in range(4)] + awkward() + [rows_ for rows_ in [(3, f"Home | About 9\n{own(3, 12)}", "en", "site", 1)] * 2]
+    got = quality.keep_good(frame(spark, rows, extra=extra).repartition(3))
+    assert got.columns == frame(spark, rows, extra=extra).columns
+    assert sorted((tuple(r) for r in got.select("doc_id", "text", "source", "n_chars").collect()), key=str) == brute_kept([(r[0], r[1], r[3], r[4]) for r in rows])
+
+
 @pytest.mark.parametrize("name", ["op11_conversation_trie", "op12_merkle_manifest", "op13_exact_dedup"])
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_against_sql(spark, name, sf):
