@@ -15,7 +15,7 @@ from attesta.llm.shared import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that fail the base rules or are depleted by their host's boilerplate."""
+    """Drops rows that fail the base rules or are depleted by their host's boilerplate, and such lines from all others."""
     return quality.keep_good(docs)
 
 
