@@ -175,7 +175,7 @@ def template_answer(label: Column, value: Column, citations: Column, conflict: C
 
 def draft_problems(text: Column, citations: Column, conflict: Column, known_names: Column) -> Column:
     """What is wrong with a drafted answer, an empty array if nothing: quotes, document names and numbers must come from
-    its evidence. ``known_names``: the plain names of all documents of the workspace."""
+    its evidence. ``known_names``: plain names of documents of the workspace, those that the text may hold among them."""
     from attesta.functions.text import unsupported_numbers
 
     flat = normalize_text(text)
@@ -195,19 +195,40 @@ def draft_problems(text: Column, citations: Column, conflict: Column, known_name
     return F.when(F.trim(text) == "", F.array(F.lit("the answer is empty"))).otherwise(problems)
 
 
-def answers(decisions: DataFrame, drafts: DataFrame | None = None, known_names: DataFrame | None = None) -> DataFrame:
-    """The decisions with ``text`` and its ``source``: a draft (item_id, text) without problems, else the template.
+def mentioned(drafts: DataFrame, documents: DataFrame, tenant: str) -> DataFrame:
+    """(item_id, names): the plain names of the tenant's documents that a draft (item_id, tenant, text) may hold.
 
-    ``known_names`` (name) are the plain names of the documents, a few per workspace, gathered into one array.
+    Names of several words are looked up by the word that the fewest names of the tenant share, so a draft meets few of them
+    however many documents there are; whether a name stands there as a whole is left to the caller.
     """
+    words = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(normalize_text(text)), F.lit(r"(?U)\w+"), F.lit(0)))
+    names = documents.select(tenant, plain_name(F.col("filename")).alias("name")).distinct().filter(F.contains("name", F.lit(" ")))
+    said = names.select(tenant, "name", F.explode(words(F.col("name"))).alias("word"))
+    shared = said.groupBy(tenant, "word").agg(F.count(F.lit(1)).alias("names"))
+    keys = said.join(shared, [tenant, "word"]).groupBy(tenant, "name").agg(F.min_by("word", F.struct("names", "word")).alias("word"))
+    asked = drafts.select("item_id", tenant, F.explode(words(F.col("text"))).alias("word"))
+    return asked.join(keys, [tenant, "word"]).groupBy("item_id").agg(F.collect_set("name").alias("names"))
+
+
+def drafts_checked(decisions: DataFrame, drafts: DataFrame, documents: DataFrame | None = None, tenant: str = "workspace_id") -> DataFrame:
+    """``decisions`` that have a draft, with ``draft`` and its ``problems``.
+
+    ``drafts``: item_id, text, and the tenant if ``documents`` (tenant, filename) are given, of which it may name only those
+    that it cites.
+    """
+    rows = decisions.join(drafts.select("item_id", F.col("text").alias("draft")), "item_id")
+    names = F.array().cast("array<string>")
+    if documents is not None:
+        rows = rows.join(mentioned(drafts, documents, tenant), "item_id", "left")
+        names = F.coalesce("names", names)
+    return rows.withColumn("problems", draft_problems(F.col("draft"), F.col("citations"), F.col("conflict"), names)).drop("names")
+
+
+def answers(decisions: DataFrame, drafts: DataFrame | None = None, documents: DataFrame | None = None, tenant: str = "workspace_id") -> DataFrame:
+    """The decisions with ``text`` and its ``source``: a draft without problems (see :func:`drafts_checked`), else the template."""
     made = template_answer(*[F.col(c) for c in ("label", "value", "citations", "conflict", "scope_note")])
     if drafts is None:
         return decisions.withColumn("text", made).withColumn("source", F.lit("template"))
-    joined = decisions.join(drafts.select("item_id", F.col("text").alias("draft")), "item_id", "left")
-    names = F.array().cast("array<string>")
-    if known_names is not None:
-        joined = joined.crossJoin(F.broadcast(known_names.agg(F.collect_set("name").alias("__names"))))
-        names = F.col("__names")
-    good = F.coalesce(F.size(draft_problems(F.col("draft"), F.col("citations"), F.col("conflict"), names)) == 0, F.lit(False)) & (F.col("label") != "unknown")
-    out = joined.withColumn("text", F.when(good, F.col("draft")).otherwise(made)).withColumn("source", F.when(good, "draft").otherwise("template"))
-    return out.drop("draft", "__names")
+    fit = drafts_checked(decisions, drafts, documents, tenant).filter((F.size("problems") == 0) & (F.col("label") != "unknown")).select("item_id", "draft")
+    joined = decisions.join(fit, "item_id", "left")
+    return joined.withColumn("text", F.coalesce("draft", made)).withColumn("source", F.when(F.col("draft").isNotNull(), "draft").otherwise("template")).drop("draft")

@@ -1,5 +1,5 @@
 """The queries of the library, by family; each module has ``queries()`` and ``oracle_sql()``."""
 
-from attesta.plans import corpus, evidence, keys, rounds, streams, work
+from attesta.plans import corpus, evidence, keys, later, rounds, streams, work
 
-MODULES = [corpus, evidence, work, keys, rounds, streams]
+MODULES = [corpus, evidence, work, keys, rounds, streams, later]

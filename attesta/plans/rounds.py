@@ -69,11 +69,15 @@ def gap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Outcomes that must be judged again
 
 
+def _numbered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(W.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
+    return table(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("outcome_id"), n.alias("part_n"), "p_partkey", F.concat("p_name", F.lit("?")).alias("question"))
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Outcomes of a brand and size with parts; the suppliers of a part's order lines are the passages found for it."""
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    n = F.row_number().over(W.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
-    rows = p.select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("outcome_id"), n.alias("part_n"), "p_partkey", F.concat("p_name", F.lit("?")).alias("question"))
+    k = F.col("p_partkey")
+    rows = _numbered_parts(spark, sf_dir)
     deployed = rows.select("outcome_id", "part_n", "question")
     line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").cast("string").alias("chunk_id"), "l_shipdate")
     before = line.filter("l_shipdate < '1998-03-01'").groupBy("p_partkey").agg(F.collect_set("chunk_id").alias("chunk_ids"))

@@ -8,6 +8,7 @@ table's first row names the cells of the others.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.text import normalize_text, once
@@ -117,6 +118,31 @@ def record_rows(rows: DataFrame, columns: dict[str, str], as_of: Column | None =
     return rows.withColumns({"text": record_line(headers, values), "as_of": own if as_of is None else F.coalesce(as_of, own)})
 
 
+#: A day that a sheet states for all its rows.
+STATED = r"(?i)\b(?:as of|as at|last updated)\b\W*([0-9]{4}-[0-9]{2}-[0-9]{2})"
+
+
+def sheet_lines(grid: DataFrame) -> DataFrame:
+    """(sheet_id, n, text, kind, as_of): the lines of sheets given by their rows (sheet_id, row, cells array<string>).
+
+    The first row with two filled cells or more names the columns. Rows above it are plain lines; the last valid day that one
+    of them states as the sheet's own dates all rows below, else a row's latest date does. Empty rows have no line.
+    """
+    filled = F.filter(F.transform("cells", lambda c: normalize_text(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    rows = grid.select("sheet_id", "row", "cells", filled.alias("filled")).filter(F.size("filled") > 0)
+    head = rows.filter(F.size("filled") >= 2).groupBy("sheet_id").agg(F.min("row").alias("head"), F.min_by("cells", "row").alias("names"))
+    rows = rows.join(head, "sheet_id", "left").withColumn("title", F.array_join("filled", " "))
+    above = F.coalesce(F.col("row") < F.col("head"), F.lit(True))
+    day = F.try_to_date(F.regexp_extract("title", STATED, 1), "yyyy-MM-dd")
+    titles = rows.filter(above & F.contains(F.col("title"), F.lit("-"))).withColumn("day", day).filter("day is not null")
+    stated = titles.groupBy("sheet_id").agg(F.max_by("day", "row").alias("stated"))
+    rows = rows.filter(F.col("head").isNull() | (F.col("row") != F.col("head"))).join(stated, "sheet_id", "left")
+    text = F.when(above, F.col("title")).otherwise(record_line(F.col("names"), F.col("cells")))
+    dated = F.when(~above, F.coalesce("stated", latest_date(F.col("names"), F.col("cells"))))
+    out = rows.select("sheet_id", "row", text.alias("text"), F.when(above, "text").otherwise("record").alias("kind"), dated.alias("as_of")).filter("text <> ''")
+    return out.withColumn("n", F.row_number().over(W.partitionBy("sheet_id").orderBy("row"))).select("sheet_id", "n", "text", "kind", "as_of")
+
+
 #: The characters of the Western code page at bytes that Latin-1 has controls for.
 WESTERN = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
