@@ -96,7 +96,7 @@ def scored(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None,
         parts = F.array_distinct(F.concat(parts, extra))
     asked = items.select("item_id", *own, query_words(*text).alias("words"), F.explode(parts).alias("term"))
     asked = asked.select("item_id", *own, "term", F.array_contains("words", F.col("term")).alias("single"))
-    if tenant:
+    if tenant and tenant not in index.columns:
         index = index.join(chunks.select("chunk_id", tenant), "chunk_id")
     total = chunks.groupBy(*own).agg(F.count(F.lit(1)).alias("__total"))
     df = index.filter("first").join(asked.select(*own, "term").distinct(), [*own, "term"], "left_semi").groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
@@ -142,30 +142,32 @@ def identifiers(chunks: DataFrame) -> DataFrame:
     return chunks.filter("record").filter(~F.array_contains("flags", "injection")).withColumn("identifier", first).filter("identifier <> ''")
 
 
-def record_hop(chosen: DataFrame, chunks: DataFrame) -> DataFrame:
+def record_hop(chosen: DataFrame, chunks: DataFrame, tenant: str | None = None) -> DataFrame:
     """(item_id, chunk_id, hop): at most HOP record rows that a chosen passage of the item names.
 
     An identifier is found through its first token, then compared as a quote; one that stands in more than
-    HOP_MAX_CHUNKS passages is too common. Rows of documents already chosen come first.
+    HOP_MAX_CHUNKS passages is too common. Rows of documents already chosen come first. With a ``tenant`` all of this is
+    within one tenant.
     """
+    own = [tenant] if tenant else []
     token = lambda c: F.lower(F.regexp_extract(c, r"[\p{L}\p{N}]+", 0))
     rows = identifiers(chunks).withColumn("token", token("identifier"))
-    said = chosen.select("item_id", F.col("chunk_id").alias("by"), F.col("text").alias("by_text"))
+    said = chosen.select("item_id", *own, F.col("chunk_id").alias("by"), F.col("text").alias("by_text"))
     words = said.withColumn("token", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("by_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower))))
-    named = words.join(rows, "token").filter(contains_quote(F.col("by_text"), F.col("identifier")))
-    named = named.select("item_id", "chunk_id", "doc_id", "filename", "line_start", "identifier").distinct()
+    named = words.join(rows, [*own, "token"]).filter(contains_quote(F.col("by_text"), F.col("identifier")))
+    named = named.select("item_id", *own, "chunk_id", "doc_id", "filename", "line_start", "identifier").distinct()
     named = named.join(chosen.select("item_id", "chunk_id"), ["item_id", "chunk_id"], "left_anti")
-    asked = named.select("identifier").distinct().withColumn("token", token("identifier"))
+    asked = named.select(*own, "identifier").distinct().withColumn("token", token("identifier"))
     # The tokens travel without their texts; only of passages that hold a named one is the text looked at.
-    holds = chunks.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("token"))
-    near = holds.join(asked, "token").select("chunk_id", "identifier").join(chunks.select("chunk_id", "text"), "chunk_id")
-    common = near.filter(F.contains(F.lower("text"), F.lower("identifier"))).groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOP_MAX_CHUNKS)
+    holds = chunks.select("chunk_id", *own, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("token"))
+    near = holds.join(asked, [*own, "token"]).select("chunk_id", *own, "identifier").join(chunks.select("chunk_id", "text"), "chunk_id")
+    common = near.filter(F.contains(F.lower("text"), F.lower("identifier"))).groupBy(*own, "identifier").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOP_MAX_CHUNKS)
     mine = chosen.select("item_id", "doc_id").distinct().withColumn("own", F.lit(0))
     named = named.join(mine, ["item_id", "doc_id"], "left").withColumn("own", F.coalesce("own", F.lit(1)))
     order = W.partitionBy("item_id").orderBy("own", "filename", "line_start", "chunk_id")
     first = F.min(F.struct("own", "filename", "line_start", "chunk_id")).over(W.partitionBy("item_id", "identifier"))
     looked = named.withColumn("__first", first).withColumn("__seen", F.dense_rank().over(W.partitionBy("item_id").orderBy("__first"))).filter(F.col("__seen") <= HOP_MAX_IDENTIFIERS)
-    found = looked.join(common, "identifier", "left_anti").withColumn("hop", F.row_number().over(order)).filter(F.col("hop") <= HOP)
+    found = looked.join(common, [*own, "identifier"], "left_anti").withColumn("hop", F.row_number().over(order)).filter(F.col("hop") <= HOP)
     return found.select("item_id", "chunk_id", "hop")
 
 
@@ -173,13 +175,14 @@ def retrieve(items: DataFrame, chunks: DataFrame, index: DataFrame | None = None
     """At most K passages of each item: ``chunks``' columns with item_id, the rank among candidates, and ``idx`` from 1.
 
     ``chunks`` needs chunk_id, doc_id, filename, line_start, text, heading, flags, record, and the ``tenant`` if one is
-    named; hops stay within one tenant's passages if ``chunks`` holds only those.
+    named, within which all counts, ranks and hops then stay. Ids of different tenants must differ; see
+    :func:`attesta.operators.tenants.in_tenants`.
     """
     clean = fused(items, chunks, index, tenant).filter(~F.array_contains("flags", "injection"))
     if not hop:
         return under_caps(clean, K)
     first = under_caps(clean, K - HOP)
-    hops = record_hop(first, chunks)
+    hops = record_hop(first, chunks, tenant)
     rest = under_caps(clean.join(hops, ["item_id", "chunk_id"], "left_anti"), K)
     count = hops.groupBy("item_id").agg(F.max("hop").alias("hops"))
     rest = rest.join(count, "item_id", "left").withColumn("hops", F.coalesce("hops", F.lit(0))).filter(F.col("idx") <= K - F.col("hops"))

@@ -90,12 +90,17 @@ def version(spark: SparkSession, sf_dir: str, *names: str) -> str:
     return hashlib.sha256("\n".join(said).encode()).hexdigest()
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is made once for each version of its inputs and session, and read by all that need it."""
+def stored(spark: SparkSession, sf_dir: str, name: str, inputs: tuple[str, ...], make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """A table that is made once for each version of its inputs and session, and read by all that need it; in folders ``by``
+    a column if one is named."""
     key = (spark.sparkContext.applicationId, name, version(spark, sf_dir, *inputs))
     if key not in _STORED:
         path = shared_folder(spark, name)
-        make().write.parquet(path)
+        rows = make()
+        if by:
+            rows.hint("rebalance", by).write.partitionBy(by).parquet(path)
+        else:
+            rows.write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

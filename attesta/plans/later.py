@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions import canonical
 from attesta.operators import decisions as D
+from attesta.operators import retrieval as R
 from attesta.operators.detail import evidence_detail
+from attesta.operators.tenants import in_tenants, of_tenants
 from attesta.plans import base, evidence, rounds
 from attesta.plans.base import shared_folder, sql, table
 from attesta.sources.lines import sheet_lines
@@ -128,6 +130,31 @@ _SHEETS = """WITH s AS (
     CASE WHEN o_custkey % 3 = 0 THEN '2024-0' || (o_custkey % 9 + 1) || '-15' WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END FROM orders)
 SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY row) AS n, text, kind, as_of FROM s"""
 
+# Tenants: the same questions, under the same ids, in two of three workspaces
+
+
+def tenant_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of two tenants finds in its own passages, which are stored by tenant."""
+    asked = base.questions(spark, sf_dir).withColumn("workspace_id", F.explode(F.array(F.lit("w0"), F.lit("w1"))))
+    chunks = base.stored(spark, sf_dir, "tenant-chunks", ("documents", "labels"), lambda: base.chunks(spark, sf_dir), by="workspace_id")
+    index = base.stored(spark, sf_dir, "tenant-postings", ("documents", "labels"), lambda: base.index(spark, sf_dir).join(chunks.select("chunk_id", "workspace_id"), "chunk_id"), by="workspace_id")
+    own = [of_tenants(t, asked, "workspace_id") for t in (chunks, index)]
+    run = lambda items, c, i: R.retrieve(items, c, i, hop=False, tenant="workspace_id")
+    got = in_tenants(run, "workspace_id", ("item_id", "chunk_id", "doc_id"), asked, *own)
+    return got.select("workspace_id", "item_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.col("idx").cast("long").alias("idx"), "score")
+
+
+_TENANTS = """, tp AS (SELECT workspace_id AS ws, post.* FROM post JOIN chunks USING (chunk_id) WHERE workspace_id IN ('w0', 'w1')), nn AS (SELECT workspace_id AS ws, count(*) AS n FROM chunks GROUP BY 1),
+df AS (SELECT ws, term, count(*) AS df FROM tp GROUP BY 1, 2), sz AS (SELECT chunk_id, count(*) AS size FROM tp GROUP BY 1),
+hit AS (SELECT ws, item_id, chunk_id, sum(tf) AS tf, sum(ln(n / df)::DECIMAL(18, 9)) AS weight FROM asked JOIN tp USING (term) JOIN df USING (ws, term) JOIN nn USING (ws) GROUP BY 1, 2, 3),
+sc AS (SELECT ws, item_id, chunk_id, round(tf * 0.1 / (1 + ln(1 + size)), 6) AS density, round(weight::DOUBLE / (1 + ln(1 + size)), 9) AS idf FROM hit JOIN sz USING (chunk_id)),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY ws, item_id ORDER BY density DESC, filename, line_start, chunk_id) AS a FROM sc JOIN chunks USING (chunk_id)),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY ws, item_id ORDER BY idf DESC, filename, line_start, chunk_id) AS b FROM r1 WHERE a <= 200),
+fu AS (SELECT *, row_number() OVER (PARTITION BY ws, item_id ORDER BY score DESC, filename, line_start, chunk_id) AS rank FROM (SELECT *, round(1 / (60 + a) + 1 / (60 + b), 9) AS score FROM r2)),
+cl AS (SELECT *, row_number() OVER (PARTITION BY ws, item_id, doc_id ORDER BY rank) AS c FROM fu WHERE NOT list_contains(flags, 'injection')),
+top AS (SELECT *, row_number() OVER (PARTITION BY ws, item_id ORDER BY rank) AS idx FROM cl WHERE c <= 2)
+SELECT ws AS workspace_id, item_id, chunk_id, rank, idx, score FROM top WHERE idx <= 8"""
+
 # Two streams
 
 
@@ -175,7 +202,7 @@ def stream_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "d6_draft_problems": draft_problems, "d7_drafted_answers": drafted_answers, "d26_evidence_detail": detail, "f22_request_keys": request_keys, "s3_sheet_dates": sheet_dates,
+        "d6_draft_problems": draft_problems, "d7_drafted_answers": drafted_answers, "d26_evidence_detail": detail, "f22_request_keys": request_keys, "s3_sheet_dates": sheet_dates, "p1_tenant_retrieval": tenant_retrieval,
         "t8_stream_cleanup": stream_cleanup, "t6_stream_reopened": stream_reopened,
     }
 
@@ -185,5 +212,6 @@ def oracle_sql() -> dict[str, str]:
         "d6_draft_problems": _DRAFTS + "SELECT k AS item_id, problems FROM b",
         "d7_drafted_answers": _DRAFTS + """SELECT k AS item_id, CASE WHEN problems = '' THEN 'draft' ELSE 'template' END AS source, CASE WHEN problems = '' THEN draft ELSE 'Yes. The terms of ' || lower(c_name) || ' says: "' || said || '"' END AS text FROM b""",
         "d26_evidence_detail": sql("chunks", _DETAIL), "f22_request_keys": _KEYS, "s3_sheet_dates": _SHEETS, "t8_stream_cleanup": _CLEANUP,
+        "p1_tenant_retrieval": sql("post asked", _TENANTS),
         "t6_stream_reopened": rounds.oracle_sql()["d11_reopened"],
     }

@@ -101,3 +101,63 @@ def test_reopening_reads_touched_buckets_only(spark, tmp_path):
     spark.range(100).select(F.col("id").cast("string").alias("chunk_id"), (F.col("id") % 8).cast("int").alias("bucket")).write.partitionBy("bucket").parquet(f"{tmp_path}/holders")
     plan = R._pruned(spark, str(tmp_path), "holders", [3])
     assert "PartitionFilters: [isnotnull(bucket" in plan._jdf.queryExecution().toString()
+
+
+PASSAGES = "workspace_id string, chunk_id string, doc_id string, filename string, line_start int, heading string, text string, flags array<string>, record boolean"
+
+
+def test_tenants_with_equal_ids(spark, tmp_path):
+    from attesta.operators import decisions as D
+    from attesta.operators import retrieval as R
+    from attesta.operators.tenants import in_tenants, of_tenants
+
+    rows = [("a", f"c{i}", f"d{i % 3}", f"f{i % 3}", i, "Access", f"Backups are kept for {i} days and tested", [], False) for i in range(6)]
+    rows += [("a", "r1", "s", "s.csv", 1, "Systems", "System: Vault; Owner: ops", [], True), ("b", "r1", "s", "s.csv", 1, "Systems", "System: Ledger; Owner: fin", [], True)]
+    rows += [("b", f"c{i}", f"d{i % 2}", f"f{i % 2}", i, "Access", f"Backups live in Vault and Ledger, batch {i}", [], False) for i in range(4)] + [("c", "c0", "d0", "f0", 0, "", "Backups of c", [], False)]
+    spark.createDataFrame(rows, PASSAGES).write.partitionBy("workspace_id").parquet(f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    items = spark.createDataFrame([(w, 1, "Are backups tested?", None) for w in ("a", "b")] + [("b", 2, "Where do backups live?", None)], "workspace_id string, item_id long, question string, topic string")
+    own = of_tenants(chunks, items, "workspace_id")
+    got = in_tenants(lambda i, c: R.retrieve(i, c, tenant="workspace_id"), "workspace_id", ("item_id", "chunk_id", "doc_id"), items, own)
+    assert got.schema["item_id"].dataType.simpleString() == "bigint"
+    found = sorted((r.workspace_id, r.item_id, r.chunk_id, r.idx) for r in got.collect())
+    alone = []
+    for w in ("a", "b"):
+        alone += [(w, r.item_id, r.chunk_id, r.idx) for r in R.retrieve(items.filter(f"workspace_id = '{w}'"), chunks.filter(f"workspace_id = '{w}'")).collect()]
+    assert found == sorted(alone)
+    assert ("b", 2, "r1") in {x[:3] for x in found} and not any(x[0] == "c" for x in found)  # a record row that b's own passages name
+
+    items.write.parquet(f"{tmp_path}/items")
+    plan = of_tenants(chunks, spark.read.parquet(f"{tmp_path}/items").filter("item_id = 2"), "workspace_id")._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.split("PartitionFilters")[1]
+
+    passage = "workspace_id string, item_id long, idx int, chunk_id string, doc_id string, filename string, line_start int, text string, flags array<string>, record boolean, evidence_allowed boolean, status string, scope string, as_of date, effective_date date"
+    stance = "workspace_id string, item_id long, ord int, passage_idx int, stance string, quote string"
+    said = spark.createDataFrame([(w, 1, 1, "c1", "d1", "f.md", 1, "backups are tested daily", [], False, True, "final", None, None, None) for w in ("a", "b")], passage)
+    stances = spark.createDataFrame([("a", 1, 1, 1, "yes", "backups are tested"), ("b", 1, 1, 1, "no", "backups are tested")], stance)
+    told = in_tenants(D.decide, "workspace_id", ("item_id",), items, said, stances)
+    assert sorted((r.workspace_id, r.item_id, r.label, r.value) for r in told.collect()) == [("a", 1, "verified", "Yes"), ("b", 1, "verified", "No"), ("b", 2, "unknown", None)]
+
+
+def test_drafts_may_name_their_own_documents(spark):
+    from attesta.operators.decisions import mentioned
+
+    drafts = spark.createDataFrame([(1, "a", 'See "Access Policy" and the incident response plan.'), (2, "b", "The access policy says so."), (3, "a", "")], "item_id long, workspace_id string, text string")
+    docs = spark.createDataFrame([("a", "access-policy_v2.md"), ("a", "Incident Response-plan.docx"), ("a", "plan.md"), ("b", "other access.md"), (None, "access-policy.md")], "workspace_id string, filename string")
+    got = {r.item_id: sorted(r.names) for r in mentioned(drafts, docs, "workspace_id").collect()}
+    assert got[1] == ["access policy", "incident response plan"] and 3 not in got and got[2] == ["other access"]
+
+
+def test_sheet_lines(spark):
+    from datetime import date
+
+    from attesta.sources.lines import sheet_lines
+
+    rows = [("s", 1, ["Vendors", None]), ("s", 2, ["", "As at 2024-02-30"]), ("s", 3, ["last updated: 2024-03-01"]), ("s", 4, ["as of 2024-13-01"]), ("s", 5, ["Name", "Seen", "Next due"]), ("s", 6, [" ", "", ""]), ("s", 7, ["A", "2020-01-01", "2031-01-01"]), ("s", 8, ["as of 2025-01-01"]),
+            ("t", 1, ["Name", "Seen", "Next due"]), ("t", 2, ["B", "2020-01-01", "2031-01-01"]), ("t", 3, ["C", "2020-99-01", ""]), ("u", 1, ["only a title, as of 2024-01-01"])]
+    got = {(r.sheet_id, r.n): (r.text, r.kind, r.as_of) for r in sheet_lines(spark.createDataFrame(rows, "sheet_id string, row int, cells array<string>")).collect()}
+    assert got == {
+        ("s", 1): ("Vendors", "text", None), ("s", 2): ("As at 2024-02-30", "text", None), ("s", 3): ("last updated: 2024-03-01", "text", None), ("s", 4): ("as of 2024-13-01", "text", None),
+        ("s", 5): ("Name: A; Seen: 2020-01-01; Next due: 2031-01-01", "record", date(2024, 3, 1)), ("s", 6): ("Name: as of 2025-01-01", "record", date(2024, 3, 1)),
+        ("t", 1): ("Name: B; Seen: 2020-01-01; Next due: 2031-01-01", "record", date(2020, 1, 1)), ("t", 2): ("Name: C; Seen: 2020-99-01", "record", None), ("u", 1): ("only a title, as of 2024-01-01", "text", None),
+    }
