@@ -61,6 +61,9 @@ def fill_candidates(statements: DataFrame, items: DataFrame, most: int = MAX_REC
     area = F.coalesce("topic", "function")
     said = statements.select("statement_id", "run_id", area.alias("area"), F.col("item_id").alias("own"))
     todo = items.filter(askable(F.col("label"), F.col("approved"), F.col("edited"))).select("run_id", "item_id", "position", area.alias("area"))
+    # No answer needs more of an area than its first open items, its own among them: the rest meets no statement.
+    first = W.partitionBy("run_id", "area").orderBy("position", "item_id")
+    todo = todo.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= most + 1).drop("__n")
     both = said.join(todo, ["run_id", "area"]).filter("item_id <> own")
     ranked = both.withColumn("n", F.row_number().over(W.partitionBy("statement_id").orderBy("position", "item_id")))
     return ranked.filter(F.col("n") <= most).select("statement_id", "item_id", "n")

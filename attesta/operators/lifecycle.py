@@ -46,6 +46,14 @@ def approvable(answers: DataFrame, framework_items: DataFrame) -> DataFrame:
     return rows.join(framework_items.select("item_id"), "item_id", "left_anti")
 
 
+def approval_counts(answers: DataFrame, framework_items: DataFrame) -> DataFrame:
+    """(run_id, approved, skipped_edited): what a bulk approval of each run takes, and the edited verified answers, still
+    unapproved, that it leaves for a look."""
+    taken = approvable(answers, framework_items).groupBy("run_id").agg(F.count(F.lit(1)).alias("approved"))
+    rows = answers.groupBy("run_id").agg(F.count_if((F.col("label") == "verified") & F.col("edited") & ~F.col("approved")).alias("skipped_edited"))
+    return rows.join(taken, "run_id", "left").select("run_id", F.coalesce("approved", F.lit(0)).alias("approved"), "skipped_edited")
+
+
 def transitions(answers: DataFrame, changes: DataFrame) -> DataFrame:
     """``answers`` (item_id, label, value, approved, edited) after ``changes`` (item_id, action, value).
 

@@ -148,11 +148,14 @@ def gap_check(decisions: DataFrame, parts: DataFrame) -> DataFrame:
     return said.join(merge_evidence(cites), "outcome_id", "left").select("outcome_id", "label", gap_word(F.lit("checked"), F.col("label")).alias("status"), "explanation", F.coalesce(F.size("citations"), F.lit(0)).alias("citations"))
 
 
-def gap_report(outcomes: DataFrame, results: DataFrame, citations: DataFrame) -> DataFrame:
-    """Every outcome with the words of its label, its explanation, quotes and links to their lines; also those that were
-    not checked."""
+def gap_report(outcomes: DataFrame, results: DataFrame, citations: DataFrame, run_date: Column, version: str) -> DataFrame:
+    """Every outcome with the words of its label, its explanation, quotes and links to their lines, and its related controls
+    (an array column ``controls`` of ``outcomes``); also those that were not checked. Each row has the run's day and the
+    version of the framework's data."""
     quotes = F.transform("citations", lambda c: F.concat(F.lit('"'), c["quote"], F.lit('"')))
     links = F.transform("citations", lambda c: F.concat(c["doc_id"].cast("string"), F.lit("#L"), c["line_start"].cast("string")))
     rows = outcomes.join(results, "outcome_id", "left").join(merge_evidence(citations), "outcome_id", "left")
     word = F.when(F.col("tier") == "not_checked", NOT_CHECKED).otherwise(F.coalesce(gap_word(F.col("tier"), F.col("label")), F.lit("")))
-    return rows.select("outcome_id", "function", "tier", word.alias("status"), F.coalesce("explanation", F.lit("")).alias("explanation"), F.coalesce(F.array_join(quotes, "; "), F.lit("")).alias("quotes"), F.coalesce(F.array_join(links, "; "), F.lit("")).alias("links"))
+    return rows.select(
+        "outcome_id", "function", "tier", word.alias("status"), F.coalesce("explanation", F.lit("")).alias("explanation"), F.coalesce(F.array_join(quotes, "; "), F.lit("")).alias("quotes"), F.coalesce(F.array_join(links, "; "), F.lit("")).alias("links"),
+        F.coalesce(F.array_join(F.array_sort("controls"), ", "), F.lit("")).alias("controls"), F.date_format(run_date, "yyyy-MM-dd").alias("run_date"), F.lit(version).alias("version"))

@@ -129,7 +129,8 @@ def leaks(texts: DataFrame, private: DataFrame) -> DataFrame:
     """(private_id, n): in how many texts a private string stands.
 
     A string is found through its longest inner word, which no text can hold but as a word, then as a whole. One without
-    an inner word is found through the words of the vocabulary that hold its first.
+    an inner word is found through the words of the vocabulary that hold its first, and those through the first characters
+    of that word, up to three, which are looked up among all runs of as many characters.
     """
     word = r"[\p{L}\p{N}]+"
     lower = lambda c: F.transform(F.regexp_extract_all(c, F.lit(word), F.lit(0)), F.lower)
@@ -137,11 +138,16 @@ def leaks(texts: DataFrame, private: DataFrame) -> DataFrame:
     own = private.select("private_id", "private", lower("private").alias("__ws"))
     inner = F.when(F.size("__ws") >= 3, longest(F.slice("__ws", 2, F.greatest(F.size("__ws") - 2, F.lit(1)))))
     own = own.select("private_id", "private", F.get("__ws", F.lit(0)).alias("first"), inner.alias("w"))
-    said = texts.select("doc_id", "text", F.explode_outer(F.array_distinct(lower("text"))).alias("w")).filter("w is not null")
+    said = texts.select("doc_id", F.explode_outer(F.array_distinct(lower("text"))).alias("w")).filter("w is not null")
     short = own.filter("w is null and first is not null").drop("w")
-    words = said.select("w").distinct().join(F.broadcast(short), F.contains("w", F.col("first"))).select("private_id", "private", "w")
+    short = short.withColumn("gram", F.substring("first", 1, 3))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1))), lambda i: F.substring(F.col("w"), i, F.lit(n)))
+    grams = said.select("w").distinct().select("w", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("gram"))
+    words = grams.join(short, "gram").filter(F.contains("w", F.col("first"))).select("private_id", "private", "w").distinct()
     key = own.filter("w is not null").select("private_id", "private", "w").unionByName(words)
-    hits = said.join(key, "w").filter(F.contains("text", "private")).select("private_id", "doc_id").distinct()
+    # Words travel without their texts, which come back for those that a string may stand in.
+    near = said.join(key, "w").select("private_id", "private", "doc_id").distinct()
+    hits = near.join(texts.select("doc_id", "text"), "doc_id").filter(F.contains("text", "private")).select("private_id", "doc_id").distinct()
     return private.select("private_id").join(hits, "private_id", "left").groupBy("private_id").agg(F.count("doc_id").alias("n"))
 
 

@@ -140,7 +140,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    key = b"key of the day".ljust(64, b"\0")
+    pad = lambda x: bytes(b ^ x for b in key).hex()
     return {
+        "f23_keyed_pseudonyms": f"SELECT c_custkey, sha256(from_hex('{pad(0x5C)}') || from_hex(sha256(from_hex('{pad(0x36)}') || encode(c_name))))[1:32] AS pseudonym FROM customer",
         "s1_text_lines": sql("lines", "SELECT doc_id, n, text, kind FROM lines"),
         "d1_corpus_chunks": sql("flagged", "SELECT chunk_id, doc_id, line_start, line_end, text, heading, array_to_string(flags, ',') AS flags FROM flagged"),
         "w4_section_titles": sql("plain_chunks", r"SELECT doc_id, heading, count(*) AS n_chunks, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> '')))::BIGINT AS n_words FROM plain_chunks GROUP BY 1, 2"),

@@ -85,6 +85,17 @@ sd AS (SELECT item_id, 'yes' AS stance, CASE WHEN newer = 'no' THEN older ELSE y
 ss AS (SELECT item_id, string_agg(sd.stance || ':' || coalesce(sd.day::VARCHAR, '') || ':' || coalesce(places, ''), ' ' ORDER BY side) AS s FROM sd LEFT JOIN si USING (item_id, stance) GROUP BY 1)
 SELECT i.item_id, coalesce(c, '') AS citations, coalesce(d, '') AS dropped, coalesce(s, '') AS sides FROM (SELECT DISTINCT item_id FROM pas) i LEFT JOIN cs USING (item_id) LEFT JOIN ds USING (item_id) LEFT JOIN ss USING (item_id)"""
 
+#: The template's sentences, from the same steps: every document is called "doc".
+_TEMPLATES = _DETAIL[: _DETAIL.rindex("SELECT i.item_id")] + """, dq AS (SELECT item_id, min(idx) AS m FROM kc GROUP BY item_id, doc_id),
+dr AS (SELECT item_id, m AS idx, row_number() OVER (PARTITION BY item_id ORDER BY m) AS r FROM dq),
+qs AS (SELECT item_id, string_agg('The doc says: "' || trim(quote) || '"', ' ' ORDER BY idx) AS quotes FROM kc JOIN dr USING (item_id, idx) WHERE r <= 2 GROUP BY 1),
+sq AS (SELECT item_id, stance, count(DISTINCT doc_id) AS docs, min_by(trim(quote), idx) AS quote FROM kc GROUP BY 1, 2),
+st2 AS (SELECT item_id, string_agg(CASE WHEN docs = 1 OR sd.day IS NULL THEN 'The doc' || coalesce(' (dated ' || sd.day::VARCHAR || ')', '') || ' says: "' || quote || '"' ELSE 'One side, dated ' || sd.day::VARCHAR || ': The doc says: "' || quote || '"' END, ' ' ORDER BY side) AS sides
+  FROM sd JOIN sq USING (item_id, stance) GROUP BY 1)
+SELECT item_id, label, CASE label WHEN 'unknown' THEN '' WHEN 'conflict' THEN 'The documents disagree. ' || sides || ' Which is current?'
+  ELSE concat_ws(' ', CASE value WHEN 'Yes' THEN 'Yes.' WHEN 'No' THEN 'No.' ELSE 'Partly.' END, scope_note, quotes) END AS text
+FROM f LEFT JOIN qs USING (item_id) LEFT JOIN st2 USING (item_id)"""
+
 # Request keys
 
 
@@ -211,6 +222,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "d6_draft_problems": _DRAFTS + "SELECT k AS item_id, problems FROM b",
         "d7_drafted_answers": _DRAFTS + """SELECT k AS item_id, CASE WHEN problems = '' THEN 'draft' ELSE 'template' END AS source, CASE WHEN problems = '' THEN draft ELSE 'Yes. The terms of ' || lower(c_name) || ' says: "' || said || '"' END AS text FROM b""",
+        "d7_template_answers": sql("chunks", _TEMPLATES),
         "d26_evidence_detail": sql("chunks", _DETAIL), "f22_request_keys": _KEYS, "s3_sheet_dates": _SHEETS, "t8_stream_cleanup": _CLEANUP,
         "p1_tenant_retrieval": sql("post asked", _TENANTS),
         "t6_stream_reopened": rounds.oracle_sql()["d11_reopened"],

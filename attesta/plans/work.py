@@ -68,10 +68,10 @@ def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every outcome, a third of them not checked and a third asked of the user."""
     rows = parts(spark, sf_dir)
     h = _h(F.col("outcome_id")) % 3
-    every = rows.groupBy("outcome_id").agg(F.min("p_type").alias("function")).withColumn("tier", F.when(h == 0, "not_checked").when(h == 1, "ask").otherwise("checked"))
+    every = rows.groupBy("outcome_id").agg(F.min("p_type").alias("function"), F.collect_set(F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("CT-"), F.col("p_size").cast("string")))).alias("controls")).withColumn("tier", F.when(h == 0, "not_checked").when(h == 1, "ask").otherwise("checked"))
     results = O.explanations(rows).select("outcome_id", F.when(_h(F.col("outcome_id")) % 3 == 1, "confirmed_by_you").otherwise(F.col("label")).alias("label"), "explanation")
     cites = rows.filter("part_label = 'covered'").select("outcome_id", "part_n", F.lit(1).alias("ord"), F.lit("d").alias("doc_id"), (F.col("p_size") % 3).alias("line_start"), (F.col("p_size") % 3).alias("line_end"), F.concat(F.lit("size "), (F.col("p_size") % 3).cast("string")).alias("quote"), F.lit("yes").alias("stance"))
-    return O.gap_report(every, results, cites)
+    return O.gap_report(every, results, cites, F.lit("2024-06-01").cast("date"), "2.0")
 
 
 def scope_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +234,11 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.approvable(items, items.filter("item_id % 6 = 0")).select("item_id")
 
 
+def approval_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = open_items(spark, sf_dir)
+    return S.approval_counts(items, items.filter("item_id % 6 = 0"))
+
+
 def answer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = open_items(spark, sf_dir).withColumn("value", F.when(F.col("label") == "verified", "Yes"))
     k = F.col("item_id")
@@ -370,7 +375,7 @@ def queries() -> dict:
         "w8_interview_queue": interview_queue, "d12_queue_refresh": queue_refresh, "d14_fill_candidates": fill_candidates, "d14_accepted_fills": accepted_fills, "d13_follow_ups": follow_ups,
         "a25_call_counters": call_counters, "w12_admission": admission, "t3_idle_runs": idle_runs, "a28_budget_left": budget_left, "t4_stale_claims": stale_claims, "s17_retention": retention, "f24_window_ends": window_ends,
         "w9_latest_runs": latest_runs, "s12_audit_newest": audit_newest, "s11_idempotent_answers": idempotent_answers, "j10_affected_answers": affected_answers, "u5_evidence_sets": evidence_sets, "a29_row_digests": row_digests,
-        "p10_approvals": approvals, "d27_answer_changes": answer_changes, "d27_refused_changes": refused_changes, "s16_snapshot_ids": snapshot_ids, "s13_exported_sheet": exported_sheet, "d16_withdrawn_statements": withdrawn_statements,
+        "p10_approvals": approvals, "p10_approval_counts": approval_counts, "d27_answer_changes": answer_changes, "d27_refused_changes": refused_changes, "s16_snapshot_ids": snapshot_ids, "s13_exported_sheet": exported_sheet, "d16_withdrawn_statements": withdrawn_statements,
         "a16_label_metrics": label_metrics, "a21_run_gates": run_gates, "j13_verifier_diff": verifier_diff, "u2_id_drift": id_drift, "a13_row_violations": row_violations, "a26_planted_minimums": planted_minimums,
         "a23_model_bench": model_bench, "j12_replay_misses": replay_misses, "j16_trap_exposure": trap_exposure, "j15_private_leaks": private_leaks, "a20_run_costs": run_costs,
     }
@@ -406,10 +411,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT outcome_id, label, conflict_rule, scope_note, round(greatest(CASE label WHEN 'covered' THEN 0.9 WHEN 'partly_covered' THEN 0.6 WHEN 'not_met' THEN 0.9 WHEN 'documents_disagree' THEN 0.3 ELSE 0.0 END - CASE WHEN failed THEN 0.2 ELSE 0 END, 0), 2)::DOUBLE AS confidence, cost_usd, latency_ms FROM c JOIN r USING (outcome_id) LEFT JOIN n USING (outcome_id)""",
         "d9_confirmed_outcomes": _PARTS + """, f AS (SELECT outcome_id, arg_min('s' || p_partkey, part_n) AS s FROM p WHERE filled GROUP BY 1)
             SELECT outcome_id, label, CASE WHEN label = 'covered' THEN s END AS statement_id, CASE WHEN label = 'covered' AND s IS NOT NULL THEN 'user_confirmed' ELSE 'machine' END AS status FROM c LEFT JOIN f USING (outcome_id)""",
-        "s14_gap_report": _PARTS + explain + f""", e AS (SELECT outcome_id, min(p_type) AS function, {tier} AS t FROM p GROUP BY 1),
+        "s14_gap_report": _PARTS + explain + f""", e AS (SELECT outcome_id, min(p_type) AS function, {tier} AS t, coalesce(string_agg(DISTINCT 'CT-' || p_size, ', ' ORDER BY 'CT-' || p_size) FILTER (p_size % 5 > 0), '') AS controls FROM p GROUP BY 1),
             q1 AS (SELECT outcome_id, p_size % 3 AS z, min(part_n) AS n FROM p WHERE part_label = 'covered' GROUP BY 1, 2), q AS (SELECT outcome_id, string_agg('"size ' || z || '"', '; ' ORDER BY n) AS quotes, string_agg('d#L' || z, '; ' ORDER BY n) AS links FROM q1 GROUP BY 1)
             SELECT outcome_id, function, CASE t WHEN 0 THEN 'not_checked' WHEN 1 THEN 'ask' ELSE 'checked' END AS tier, CASE t WHEN 0 THEN 'not checked in this version' WHEN 1 THEN 'Answered by you' ELSE
-              CASE label WHEN 'covered' THEN 'Covered' WHEN 'partly_covered' THEN 'Partly covered' WHEN 'not_met' THEN 'Not met' WHEN 'documents_disagree' THEN 'Documents disagree' ELSE 'Gap' END END AS status, explanation, coalesce(quotes, '') AS quotes, coalesce(links, '') AS links
+              CASE label WHEN 'covered' THEN 'Covered' WHEN 'partly_covered' THEN 'Partly covered' WHEN 'not_met' THEN 'Not met' WHEN 'documents_disagree' THEN 'Documents disagree' ELSE 'Gap' END END AS status, explanation, coalesce(quotes, '') AS quotes, coalesce(links, '') AS links, controls, '2024-06-01' AS run_date, '2.0' AS version
             FROM e JOIN x USING (outcome_id) LEFT JOIN q USING (outcome_id)""",
         "p6_scope_outcomes": _PARTS + f"SELECT outcome_id, CASE {tier} WHEN 1 THEN 'ask' ELSE 'checked' END AS tier, 'Is ' || outcome_id || ' done?' AS question FROM p GROUP BY 1 HAVING min(p_type) = 'ECONOMY' AND {tier} > 0",
         "w8_interview_queue": _ITEMS + """, q AS (SELECT run_id, item_id, item_id % 50 AS rank FROM i WHERE item_id % 13 = 0), l AS (SELECT run_id, max(rank) AS last FROM q GROUP BY 1)
@@ -440,6 +445,7 @@ def oracle_sql() -> dict[str, str]:
         "u5_evidence_sets": "WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey % 2) FILTER (l_returnflag = 'A')) AS a, list_sort(list(DISTINCT l_partkey % 2) FILTER (l_returnflag <> 'A')) AS b FROM lineitem GROUP BY 1) SELECT l_orderkey, coalesce(a = b, false) AS same FROM s",
         "a29_row_digests": "SELECT o_custkey, sha256(string_agg(o_orderkey || '|' || o_orderstatus, chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1",
         "p10_approvals": _ITEMS + "SELECT item_id FROM i WHERE label = 'verified' AND NOT approved AND NOT edited AND item_id % 6 <> 0",
+        "p10_approval_counts": _ITEMS + "SELECT run_id, count(*) FILTER (label = 'verified' AND NOT approved AND NOT edited AND item_id % 6 <> 0) AS approved, count(*) FILTER (label = 'verified' AND edited AND NOT approved) AS skipped_edited FROM i GROUP BY 1",
         "d27_answer_changes": _ITEMS + """SELECT item_id, CASE WHEN item_id % 9 = 0 THEN 'na' ELSE label END AS label, CASE WHEN item_id % 9 = 0 THEN NULL WHEN item_id % 9 = 3 THEN 'Mine' WHEN label = 'verified' THEN 'Yes' END AS value,
             CASE WHEN item_id % 9 = 6 AND label IN ('verified', 'partial') THEN true WHEN item_id % 9 IN (0, 3) THEN false ELSE approved END AS approved, edited OR item_id % 9 = 3 AS edited FROM i""",
         "d27_refused_changes": _ITEMS + ", c AS (SELECT item_id + 300 AS item_id FROM i WHERE item_id % 3 = 0) SELECT c.item_id, 'approve' AS action, CASE WHEN i.label IS NULL THEN 'no such item' ELSE 'not approvable' END AS reason FROM c LEFT JOIN i USING (item_id) WHERE i.label IS NULL OR i.label NOT IN ('verified', 'partial')",

@@ -203,7 +203,7 @@ def sheet_items(cells_: DataFrame, mapping: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     pick = lambda c: F.max(F.when((F.col("col") == F.col(c)) & (F.trim("value") != ""), F.trim("value")))
-    rows = cells_.join(F.broadcast(mapping), "file").filter("row > header_row")
+    rows = cells_.join(mapping, "file").filter("row > header_row")
     rows = rows.groupBy("file", "row").agg(
         pick("question_col").alias("question"), pick("id_col").alias("code"), pick("topic_col").alias("own_topic"),
         F.min_by(F.trim("value"), F.when(F.trim("value") != "", F.col("col"))).alias("first_cell"),
