@@ -230,6 +230,79 @@ def run_scores(keys: DataFrame, traps: DataFrame, results: DataFrame, citations:
     return unpivoted(out, ["run_id"], [c for c in out.columns if c != "run_id"])
 
 
+def _share(rows: DataFrame, metric: str, hit: Column, empty: float | None = None, by: str = "run_id") -> DataFrame:
+    """(run_id, metric, value): the share of a run's rows for which ``hit`` holds; ``empty`` where a run has none."""
+    value = ratio(F.count_if(F.coalesce(hit, F.lit(False))), F.count(F.lit(1)))
+    return rows.groupBy(by).agg((value if empty is None else F.coalesce(value, F.lit(empty))).alias("value")).select(by, F.lit(metric).alias("metric"), "value")
+
+
+def document_scores(specs: DataFrame, metadata: DataFrame, reference: DataFrame, stored: DataFrame) -> DataFrame:
+    """(run_id, metric, value): how each run classified and parsed the documents.
+
+    ``specs``: doc_id and the data that a document has. ``metadata``: run_id, doc_id and what the run says of it; a document
+    that it does not name is wrong. ``reference`` (doc_id, n, text) and ``stored`` (run_id, doc_id, n, text): lines, of which a
+    document has all or it does not match.
+    """
+    columns = [c for c in specs.columns if c != "doc_id"]
+    runs = metadata.select("run_id").distinct()
+    said = metadata.select("run_id", "doc_id", *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__said"))
+    rows = specs.crossJoin(F.broadcast(runs)).join(said, ["run_id", "doc_id"], "left")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns], F.col("__said"))
+    lines = lambda df, *by: df.groupBy(*by, "doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: F.concat_ws(":", x["n"].cast("string"), x["text"])), "\n"), 256).alias("digest"))
+    want = lines(reference).withColumnRenamed("digest", "want").crossJoin(F.broadcast(stored.select("run_id").distinct()))
+    both = want.join(lines(stored, "run_id"), ["run_id", "doc_id"], "left")
+    return _share(rows, "classification_correct", same).unionByName(_share(both, "parsing_documents_match", F.col("want") == F.col("digest")))
+
+
+def evidence_scores(evidence: DataFrame, lines: DataFrame, passages: DataFrame, stances: DataFrame) -> DataFrame:
+    """(run_id, metric, value): whether the key's evidence (code, doc_id, quote, stance) is found whole, retrieved and judged.
+
+    ``lines``: run_id, doc_id, n, text. ``passages``: run_id, code, idx, doc_id, text. ``stances``: run_id, code, ord,
+    passage_idx, stance, of which a passage's first counts; a passage without one was judged irrelevant.
+    """
+    from attesta.functions.text import contains_quote
+    from attesta.operators.lifecycle import latest
+
+    keyed = evidence.withColumn("__e", F.xxhash64("code", "doc_id", "quote", "stance")).distinct()
+    runs = passages.select("run_id").distinct()
+    wanted = keyed.select("code", "__e", F.col("stance").alias("want")).crossJoin(F.broadcast(runs))
+    held = keyed.select("doc_id", "quote").distinct().join(lines, "doc_id").filter(contains_quote(F.col("text"), F.col("quote"))).groupBy("run_id", "doc_id", "quote").agg(F.count(F.lit(1)).alias("n"))
+    quotes = keyed.crossJoin(F.broadcast(lines.select("run_id").distinct())).join(held, ["run_id", "doc_id", "quote"], "left")
+    met = keyed.join(passages, ["code", "doc_id"]).filter(contains_quote(F.col("text"), F.col("quote"))).groupBy("run_id", "code", "__e").agg(F.min("idx").alias("idx"))
+    found = wanted.join(met, ["run_id", "code", "__e"], "left")
+    per_code = found.groupBy("run_id", "code").agg(ratio(F.count("idx"), F.count(F.lit(1))).alias("recall"))
+    first = latest(stances, ["run_id", "code", "passage_idx"], [F.col("ord")]).select("run_id", "code", F.col("passage_idx").alias("idx"), F.col("stance").alias("given"))
+    judged = found.filter("idx is not null").join(first, ["run_id", "code", "idx"], "left")
+    recall = per_code.groupBy("run_id").agg(F.round(F.avg("recall"), 4).alias("value")).select("run_id", F.lit("retrieval_recall_at_8").alias("metric"), "value")
+    accuracy = _share(judged, "stance_accuracy", F.coalesce("given", F.lit("irrelevant")) == F.col("want"))
+    return _share(quotes, "parsing_key_quotes_in_one_line", F.col("n") == 1).unionByName(recall).unionByName(accuracy)
+
+
+def answer_scores(results: DataFrame, judged: DataFrame, checks: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(run_id, metric, value) of written answers, which all but unknown ones are; one without a verdict or check has failed it.
+
+    ``results``: run_id, code, label. ``judged``: run_id, code, faithful. ``checks``: run_id, code, problems. ``drafts``: run_id,
+    code, source, problems.
+    """
+    rows = results.filter("label <> 'unknown'").select("run_id", "code").join(judged, ["run_id", "code"], "left")
+    rows = rows.join(checks.select("run_id", "code", F.size("problems").alias("__found")), ["run_id", "code"], "left")
+    rows = rows.join(drafts.select("run_id", "code", ((F.col("source") == "model") & (F.size("problems") == 0)).alias("__first")), ["run_id", "code"], "left")
+    out = [_share(rows, "judge_faithfulness", F.col("faithful")), _share(rows, "answer_checks_pass", F.col("__found") == 0), _share(rows, "first_drafts_pass", F.col("__first"))]
+    return reduce(DataFrame.unionByName, out)
+
+
+def redaction_scores(keys: DataFrame, results: DataFrame, citations: DataFrame, found: DataFrame) -> DataFrame:
+    """(run_id, metric, value) of runs over redacted documents.
+
+    ``keys``: code, expected_label, expected_value. ``results``: run_id, code, label, value. ``citations``: run_id, code,
+    valid. ``found``: run_id, private_id, n (texts in which a private string still stands, see :func:`leaks`).
+    """
+    rows = results.join(keys, "code")
+    right = (F.col("label") == F.col("expected_label")) & F.col("value").eqNullSafe(F.col("expected_value"))
+    leaked = found.groupBy("run_id").agg(F.sum("n").cast("double").alias("value")).select("run_id", F.lit("redaction_private_leaks").alias("metric"), "value")
+    return _share(citations, "redaction_citations_valid", F.col("valid")).unionByName(_share(rows, "redaction_label_accuracy", right)).unionByName(leaked)
+
+
 def gap_scores(outcomes: DataFrame, citations: DataFrame, parts: DataFrame) -> DataFrame:
     """(metric, value) of a gap run.
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from attesta.functions import canonical
 from attesta.operators import decisions as D
 from attesta.operators import retrieval as R
+from attesta.operators import scoring as G
 from attesta.operators.detail import evidence_detail
+from attesta.operators.interview import clean_statement_chunks
 from attesta.operators.tenants import in_tenants, of_tenants
 from attesta.plans import base, evidence, rounds
 from attesta.plans.base import shared_folder, sql, table
-from attesta.sources.lines import sheet_lines
+from attesta.sources.lines import decoded, sheet_lines
 from attesta.streaming import cleanup, jobs, reopening
 
 # Drafts: orders are answered items, their customers' terms the documents, in three workspaces
@@ -141,6 +143,80 @@ _SHEETS = """WITH s AS (
     CASE WHEN o_custkey % 3 = 0 THEN '2024-0' || (o_custkey % 9 + 1) || '-15' WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END FROM orders)
 SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY row) AS n, text, kind, as_of FROM s"""
 
+# What runs observed of the corpus
+
+
+def observed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the corpus: what each says of documents, keeps of their lines, finds, judges, writes and leaks."""
+    runs = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("run_id")
+    specs = base.meta(spark, sf_dir).select("doc_id", "status", "scope", "effective_date", "evidence_allowed")
+    d, run = F.col("doc_id"), F.col("run_id")
+    metadata = specs.select(runs, "*").filter(d % 31 != run).withColumn("status", F.when(d % 11 == run, "other").otherwise(F.col("status")))
+    lines = base.corpus_lines(spark, sf_dir).select("doc_id", "n", "text")
+    stored = base.written(lines.select(runs, "*").filter((F.col("n") > 1) | (d % 13 != run)), "stored")
+    chunks = base.chunks(spark, sf_dir).select("doc_id", "line_start", "text")
+    line = F.substring_index("text", "\n", 1)
+    evidence_ = chunks.filter("line_start < 4").select(d.alias("code"), "doc_id", F.array_join(F.slice(F.split(line, " "), 1, 9), " ").alias("quote"), F.when(d % 3 == 0, "no").otherwise("yes").alias("stance"))
+    passages = chunks.select(runs, d.alias("code"), F.col("line_start").alias("idx"), "doc_id", "text").filter((d + F.col("idx")) % 7 != run)
+    stances = passages.filter((d + F.col("idx")) % 10 > 0).select("run_id", "code", F.col("idx").alias("ord"), F.col("idx").alias("passage_idx"), F.when((d + run) % 4 == 0, "no").otherwise("yes").alias("stance"))
+    results = specs.select(runs, d.alias("code"), F.when(d % 6 == 0, "unknown").when(d % 5 == run, "partial").otherwise("verified").alias("label"), F.when(d % 6 == 0, None).when(d % 5 == run, "Partial").otherwise("Yes").alias("value"))
+    c = F.col("code")
+    judged = results.filter(c % 17 > 0).select("run_id", "code", (c % 8 > run).alias("faithful"))
+    problems = F.when(c % 9 == run, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>")).alias("problems")
+    checks = results.filter(c % 19 > 0).select("run_id", "code", problems)
+    drafts = results.select("run_id", "code", F.when(c % 3 == run, "template").otherwise("model").alias("source"), problems)
+    keys = specs.select(d.alias("code"), F.when(d % 6 == 0, "unknown").otherwise("verified").alias("expected_label"), F.when(d % 6 > 0, "Yes").alias("expected_value"))
+    cites = results.select("run_id", "code", (c % 21 > run).alias("valid"))
+    private = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("private_id"), F.substring_index("text", " ", 3).alias("private")).filter(F.col("private").rlike("^[A-Za-z ]+$"))
+    leaked = G.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), private).select(F.lit(0).cast("long").alias("run_id"), "private_id", "n")
+    sides = [G.document_scores(specs, metadata, lines, stored), G.evidence_scores(evidence_, stored, passages, stances), G.answer_scores(results, judged, checks, drafts), G.redaction_scores(keys, results, cites, leaked)]
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.unionByName(side)
+    return G.rounded(out, 4)
+
+
+_OBSERVED = """, runs AS (SELECT unnest([0, 1])::BIGINT AS run_id), sp AS (SELECT run_id, doc_id AS d FROM documents, runs),
+li AS (SELECT run_id, doc_id, n, text FROM lines, runs WHERE n > 1 OR doc_id % 13 <> run_id),
+ev AS (SELECT DISTINCT doc_id AS d, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:9], ' ') AS quote, CASE WHEN doc_id % 3 = 0 THEN 'no' ELSE 'yes' END AS want FROM chunks WHERE line_start < 4),
+pa AS (SELECT run_id, doc_id AS d, line_start AS idx, text FROM chunks, runs WHERE (doc_id + line_start) % 7 <> run_id),
+hl AS (SELECT run_id, d, quote, count(*) AS n FROM ev JOIN li ON li.doc_id = d AND contains(' ' || text || ' ', ' ' || quote || ' ') GROUP BY 1, 2, 3),
+mt AS (SELECT run_id, d, quote, min(idx) AS idx FROM ev JOIN pa USING (d) WHERE contains(' ' || replace(text, chr(10), ' ') || ' ', ' ' || quote || ' ') GROUP BY 1, 2, 3),
+ef AS (SELECT * FROM ev CROSS JOIN runs LEFT JOIN mt USING (run_id, d, quote)),
+w AS (SELECT * FROM sp WHERE d % 6 > 0), n6 AS (SELECT run_id, d, d % 6 = 0 AS unk, d % 5 = run_id AS part FROM sp),
+pv AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS private FROM benchmark),
+m AS (
+  SELECT run_id, 'classification_correct' AS metric, avg((d % 31 <> run_id AND d % 11 <> run_id)::INT) AS value FROM sp GROUP BY 1
+  UNION ALL SELECT run_id, 'parsing_documents_match', avg((doc_id % 13 <> run_id)::INT) FROM (SELECT DISTINCT doc_id FROM lines), runs GROUP BY 1
+  UNION ALL SELECT run_id, 'parsing_key_quotes_in_one_line', avg((coalesce(n, 0) = 1)::INT) FROM ev CROSS JOIN runs LEFT JOIN hl USING (run_id, d, quote) GROUP BY 1
+  UNION ALL SELECT run_id, 'retrieval_recall_at_8', round(avg(x), 4) FROM (SELECT run_id, d, count(idx) / count(*) AS x FROM ef GROUP BY 1, 2) GROUP BY 1
+  UNION ALL SELECT run_id, 'stance_accuracy', avg((CASE WHEN (d + idx) % 10 = 0 THEN 'irrelevant' WHEN (d + run_id) % 4 = 0 THEN 'no' ELSE 'yes' END = want)::INT) FROM ef WHERE idx IS NOT NULL GROUP BY 1
+  UNION ALL SELECT run_id, 'judge_faithfulness', avg((d % 17 > 0 AND d % 8 > run_id)::INT) FROM w GROUP BY 1
+  UNION ALL SELECT run_id, 'answer_checks_pass', avg((d % 19 > 0 AND d % 9 <> run_id)::INT) FROM w GROUP BY 1
+  UNION ALL SELECT run_id, 'first_drafts_pass', avg((d % 3 <> run_id AND d % 9 <> run_id)::INT) FROM w GROUP BY 1
+  UNION ALL SELECT run_id, 'redaction_citations_valid', avg((d % 21 > run_id)::INT) FROM sp GROUP BY 1
+  UNION ALL SELECT run_id, 'redaction_label_accuracy', avg((unk OR NOT part)::INT) FROM n6 GROUP BY 1
+  UNION ALL SELECT 0, 'redaction_private_leaks', (SELECT count(*) FROM pv JOIN documents ON contains(text, private) WHERE regexp_matches(private, '^[A-Za-z ]+$'))::DOUBLE)
+SELECT run_id, metric, round(value, 4) AS value FROM m"""
+
+# Small steps on the corpus and its bytes
+
+
+def statement_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first clean passages of each document, as a statement's are judged."""
+    return clean_statement_chunks(base.chunks(spark, sf_dir), 3).select("doc_id", "chunk_id", F.col("idx").cast("long").alias("idx"))
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes, every second in UTF-8 with a mark and the others in the Western code where that has all their
+    characters, and read back."""
+    text = F.col("text")
+    western = F.encode(text, "ISO-8859-1")
+    marked = F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(text, "UTF-8"))
+    plain = (F.col("doc_id") % 2 == 0) | (F.decode(western, "ISO-8859-1") != text)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(decoded(F.when(plain, marked).otherwise(western))).alias("digest"))
+
+
 # Tenants: the same questions, under the same ids, in two of three workspaces
 
 
@@ -213,7 +289,7 @@ def stream_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "d6_draft_problems": draft_problems, "d7_drafted_answers": drafted_answers, "d26_evidence_detail": detail, "f22_request_keys": request_keys, "s3_sheet_dates": sheet_dates, "p1_tenant_retrieval": tenant_retrieval,
+        "d6_draft_problems": draft_problems, "d7_drafted_answers": drafted_answers, "d26_evidence_detail": detail, "f22_request_keys": request_keys, "s3_sheet_dates": sheet_dates, "p1_tenant_retrieval": tenant_retrieval, "d23_observed_scores": observed_scores, "l3_statement_chunks": statement_chunks, "s4_decoded_texts": decoded_texts,
         "t8_stream_cleanup": stream_cleanup, "t6_stream_reopened": stream_reopened,
     }
 
@@ -224,6 +300,9 @@ def oracle_sql() -> dict[str, str]:
         "d7_drafted_answers": _DRAFTS + """SELECT k AS item_id, CASE WHEN problems = '' THEN 'draft' ELSE 'template' END AS source, CASE WHEN problems = '' THEN draft ELSE 'Yes. The terms of ' || lower(c_name) || ' says: "' || said || '"' END AS text FROM b""",
         "d7_template_answers": sql("chunks", _TEMPLATES),
         "d26_evidence_detail": sql("chunks", _DETAIL), "f22_request_keys": _KEYS, "s3_sheet_dates": _SHEETS, "t8_stream_cleanup": _CLEANUP,
+        "l3_statement_chunks": sql("flagged", "SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_start) AS idx FROM flagged WHERE NOT list_contains(flags, 'injection') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_start) <= 3"),
+        "s4_decoded_texts": "SELECT doc_id, md5(text) AS digest FROM documents",
+        "d23_observed_scores": sql("chunks", _OBSERVED),
         "p1_tenant_retrieval": sql("post asked", _TENANTS),
         "t6_stream_reopened": rounds.oracle_sql()["d11_reopened"],
     }
