@@ -20,13 +20,15 @@ def carried(rows: DataFrame, tenant: str, ids: tuple[str, ...]) -> DataFrame:
     return rows.withColumns({i: F.concat(F.col(tenant), F.lit(MARK), F.col(i).cast("string")) for i in ids if i in rows.columns})
 
 
-def in_tenants(run: Callable[..., DataFrame], tenant: str, ids: tuple[str, ...], *tables: DataFrame) -> DataFrame:
+def in_tenants(run: Callable[..., DataFrame], tenant: str, ids: tuple[str, ...], *tables: DataFrame, inside: bool = False) -> DataFrame:
     """``run`` on tables that all have the tenant's column, by tenant; the result has the tenant and the ids as they were.
 
-    ``ids`` are the columns that tell rows apart within a tenant. The first of them must be in the result.
+    ``ids`` are the columns that tell rows apart within a tenant. The first of them must be in the result. ``run`` sees the
+    tenant's own column only if it counts by it (``inside``).
     """
     kinds = {i: t.schema[i].dataType for t in reversed(tables) for i in ids if i in t.columns}
-    out = run(*[carried(t, tenant, ids) for t in tables])
+    own_ids = [carried(t, tenant, ids) for t in tables]
+    out = run(*(own_ids if inside else [t.drop(tenant) for t in own_ids]))
     own = F.substring_index(ids[0], MARK, 1)
     bare = {i: F.substring_index(i, MARK, -1).cast(kinds[i]) for i in ids if i in out.columns}
     return out.withColumn(tenant, own).withColumns(bare)

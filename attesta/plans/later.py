@@ -227,7 +227,7 @@ def tenant_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = base.stored(spark, sf_dir, "tenant-postings", ("documents", "labels"), lambda: base.index(spark, sf_dir).join(chunks.select("chunk_id", "workspace_id"), "chunk_id"), by="workspace_id")
     own = [of_tenants(t, asked, "workspace_id") for t in (chunks, index)]
     run = lambda items, c, i: R.retrieve(items, c, i, hop=False, tenant="workspace_id")
-    got = in_tenants(run, "workspace_id", ("item_id", "chunk_id", "doc_id"), asked, *own)
+    got = in_tenants(run, "workspace_id", ("item_id", "chunk_id", "doc_id"), asked, *own, inside=True)
     return got.select("workspace_id", "item_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.col("idx").cast("long").alias("idx"), "score")
 
 

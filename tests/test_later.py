@@ -118,7 +118,7 @@ def test_tenants_with_equal_ids(spark, tmp_path):
     chunks = spark.read.parquet(f"{tmp_path}/chunks")
     items = spark.createDataFrame([(w, 1, "Are backups tested?", None) for w in ("a", "b")] + [("b", 2, "Where do backups live?", None)], "workspace_id string, item_id long, question string, topic string")
     own = of_tenants(chunks, items, "workspace_id")
-    got = in_tenants(lambda i, c: R.retrieve(i, c, tenant="workspace_id"), "workspace_id", ("item_id", "chunk_id", "doc_id"), items, own)
+    got = in_tenants(lambda i, c: R.retrieve(i, c, tenant="workspace_id"), "workspace_id", ("item_id", "chunk_id", "doc_id"), items, own, inside=True)
     assert got.schema["item_id"].dataType.simpleString() == "bigint"
     found = sorted((r.workspace_id, r.item_id, r.chunk_id, r.idx) for r in got.collect())
     alone = []

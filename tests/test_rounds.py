@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions.registry import register_functions
-from attesta.operators import limits, mapping, redaction
+from attesta.operators import mapping, redaction
 from attesta.sources import lines
 from attesta.streaming import jobs
 
@@ -61,20 +61,6 @@ def test_file_names_hide_no_key(spark):
     assert got == ["notes_<SECRET>_v2.md", "<PERSON>_plan.docx", "report.2024.pdf"]
 
 
-@pytest.mark.parametrize("step", [7, 50])
-def test_admission_over_batches_is_that_of_the_whole(spark, tmp_path, step):
-    rows = [(i, f"2024-01-01 {8 + i // 40:02d}:{i % 40:02d}:00", i % 3, i % 2, "ab"[i % 5 > 2]) for i in range(100)]
-    df = spark.createDataFrame(rows, "event_id long, ts string, network long, workspace_id long, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
-    caps = limits.Caps(network=9, kinds=(("a", 7),), hour=15, day=30)
-    write = jobs.admission_pass(str(tmp_path / "out"), caps)
-    for n in range(0, 100, step):
-        batch = df.filter((F.col("event_id") >= n) & (F.col("event_id") < n + step))
-        write(batch, n // step)
-        write(batch, n // step)  # a repeated batch changes nothing
-    got = {r.event_id: r.refused_by for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {r.event_id: r.refused_by for r in limits.admitted(df, caps).collect()} and None in got.values() and len(set(got.values())) > 3
-
-
 def test_repeated_answers_are_appended_once(spark, tmp_path):
     path = str(tmp_path / "answers")
     row = lambda *r: spark.createDataFrame(list(r), "run_id int, item_id int, text string")
