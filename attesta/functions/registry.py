@@ -1,132 +1,82 @@
 """The library's functions for SQL users.
 
-Expressions become temporary SQL functions, which Spark inlines into the query. What SQL text cannot say becomes Arrow
-functions with the same rules as the column functions, for use in SQL only: normal forms, quotes and redaction; and the table
-function ``doc_lines``, which reads a text as :mod:`attesta.sources.lines` does.
+Each is a temporary SQL function whose body is the text of the library's own column expression, so SQL and DataFrames share one
+rule, nothing of it runs in Python, and Spark inlines the body into the query: text normal forms, quotes, numbers and
+redaction. ``line_list`` and ``chunk_list`` are a text's lines and passages as arrays, which a subquery selects and ``LATERAL VIEW
+posexplode`` spreads within the row; the table functions ``doc_lines`` and ``doc_chunks`` are the same for LATERAL, which Spark turns into a join by
+text: handy for some texts, while a whole corpus should go through the arrays.
+
+Null is kept by functions of a value; a null text has no lines and no passages.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
-from collections.abc import Iterator
-from datetime import date
-
-import pandas as pd
-from pyspark.sql import SparkSession
-from pyspark.sql.functions import pandas_udf, udtf
-
-from attesta.functions.text import INVISIBLE, SAME_FROM, SAME_TO
 
-_SPACE = r"(?U)\\s+"
-
-#: name: (parameters, result, body). Bodies use built-in functions alone.
-SQL_FUNCTIONS = {
-    "plain_spaces": ("x STRING", "STRING", f"trim(regexp_replace(x, '{_SPACE}', ' '))"),
-    "word_total": ("x STRING", "INT", f"size(filter(split(x, '{_SPACE}'), w -> w <> ''))"),
-    "inert_cell": ("x STRING", "STRING", r"CASE WHEN x RLIKE '^[=+\\-@\\t\\r]' THEN concat('''', x) ELSE x END"),
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.functions.text import contains_quote, inert, normalize_text, number_tokens, once
+
+#: A string literal, which stays; or the name of an operator that is called as a function, which SQL wants in backquotes.
+_PIECE = re.compile(r"'(?:[^'\\]|\\.)*'|(?<![\w`])((?:or|and|not|[=!<>+*/%&|^~-]+)(?=\())", re.S)
+
+
+def sql_text(column: Column) -> str:
+    """An expression over named columns as SQL text."""
+    shown = re.fullmatch(r"Column<'(.*)'>", str(column), re.S)
+    if shown is None:
+        raise ValueError("the expression has no SQL text")
+    return _PIECE.sub(lambda m: f"`{m[1]}`" if m[1] else m[0], shown[1])
+
+
+LINE_LIST = "ARRAY<STRUCT<text: STRING, kind: STRING, as_of: DATE>>"
+CHUNK_LIST = "ARRAY<STRUCT<line_start: INT, line_end: INT, text: STRING, heading: STRING, flags: ARRAY<STRING>, as_of: DATE, record: BOOLEAN>>"
+
+
+def _scalars() -> dict[str, tuple[str, str, str]]:
+    """name: (parameters, result, body)."""
+    from attesta.operators.chunks import chunk_array, passage_flags
+    from attesta.operators.redaction import applied, spans
+    from attesta.sources.lines import line_array
+
+    def flagged(c: Column) -> Column:
+        plain = [c[n].alias(n) for n in ("line_start", "line_end", "text")]
+        return F.struct(*plain, c["label"].alias("heading"), passage_flags(c["text"], c["label"]).alias("flags"), c["as_of"].alias("as_of"), c["record"].alias("record"))
+
+    x, haystack, quote = F.col("x"), F.col("haystack"), F.col("quote")
+    space = r"(?U)\s+"
+    return {
+        "plain_spaces": ("x STRING", "STRING", sql_text(F.trim(F.regexp_replace(x, space, " ")))),
+        "word_total": ("x STRING", "INT", sql_text(F.size(F.filter(F.split(x, space), lambda w: w != "")))),
+        "inert_cell": ("x STRING", "STRING", sql_text(inert(x))),
+        "normalize_text": ("x STRING", "STRING", sql_text(normalize_text(x))),
+        "number_tokens": ("x STRING", "ARRAY<STRUCT<raw: STRING, value: STRING, kind: STRING>>", sql_text(number_tokens(x))),
+        "redact_text": ("x STRING", "STRING", sql_text(once(x, lambda t: once(spans(t), lambda kept: applied(t, kept))))),
+        "holds_quote": ("haystack STRING, quote STRING", "BOOLEAN", sql_text(contains_quote(haystack, quote))),
+        "line_list": ("x STRING", LINE_LIST, sql_text(line_array(x))),
+        "chunk_list": ("x STRING", CHUNK_LIST, sql_text(F.transform(chunk_array(line_array(x)), flagged))),
+    }
+
+
+#: name: (result, body) of table functions of a text ``x``. The outer form: for the plain one Spark infers a filter that parses each text once more.
+TABLES = {
+    "doc_lines": (
+        "n INT, text STRING, kind STRING, as_of DATE",
+        "SELECT f.i + 1, f.v.text, f.v.kind, f.v.as_of FROM (SELECT line_list(x) AS vs) LATERAL VIEW OUTER posexplode(vs) f AS i, v WHERE f.i IS NOT NULL",
+    ),
+    "doc_chunks": (
+        "line_start INT, line_end INT, text STRING, heading STRING, flags ARRAY<STRING>, as_of DATE, record BOOLEAN",
+        "SELECT f.v.* FROM (SELECT chunk_list(x) AS vs) LATERAL VIEW OUTER explode(vs) f AS v WHERE f.v IS NOT NULL",
+    ),
 }
-_UNSEEN = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\U{int(m[1], 16):08x}", INVISIBLE))
-_SAME = str.maketrans(SAME_FROM, SAME_TO)
-
-
-def normal(text: str) -> str:
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", _UNSEEN.sub("", text)).translate(_SAME)).strip()
-
-
-def holds(haystack: str, quote: str) -> bool:
-    text, needle = normal(haystack), normal(quote)
-    if not needle:
-        return False
-    head = r"(?<!\w)" if re.match(r"\w", needle) else ""
-    tail = r"(?![^\W\d])" if needle[-1].isalpha() else r"(?!\w)" if re.match(r"\w", needle[-1]) else ""
-    return re.search(head + re.escape(needle) + tail, text) is not None
-
-
-def redacted(text: str) -> str:
-    """Leftmost spans first, the longest of one start; no names, for which there is a table of people."""
-    from attesta.operators import redaction as R
-
-    patterns = [("SECRET", R.PRIVATE_KEY), ("SECRET", R.KEY_BODY), ("SECRET", R.URL_CREDENTIALS), ("SECRET", R.WEB_TOKEN), ("SECRET", R.PROVIDER_KEY), ("SECRET", R.MIXED_VALUE), ("SECRET", R.CONFIGURED_VALUE), ("EMAIL", R.MAIL), ("PHONE", R.TELEPHONE), ("ADDRESS", R.STREET)]
-    found = [(m.start(), -m.end(), n, label) for n, (label, p) in enumerate(patterns) for m in re.finditer(p, text, re.ASCII)]
-    out, at = [], 0
-    for begin, end, _, label in sorted(found):
-        if begin >= at:
-            out += [text[at:begin], f"<{label}>"]
-            at = -end
-    return "".join(out) + text[at:]
-
-
-def lines_of(text: str) -> Iterator[tuple[int, str, str, date | None]]:
-    """(n, text, kind, as_of) of a text."""
-    cells = lambda x: [c.strip(" ") for c in x.strip(" ").strip("|").split("|")]
-    found: list[tuple[str, str, date | None]] = []
-    for block in re.split(r"\n(?:[ \t\f\v]*\n)+", re.sub("\r\n?", "\n", text)):
-        para: list[str] = []
-        header: list[str] | None = None
-        for raw in [*block.split("\n"), None]:
-            x = None if raw is None else raw.rstrip(" ")
-            bare = "" if x is None else x.lstrip(" ")
-            alone = x is None or bare.startswith(("|", "- ", "* ")) or x.startswith("#")
-            if alone and para:
-                found.append((normal(" ".join(para)), "text", None))
-                para = []
-            if x is None:
-                break
-            if bare.startswith("|"):
-                if header is None:
-                    header = cells(x)
-                elif not re.match(r"^\|?[\s:|-]+\|?$", x.strip(" ")):
-                    named = [normal(h) or f"Column {i + 1}" for i, h in enumerate(header)]
-                    own = cells(x)
-                    pairs = [f"{named[i] if i < len(named) else f'Column {i + 1}'}: {normal(v)}" for i, v in enumerate(own) if normal(v)]
-                    found.append(("; ".join(pairs), "record", _latest(header, own)))
-            elif x.startswith("#"):
-                found.append((normal(x.lstrip("#")), "heading", None))
-            elif bare.startswith(("- ", "* ")):
-                found.append((normal(re.sub(r"^\[[xX]\] ", "", bare[2:])), "text", None))
-            else:
-                para.append(x)
-    yield from ((n, *x) for n, x in enumerate((x for x in found if x[0]), 1))
-
-
-def _latest(header: list[str], values: list[str]) -> date | None:
-    from attesta.sources.lines import TO_COME
-
-    days = []
-    for i, v in enumerate(values):
-        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", v) and not (i < len(header) and re.search(TO_COME, header[i])):
-            try:
-                days.append(date.fromisoformat(v))
-            except ValueError:
-                continue
-    return max(days, default=None)
 
 
 def register_functions(spark: SparkSession) -> list[str]:
     """Makes the functions callable from SQL; returns their names."""
-    for name, (params, result, body) in SQL_FUNCTIONS.items():
+    scalars = _scalars()
+    for name, (params, result, body) in scalars.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
-
-    @pandas_udf("string")
-    def normalize_text(x: pd.Series) -> pd.Series:
-        return x.map(normal, na_action="ignore")
-
-    @pandas_udf("string")
-    def redact_text(x: pd.Series) -> pd.Series:
-        return x.map(redacted, na_action="ignore")
-
-    @pandas_udf("boolean")
-    def holds_quote(haystack: pd.Series, quote: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None or q is None else holds(h, q) for h, q in zip(haystack, quote, strict=True)], dtype="object")
-
-    for name, f in (("normalize_text", normalize_text), ("redact_text", redact_text), ("holds_quote", holds_quote)):
-        spark.udf.register(name, f)
-
-    @udtf(returnType="n: int, text: string, kind: string, as_of: date")
-    class DocLines:
-        def eval(self, text: str):
-            yield from lines_of(text or "")
-
-    spark.udtf.register("doc_lines", DocLines)
-    return [*SQL_FUNCTIONS, "normalize_text", "redact_text", "holds_quote", "doc_lines"]
+    for name, (result, body) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS TABLE({result}) RETURN {body}")
+    return [*scalars, *TABLES]

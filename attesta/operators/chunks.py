@@ -55,6 +55,12 @@ def chunk_array(lines: Column, max_words: int = MAX_WORDS) -> Column:
     return once(lines, lambda ls: F.transform(marks(ls), lambda m: passage(ls, m)))
 
 
+def passage_flags(text: Column, label: Column) -> Column:
+    """The flags of a passage; an injection in its heading flags each passage beneath it."""
+    own = flags(text)
+    return F.when(F.coalesce(is_injection(label), F.lit(False)), F.array_union(own, F.array(F.lit("injection")))).otherwise(own)
+
+
 def chunk_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_words: int = MAX_WORDS) -> DataFrame:
     """(keep..., chunk_id, line_start, line_end, text, heading, flags, as_of, record) for ``docs`` (doc_id, text).
 
@@ -73,12 +79,9 @@ def chunk_lines(lines: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
 def _passages(lined: DataFrame, keep: tuple[str, ...], max_words: int) -> DataFrame:
     # The outer form: for the plain one Spark infers a filter that cuts each document once more.
     found = lined.select(*keep, F.explode_outer(chunk_array(F.col("__lines"), max_words)).alias("x")).filter("x is not null")
-    own = flags(F.col("x.text"))
-    spread = F.coalesce(is_injection(F.col("x.label")), F.lit(False))
-    all_flags = F.when(spread, F.array_union(own, F.array(F.lit("injection")))).otherwise(own)
     return found.select(
         *keep,
         F.concat_ws("#", F.col(keep[0]).cast("string"), F.col("x.line_start").cast("string")).alias("chunk_id"),
         *[F.col(f"x.{c}").alias(c) for c in ("line_start", "line_end", "text")],
-        F.col("x.label").alias("heading"), all_flags.alias("flags"), F.col("x.as_of").alias("as_of"), F.col("x.record").alias("record"),
+        F.col("x.label").alias("heading"), passage_flags(F.col("x.text"), F.col("x.label")).alias("flags"), F.col("x.as_of").alias("as_of"), F.col("x.record").alias("record"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
+from attesta.functions.registry import register_functions
 from attesta.operators import chunks as C
 from attesta.operators import classification, redaction
 from attesta.plans import base
@@ -130,22 +131,59 @@ def keyed_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.keyed_pseudonym(F.col("c_name"), b"key of the day").alias("pseudonym"))
 
 
+def _in_sql(spark: SparkSession, docs: DataFrame, query: str) -> DataFrame:
+    """A query in SQL over ``docs``, with the library's functions, which a session makes once."""
+    if not spark.catalog.functionExists("doc_chunks"):
+        register_functions(spark)
+    return spark.sql(query, docs=docs)
+
+
+def lines_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_sql(spark, base.corpus(spark, sf_dir), "SELECT doc_id, l.n, l.text, l.kind FROM {docs}, LATERAL doc_lines(text) l")
+
+
+def chunks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_sql(
+        spark, base.corpus(spark, sf_dir),
+        """SELECT concat(doc_id, '#', c.line_start) AS chunk_id, doc_id, c.line_start, c.line_end, c.text, c.heading, array_join(c.flags, ',') AS flags
+        FROM (SELECT doc_id, chunk_list(text) AS cs FROM {docs}) LATERAL VIEW OUTER explode(cs) AS c WHERE c IS NOT NULL""",
+    )
+
+
+def functions_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a careless source would write them, brought to normal form, and quotes cut at and within a word."""
+    return _in_sql(
+        spark, base.corpus_lines(spark, sf_dir),
+        """SELECT doc_id, n, normalize_text(concat('\u00ad ', replace(text, ' ', ' \t'), ' \u201d')) AS plain, word_total(text) AS n_words,
+          holds_quote(text, concat(' ', split_part(text, ' ', 1), '\n')) AS held, holds_quote(text, substr(text, 2, 4)) AS inner_held FROM {docs}""",
+    )
+
+
 def queries() -> dict:
     return {
         "s1_text_lines": text_lines, "d1_corpus_chunks": corpus_chunks, "w4_section_titles": section_titles, "a1_document_quota": document_quota, "s5_ingest_gate": ingest_gate,
         "p12_line_range": line_range, "s2_record_lines": record_lines, "s9_import_separator": import_separator, "s8_section_items": section_items, "d2_classify_documents": classify_documents,
         "d3_redaction_report": redaction_report, "d3_redact_corpus": redact_corpus, "f6_filename_rules": filename_rules, "f19_inert_cells": inert_cells, "f17_header_roles": header_roles,
         "f18_added_words": added_words, "p3_injection_filter": injection_filter, "f23_keyed_pseudonyms": keyed_pseudonyms,
+        "x2_doc_lines": lines_in_sql, "x2_doc_chunks": chunks_in_sql, "x1_sql_functions": functions_in_sql,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     key = b"key of the day".ljust(64, b"\0")
     pad = lambda x: bytes(b ^ x for b in key).hex()
+    lines = sql("lines", "SELECT doc_id, n, text, kind FROM lines")
+    flagged = sql("flagged", "SELECT chunk_id, doc_id, line_start, line_end, text, heading, array_to_string(flags, ',') AS flags FROM flagged")
     return {
+        "x2_doc_lines": lines,
+        "x2_doc_chunks": flagged,
+        "x1_sql_functions": sql("lines", r""", q AS (SELECT doc_id, n, text, trim(substr(text, 2, 4)) AS cut FROM lines),
+            b AS (SELECT *, CASE WHEN regexp_matches(cut, '^[\p{L}\p{M}\p{N}_]') THEN '(^|[^\p{L}\p{M}\p{N}_])' ELSE '' END AS before,
+              CASE WHEN regexp_matches(cut, '\p{L}$') THEN '($|[^\p{L}_])' WHEN regexp_matches(cut, '[\p{M}\p{N}_]$') THEN '($|[^\p{L}\p{M}\p{N}_])' ELSE '' END AS after FROM q)
+            SELECT doc_id, n, text || ' "' AS plain, len(string_split(text, ' '))::INT AS n_words, true AS held, cut <> '' AND regexp_matches(text, before || regexp_escape(cut) || after) AS inner_held FROM b"""),
         "f23_keyed_pseudonyms": f"SELECT c_custkey, sha256(from_hex('{pad(0x5C)}') || from_hex(sha256(from_hex('{pad(0x36)}') || encode(c_name))))[1:32] AS pseudonym FROM customer",
-        "s1_text_lines": sql("lines", "SELECT doc_id, n, text, kind FROM lines"),
-        "d1_corpus_chunks": sql("flagged", "SELECT chunk_id, doc_id, line_start, line_end, text, heading, array_to_string(flags, ',') AS flags FROM flagged"),
+        "s1_text_lines": lines,
+        "d1_corpus_chunks": flagged,
         "w4_section_titles": sql("plain_chunks", r"SELECT doc_id, heading, count(*) AS n_chunks, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> '')))::BIGINT AS n_words FROM plain_chunks GROUP BY 1, 2"),
         "a1_document_quota": sql("lines", """, n AS (SELECT d.doc_id, 'w' || (d.doc_id % 3) AS workspace_id, count(l.n) AS n_lines FROM documents d LEFT JOIN lines l ON l.doc_id = d.doc_id GROUP BY 1, 2)
             SELECT *, (sum(n_lines) OVER (PARTITION BY workspace_id ORDER BY doc_id))::BIGINT AS used, sum(n_lines) OVER (PARTITION BY workspace_id ORDER BY doc_id) <= 1500 AS taken FROM n"""),
