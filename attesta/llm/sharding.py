@@ -8,8 +8,9 @@ slot, however large the input.
 The map is a table with a row for each version and slot. A run loads the last version, edits it if the shards have become
 uneven or their number is another, and writes the edit as the next version; earlier ones stay for readers that use them.
 
-A record is its id and text, so many records without an id are spread as well; equal records share a slot. A null text has
-no bytes; an empty input gives an empty result. Other columns are not looked at. Texts are hashed whole, whatever their length.
+A record is its id and text, so many records without an id are spread as well; equal records share a slot, and a slot of many
+rows is numbered in cells by stored row number, however alike its rows are. Slots of shards that are no more are dealt to the
+others. A null text has no bytes; an empty input gives an empty result. Other columns are not looked at. Texts are hashed whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta.llm.shared import written
+
 SLOTS = 4096
 #: The map is edited when the heaviest and the lightest shard differ by more than this part of the mean.
 UNEVEN = 0.001
+#: A slot's rows are numbered in cells of about so many; more where that would make over MOST_CELLS cells beside one for each slot.
+CELL_ROWS, MOST_CELLS = 1_000_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -34,19 +39,17 @@ class SlotMap:
     shards: int
     shard_of: tuple[int, ...]
 
-    def frame(self, spark: SparkSession, first_row: list[int] | None = None) -> DataFrame:
-        """The map as a table (version, shards, vslot, shard, first_row)."""
-        first_row = first_row or [0] * len(self.shard_of)
-        rows = json.dumps([{"v": s, "s": n, "f": f} for s, (n, f) in enumerate(zip(self.shard_of, first_row, strict=True))])
-        parsed = F.explode(F.from_json(F.lit(rows), "array<struct<v:int,s:int,f:long>>")).alias("x")
-        return spark.range(1).select(parsed).select(
-            F.lit(self.version).alias("version"), F.lit(self.shards).alias("shards"), F.col("x.v").alias("vslot"), F.col("x.s").alias("shard"), F.col("x.f").alias("first_row")
-        )
-
+    def frame(self, spark: SparkSession, first_row: list[int] | None = None, cells: list[int] | None = None) -> DataFrame:
+        """The map as a table (version, shards, vslot, shard, first_row, cells)."""
+        first_row, cells = first_row or [0] * len(self.shard_of), cells or [1] * len(self.shard_of)
+        rows = json.dumps([{"v": s, "s": n, "f": f, "c": c} for s, (n, f, c) in enumerate(zip(self.shard_of, first_row, cells, strict=True))])
+        parsed = F.explode(F.from_json(F.lit(rows), "array<struct<v:int,s:int,f:long,c:long>>")).alias("x")
+        own = [F.col(f"x.{c}").alias(name) for c, name in (("v", "vslot"), ("s", "shard"), ("f", "first_row"), ("c", "cells"))]
+        return spark.range(1).select(parsed).select(F.lit(self.version).alias("version"), F.lit(self.shards).alias("shards"), *own)
 
     def store(self, spark: SparkSession, path: str) -> None:
         """Writes this version beside those that ``path`` has; a version is written once."""
-        self.frame(spark).drop("version", "first_row").coalesce(1).write.parquet(f"{path}/version={self.version}")
+        self.frame(spark).drop("version", "first_row", "cells").coalesce(1).write.parquet(f"{path}/version={self.version}")
 
 
 def stored_map(spark: SparkSession, path: str) -> SlotMap | None:
@@ -70,14 +73,17 @@ def initial_map(shards: int, slots: int = SLOTS) -> SlotMap:
 def rebalanced(old: SlotMap, weight: list[int], shards: int | None = None) -> SlotMap:
     """The next version of the map: slots go from the heaviest to the lightest shard while that narrows the gap.
 
-    A step moves one slot, or swaps two, whichever brings the pair nearest to its mean.
+    Slots whose shard is no more go first, the heaviest of them to the lightest shard. A step moves one slot, or swaps two, whichever brings the pair nearest to its mean.
     """
     shards = shards or old.shards
     shard_of = list(old.shard_of)
     held: list[set[int]] = [set() for _ in range(shards)]
-    for s, n in enumerate(shard_of):
-        held[n].add(s)
-    load = [sum(weight[s] for s in x) for x in held]
+    load = [0] * shards
+    for s in sorted(range(len(shard_of)), key=lambda s: (shard_of[s] >= shards, -weight[s], s)):
+        if shard_of[s] >= shards:
+            shard_of[s] = min(range(shards), key=lambda n: (load[n], len(held[n]), n))
+        held[shard_of[s]].add(s)
+        load[shard_of[s]] += weight[s]
     while True:
         top, low = max(range(shards), key=lambda n: (load[n], -n)), min(range(shards), key=lambda n: (load[n], n))
         gap = load[top] - load[low]
@@ -120,15 +126,24 @@ def slot_weights(df: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
     return size, rows
 
 
-def placed(df: DataFrame, slot_map: SlotMap, rows: list[int], order: list[str]) -> DataFrame:
-    """Adds ``shard`` and the gapless place in it, ``slot``; numbering runs slot by slot, so no task holds a shard."""
+def placed(df: DataFrame, slot_map: SlotMap, rows: list[int], order: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Adds ``shard`` and the gapless place in it, ``slot``; numbering runs cell by cell, so no task holds a shard or a full slot.
+
+    ``df`` is a stored table with ``row``, a number of its own for each row, which tells the cells of a slot.
+    """
     first, seen = [], [0] * slot_map.shards
     for s, n in enumerate(slot_map.shard_of):
         first.append(seen[n])
         seen[n] += rows[s]
-    where = slot_map.frame(df.sparkSession, first).drop("shards")
-    numbered = df.withColumn("__n", F.row_number().over(W.partitionBy("vslot").orderBy(*order)))
-    return numbered.join(F.broadcast(where), "vslot").withColumn("slot", F.col("first_row") + F.col("__n") - 1).drop("__n", "first_row")
+    most = max(cell_rows, -(-sum(rows) // MOST_CELLS))
+    where = slot_map.frame(df.sparkSession, first, [max(1, -(-n // most)) for n in rows]).drop("shards")
+    dealt = df.join(F.broadcast(where), "vslot").withColumn("__cell", F.pmod(F.xxhash64("row"), "cells"))
+    held = dealt.groupBy("vslot", "__cell").agg(F.count(F.lit(1)).alias("__held"))
+    before = F.sum("__held").over(W.partitionBy("vslot").orderBy("__cell")) - F.col("__held")
+    held = held.select("vslot", "__cell", before.alias("__before"))  # at most MOST_CELLS rows and one for each slot
+    numbered = dealt.withColumn("__n", F.row_number().over(W.partitionBy("vslot", "__cell").orderBy(*order, "row")))
+    out = numbered.join(F.broadcast(held), ["vslot", "__cell"])
+    return out.withColumn("slot", F.col("first_row") + F.col("__before") + F.col("__n") - 1).select(*[c for c in df.columns if c != "row"], "version", "shard", "slot")
 
 
 def even(weight: list[int], slot_map: SlotMap) -> bool:
@@ -142,8 +157,8 @@ def even(weight: list[int], slot_map: SlotMap) -> bool:
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Deals ``docs`` (doc_id, text) to shards of nearly equal bytes, by the map stored at ``map_path`` if one is given.
 
-    Returns doc_id, size (UTF-8 bytes and one), text_crc32, vslot, version, shard, slot. Equal rows get neighbouring
-    places; which of them gets which makes no difference.
+    Returns doc_id, size (UTF-8 bytes and one), text_crc32, vslot, version, shard, slot. Which of equal rows gets which place
+    makes no difference.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select(
@@ -151,7 +166,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
         (F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1).alias("size"),
         F.crc32(raw).alias("text_crc32"),
         slot_of(F.col("doc_id"), F.col("text"), slots=slots).alias("vslot"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    base = written(base, "sizes")  # row numbers are fixed by being stored
     size, rows = slot_weights(base, slots)
     spark = docs.sparkSession
     known = stored_map(spark, map_path) if map_path else None
@@ -160,7 +177,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     slot_map = known or initial_map(shards, slots)
     if known is None or slot_map.shards != shards or not even(size, slot_map):
         edited = rebalanced(slot_map, size, shards)
-        if edited.shard_of != slot_map.shard_of or known is None:
+        if (edited.shard_of, edited.shards) != (slot_map.shard_of, slot_map.shards) or known is None:
             slot_map = edited
             if map_path:
                 slot_map.store(spark, map_path)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from texts import awkward, frame, prose
 
 from attesta.llm import decontamination, licenses, packing, pii, quality, secrets, sharding, token_files
@@ -120,6 +121,44 @@ def test_a_stored_map_is_edited(spark, tmp_path):
     assert sharding.stored_map(spark, path).shards == 17 and sharding.stored_map(spark, str(tmp_path / "none")) is None
 
 
+@pytest.mark.parametrize("weight", [[10] * 64, [0] * 64, [(i * 7919) % 100 for i in range(64)], [5000] + [3] * 63])
+def test_shards_shrink_and_grow(weight):
+    now = sharding.initial_map(16, 64)
+    for shards in (8, 24, 3, 1, 5):
+        new = sharding.rebalanced(now, weight, shards)
+        assert new.shards == shards and set(new.shard_of) <= set(range(shards)) and new.version == now.version + 1
+        load = [sum(w for w, n in zip(weight, new.shard_of, strict=True) if n == k) for k in range(shards)]
+        assert max(load) - min(load) <= max(weight)
+        if shards < now.shards:  # what a shard that stays held is not thrown about
+            kept = sum(a == b for a, b in zip(now.shard_of, new.shard_of, strict=True) if a < shards)
+            assert kept * 2 >= sum(a < shards for a in now.shard_of)
+        now = new
+
+
+def test_a_stored_map_shrinks(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = table(spark, SF, "documents")
+    for version, shards in ((2, 16), (3, 8), (4, 24)):
+        rows = sharding.shard_documents(docs, shards, map_path=path).select("doc_id", "version", "shard", "slot").collect()
+        assert {r.version for r in rows} == {version} and {r.shard for r in rows} == set(range(shards)) and len(rows) == docs.count()
+        for n in range(shards):
+            own = [r.slot for r in rows if r.shard == n]
+            assert sorted(own) == list(range(len(own)))
+    sharding.shard_documents(docs.limit(0), 5, map_path=path).collect()
+    assert sharding.stored_map(spark, path).shards == 5
+
+
+def test_a_full_slot_is_numbered_in_cells(spark):
+    rows = spark.range(0, 3000, 1, 6).select(F.lit(1).alias("doc_id"), F.lit(10).alias("size"), F.lit(7).alias("vslot"), F.col("id").alias("row"))
+    rows = rows.unionByName(spark.range(40).select(F.col("id").alias("doc_id"), F.lit(3).alias("size"), (F.col("id") % 8).cast("int").alias("vslot"), (F.col("id") + 3000).alias("row")))
+    held = [5] * 7 + [3005]
+    got = sharding.placed(rows, sharding.initial_map(2, 8), held, ["doc_id"], cell_rows=100).collect()
+    for n in (0, 1):
+        own = [r.slot for r in got if r.shard == n]
+        assert sorted(own) == list(range(len(own)))
+    assert len(got) == 3040
+
+
 def test_many_records_without_an_id_are_spread(spark):
     rows = [(None, f"text {i}", "", "", 0) for i in range(2000)]
     got = sharding.shard_documents(frame(spark, rows), 4).collect()
