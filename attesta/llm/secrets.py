@@ -138,36 +138,58 @@ def ratio_literal(ratios: list[float]) -> Column:
 
 
 def token_runs(token: Column, begin: Column, ratios: Column, threshold: float) -> Column:
-    """Random spans of one token that begins at ``begin``: all of it, or runs of its parts."""
+    """Random spans of one token that begins at ``begin``: all of it, or runs of its parts.
+
+    What follows a run's best end, up to where the run was given up, is searched again until nothing is left of it: a second
+    key behind a higher one is told as well.
+    """
     none = F.array().cast(f"array<{SPAN}>")
-    span = lambda a, b: F.array(F.struct((begin + a).cast("int").alias("start"), (begin + b).cast("int").alias("end"), F.lit(KINDS.index("random")).alias("kind")))
+    places = "array<struct<a:int,b:int>>"
+    random = F.lit(KINDS.index("random")).alias("kind")
 
-    def fold(x: Column) -> Column:
+    def runs(x: Column, stretch: Column) -> Column:
+        """(out, rest): the runs of a stretch that ends before place b, and the stretches to be searched again."""
         # total: what the steps since ``start`` exceed the threshold by; top: its highest at the end of a part, at ``stop``.
         zero = F.lit(0.0)
-        first = F.struct(F.lit(0).alias("start"), zero.alias("total"), zero.alias("top"), F.lit(0).alias("stop"), none.alias("out"))
+        first = F.struct(stretch["a"].alias("start"), zero.alias("total"), zero.alias("top"), stretch["a"].alias("stop"), none.alias("out"), F.array().cast(places).alias("rest"))
 
         def step(acc: Column, i: Column) -> Column:
-            joint = F.coalesce(F.get(x, i) >= FIRST_JOINER, F.lit(True))  # or the token's end
+            end = i == stretch["b"]
+            joint = end | (F.get(x, i) >= FIRST_JOINER)
             higher = joint & (acc["total"] > acc["top"])
             top, stop = F.when(higher, acc["total"]).otherwise(acc["top"]), F.when(higher, i).otherwise(acc["stop"])
-            over = joint & ((acc["total"] <= 0) | (acc["total"] < top - DROP) | (i == F.size(x)))
+            over = joint & ((acc["total"] <= 0) | (acc["total"] < top - DROP) | end)
             ruled = (F.get(x, i - 1) >= FIRST_JOINER) & (F.get(x, i) >= FIRST_JOINER)  # a step within a rule says nothing
             value = F.when(ruled, zero).otherwise(F.get(ratios, F.get(x, i - 1) * len(ALPHABET) + F.get(x, i)))
             ratio = F.when(i > acc["start"], F.coalesce(value - threshold, zero)).otherwise(zero)
             tell = over & (top > 0) & (stop - acc["start"] >= LEAST)
+            again = over & (top > 0) & (i - stop > LEAST)
+            span = F.array(F.struct((begin + acc["start"]).cast("int").alias("start"), (begin + stop).cast("int").alias("end"), random))
             return F.struct(
                 F.when(over, i + 1).otherwise(acc["start"]).alias("start"),
                 F.when(over, zero).otherwise(acc["total"] + ratio).alias("total"),
                 F.when(over, zero).otherwise(top).alias("top"),
                 F.when(over, i + 1).otherwise(stop).alias("stop"),
-                F.when(tell, F.concat(acc["out"], span(acc["start"], stop))).otherwise(acc["out"]).alias("out"),
+                F.when(tell, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"),
+                F.when(again, F.concat(acc["rest"], F.array(F.struct((stop + 1).alias("a"), i.alias("b"))))).otherwise(acc["rest"]).alias("rest"),
             )
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(x)), first, step, lambda acc: acc["out"])
+        return F.aggregate(F.sequence(stretch["a"], stretch["b"]), first, step, lambda acc: F.struct(acc["out"].alias("out"), acc["rest"].alias("rest")))
+
+    def passes(x: Column) -> Column:
+        """Passes over what is left; each stretch has a part less than the one it is of, so there are no more than parts."""
+
+        def one(acc: Column, _: Column) -> Column:
+            found = lambda r: F.struct(F.concat(acc["out"], F.flatten(F.transform(r, lambda y: y["out"]))).alias("out"), F.flatten(F.transform(r, lambda y: y["rest"])).alias("rest"))
+            return F.when(F.size(acc["rest"]) > 0, let(F.transform(acc["rest"], lambda s: runs(x, s)), found)).otherwise(acc)
+
+        start = F.struct(none.alias("out"), F.array(F.struct(F.lit(0).alias("a"), F.size(x).alias("b"))).cast(places).alias("rest"))
+        most = F.sequence(F.lit(0), F.size(F.filter(x, lambda c: c >= FIRST_JOINER)))
+        return F.aggregate(most, start, one, lambda acc: F.array_sort(acc["out"], _by_place))
 
-    parts = let(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), fold)
-    return F.when(random_score(token, ratios) > threshold, span(F.lit(0), F.length(token))).when(token.rlike("[/_=-]"), parts).otherwise(none)
+    whole = F.array(F.struct(begin.cast("int").alias("start"), (begin + F.length(token)).cast("int").alias("end"), random))
+    parts = let(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), passes)
+    return F.when(random_score(token, ratios) > threshold, whole).when(token.rlike("[/_=-]"), parts).otherwise(none)
 
 
 def random_spans(text: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 import zlib
@@ -408,6 +409,54 @@ def test_held_out_accuracy(spark):
     assert not any(r.p for r in rows if not r.y)
 
 
+def runs_of(token, ratios, a, b):
+    """The runs of a token between two places, by a loop; what follows a run's best end is searched by a call."""
+    size, at = len(secrets.ALPHABET), [secrets.ALPHABET.index(c) for c in token]
+    joint = lambda i: i == b or at[i] >= secrets.FIRST_JOINER
+    out, start = [], a
+    while start <= b:
+        total, top, stop, i = 0.0, 0.0, start, start
+        while True:
+            if joint(i):
+                if total > top:
+                    top, stop = total, i
+                if i == b or total <= 0 or total < top - secrets.DROP:
+                    break
+            if i > start and not (at[i] >= secrets.FIRST_JOINER and at[i - 1] >= secrets.FIRST_JOINER):
+                total += ratios[at[i - 1] * size + at[i]] - secrets.THRESHOLD
+            i += 1
+        if top > 0 and stop - start >= secrets.LEAST:
+            out.append((start, stop))
+        if top > 0 and i - stop > secrets.LEAST:
+            out += runs_of(token, ratios, stop + 1, i)
+        start = i + 1
+    return sorted(out)
+
+
+def test_a_second_key_in_a_token_is_told(spark):
+    ratios = secrets.train(secrets.default_samples(table(spark, SF, "documents")))
+    digest = lambda i, n: "".join(c for c in base64.b64encode(hashlib.sha512(str(i).encode()).digest()).decode() if c.isalnum())[:n]
+    words = ("value", "settings", "for", "the", "other", "environment", "name", "of", "region")
+    tokens = []
+    for i in range(120):
+        parts = [digest(100 * i + k, 12 + (7 * i + 11 * k) % 40) if (i >> k) & 1 else words[(i + k) % 9] for k in range(7)]
+        tokens.append("_-/="[i % 4].join(parts))
+    df = spark.createDataFrame(list(enumerate(tokens)), "i int, t string")
+    spans = secrets.token_runs(F.col("t"), F.lit(0), secrets.ratio_literal(ratios), secrets.THRESHOLD)
+    score = secrets.random_score(F.col("t"), secrets.ratio_literal(ratios))
+    rows = df.select("t", spans.alias("s"), score.alias("score")).filter("length(t) >= 16").collect()
+    again = 0
+    for r in rows:
+        want = [(0, len(r.t))] if r.score > secrets.THRESHOLD else runs_of(r.t, ratios, 0, len(r.t))
+        assert [(x.start, x.end) for x in r.s] == want
+        again += len(want) > 1
+    assert again > 10
+    key = [digest(7, 44), digest(9, 20)]
+    token = f"{key[0]}_settings_for_the_{key[1]}_settings_for_the_other_environment_settings_for_the_other_region_and_so_on_for_the_others"
+    found = spark.createDataFrame([(token,)], "t string").select(secrets.token_runs(F.col("t"), F.lit(0), secrets.ratio_literal(ratios), secrets.THRESHOLD).alias("s")).first().s
+    assert all(any(x.start <= token.index(k) and token.index(k) + len(k) <= x.end for x in found) for k in key)
+
+
 def test_random_values_behind_names_and_paths(spark):
     import random
     import string
