@@ -3,7 +3,8 @@
 The plan is made from how many pieces have each length, not from the pieces: lengths go from long to short, each into the
 tightest sequences that still hold it, a whole group of equal sequences at a time. Its size depends on the capacity, not
 on the input. Pieces then take their planned places by rank: a piece's rank among those of its length is its number
-within a (length, bucket) group plus the sizes of the buckets before, so the most common length has many groups.
+within a (length, bucket) group plus the sizes of the buckets before, so the most common length has many groups. Buckets go
+by stored row number, so equal pieces are spread as well.
 
 Null and empty texts are one piece with the end id alone. Rows with equal id and text are packed each for itself. An empty
 table gives no pieces. Texts are read whole, and other columns are not looked at. The plan's ties go to the sequence opened
@@ -103,19 +104,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
 
 def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
-    """``pieces`` with ``rank``, gapless from 0 within each length."""
+    """``pieces`` with ``rank``, gapless from 0 within each length. ``pieces`` is stored, so its rows keep their numbers."""
     cols = pieces.columns
-    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = pieces.withColumn("__row", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("__b", F.pmod(F.xxhash64("__row"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(W.partitionBy("length").orderBy("__b")) - F.col("__n")
     sizes = sizes.select(F.col("length").alias("__l"), F.col("__b").alias("__b2"), before.alias("__before"))
-    numbered = dealt.withColumn("__i", F.row_number().over(W.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    numbered = dealt.withColumn("__i", F.row_number().over(W.partitionBy("length", "__b").orderBy("__row")) - 1)
     joined = numbered.join(sizes, (F.col("length") == F.col("__l")) & (F.col("__b") == F.col("__b2")))
     return joined.select(*cols, (F.col("__before") + F.col("__i")).alias("rank"))
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces``, which must be cheap to read again, with ``sequence_id`` and ``offset`` from the plan."""
+    """``pieces``, a checkpoint or another stored table, with ``sequence_id`` and ``offset`` from the plan."""
     counts = {x["length"]: x["count"] for x in pieces.groupBy("length").count().collect()}
     rows, _ = plan(counts, capacity)
     total = sum(counts.values())

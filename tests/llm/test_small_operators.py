@@ -78,6 +78,24 @@ def test_keep_good_keeps_rows_and_columns(docs):
     assert sorted(r.doc_id or 0 for r in out.collect()) == sorted(r.doc_id or 0 for r in quality.judge(docs).collect() if r.kept)
 
 
+# equal rows in packing
+
+
+def test_equal_pieces_are_spread_and_placed_without_gaps(spark):
+    rows = frame(spark, [(None, "the same words again and again " * 9, "", "", 0)] * 700 + [(i, f"words {i}", "", "", 0) for i in range(50)])
+    pieces = packing.checkpoint(packing.tokenised_pieces(rows.repartition(5), BYTE, 2))
+    ranked = packing.ranked(pieces, 16).collect()
+    for length in {r.length for r in ranked}:
+        own = [r["rank"] for r in ranked if r.length == length]
+        assert sorted(own) == list(range(len(own)))
+    room = Counter()
+    placed = sorted(packing.place(pieces).collect(), key=lambda r: (r.sequence_id, r.offset))
+    for r in placed:
+        assert r.offset == room[r.sequence_id]
+        room[r.sequence_id] += r.length
+    assert len(placed) == 750 and max(room.values()) <= packing.CAPACITY
+
+
 # sharding
 
 
