@@ -29,3 +29,11 @@ def test_scores_meet_their_keys_by_sorting(spark):
     cites = spark.createDataFrame([(1, "a", True, "final", False, True)], "run_id int, code string, evidence_allowed boolean, status string, placeholder boolean, valid boolean")
     shown = plan(G.run_scores(both, traps, results, cites, rows.select("run_id", "code"), rows))
     assert not [x for x in shown.splitlines() if "BroadcastHashJoin" in x and "[run_id" not in x]
+
+
+def test_report_lines_write_numbers_without_exponents(spark):
+    values = {"a": 11855434.0, "b": 9999999.5, "c": -123456789012.25, "d": 0.00012, "e": 0.5, "f": 1e7, "g": 0.0}
+    metrics = spark.createDataFrame(list(values.items()), "metric string, value double")
+    rules = metrics.select("metric", F.lit(">=").alias("op"), F.lit(2e7).alias("target"), F.lit(False).alias("gating"))
+    got = [r.line for r in G.report_lines(G.gates(metrics, rules)).collect()]
+    assert [x.split(" | ")[1:3] for x in got if "≥" in x or ">=" in x] == [[str(v), ">= 20000000.0"] for v in values.values()]
