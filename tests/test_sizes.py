@@ -31,6 +31,15 @@ def test_scores_meet_their_keys_by_sorting(spark):
     assert not [x for x in shown.splitlines() if "BroadcastHashJoin" in x and "[run_id" not in x]
 
 
+def test_names_meet_texts_by_sorting(spark):
+    people = spark.createDataFrame([("Ann Lee",)], "name string")
+    lines = spark.createDataFrame([(1, 1, "Ask Ann Lee")], "doc_id long, n int, text string")
+    files = spark.createDataFrame([(1, "by_Ann_Lee.md")], "file_id long, filename string")
+    for got in (redaction.redact_lines(lines, people), redaction.redact_filenames(files, people)):
+        assert "BroadcastHashJoin" not in plan(got)
+    assert redaction.redact_lines(lines, people).first().text == "Ask <PERSON>"
+
+
 def test_report_lines_write_numbers_without_exponents(spark):
     values = {"a": 11855434.0, "b": 9999999.5, "c": -123456789012.25, "d": 0.00012, "e": 0.5, "f": 1e7, "g": 0.0}
     metrics = spark.createDataFrame(list(values.items()), "metric string, value double")
