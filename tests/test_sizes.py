@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import redaction
+from attesta.operators import retrieval as R
 from attesta.operators import scoring as G
 from attesta.plans import keys
 
@@ -46,3 +47,15 @@ def test_report_lines_write_numbers_without_exponents(spark):
     rules = metrics.select("metric", F.lit(">=").alias("op"), F.lit(2e7).alias("target"), F.lit(False).alias("gating"))
     got = [r.line for r in G.report_lines(G.gates(metrics, rules)).collect()]
     assert [x.split(" | ")[1:3] for x in got if "≥" in x or ">=" in x] == [[str(v), ">= 20000000.0"] for v in values.values()]
+
+
+def _passages(spark):
+    rows = [("1#1", 1, "a.md", 1, "Head", "Keys are kept, key by key", False), ("2#1", 2, "b.csv", 1, "Systems", "System: Keys; Owner: team", True)]
+    got = spark.createDataFrame(rows, "chunk_id string, doc_id long, filename string, line_start int, heading string, text string, record boolean")
+    return got.withColumn("flags", F.array().cast("array<string>"))
+
+
+def test_index_is_made_inside_a_passage(spark):
+    index = R.postings(_passages(spark).filter("doc_id = 1"))
+    assert "Exchange" not in plan(index)
+    assert [tuple(r)[1:] for r in index.collect()] == [("head", 0, True, 3), ("kept", 3, True, 3), ("key", 1, True, 3), ("key", 4, False, 3), ("key", 6, False, 3)]
