@@ -59,3 +59,12 @@ def test_index_is_made_inside_a_passage(spark):
     index = R.postings(_passages(spark).filter("doc_id = 1"))
     assert "Exchange" not in plan(index)
     assert [tuple(r)[1:] for r in index.collect()] == [("head", 0, True, 3), ("kept", 3, True, 3), ("key", 1, True, 3), ("key", 4, False, 3), ("key", 6, False, 3)]
+
+
+@pytest.mark.parametrize("phrases", [None, ["kept key"]])
+def test_what_an_item_hits_does_not_travel(spark, phrases):
+    items = spark.createDataFrame([(1, "Which keys", None, phrases)], "item_id long, question string, topic string, phrases array<string>")
+    chunks = _passages(spark)
+    got = R.scored(items, chunks, R.postings(chunks), ("filename",))
+    assert phrases or "hashpartitioning(item_id" not in plan(got)
+    assert sorted(r.chunk_id for r in got.collect()) == ["1#1", "2#1"]
