@@ -68,3 +68,11 @@ def test_what_an_item_hits_does_not_travel(spark, phrases):
     got = R.scored(items, chunks, R.postings(chunks), ("filename",))
     assert phrases or "hashpartitioning(item_id" not in plan(got)
     assert sorted(r.chunk_id for r in got.collect()) == ["1#1", "2#1"]
+
+
+def test_texts_do_not_travel_for_a_hop(spark):
+    chunks = _passages(spark)
+    chosen = chunks.filter("doc_id = 1").withColumn("item_id", F.lit(1).cast("long"))
+    got = R.record_hop(chosen, chunks, few=True)
+    assert "hashpartitioning(token" not in plan(got)
+    assert [tuple(r) for r in got.collect()] == [(1, "2#1", 1)]
