@@ -224,7 +224,7 @@ def tenant_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of two tenants finds in its own passages, which are stored by tenant."""
     asked = base.questions(spark, sf_dir).withColumn("workspace_id", F.explode(F.array(F.lit("w0"), F.lit("w1"))))
     chunks = base.stored(spark, sf_dir, "tenant-chunks", ("documents", "labels"), lambda: base.chunks(spark, sf_dir), by="workspace_id")
-    index = base.stored(spark, sf_dir, "tenant-postings", ("documents", "labels"), lambda: base.index(spark, sf_dir).join(chunks.select("chunk_id", "workspace_id"), "chunk_id"), by="workspace_id")
+    index = base.stored(spark, sf_dir, "tenant-postings", ("documents", "labels"), lambda: base.index(spark, sf_dir), by="workspace_id")
     own = [of_tenants(t, asked, "workspace_id") for t in (chunks, index)]
     run = lambda items, c, i: R.retrieve(items, c, i, hop=False, tenant="workspace_id")
     got = in_tenants(run, "workspace_id", ("item_id", "chunk_id", "doc_id"), asked, *own, inside=True)

@@ -76,3 +76,29 @@ def test_texts_do_not_travel_for_a_hop(spark):
     got = R.record_hop(chosen, chunks, few=True)
     assert "hashpartitioning(token" not in plan(got)
     assert [tuple(r) for r in got.collect()] == [(1, "2#1", 1)]
+
+
+@pytest.mark.parametrize("phrases", [None, ["kept key"]])
+def test_both_ways_of_scoring_agree(spark, monkeypatch, phrases):
+    items = spark.createDataFrame([(1, "Which keys of the team", None, phrases), (2, "Owner kept", None, phrases), (3, "Zebra", None, None)], "item_id long, question string, topic string, phrases array<string>")
+    rows = _passages(spark)
+    chunks = rows.unionByName(rows.withColumns({"chunk_id": F.concat(F.lit("9"), "chunk_id"), "text": F.concat(F.lit("team kept key and "), "text")}))
+    found = lambda: R.scored(items, chunks, R.postings(chunks), ("filename",))
+    quick = found()
+    assert "MapInArrow" in plan(quick)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, quick.collect())) == sorted(map(tuple, found().collect())) != []
+
+
+def test_only_the_densest_leave_a_task(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_CELLS", 10**9)
+    items = spark.createDataFrame([(1, "Which keys", None)], "item_id long, question string, topic string")
+    rows = [(f"{i}#1", i, "a.md", 1, "Head", "key " * (i // 2 % 50 + 1) + "word", False) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id long, filename string, line_start int, heading string, text string, record boolean").coalesce(1)
+    every = R.scored(items, chunks, R.postings(chunks)).collect()
+    few = R.scored(items, chunks, R.postings(chunks), best=3).collect()
+    assert len(every) == 200 and len(few) < 60
+    top = sorted({r.density for r in every})[-1]
+    assert {r.chunk_id for r in every if r.density == top} == {r.chunk_id for r in few if r.density == top}
+    # Items whose words stand nowhere find nothing.
+    assert R.scored(items.withColumn("question", F.lit("Zebra")), chunks, R.postings(chunks)).collect() == []
