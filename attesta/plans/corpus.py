@@ -139,7 +139,7 @@ def _in_sql(spark: SparkSession, docs: DataFrame, query: str) -> DataFrame:
 
 
 def lines_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_sql(spark, base.corpus(spark, sf_dir), "SELECT doc_id, l.n, l.text, l.kind FROM {docs}, LATERAL doc_lines(text) l")
+    return _in_sql(spark, base.corpus(spark, sf_dir), "SELECT doc_id, f.i + 1 AS n, f.v.text, f.v.kind FROM (SELECT doc_id, line_list(text) AS vs FROM {docs}) LATERAL VIEW OUTER posexplode(vs) f AS i, v WHERE f.i IS NOT NULL")
 
 
 def chunks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from attesta.operators import redaction
 from attesta.operators import retrieval as R
 from attesta.operators import scoring as G
-from attesta.plans import keys
+from attesta.plans import corpus, keys
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +102,7 @@ def test_only_the_densest_leave_a_task(spark, monkeypatch):
     assert {r.chunk_id for r in every if r.density == top} == {r.chunk_id for r in few if r.density == top}
     # Items whose words stand nowhere find nothing.
     assert R.scored(items.withColumn("question", F.lit("Zebra")), chunks, R.postings(chunks)).collect() == []
+
+
+def test_lines_in_sql_stay_in_their_row(spark):
+    assert "Exchange" not in plan(corpus.lines_in_sql(spark, SF))
