@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import redaction
+from attesta.operators import decisions, redaction
 from attesta.operators import retrieval as R
 from attesta.operators import scoring as G
 from attesta.plans import corpus, keys
@@ -106,3 +106,9 @@ def test_only_the_densest_leave_a_task(spark, monkeypatch):
 
 def test_lines_in_sql_stay_in_their_row(spark):
     assert "Exchange" not in plan(corpus.lines_in_sql(spark, SF))
+
+
+def test_a_missing_text_holds_no_quote(spark):
+    rows = spark.createDataFrame([(1, None, "one two three"), (2, "x\none two three four", "one two three"), (3, "x", "one")], "i int, text string, quote string")
+    got = rows.select("i", decisions.quote_line(F.col("text"), F.lit(False), F.lit(5), F.col("quote")).alias("q")).collect()
+    assert {r.i: tuple(r.q) for r in got} == {1: (None, "containment"), 2: (6, None), 3: (None, "quote-length")}
