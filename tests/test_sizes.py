@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import decisions, redaction
+from attesta.operators import decisions, interview, redaction, rounds
 from attesta.operators import retrieval as R
 from attesta.operators import scoring as G
 from attesta.plans import corpus, keys
@@ -112,3 +112,31 @@ def test_a_missing_text_holds_no_quote(spark):
     rows = spark.createDataFrame([(1, None, "one two three"), (2, "x\none two three four", "one two three"), (3, "x", "one")], "i int, text string, quote string")
     got = rows.select("i", decisions.quote_line(F.col("text"), F.lit(False), F.lit(5), F.col("quote")).alias("q")).collect()
     assert {r.i: tuple(r.q) for r in got} == {1: (None, "containment"), 2: (6, None), 3: (None, "quote-length")}
+
+
+def test_fills_are_decided_where_their_statement_is(spark):
+    candidates = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 7, 1)], "statement_id long, item_id long, n int")
+    dealt = rounds.dealt_by_statement(candidates)
+    said = [(1, 1, "Keys are kept here"), (1, 2, "Logs are kept there"), (2, 1, "Keys are kept here")]
+    rows = dealt(spark.createDataFrame(said, "statement_id long, idx int, text string"))
+    none = {k: F.lit(None).cast(t) for k, t in (("scope", "string"), ("as_of", "date"), ("effective_date", "date"))}
+    passages = rows.withColumns({
+        "chunk_id": F.col("idx").cast("string"), "doc_id": F.col("statement_id"), "filename": F.lit("a.md"), "line_start": F.col("idx"), "flags": F.array().cast("array<string>"),
+        "record": F.lit(False), "evidence_allowed": F.lit(True), "status": F.lit("final"), **none,
+    })
+    # Statement 2 has no candidate 8, and item 8 of statement 1 only a made-up quote.
+    given = [(1, 7, 1, "yes", "keys are"), (1, 7, 2, "yes", "Logs are kept"), (1, 8, 1, "no", "Nobody wrote this"), (2, 7, 1, "irrelevant", "Keys are kept"), (2, 8, 1, "no", "Keys are kept")]
+    stances = spark.createDataFrame(given, "statement_id long, item_id long, ord int, stance string, quote string").withColumn("passage_idx", F.col("ord"))
+    got = rounds.decided_fills(dealt(candidates), passages, dealt(stances))
+    assert [x for x in plan(got).splitlines() if "Exchange" in x and "REPARTITION" not in x] == []
+    assert [tuple(r)[:4] for r in got.collect()] == [(1, 7, "verified", "Yes")]
+    both = passages.join(candidates.select("statement_id", "item_id"), "statement_id")
+    assert rounds.decided_fills(candidates, both, stances).collect() == got.collect()
+
+
+def test_a_statement_meets_its_area_once(spark):
+    items = spark.createDataFrame([(1, i, i % 2, "A", None, "unknown", False, False) for i in range(12)], "run_id int, item_id int, position int, topic string, function string, label string, approved boolean, edited boolean")
+    statements = spark.createDataFrame([("s", 1, 2, "A", None), ("t", 1, 99, "A", None), ("u", 1, None, "A", None)], "statement_id string, run_id int, item_id int, topic string, function string")
+    got = interview.fill_candidates(statements, items, 3)
+    assert "hashpartitioning(statement_id" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("s", 0, 1), ("s", 4, 2), ("s", 6, 3), ("t", 0, 1), ("t", 2, 2), ("t", 4, 3)]
