@@ -140,3 +140,16 @@ def test_a_statement_meets_its_area_once(spark):
     got = interview.fill_candidates(statements, items, 3)
     assert "hashpartitioning(statement_id" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [("s", 0, 1), ("s", 4, 2), ("s", 6, 3), ("t", 0, 1), ("t", 2, 2), ("t", 4, 3)]
+
+
+def test_texts_do_not_travel_for_a_leak(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "The old KEYS are kept"), (2, "old keys are lost, keys are kept"), (3, None), (4, "monkeys are")], "doc_id long, text string")
+    told = [("a", "old keys are"), ("b", "keys are kept"), ("c", "key"), ("d", "--"), ("e", "keys are"), ("f", "e"), ("g", "no such words")]
+    private = spark.createDataFrame(told, "private_id string, private string")
+    got = G.leaks(texts, private)
+    assert "hashpartitioning(w#" not in plan(got) and "hashpartitioning(doc_id#" not in plan(got)
+    want = [("a", 1), ("b", 1), ("c", 2), ("d", 0), ("e", 2), ("f", 3), ("g", 0)]
+    assert sorted(map(tuple, got.collect())) == want
+    for most in ("FEW_PRIVATE", "FEW_SHORT"):
+        monkeypatch.setattr(G, most, 0)
+        assert sorted(map(tuple, G.leaks(texts, private).collect())) == want
