@@ -32,7 +32,8 @@ class WindowCap(StatefulProcessor):
     """Refuses the events of a key's window that come after the first ``cap`` ones, and passes on what others refused before.
 
     The state of a key is the list of its open windows (end in ms, events that reached this cap). ``ends`` names the column
-    with the window's end, ``cap`` is a number or has one for each kind.
+    with the window's end, ``cap`` is a number or has one for each kind. A key has one timer, for the first of its windows that
+    ends: it frees all that are over and moves on to the next, as a timer for each would cost a call for each.
     """
 
     def __init__(self, scope: str, ends: str, cap: int, kinds: dict[str, int] | None = None) -> None:
@@ -55,21 +56,27 @@ class WindowCap(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], ignore_index=True)
         windows = self._load()
+        before = min(windows, default=None)
         ends = _ms(batch[self.ends])
         alive = batch["refused_by"].isna()
         place = alive.astype("int64").groupby(ends).cumsum() + ends.map(windows).fillna(0).astype("int64")
         cap = self.cap if self.kinds is None else batch["kind"].map(self.kinds).fillna(self.cap)
         batch.loc[alive & (place > cap), "refused_by"] = self.scope
         for end, n in alive.groupby(ends).sum().items():
-            if end not in windows:
-                self.handle.registerTimer(int(end))
             windows[int(end)] = windows.get(end, 0) + int(n)
+        if before != min(windows):
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(min(windows))
         self._store(windows)
         yield batch
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        gone = expiredTimerInfo.getExpiryTimeInMs()
-        self._store({end: n for end, n in self._load().items() if end > gone})
+        over = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        windows = {end: n for end, n in self._load().items() if end > over}
+        self._store(windows)
+        if windows:
+            self.handle.registerTimer(min(windows))
         yield from ()
 
     def close(self) -> None:

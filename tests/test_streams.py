@@ -124,3 +124,31 @@ def test_claims_do_not_depend_on_batches(spark, tmp_path, per_batch):
     jobs.run_to_folder(state.stream_claims(stream), f"{tmp_path}/out", f"{tmp_path}/cp")
     got = sorted((r.item_id, int((r["at"] - at(0)).total_seconds() // 60), r.state, r.attempts) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(1, 5, "pending", 1), (2, 6, "pending", 1), (2, 13, "failed", 3)]
+
+
+def test_a_key_of_many_windows_has_one_timer():
+    import pandas as pd
+
+    from attesta.streaming import state
+
+    class Handle:
+        timers, held = [], None
+        getValueState = lambda self, *_: self
+        get = lambda self: self.held
+        clear = lambda self: setattr(self, "held", None)
+        update = lambda self, v: setattr(self, "held", v)
+        registerTimer = lambda self, at: self.timers.append(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+        getCurrentWatermarkInMs = lambda self: 7_200_000
+        getExpiryTimeInMs = lambda self: self.timers.pop()
+
+    step, handle = state.WindowCap("network", "hour_ends", 1), Handle()
+    step.init(handle)
+    for hours in ((5, 2, 5), (1,)):
+        ends = pd.to_datetime([h * 3_600_000 for h in hours], unit="ms")
+        rows = pd.DataFrame({"event_id": range(len(hours)), "ts": ends, "hour_ends": ends, "refused_by": pd.Series([None] * len(hours), dtype="object")})
+        got = pd.concat(step.handleInputRows((1,), iter([rows]), None))
+        assert handle.timers == [min(hours) * 3_600_000] and got["refused_by"].notna().sum() == len(hours) - len(set(hours))
+    # What is over by the watermark goes at once, and the timer moves on.
+    assert list(step.handleExpiredTimer((1,), handle, handle)) == []
+    assert handle.timers == [18_000_000] and handle.held == ([18_000_000], [2])
