@@ -104,6 +104,17 @@ def test_only_the_densest_leave_a_task(spark, monkeypatch):
     assert R.scored(items.withColumn("question", F.lit("Zebra")), chunks, R.postings(chunks)).collect() == []
 
 
+@pytest.mark.parametrize("best", [None, 2])
+def test_blocks_without_a_word_asked_for(spark, monkeypatch, best):
+    monkeypatch.setattr(R, "TASK_CELLS", 10**9)
+    monkeypatch.setattr(R, "BLOCK_CELLS", 1)
+    items = spark.createDataFrame([(1, "Which keys", None)], "item_id long, question string, topic string")
+    rows = [(f"{i}#1", i, "a.md", 1, "Head", "key" if i % 40 == 0 else "word", False) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id long, filename string, line_start int, heading string, text string, record boolean").coalesce(1)
+    got = R.scored(items, chunks, R.postings(chunks), ("filename",), best=best).collect()
+    assert sorted(r.chunk_id for r in got) == ["0#1", "120#1", "160#1", "40#1", "80#1"]
+
+
 def test_lines_in_sql_stay_in_their_row(spark):
     assert "Exchange" not in plan(corpus.lines_in_sql(spark, SF))
 
