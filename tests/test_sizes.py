@@ -90,6 +90,23 @@ def test_both_ways_of_scoring_agree(spark, monkeypatch, phrases):
     assert sorted(map(tuple, quick.collect())) == sorted(map(tuple, found().collect())) != []
 
 
+def test_phrases_are_found_where_places_are_added_up(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_CELLS", 10**9)
+    given = [(1, "old key", None, ["old key of the team", "key of key", "team"]), (2, "Zebra", None, ["lost key, old"]), (3, "old", None, None)]
+    items = spark.createDataFrame(given, "item_id long, question string, topic string, phrases array<string>")
+    words = ["old", "key", "of", "the", "team", "lost", "key of key", "word"]
+    said = [" ".join(words[(i * k + k * k // 3) % 8] for k in range(1, 12)) for i in range(120)] + ["old key of the team", "lost key old old key of key", "word"]
+    chunks = spark.createDataFrame([(f"{i}#1", "Head", t) for i, t in enumerate(said)], "chunk_id string, heading string, text string")
+    found = lambda: R.scored(items, chunks, R.postings(chunks))
+    shown = plan(found())
+    assert shown.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(item_id" not in shown
+    quick = [sorted(map(tuple, found().collect()))]
+    monkeypatch.setattr(R, "BLOCK_CELLS", 40)
+    quick.append(sorted(map(tuple, found().collect())))
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    assert quick == [sorted(map(tuple, found().collect()))] * 2 and len(quick[0]) > 100
+
+
 def test_only_the_densest_leave_a_task(spark, monkeypatch):
     monkeypatch.setattr(R, "TASK_CELLS", 10**9)
     items = spark.createDataFrame([(1, "Which keys", None)], "item_id long, question string, topic string")
