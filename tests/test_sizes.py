@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import decisions, interview, redaction, rounds
+from attesta.operators import keys as K
 from attesta.operators import retrieval as R
 from attesta.operators import scoring as G
 from attesta.plans import corpus, keys
@@ -21,6 +22,28 @@ def test_fact_sheets_meet_by_sorting(spark, query):
     assert not [x for x in plan(query(spark, SF)).splitlines() if "BroadcastHashJoin" in x and "[kind#" not in x]
 
 
+def test_sheet_rules_move_no_texts(spark):
+    shown = plan(keys.sheet_problems(spark, SF))
+    assert "Expand" not in shown
+    sheet = {k: v.limit(5) for k, v in keys.sheet(spark, SF).items()} | {"statements": spark.createDataFrame([(1, 1, 1, "no", ["placeholder"], "It [x"), (2, 2, 1, "yes", [], "It is")], "statement_id long, doc_id long, control_id long, stance string, flags array<string>, text string")}
+    traps = [(1, "placeholder", [1], [1]), (2, "placeholder", [1, 2], [1]), (3, "scope", [1, 2], [1]), (4, "disagree", [1, 2], [1]), (5, "date", [1], [1])]
+    sheet["traps"] = spark.createDataFrame(traps, "trap_id long, kind string, statements array<long>, controls array<long>")
+    sheet["documents"] = spark.createDataFrame([(1, "a", "policy", "final", "x", True, None), (2, "b", "record", "final", "y", True, None)], "doc_id long, filename string, kind string, status string, scope string, evidence_allowed boolean, dated date")
+    got = {(r.rule, r.key) for r in K.sheet_problems(sheet, {}).collect() if "unknown" not in r.rule}
+    both = "needs yes and no from two documents about one control"
+    assert got == {("needs flagged placeholders", "2"), ("two scopes are a scope trap", "4"), (both, "5"), ("a record must be dated after the others", "5")}
+
+
+def test_lines_do_not_travel_under_words_that_no_quote_needs(spark):
+    key = spark.createDataFrame([("a", [(1, "Item 12345 is")], [], "x", None), ("b", [(1, "So Item")], [], "x", None)], "code string, evidence array<struct<doc_id:long,text:string>>, traps array<string>, expected_label string, conflict_trap long")
+    lines = spark.createDataFrame([(1, i, f"So Item {i} is kept") for i in range(12300, 12500)] + [(1, 1, None)], "doc_id long, n long, text string")
+    words = lines.select(F.split("text", " ").alias("w"))
+    assert sorted(K._unasked(spark.createDataFrame([("12345",), ("Item",)], "__w string"), words)) == ["So", "is", "kept"]
+    traps = spark.createDataFrame([], "trap_id long")
+    assert K.key_problems(key, lines, traps).collect() == []
+    assert [r.key for r in K.key_problems(key, lines.filter("n <> 12345"), traps).collect()] == ["a/1"]
+
+
 def test_scores_meet_their_keys_by_sorting(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (1, "b", "y")], "run_id int, code string, fill string")
     assert "BroadcastHashJoin" not in plan(G.set_scores(rows, rows.filter("code = 'a'"), ["run_id"], ["code", "fill"]))
