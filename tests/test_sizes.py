@@ -64,6 +64,16 @@ def test_names_meet_texts_by_sorting(spark):
     assert redaction.redact_lines(lines, people).first().text == "Ask <PERSON>"
 
 
+def test_spans_of_a_name_are_looked_for_once(spark):
+    people = spark.createDataFrame([("Ann Lee",)], "name string")
+    files = spark.createDataFrame([(1, "call 12 Main Street_(555) 123-4567_by_Ann_Lee.md"), (2, None), (3, "x.md")], "file_id long, filename string")
+    got = redaction.redact_filenames(files, people)
+    # A pattern is asked three times and its cue once.
+    assert got._jdf.queryExecution().analyzed().toString().count("github_pat_") == 4
+    assert "REPARTITION_BY_NUM" in plan(got)
+    assert {r.file_id: r.redacted for r in got.collect()} == {1: "call <ADDRESS>_<PHONE>_by_<PERSON>.md", 2: None, 3: "x.md"}
+
+
 def test_report_lines_write_numbers_without_exponents(spark):
     values = {"a": 11855434.0, "b": 9999999.5, "c": -123456789012.25, "d": 0.00012, "e": 0.5, "f": 1e7, "g": 0.0}
     metrics = spark.createDataFrame(list(values.items()), "metric string, value double")
